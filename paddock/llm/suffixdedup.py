@@ -19,20 +19,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bloom, flat, gram_hash, may_hold, partitions, text_slices, written
+from .common import RangeHash, bloom, flat, gram_hash, may_hold, mix, partitions, text_slices, written
+from .quality import repeated
 
-LENGTH, GRAM, SHARD, HOT = 100, 24, 40_000, 200_000
+LENGTH, SHARD, HOT = 100, 20_000, 200_000
 PLACE = 28  # bits of a position within a slice of texts
 
 
-def anchors(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, first window, windows owned, text) of every anchor."""
+def gram_of(length: int) -> int:
+    """Bytes of an anchor: long enough that few repeat by chance, short enough that few are needed."""
+    return max(1, length * 48 // 100)
+
+
+def anchors(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """(hash, first window, windows owned, text, bytes from the first window to the anchor) of every anchor."""
     none = np.zeros(0, np.int64)
-    grams = gram_hash(data, GRAM)
-    width = length - GRAM + 1
+    grams = gram_hash(data, gram_of(length))
+    width = length - gram_of(length) + 1
     n = len(grams) - width + 1
     if n <= 0:
-        return grams[:0], none, none, none
+        return grams[:0], none, none, none, none
     low = np.uint64((1 << PLACE) - 1)
     least, have = (grams & ~low) | np.arange(len(grams), dtype=np.uint64), 1
     while have < width:
@@ -46,7 +52,7 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndar
     new = np.concatenate([[True], (np.diff(at) != 0) | (np.diff(of[window]) != 0)]) if len(window) else np.zeros(0, bool)
     first = np.flatnonzero(new)
     owned = np.diff(np.concatenate([first, [len(window)]]))
-    return grams[at[first]], window[first], owned, of[window[first]]
+    return grams[at[first]], window[first], owned, of[window[first]], at[first] - window[first]
 
 
 def count_batches(length: int):
@@ -68,12 +74,12 @@ def segment_batches(length: int, words, bodies: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches):
             data, offsets = flat(part.column("text"))
-            hashed, first, owned, of = anchors(data, offsets, length)
-            may = np.flatnonzero(may_hold(words.value, hashed.view(np.int64)))
-            hashed, first, owned, of = hashed[may], first[may], owned[may], of[may]
+            found = anchors(data, offsets, length)
+            may = np.flatnonzero(may_hold(words.value, found[0].view(np.int64)))
+            hashed, first, owned, of, lead = (x[may] for x in found)
             start, where = first - offsets[of], pa.array(of)
-            columns = [part.column("doc_id").take(where), part.column("tid").take(where), pa.array(hashed.view(np.int64)), pa.array(start), pa.array(owned)]
-            names = ["doc_id", "tid", "anchor", "start", "owned"]
+            columns = [part.column("doc_id").take(where), part.column("tid").take(where), pa.array(hashed.view(np.int64)), pa.array(start), pa.array(owned), pa.array(lead)]
+            names = ["doc_id", "tid", "anchor", "start", "owned", "lead"]
             if bodies:
                 body = [data[a:b].tobytes() for a, b in zip(first.tolist(), (first + owned + length - 1).tolist(), strict=True)]
                 columns += [pa.array([digest(x) for x in body], pa.binary()), pa.array(body, pa.binary())]
@@ -94,11 +100,11 @@ def cut_segments(length: int):
                 for x in found:
                     body = raw[x["start"] : x["start"] + x["owned"] + length - 1]
                     of.append(k)
-                    rows.append((x["anchor"], x["start"], x["owned"], digest(body), body))
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+                    rows.append((x["anchor"], x["start"], x["owned"], x["lead"], digest(body), body))
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
             columns = [pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)]
             where = pa.array(of, pa.int64())
-            yield pa.RecordBatch.from_arrays([part.column("doc_id").take(where), part.column("tid").take(where), *columns], ["doc_id", "tid", "anchor", "start", "owned", "digest", "body"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id").take(where), part.column("tid").take(where), *columns], ["doc_id", "tid", "anchor", "start", "owned", "lead", "digest", "body"])
 
     return run
 
@@ -213,14 +219,14 @@ def shard_batches(length: int, shard: int):
             anchor = batch.column("anchor").to_numpy()
             cut = int(np.searchsorted(anchor, anchor[-1])) if len(anchor) else 0  # the last anchor may go on
             tail = batch.slice(cut)
-            ready = several(batch.slice(0, cut))
+            ready = several(batch.slice(0, cut), length)
             if ready.num_rows:
                 held.append(ready)
                 count += ready.num_rows
             if count >= shard:
                 yield spans(held)
                 held, count = [], 0
-        if tail is not None and (ready := several(tail)).num_rows:
+        if tail is not None and (ready := several(tail, length)).num_rows:
             held.append(ready)
         if held:
             yield spans(held)
@@ -228,11 +234,30 @@ def shard_batches(length: int, shard: int):
     return run
 
 
-def several(batch: pa.RecordBatch) -> pa.RecordBatch:
-    """The rows of anchors with two segments or more; rows come in order of anchors."""
-    anchor = batch.column("anchor").to_numpy()
+def several(batch: pa.RecordBatch, length: int) -> pa.RecordBatch:
+    """The rows that may share a window with another of their anchor; rows come in order of anchors.
+
+    A window holds its anchor with the `side` bytes before it or the `side` bytes after it. So equal
+    windows need another segment with the same of the one or of the other.
+    """
+    if not batch.num_rows:
+        return batch
+    anchor, lead = batch.column("anchor").to_numpy(), batch.column("lead").to_numpy()
     same = anchor[1:] == anchor[:-1]
-    return batch.filter(pa.array(np.concatenate([[False], same]) | np.concatenate([same, [False]]))) if len(anchor) else batch
+    rows = np.flatnonzero(np.concatenate([[False], same]) | np.concatenate([same, [False]]))
+    if not len(rows):
+        return batch.slice(0, 0)
+    batch, anchor, lead = batch.take(pa.array(rows)), anchor[rows].view(np.uint64), lead[rows]
+    bodies = batch.column("body").to_pylist()
+    sizes = np.array([len(x) for x in bodies])
+    begin = np.cumsum(sizes) - sizes
+    hashed = RangeHash(np.frombuffer(b"".join(bodies), np.uint8))
+    gram, side = gram_of(length), (length - gram_of(length)) // 2
+    keep = np.zeros(len(rows), bool)
+    for has, a, b in ((lead >= side, lead - side, lead + gram), (sizes - lead - gram >= side, lead, lead + gram + side)):
+        own = np.flatnonzero(has)
+        keep[own] |= repeated(mix(hashed(begin[own] + a[own], begin[own] + b[own]) + anchor[own] * np.uint64(0xD1342543DE82EF95)))[0]
+    return batch.filter(pa.array(keep))
 
 
 def dense(column: pa.ChunkedArray) -> np.ndarray:
@@ -245,10 +270,10 @@ def dense(column: pa.ChunkedArray) -> np.ndarray:
 def collapsed(segments: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
     """(spans of all but the first of equal segments, the first ones)."""
     place = F.struct("doc_id", "start", "tid")
-    firsts = segments.groupBy("anchor", "digest").agg(F.min(place).alias("at"), F.first("owned").alias("owned"), F.first("body").alias("body"))
+    firsts = segments.groupBy("anchor", "digest").agg(F.min(place).alias("at"), F.first("owned").alias("owned"), F.first("lead").alias("lead"), F.first("body").alias("body"))
     firsts = written(firsts, "firsts")
-    later = segments.drop("body", "owned").join(firsts.select("anchor", "digest", "owned", "at"), ["anchor", "digest"]).where(~place.eqNullSafe(F.col("at")))
-    return later.select("doc_id", "tid", "start", (F.col("owned") + length - 1).alias("size")), firsts.select("anchor", "owned", "body", "at.*")
+    later = segments.drop("body", "owned", "lead").join(firsts.select("anchor", "digest", "owned", "at"), ["anchor", "digest"]).where(~place.eqNullSafe(F.col("at")))
+    return later.select("doc_id", "tid", "start", (F.col("owned") + length - 1).alias("size")), firsts.select("anchor", "owned", "lead", "body", "at.*")
 
 
 def repeated_spans(texts: DataFrame, length: int = LENGTH, most_bits: int = 1 << 27, hot: int = HOT, shard: int = SHARD) -> DataFrame:
@@ -257,13 +282,13 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, most_bits: int = 1 <<
     counted = texts.select("text").mapInArrow(count_batches(length), "anchor bigint, n bigint").groupBy("anchor").agg(F.sum("n").alias("n"))
     several_times = written(counted.where("n > 1").select("anchor"), "anchors")
     words = bloom(several_times, most_bits)
-    narrow = f"doc_id {kind}, tid bigint, anchor bigint, start bigint, owned bigint"
+    narrow = f"doc_id {kind}, tid bigint, anchor bigint, start bigint, owned bigint, lead bigint"
     if len(words.value) * 64 < most_bits:
         # few enough anchors for a bit array that lets hardly any other through; one that passes meets no partner
         segments = texts.mapInArrow(segment_batches(length, words, True), f"{narrow}, digest binary, body binary")
     else:
         found = texts.mapInArrow(segment_batches(length, words, False), narrow).join(several_times, "anchor")
-        found = found.groupBy(F.col("doc_id").alias("of"), F.col("tid").alias("of_tid")).agg(F.collect_list(F.struct("anchor", "start", "owned")).alias("found"))
+        found = found.groupBy(F.col("doc_id").alias("of"), F.col("tid").alias("of_tid")).agg(F.collect_list(F.struct("anchor", "start", "owned", "lead")).alias("found"))
         both = texts.dropDuplicates(["doc_id", "tid"]).join(found, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("tid") == F.col("of_tid")))
         segments = both.select("doc_id", "tid", "text", "found").mapInArrow(cut_segments(length), f"{narrow}, digest binary, body binary")
     copies, firsts = collapsed(written(segments, "segments"), length)
@@ -271,10 +296,10 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, most_bits: int = 1 <<
     large = written(firsts.groupBy("anchor").count().where(F.col("count") > hot).select("anchor"), "hot")
     windows = firsts.join(large, "anchor").withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("owned") - 1)))
     window = F.substring("body", F.col("k").cast("int") + 1, F.lit(length))
-    dealt = windows.select("doc_id", "tid", F.xxhash64("anchor", window).alias("anchor"), (F.col("start") + F.col("k")).alias("start"), F.lit(1).cast("long").alias("owned"), F.md5(window).cast("binary").alias("digest"), window.alias("body"))
+    dealt = windows.select("doc_id", "tid", F.xxhash64("anchor", window).alias("anchor"), (F.col("start") + F.col("k")).alias("start"), F.lit(1).cast("long").alias("owned"), (F.col("lead") - F.col("k")).alias("lead"), F.md5(window).cast("binary").alias("digest"), window.alias("body"))
     more, singles = collapsed(dealt, length)
     rest = firsts.join(large, "anchor", "left_anti").unionByName(singles).drop("owned")
-    rest = rest.select("anchor", "body", "doc_id", "start", "tid").repartition(n, "anchor").sortWithinPartitions("anchor")
+    rest = rest.select("anchor", "body", "lead", "doc_id", "start", "tid").repartition(n, "anchor").sortWithinPartitions("anchor")
     same = rest.mapInArrow(shard_batches(length, shard), f"doc_id {kind}, tid bigint, start bigint, size bigint")
     return copies.unionByName(more).unionByName(same)
 
