@@ -112,80 +112,80 @@ def cut_segments(length: int):
 class CollectionBWT:
     """Transform and common prefixes of a collection, grown by one symbol of each string a round.
 
-    The columns (symbol before, common prefix with the row above, string, suffix length) are files that
-    each round reads from front to back and writes anew.
+    The columns (symbol before, common prefix with the row above, string and suffix length) are files
+    that each round reads from front to back and writes anew. Strings have 127 symbols at most, a collection 2 ** 24 strings.
     """
 
-    COLUMNS = (("bwt", np.uint8), ("lcp", np.uint8), ("string", np.int32), ("size", np.uint8))
+    COLUMNS = (("bwt", np.uint8), ("lcp", np.uint8), ("suffix", np.int32))
 
-    def __init__(self, strings: list[bytes], folder: str):
-        self.folder = Path(folder)
-        sizes = np.array([len(s) for s in strings])
-        if len(strings) and sizes.max() > 255:
-            raise ValueError("strings of 255 bytes at most")
-        data = np.frombuffer(b"".join(strings), np.uint8)
+    def __init__(self, data: np.ndarray, sizes: np.ndarray, folder: str):
+        self.folder, self.turn = Path(folder), 0
         symbols = np.unique(data)
-        if len(symbols) > 255:
-            raise ValueError("more than 255 different symbols")
+        if len(symbols) > 255 or sizes.max(initial=0) > 127 or len(sizes) >= 1 << 24:
+            raise ValueError("too many symbols or strings")
         code = np.zeros(256, np.uint8)
         code[symbols] = np.arange(1, len(symbols) + 1)
-        coded, begin = code[data], np.cumsum(sizes) - sizes
-        n = len(strings)
-        before = lambda live, k: np.where(sizes[live] > k, coded[np.maximum(begin[live] + sizes[live] - 1 - k, 0)], 0)
-        live = np.arange(n)
-        self.write(before(live, 0).astype(np.uint8), np.zeros(n, np.uint8), live.astype(np.int32), np.zeros(n, np.uint8))
-        at = live
+        coded, last = code[data], np.cumsum(sizes) - 1
+        n = len(sizes)
+        before = lambda live, k: np.where(sizes[live] > k, coded[np.maximum(last[live] - k, 0)], 0).astype(np.uint8)
+        at = live = np.arange(n)
+        self.write(before(live, 0), np.zeros(n, np.uint8), (live << 7).astype(np.int32))
         for k in range(1, int(sizes.max(initial=0)) + 1):
             still = sizes[live] >= k
-            live, at = live[still], at[still]
-            at = self.insert(n, k, live, at, before(live, k).astype(np.uint8))
+            live, at = self.insert(n, k, live[still], at[still], before)
 
     def read(self, name: str) -> np.ndarray:
-        return np.fromfile(self.folder / name, dict(self.COLUMNS)[name])
+        return np.fromfile(self.folder / f"{name}{self.turn}", dict(self.COLUMNS)[name])
 
     def write(self, *columns: np.ndarray) -> None:
+        self.turn ^= 1
         for (name, _), column in zip(self.COLUMNS, columns, strict=True):
-            column.tofile(self.folder / f"{name}.new")
-            (self.folder / f"{name}.new").rename(self.folder / name)
+            column.tofile(self.folder / f"{name}{self.turn}")
 
-    def insert(self, n: int, k: int, live: np.ndarray, at: np.ndarray, before: np.ndarray) -> np.ndarray:
-        """Insert the suffixes of length k of the live strings, whose shorter ones are at rows `at`."""
+    def insert(self, n: int, k: int, live: np.ndarray, at: np.ndarray, before) -> tuple[np.ndarray, np.ndarray]:
+        """Insert the suffixes of length k of the live strings, whose shorter ones are at the rising rows `at`."""
         bwt, lcp = self.read("bwt"), self.read("lcp")
-        order = np.argsort(bwt, kind="stable")
-        rank = np.empty(len(bwt), np.int64)
-        rank[order] = np.arange(len(bwt))
+        order = np.argsort(bwt, kind="stable").astype(np.int32)
+        rank = np.empty(len(bwt), np.int32)
+        rank[order] = np.arange(len(bwt), dtype=np.int32)
         ends = int((bwt == 0).sum())
-        r, symbol = rank[at], bwt[at]
+        r, symbol = rank[at].astype(np.int64), bwt[at]
         new = n + r - ends
-        above, below = order[np.maximum(r - 1, 0)], order[np.minimum(r + 1, len(order) - 1)]
+        above, below = order[np.maximum(r - 1, 0)].astype(np.int64), order[np.minimum(r + 1, len(order) - 1)].astype(np.int64)
         has_above, has_below = (r > 0) & (bwt[above] == symbol), (r + 1 < len(order)) & (bwt[below] == symbol)
-        ext = np.concatenate([lcp, [0]])
+        ext = np.concatenate([lcp, [0]]).astype(np.uint8)
 
         def least(low: np.ndarray, high: np.ndarray) -> np.ndarray:
-            """The least common prefix of the rows low .. high - 1."""
-            return np.minimum.reduceat(ext, np.stack([low, high], axis=1).reshape(-1))[::2] if len(low) else ext[:0]
+            """The least common prefix of the rows low .. high - 1; ranges in order, so that gaps between them add up to the whole at most."""
+            by = np.argsort(low, kind="stable")
+            out = np.empty(len(low), np.uint8)
+            if len(low):
+                out[by] = np.minimum.reduceat(ext, np.stack([low[by], high[by]], axis=1).reshape(-1))[::2]
+            return out
+
+        kept = np.ones(len(bwt) + len(new), bool)
+        kept[new] = False
 
         def grown(old: np.ndarray, fresh: np.ndarray) -> np.ndarray:
-            out = np.empty(len(old) + len(fresh), old.dtype)
+            out = np.empty(len(kept), old.dtype)
             out[kept] = old
             out[new] = fresh
             return out
 
-        kept = np.ones(len(bwt) + len(new), bool)
-        kept[new] = False
         prefix = np.zeros(len(new), np.uint8)
         prefix[has_above] = least(above[has_above] + 1, at[has_above] + 1) + 1
         lcp = grown(lcp, prefix)
         lcp[new[has_below] + 1] = least(at[has_below] + 1, below[has_below] + 1) + 1
-        self.write(grown(bwt, before), lcp, grown(self.read("string"), live.astype(np.int32)), grown(self.read("size"), np.full(len(new), k, np.uint8)))
-        return new
+        self.write(grown(bwt, before(live, k)), lcp, grown(self.read("suffix"), (live << 7 | k).astype(np.int32)))
+        by = np.argsort(new)
+        return live[by], new[by]
 
     def repeats(self, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(class, string, suffix length) of the suffixes that share a prefix of `length` or more with another."""
         deep = self.read("lcp") >= length
-        inside = deep | np.concatenate([deep[1:], [False]])
-        rows = np.flatnonzero(inside)
-        return np.cumsum(~deep)[rows], self.read("string")[rows].astype(np.int64), self.read("size")[rows].astype(np.int64)
+        rows = np.flatnonzero(deep | np.concatenate([deep[1:], [False]]))
+        suffix = self.read("suffix")[rows]
+        return np.cumsum(~deep)[rows], suffix.astype(np.int64) >> 7, suffix.astype(np.int64) & 127
 
 
 def shard_batches(length: int, shard: int):
@@ -193,12 +193,21 @@ def shard_batches(length: int, shard: int):
 
     def spans(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
         table = pa.Table.from_batches(rows).combine_chunks()
-        strings = table.column("body").to_pylist()
+        bodies, gram = table.column("body").to_pylist(), gram_of(length)
+        sizes, lead = np.array([len(x) for x in bodies]), table.column("lead").to_numpy()
+        data = np.frombuffer(b"".join(bodies), np.uint8).copy()
+        # the anchor, common to all strings of its group, is one symbol that no UTF-8 text has
+        head = np.cumsum(sizes) - sizes + lead
+        data[head] = 255
+        inner = np.zeros(len(data) + 1, np.int8)
+        inner[head + 1] += 1
+        inner[head + gram] -= 1
         with tempfile.TemporaryDirectory() as folder:
-            kind, string, size = CollectionBWT(strings, folder).repeats(length)
-        start, tid = (table.column(c).to_numpy() for c in ("start", "tid"))
-        doc = dense(table.column("doc_id"))
-        offset = np.array([len(s) for s in strings])[string] - size
+            kind, string, size = CollectionBWT(data[np.cumsum(inner)[:-1] == 0], sizes - gram + 1, folder).repeats(length - gram + 1)
+        start, tid, anchor = (table.column(c).to_numpy() for c in ("start", "tid", "anchor"))
+        doc, group = dense(table.column("doc_id")), np.unique(anchor, return_inverse=True)[1]
+        offset = (sizes - gram + 1)[string] - size
+        kind = kind * (len(sizes) + 1) + group[string]
         by = np.lexsort((tid[string], start[string] + offset, doc[string], kind))
         later = np.concatenate([[False], kind[by][1:] == kind[by][:-1]]) if len(by) else np.zeros(0, bool)
         s, o = string[by][later], offset[by][later]
@@ -253,11 +262,20 @@ def several(batch: pa.RecordBatch, length: int) -> pa.RecordBatch:
     begin = np.cumsum(sizes) - sizes
     hashed = RangeHash(np.frombuffer(b"".join(bodies), np.uint8))
     gram, side = gram_of(length), (length - gram_of(length)) // 2
-    keep = np.zeros(len(rows), bool)
+    sides = []
     for has, a, b in ((lead >= side, lead - side, lead + gram), (sizes - lead - gram >= side, lead, lead + gram + side)):
-        own = np.flatnonzero(has)
-        keep[own] |= repeated(mix(hashed(begin[own] + a[own], begin[own] + b[own]) + anchor[own] * np.uint64(0xD1342543DE82EF95)))[0]
-    return batch.filter(pa.array(keep))
+        own, again = np.flatnonzero(has), np.zeros(len(rows), bool)
+        again[own] = repeated(mix(hashed(begin[own] + a[own], begin[own] + b[own]) + anchor[own] * np.uint64(0xD1342543DE82EF95)))[0]
+        sides.append(again)
+    before, after = sides
+    # windows that reach far to a side that no other segment has are cut off
+    front = np.where(before, 0, np.maximum(lead - side + 1, 0))
+    back = np.where(after, sizes, np.minimum(sizes, lead - side + length))
+    kept = np.flatnonzero((before | after) & (back - front >= length))
+    cut = [bodies[i][a:b] for i, a, b in zip(kept.tolist(), front[kept].tolist(), back[kept].tolist(), strict=True)]
+    batch, front = batch.take(pa.array(kept)), front[kept]
+    changed = {"body": pa.array(cut, pa.binary()), "lead": pa.array(lead[kept] - front), "start": pa.array(batch.column("start").to_numpy() + front)}
+    return pa.RecordBatch.from_arrays([changed.get(c, batch.column(c)) for c in batch.schema.names], batch.schema.names)
 
 
 def dense(column: pa.ChunkedArray) -> np.ndarray:
