@@ -2,10 +2,172 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.names import distance_band
+from ..functions.numeric import rounded
+from ..operators import expert, learning, market, reports, scoring, sinks, tickets
+from ..sources import pages, racing
+from . import oracles
+
+
+def card(s: SparkSession, d: str) -> DataFrame:
+    """Runners with all component scores and the model score."""
+    c = expert.consensus(racing.picks(s, d), racing.sources(s)).select("race_id", "horse_number", "expert_score", "expert_confidence", "source_count")
+    rows = racing.runners(s, d).join(c, ["race_id", "horse_number"], "left").withColumn("agf_percent", F.col("agf_bp") / 100.0)
+    rows = rows.withColumn("market_score", F.lit(None).cast("double")).withColumn("field_score", F.lit(None).cast("double"))
+    return scoring.model_score(scoring.components(rows))
+
+
+def scored_card(s: SparkSession, d: str) -> DataFrame:
+    parts = ["agf_score", "expert_part", "form_score", "hp_score", "weight_score"]
+    return card(s, d).select("race_id", "horse_number", *[rounded(F.col(c), 4).alias(c) for c in parts], "score", "model_confidence")
+
+
+def adjusted(s: SparkSession, d: str) -> DataFrame:
+    rows = learning.with_context(racing.runners(s, d), racing.races(s, d))
+    scored = card(s, d).select("race_id", "horse_number", F.col("score").alias("base_score"))
+    out = learning.adjustment(rows, learning.context_priors(rows), expert.global_rates(rows)).join(scored, ["race_id", "horse_number"])
+    return out.withColumn("shadow_score", rounded(F.col("base_score") + F.col("adjustment"), 2))
+
+
+def evaluation(s: SparkSession, d: str) -> DataFrame:
+    scores = ["base_score", "shadow_score"]
+    return learning.gate(learning.ranking_metrics(learning.winner_ranks(adjusted(s, d), scores), scores), *scores)
+
+
+def frozen(s: SparkSession, d: str) -> DataFrame:
+    return racing.runners(s, d).select("race_id", "horse_number", F.concat(F.lit("HORSE "), F.col("horse_id").cast("string")).alias("name"))
+
+
+def audit(s: SparkSession, d: str) -> DataFrame:
+    return learning.label_audit(frozen(s, d), racing.results(s, d))
+
+
+def ticket_legs(s: SparkSession, d: str) -> DataFrame:
+    """Legs of the first window of every card, scored by share."""
+    w = tickets.windows(racing.races(s, d)).where("sixfold_number = 1")
+    scored = racing.runners(s, d).select("race_id", "horse_number", F.coalesce(F.col("agf_bp") / 100.0, F.lit(0.0)).alias("score"), F.lit(0.8).alias("confidence"))
+    return w.join(scored, "race_id").select(F.concat_ws("|", F.col("race_date").cast("string"), "city").alias("card"), F.col("place").alias("leg"), "race_id", "horse_number", "score", "confidence")
+
+
+def best_tickets(s: SparkSession, d: str) -> DataFrame:
+    found = tickets.optimise(ticket_legs(s, d), 3000.0, F.lit(1.25))
+    return found.select("card", "profile", rounded(F.col("survival"), 6).alias("survival"), "combinations", "cost")
+
+
+def settled(s: SparkSession, d: str) -> DataFrame:
+    """The two most likely runners of each leg, settled against the results."""
+    legs = ticket_legs(s, d)
+    order = F.row_number().over(tickets.Window.partitionBy("card", "leg").orderBy(F.col("score").desc(), "horse_number"))
+    chosen = legs.withColumn("n", order).where("n <= 2").groupBy("card", "leg", "race_id").agg(F.collect_list("horse_number").alias("horses"))
+    return tickets.settle(chosen, racing.results(s, d).where("finish_position = 1"))
+
+
+def winners(s: SparkSession, d: str) -> DataFrame:
+    return racing.runners(s, d).where("finish_position = 1").select("race_id", "horse_number")
+
+
+def invariants(s: SparkSession, d: str) -> DataFrame:
+    races, runners, points = racing.races(s, d), racing.runners(s, d), racing.market_points(s, d)
+    return reports.violations(
+        {
+            "late_captures": points.where("captured_at >= starts_at"), "orphan_runners": reports.orphans(runners, races.where("race_id % 7 <> 0")),
+            "repeated_runners": reports.repeated(runners, ["race_id", "horse_number"]), "repeated_races": reports.repeated(races, ["race_date", "city", "race_number"]),
+        }
+    )
+
+
+def repair(s: SparkSession, d: str) -> DataFrame:
+    """Full-outer comparison of stored and official sets by class of mismatch."""
+    a = frozen(s, d).where("race_id % 5 <> 0").select("race_id", "horse_number", F.col("name").alias("own"))
+    b = racing.results(s, d).select("race_id", "horse_number", F.col("name").alias("theirs"))
+    kind = F.when(F.col("own").isNull(), "MISSING").when(F.col("theirs").isNull(), "EXTRA").when(F.col("own") != F.col("theirs"), "NAME").otherwise("SAME")
+    return a.join(b, ["race_id", "horse_number"], "full").groupBy(kind.alias("kind")).agg(F.count("*").alias("rows"), F.countDistinct("race_id").alias("races"))
+
+
+def upserted(s: SparkSession, d: str) -> DataFrame:
+    """Even runners stored, every third one refreshed."""
+    rows = racing.runners(s, d).select("race_id", "horse_number", F.coalesce("agf_bp", F.lit(0)).alias("value"))
+    old, new = rows.where("race_id % 2 = 0").withColumn("version", F.lit(1)), rows.where("race_id % 3 = 0").withColumn("value", F.col("value") + 1).withColumn("version", F.lit(2))
+    return sinks.upsert(old, new, ["race_id", "horse_number"], "version").select("race_id", "horse_number", "value", F.col("version").cast("long").alias("version"))
+
+
+def series(s: SparkSession, d: str) -> DataFrame:
+    long = market.series(racing.market_points(s, d))
+    return long.select(*market.RUNNER, F.size("series").cast("long").alias("points"), F.element_at("series", 1)["captured_at"].alias("first_at"), F.element_at("series", -1)["captured_at"].alias("last_at"))
+
+
+def page_candidates(s: SparkSession, d: str) -> DataFrame:
+    found = pages.links(racing.read(s, d, "pages"))
+    return pages.ranked_candidates(found, ["istanbul", "ankara"], ["the", "of", "and"], ["2024"], least=1).select("page_id", "url", "score", "place")
+
+
+def document(s: SparkSession, d: str) -> DataFrame:
+    return sinks.archive_documents(racing.races(s, d), racing.runners(s, d), F.lit("2100-01-01").cast("timestamp")).select("race_id", "n_runners", F.length("document").cast("long").alias("size"))
+
+
+def six_windows(s: SparkSession, d: str) -> DataFrame:
+    return tickets.windows(racing.races(s, d))
+
+
+def mode_metrics(s: SparkSession, d: str) -> DataFrame:
+    m = tickets.mode_metrics(scoring.selections(card(s, d)), winners(s, d))
+    return m.select("mode", "races", "covered", rounded(F.col("hit_rate"), 6).alias("hit_rate"), rounded(F.col("mean_size"), 6).alias("mean_size"))
+
 
 def queries() -> dict:
-    return {}
+    r = racing
+    return {
+        "scored_card": scored_card,
+        "races_projection": r.races,
+        "runners_projection": lambda s, d: r.runners(s, d).drop("line", "l_suppkey"),
+        "date_scan": lambda s, d: r.races(s, d).where("race_date between date'1995-01-01' and date'1996-06-30'").select("race_id", "race_date", "city", "race_number"),
+        "distance_bands": lambda s, d: r.races(s, d).groupBy(distance_band(F.col("distance_meters")).alias("band"), "track").agg(F.count("*").alias("races")),
+        "form_scores": lambda s, d: r.runners(s, d).select("race_id", "horse_number", *[c.alias(n) for c, n in zip(scoring.recent_form(F.col("recent_form_raw")), ("form_score", "trend"), strict=True)]),
+        "expert_consensus": lambda s, d: expert.consensus(r.picks(s, d), r.sources(s)),
+        "global_rates": lambda s, d: expert.global_rates(r.runners(s, d)).select("samples", rounded(F.col("win_rate"), 6).alias("win_rate"), rounded(F.col("top3_rate"), 6).alias("top3_rate")),
+        "source_priors": lambda s, d: expert.source_priors(r.picks(s, d), r.runners(s, d)),
+        "category_priors": lambda s, d: expert.category_priors(r.picks(s, d), r.runners(s, d)),
+        "context_priors": lambda s, d: learning.context_priors(learning.with_context(r.runners(s, d), r.races(s, d))),
+        "prior_summary": lambda s, d: reports.prior_summary(learning.context_priors(learning.with_context(r.runners(s, d), r.races(s, d)))),
+        "learned_adjustment": lambda s, d: adjusted(s, d).select("race_id", "horse_number", "adjustment", "base_score", "shadow_score"),
+        "ranking_evaluation": evaluation,
+        "race_uncertainty": lambda s, d: scoring.uncertainty(card(s, d)),
+        "recommended_selection": lambda s, d: scoring.selections(card(s, d)).select("race_id", "mode", F.array_join("horses", ",").alias("horses")),
+        "selection_metrics": mode_metrics,
+        "market_features": lambda s, d: market.features(market.pre_race(r.market_points(s, d))),
+        "market_movement": lambda s, d: market.movement(r.market_points(s, d), 1440),
+        "market_series": series,
+        "market_latest": lambda s, d: market.series(r.market_points(s, d), 3).select(*market.RUNNER, "captured_at", "agf_percent", F.col("place").cast("long").alias("place")),
+        "market_coverage": lambda s, d: reports.market_coverage(r.market_points(s, d)),
+        "minutes_to_start": lambda s, d: market.minutes_to_next_start(r.market_points(s, d).select("race_date", "captured_at").distinct(), r.market_points(s, d).select("race_date", F.date_trunc("hour", "captured_at").alias("starts_at")).distinct()),
+        "label_audit": audit,
+        "strict_labels": lambda s, d: learning.labels(frozen(s, d), r.results(s, d)),
+        "label_progress": lambda s, d: reports.label_progress(audit(s, d), r.races(s, d)),
+        "label_backlog": lambda s, d: reports.backlog(audit(s, d), r.races(s, d), 20),
+        "set_comparison": repair,
+        "sixfold_windows": six_windows,
+        "ticket_backtest": best_tickets,
+        "ticket_settlement": settled,
+        "card_summary": lambda s, d: reports.card_summary(r.races(s, d), r.runners(s, d)),
+        "missing_values": lambda s, d: reports.missing_values(r.races(s, d), r.runners(s, d)),
+        "coverage": lambda s, d: reports.coverage(r.races(s, d), r.runners(s, d), r.picks(s, d)),
+        "pick_coverage": lambda s, d: reports.pick_coverage(r.picks(s, d), r.races(s, d)),
+        "card_violations": lambda s, d: reports.card_violations(r.races(s, d), r.runners(s, d)),
+        "result_violations": lambda s, d: reports.result_violations(r.results(s, d)),
+        "invariants": invariants,
+        "date_layers": lambda s, d: reports.layers({"races": r.races(s, d).where("race_id % 3 <> 0"), "results": r.results(s, d).join(r.races(s, d), "race_id")}, ["race_date", "city"]),
+        "upsert": upserted,
+        "insert_only": lambda s, d: sinks.insert_only(r.races(s, d).where("race_id % 2 = 0").select("race_id"), r.races(s, d).select("race_id", "city"), ["race_id"], "city"),
+        "newest_candidate": lambda s, d: sinks.newest_candidate(r.market_points(s, d), market.RUNNER),
+        "archive_documents": document,
+        "page_links": lambda s, d: pages.links(r.read(s, d, "pages")),
+        "page_candidates": page_candidates,
+        "page_fingerprints": lambda s, d: pages.fingerprint(r.read(s, d, "pages"), "page_id", "url", "html"),
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracles.all_sql()

@@ -1 +1 @@
-"""."""
+"""Tables and page archives."""
