@@ -11,11 +11,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import RangeHash, flat, runs, text_slices
+from .common import RangeHash, flat, runs, text_slices, unused
 
 IS_WORD = np.isin(np.arange(256), [*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)])
 LOWERED = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
 SAMPLE = 16
+MADE = ("n_words", "n_hit", "items", "spans")
 
 
 class FMIndex:
@@ -210,8 +211,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, block
     sizes = np.cumsum(pc.binary_length(asked.column("text").combine_chunks()).to_numpy(zero_copy_only=False)) // block_bytes if asked.num_rows else np.zeros(0)
     edges = [0, *(np.flatnonzero(np.diff(sizes)) + 1).tolist(), asked.num_rows]
     blocks = spark.sparkContext.broadcast([phrases(asked.slice(a, b - a), window) for a, b in zip(edges[:-1], edges[1:], strict=True) if b > a])
-    made = ["n_words", "n_hit", "items", "spans"]
-    plain = docs.select(*[c for c in docs.columns if c not in [*made, "text"]], "text")
+    plain = docs.select(*[c for c in docs.columns if c not in (*MADE, "text")], "text")
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema if f.name != "text")
     return plain.mapInArrow(hit_batches(blocks), f"{kinds}, n_words bigint, n_hit bigint, items array<string>, spans array<array<bigint>>, text string")
 
@@ -238,11 +238,12 @@ def cut_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def remove_hits(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
     """`docs` with hit words, and what stands between them, cut out of the texts; n_chars follows where it exists."""
-    found = contamination(docs, benchmark, window)
+    spare = {c: unused(f"own_{c}", docs.columns) for c in MADE if c in docs.columns}
+    found = contamination(docs.withColumnsRenamed(spare), benchmark, window)
     cut = found.mapInArrow(cut_batches, found.schema)
     if "n_chars" in docs.columns:
         cut = cut.withColumn("n_chars", F.when(F.size("spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return cut.select(docs.columns)
+    return cut.drop(*MADE).withColumnsRenamed({v: c for c, v in spare.items()}).select(docs.columns)
 
 
 def sha_of_items(names: list[str]) -> str:

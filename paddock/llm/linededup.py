@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import RangeHash, bloom, flat, gram_hash, may_hold, mix, partitions, runs, text_slices, written
+from .common import RangeHash, bloom, flat, gram_hash, may_hold, mix, partitions, runs, text_slices, unused, written
 from .components import LocalSets, components
 from .decontam import LOWERED
 from .quality import IS_SPACE
@@ -141,7 +141,6 @@ def similar_links(docs: DataFrame, occurrences: DataFrame, similar: float = SIMI
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
     dealt = (
         members.join(bodies, "line").select("bucket", "line", "body", "parts", own.alias("chunk"), other.alias("other"))
-        .where((F.col("parts") == 1) | (F.col("chunk") != F.col("other")) | (F.col("chunk") == F.col("other")))
         .select("bucket", (F.least("chunk", "other") * F.col("parts") + F.greatest("chunk", "other")).alias("sub"), "chunk", "line", "body")
     )
     dealt = dealt.repartition(partitions(docs.sparkSession), "bucket", "sub").sortWithinPartitions("bucket", "sub", "line")
@@ -184,10 +183,11 @@ def drop_lines(docs: DataFrame, **how) -> DataFrame:
 
     Documents that had no line with a word stay as they are.
     """
-    found = report(docs, **how).where("n_removed > 0").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("of"), "removed", (F.col("n_removed") == F.col("n_lines")).alias("gone"))
-    both = docs.join(found, F.col("doc_id").eqNullSafe(F.col("of")), "left").where("not coalesce(gone, false)")
-    left = F.array_join(F.filter(F.split("text", "\n", -1), lambda _, i: ~F.array_contains("removed", i.cast("long"))), "\n")
-    both = both.withColumn("text", F.when(F.col("removed").isNull(), F.col("text")).otherwise(left))
+    of, removed, gone = (unused(c, docs.columns) for c in ("of", "removed", "gone"))
+    found = report(docs, **how).where("n_removed > 0").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias(of), F.col("removed").alias(removed), (F.col("n_removed") == F.col("n_lines")).alias(gone))
+    both = docs.join(found, F.col("doc_id").eqNullSafe(F.col(of)), "left").where(~F.coalesce(F.col(gone), F.lit(False)))
+    left = F.array_join(F.filter(F.split("text", "\n", -1), lambda _, i: ~F.array_contains(removed, i.cast("long"))), "\n")
+    both = both.withColumn("text", F.when(F.col(removed).isNull(), F.col("text")).otherwise(left))
     if "n_chars" in docs.columns:
-        both = both.withColumn("n_chars", F.when(F.col("removed").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
+        both = both.withColumn("n_chars", F.when(F.col(removed).isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
     return both.select(docs.columns)

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import RangeHash, counts_between, flat, mix, runs, text_slices, written
+from .common import RangeHash, counts_between, flat, mix, runs, text_slices, unused, written
 
 IS_SPACE = np.isin(np.arange(256), [32, *range(9, 14)])
 IS_SYMBOL = np.isin(np.arange(256), list(b"#*$%&|<>"))
@@ -148,5 +148,6 @@ def quality_verdicts(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
 
 def keep_good(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     """The documents with a row that is kept; NULL doc_ids are matched with each other."""
-    good = quality_verdicts(docs, threshold).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(good, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+    kept_id = unused("kept_id", docs.columns)
+    good = quality_verdicts(docs, threshold).where("kept").select(F.col("doc_id").alias(kept_id)).distinct()
+    return docs.join(good, F.col("doc_id").eqNullSafe(F.col(kept_id)), "left_semi")

@@ -26,9 +26,9 @@ with d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCD
 b as (select item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark),
 p as (select distinct item_id, array_to_string(w[i : i + least(len(w), 10) - 1], ' ') as phrase, least(len(w), 10) as n
       from (select item_id, w, unnest(generate_series(1, greatest(1, len(w) - 9))) as i from b where len(w) > 0)),
-at as (select doc_id, i, n, array_to_string(w[i : i + n - 1], ' ') as phrase
+places as (select doc_id, i, n, array_to_string(w[i : i + n - 1], ' ') as phrase
        from (select doc_id, w, n, unnest(generate_series(1, len(w) - n + 1)) as i from d, (select distinct n from p) where len(w) >= n)),
-hits as (select distinct doc_id, i, n, item_id from at join p using (n, phrase)),
+hits as (select distinct doc_id, i, n, item_id from places join p using (n, phrase)),
 covered as (select doc_id, count(distinct k) as n_hit from (select doc_id, unnest(generate_series(i, i + n - 1)) as k from hits) group by doc_id),
 named as (select doc_id, count(*) as n_items, string_agg(id, ',' order by id) as ids from (select distinct doc_id, item_id::varchar as id from hits) group by doc_id)
 select d.doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,

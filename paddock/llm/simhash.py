@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, partitions, words, written
+from .common import lower_ascii, partitions, unused, words, written
 from .components import LocalSets, components
 
 TILE_ROWS = 4096
@@ -193,8 +193,9 @@ def simhash_components(docs: DataFrame, radius: int = 2, shingle: int = 3, segme
 
 def keep_one(docs: DataFrame, **how) -> DataFrame:
     """The documents whose doc_id names their component; of rows that repeat that doc_id all stay."""
-    first = simhash_components(docs, **how).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    return docs.join(first.withColumnRenamed("doc_id", "kept_id"), F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+    kept_id = unused("kept_id", docs.columns)
+    first = simhash_components(docs, **how).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(kept_id)).distinct()
+    return docs.join(first, F.col("doc_id").eqNullSafe(F.col(kept_id)), "left_semi")
 
 
 def brute_force(fps: dict[int, int], radius: int = 2) -> dict[int, int]:
