@@ -60,7 +60,7 @@ def partitions(spark: SparkSession) -> int:
 
 # --- byte-level helpers that run inside tasks ---
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 
 def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
