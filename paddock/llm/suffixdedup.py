@@ -68,29 +68,38 @@ def digest(body: bytes) -> bytes:
     return hashlib.blake2b(body, digest_size=16).digest()
 
 
-def segment_batches(length: int, words, bodies: bool):
-    """Segments of anchors that may be repeated: anchor, first window, windows, and on request their bytes."""
+STEP = 1_000_003  # spreads the starts of segments of one document over keys
+
+
+def segment_batches(length: int, words, bodies: bool = False, digests: bool = True):
+    """Segments: anchor, first window, windows, bytes before the anchor, and on request their digests or bytes.
+
+    Of anchors that may be in the bit array, or with `bodies` of segments whose key may be in it.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches):
             data, offsets = flat(part.column("text"))
             found = anchors(data, offsets, length)
-            may = np.flatnonzero(may_hold(words.value, found[0].view(np.int64)))
+            key = found[0].view(np.int64)
+            if bodies:
+                key = part.column("key").to_numpy()[found[3]] ^ ((found[1] - offsets[found[3]]) * STEP)
+            may = np.flatnonzero(may_hold(words.value, key))
             hashed, first, owned, of, lead = (x[may] for x in found)
             start, where = first - offsets[of], pa.array(of)
             columns = [part.column("doc_id").take(where), part.column("tid").take(where), pa.array(hashed.view(np.int64)), pa.array(start), pa.array(owned), pa.array(lead)]
             names = ["doc_id", "tid", "anchor", "start", "owned", "lead"]
-            if bodies:
+            if bodies or digests:
                 body = [data[a:b].tobytes() for a, b in zip(first.tolist(), (first + owned + length - 1).tolist(), strict=True)]
-                columns += [pa.array([digest(x) for x in body], pa.binary()), pa.array(body, pa.binary())]
-                names += ["digest", "body"]
+                columns.append(pa.array(body if bodies else [digest(x) for x in body], pa.binary()))
+                names.append("body" if bodies else "digest")
             yield pa.RecordBatch.from_arrays(columns, names)
 
     return run
 
 
 def cut_segments(length: int):
-    """The bytes of listed segments of a text."""
+    """The digests of listed segments of a text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches):
@@ -100,11 +109,11 @@ def cut_segments(length: int):
                 for x in found:
                     body = raw[x["start"] : x["start"] + x["owned"] + length - 1]
                     of.append(k)
-                    rows.append((x["anchor"], x["start"], x["owned"], x["lead"], digest(body), body))
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+                    rows.append((x["anchor"], x["start"], x["owned"], x["lead"], digest(body)))
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
             columns = [pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)]
             where = pa.array(of, pa.int64())
-            yield pa.RecordBatch.from_arrays([part.column("doc_id").take(where), part.column("tid").take(where), *columns], ["doc_id", "tid", "anchor", "start", "owned", "lead", "digest", "body"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id").take(where), part.column("tid").take(where), *columns], ["doc_id", "tid", "anchor", "start", "owned", "lead", "digest"])
 
     return run
 
@@ -208,8 +217,13 @@ def shard_batches(length: int, shard: int):
         doc, group = dense(table.column("doc_id")), np.unique(anchor, return_inverse=True)[1]
         offset = (sizes - gram + 1)[string] - size
         kind = kind * (len(sizes) + 1) + group[string]
-        by = np.lexsort((tid[string], start[string] + offset, doc[string], kind))
-        later = np.concatenate([[False], kind[by][1:] == kind[by][:-1]]) if len(by) else np.zeros(0, bool)
+        place = doc[string], start[string] + offset, tid[string]
+        by = np.lexsort((*place[::-1], kind))
+        opens = np.concatenate([[True], kind[by][1:] != kind[by][:-1]]) if len(by) else np.zeros(0, bool)
+        first = by[np.maximum.accumulate(np.where(opens, np.arange(len(by)), 0))]
+        later = np.zeros(len(by), bool)
+        for x in place:  # a row given twice has the place of the first
+            later |= x[by] != x[first]
         s, o = string[by][later], offset[by][later]
         by = np.lexsort((o, s))
         s, o = s[by], o[by]
@@ -286,12 +300,12 @@ def dense(column: pa.ChunkedArray) -> np.ndarray:
 
 
 def collapsed(segments: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
-    """(spans of all but the first of equal segments, the first ones)."""
-    place = F.struct("doc_id", "start", "tid")
-    firsts = segments.groupBy("anchor", "digest").agg(F.min(place).alias("at"), F.first("owned").alias("owned"), F.first("lead").alias("lead"), F.first("body").alias("body"))
-    firsts = written(firsts, "firsts")
-    later = segments.drop("body", "owned", "lead").join(firsts.select("anchor", "digest", "owned", "at"), ["anchor", "digest"]).where(~place.eqNullSafe(F.col("at")))
-    return later.select("doc_id", "tid", "start", (F.col("owned") + length - 1).alias("size")), firsts.select("anchor", "owned", "lead", "body", "at.*")
+    """(spans of all but the first of equal segments, the first ones); other columns go with the first."""
+    place, own = F.struct("doc_id", "start", "tid"), ["anchor", "digest", "doc_id", "start", "tid"]
+    kept = [c for c in segments.columns if c not in own]
+    firsts = written(segments.groupBy("anchor", "digest").agg(F.min(place).alias("at"), *[F.first(c).alias(c) for c in kept]), "firsts")
+    later = segments.select(own).join(firsts.select("anchor", "digest", "owned", "at"), ["anchor", "digest"]).where(~place.eqNullSafe(F.col("at")))
+    return later.select("doc_id", "tid", "start", (F.col("owned") + length - 1).alias("size")), firsts.select("anchor", *kept, "at.*")
 
 
 def repeated_spans(texts: DataFrame, length: int = LENGTH, most_bits: int = 1 << 27, hot: int = HOT, shard: int = SHARD) -> DataFrame:
@@ -303,21 +317,26 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, most_bits: int = 1 <<
     narrow = f"doc_id {kind}, tid bigint, anchor bigint, start bigint, owned bigint, lead bigint"
     if len(words.value) * 64 < most_bits:
         # few enough anchors for a bit array that lets hardly any other through; one that passes meets no partner
-        segments = texts.mapInArrow(segment_batches(length, words, True), f"{narrow}, digest binary, body binary")
+        segments = texts.mapInArrow(segment_batches(length, words), f"{narrow}, digest binary")
     else:
-        found = texts.mapInArrow(segment_batches(length, words, False), narrow).join(several_times, "anchor")
+        found = texts.mapInArrow(segment_batches(length, words, digests=False), narrow).join(several_times, "anchor")
         found = found.groupBy(F.col("doc_id").alias("of"), F.col("tid").alias("of_tid")).agg(F.collect_list(F.struct("anchor", "start", "owned", "lead")).alias("found"))
         both = texts.dropDuplicates(["doc_id", "tid"]).join(found, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("tid") == F.col("of_tid")))
-        segments = both.select("doc_id", "tid", "text", "found").mapInArrow(cut_segments(length), f"{narrow}, digest binary, body binary")
-    copies, firsts = collapsed(written(segments, "segments"), length)
+        segments = both.select("doc_id", "tid", "text", "found").mapInArrow(cut_segments(length), f"{narrow}, digest binary")
+    copies, firsts = collapsed(written(segments.drop("lead"), "segments"), length)
+    # the bytes of first segments of anchors with different ones; what else passes the bit array is a copy or has no partner
+    by_anchor = written(firsts.groupBy("anchor").count().where("count > 1"), "several")
+    key = F.xxhash64("doc_id", "tid")
+    wanted = firsts.join(by_anchor, "anchor", "left_semi").select(key.bitwiseXOR(F.col("start") * STEP).alias("key"))
+    bodies = texts.withColumn("key", key).mapInArrow(segment_batches(length, bloom(wanted, most_bits), bodies=True), f"{narrow}, body binary")
     # an anchor with very many different segments is dealt out by whole windows
-    large = written(firsts.groupBy("anchor").count().where(F.col("count") > hot).select("anchor"), "hot")
-    windows = firsts.join(large, "anchor").withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("owned") - 1)))
+    large = by_anchor.where(F.col("count") > hot).select("anchor")
+    windows = bodies.join(large, "anchor").withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("owned") - 1)))
     window = F.substring("body", F.col("k").cast("int") + 1, F.lit(length))
     dealt = windows.select("doc_id", "tid", F.xxhash64("anchor", window).alias("anchor"), (F.col("start") + F.col("k")).alias("start"), F.lit(1).cast("long").alias("owned"), (F.col("lead") - F.col("k")).alias("lead"), F.md5(window).cast("binary").alias("digest"), window.alias("body"))
-    more, singles = collapsed(dealt, length)
-    rest = firsts.join(large, "anchor", "left_anti").unionByName(singles).drop("owned")
-    rest = rest.select("anchor", "body", "lead", "doc_id", "start", "tid").repartition(n, "anchor").sortWithinPartitions("anchor")
+    more, singles = collapsed(written(dealt, "windows"), length)
+    rest = bodies.join(large, "anchor", "left_anti").select("anchor", "body", "lead", "doc_id", "start", "tid").unionByName(singles.drop("owned"))
+    rest = rest.repartition(n, "anchor").sortWithinPartitions("anchor")
     same = rest.mapInArrow(shard_batches(length, shard), f"doc_id {kind}, tid bigint, start bigint, size bigint")
     return copies.unionByName(more).unionByName(same)
 

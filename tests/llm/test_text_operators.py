@@ -105,7 +105,8 @@ def test_suffix_dedup(spark, how):
     pieces = ["".join(rng.choice(list("abcdé "), 70)) for _ in range(12)]
     texts = {k: "".join(pieces[i] for i in rng.integers(0, 12, rng.integers(0, 8))) for k in range(60)} | {99: "z" * 500, 100: "z" * 450 + "y", 101: "short"}
     want = suffixdedup.brute_force({k: t.encode() for k, t in texts.items()}, 100)
-    rows = suffixdedup.dedup_substrings(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), **how).collect()
+    rows = suffixdedup.dedup_substrings(spark.createDataFrame([*texts.items(), *texts.items()], "doc_id long, text string"), **how).collect()
+    assert len(rows) == 2 * len(texts)
     assert {r.doc_id: (r.n_removed, r.n_spans, r.kept_sha256) for r in rows} == want
 
 
