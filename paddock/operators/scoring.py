@@ -43,6 +43,14 @@ def recent_form(raw: Column) -> tuple[Column, Column]:
     return F.when(F.size(positions) > 0, rounded(clamp(weighted_form(positions, RECENT[0], RECENT[1]) + step, 0.0, 100.0), 1)), t
 
 
+def with_recent_form(rows: DataFrame) -> DataFrame:
+    """`form_score` and `trend`, in steps, so that positions and trend are worked out once a row."""
+    rows = rows.withColumn("_places", recent_positions(F.col("recent_form_raw")))
+    rows = rows.withColumn("trend", trend(F.col("_places"), RECENT[2])).withColumn("_mean", weighted_form(F.col("_places"), RECENT[0], RECENT[1]))
+    step = F.when(F.col("trend") == "improving", 5.0).when(F.col("trend") == "declining", -5.0).otherwise(0.0)
+    return rows.withColumn("form_score", F.when(F.size("_places") > 0, rounded(clamp(F.col("_mean") + step, 0.0, 100.0), 1))).drop("_places", "_mean")
+
+
 def history_form(positions: Column) -> tuple[Column, Column]:
     """(score, trend) of finishes, newest first, five at most."""
     newest = F.slice(positions, 1, 5)
@@ -65,11 +73,10 @@ def components(runners: DataFrame) -> DataFrame:
     """Component scores of every runner; needs agf_percent, expert_score, expert_confidence, market_score and field_score."""
     race = Window.partitionBy("race_id")
     hp, weight = F.col("hp").cast("double"), F.col("weight")
-    return runners.withColumns(
+    return with_recent_form(runners).withColumns(
         {
             "agf_score": clamp(F.col("agf_percent"), 0.0, 100.0),
             "expert_part": 50 + (F.col("expert_score") - 50) * F.col("expert_confidence"),
-            "form_score": recent_form(F.col("recent_form_raw"))[0],
             "hp_score": min_max(hp, F.min(hp).over(race), F.max(hp).over(race)),
             "weight_score": 100 - min_max(weight, F.min(weight).over(race), F.max(weight).over(race)),
         }

@@ -125,7 +125,7 @@ def queries() -> dict:
         "runners_projection": lambda s, d: r.runners(s, d).drop("line", "l_suppkey"),
         "date_scan": lambda s, d: r.races(s, d).where("race_date between date'1995-01-01' and date'1996-06-30'").select("race_id", "race_date", "city", "race_number"),
         "distance_bands": lambda s, d: r.races(s, d).groupBy(distance_band(F.col("distance_meters")).alias("band"), "track").agg(F.count("*").alias("races")),
-        "form_scores": lambda s, d: r.runners(s, d).select("race_id", "horse_number", *[c.alias(n) for c, n in zip(scoring.recent_form(F.col("recent_form_raw")), ("form_score", "trend"), strict=True)]),
+        "form_scores": lambda s, d: scoring.with_recent_form(r.runners(s, d)).select("race_id", "horse_number", "form_score", "trend"),
         "expert_consensus": lambda s, d: expert.consensus(r.picks(s, d), r.sources(s)),
         "global_rates": lambda s, d: expert.global_rates(r.runners(s, d)).select("samples", rounded(F.col("win_rate"), 6).alias("win_rate"), rounded(F.col("top3_rate"), 6).alias("top3_rate")),
         "source_priors": lambda s, d: expert.source_priors(r.picks(s, d), r.runners(s, d)),
