@@ -91,16 +91,23 @@ def shingles(body: bytes) -> set[bytes]:
 
 
 def verify_batches(similar: float):
-    """Exact Jaccard within each bucket; a pair already connected here needs no comparison."""
+    """Exact Jaccard within each bucket; a pair already connected here, or that shares a lower bucket, needs no comparison."""
 
-    def links(rows: list[tuple[int, int, bytes]]) -> Iterator[tuple[int, int]]:
-        sets, bags = LocalSets(len(rows)), [shingles(r[2]) for r in rows]
+    def links(bucket: int, rows: list[tuple[int, int, bytes, list[int]]]) -> Iterator[tuple[int, int]]:
+        sets, bags = LocalSets(len(rows)), {}
+
+        def bag(i: int) -> set[bytes]:
+            if i not in bags:
+                bags[i] = shingles(rows[i][2])
+            return bags[i]
+
+        lower = [{x for x in r[3] if x < bucket} for r in rows]
         split = len({r[1] for r in rows}) > 1  # two chunks of a large bucket: pairs within one are compared elsewhere
         for i in range(len(rows)):
             for j in range(i):
-                if split and rows[i][1] == rows[j][1] or rows[i][0] == rows[j][0] or sets.root(i) == sets.root(j):
+                if split and rows[i][1] == rows[j][1] or not lower[i].isdisjoint(lower[j]) or sets.root(i) == sets.root(j):
                     continue
-                a, b = bags[i], bags[j]
+                a, b = bag(i), bag(j)
                 if min(len(a), len(b)) >= similar * max(len(a), len(b)) and (both := len(a & b)) >= similar * (len(a) + len(b) - both):
                     sets.join(i, j)
                     yield rows[i][0], rows[j][0]
@@ -109,16 +116,16 @@ def verify_batches(similar: float):
         key, held = None, []
 
         def packed() -> pa.RecordBatch:
-            found = list(links(held))
+            found = list(links(key[0], held))
             return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in range(2)], ["a", "b"])
 
         for batch in batches:
-            for bucket, sub, chunk, line, body in zip(*(batch.column(c).to_pylist() for c in ("bucket", "sub", "chunk", "line", "body")), strict=True):
+            for bucket, sub, chunk, line, body, shared in zip(*(batch.column(c).to_pylist() for c in ("bucket", "sub", "chunk", "line", "body", "shared")), strict=True):
                 if (bucket, sub) != key:
                     if len(held) > 1:
                         yield packed()
                     key, held = (bucket, sub), []
-                held.append((line, chunk, body))
+                held.append((line, chunk, body, shared))
         if len(held) > 1:
             yield packed()
 
@@ -128,7 +135,8 @@ def verify_batches(similar: float):
 def similar_links(docs: DataFrame, occurrences: DataFrame, similar: float = SIMILAR, chunk: int = CHUNK) -> DataFrame:
     """Links (a, b) between different lines with a Jaccard similarity of `similar` or more that share a band.
 
-    Buckets with the same members are compared once. A bucket of more than `chunk` lines is dealt out as
+    A pair is compared in the lowest bucket that it shares; of buckets with the same members the lowest
+    stays, so that one is always there. A bucket of more than `chunk` lines is dealt out as
     pairs of chunks, so no task holds more than two chunks.
     """
     lines = occurrences.groupBy("line").agg(F.first("bands").alias("bands"))
@@ -136,12 +144,14 @@ def similar_links(docs: DataFrame, occurrences: DataFrame, similar: float = SIMI
     sized = banded.groupBy("bucket").agg(F.count("*").alias("n"), F.min("line").alias("low"), F.max("line").alias("high"), F.bit_xor(F.xxhash64("line")).alias("all"))
     buckets = written(sized.where("n > 1").groupBy("n", "low", "high", "all").agg(F.min("bucket").alias("bucket")).select("bucket", F.ceil(F.col("n") / chunk).cast("int").alias("parts")), "buckets")
     members = written(banded.join(buckets, "bucket"), "members")
-    bodies = docs.select("text").mapInArrow(wanted_batches(bloom(members.select("line").distinct())), "line bigint, body binary")
+    grouped = members.groupBy("line").agg(F.collect_list(F.struct("bucket", "parts")).alias("of"))  # one a band at most
+    bodies = docs.select("text").mapInArrow(wanted_batches(bloom(members.select("line").distinct())), "line bigint, body binary").groupBy("line").agg(F.first("body").alias("body"))
     own = F.pmod(F.xxhash64("line"), F.col("parts")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
     dealt = (
-        members.join(bodies, "line").select("bucket", "line", "body", "parts", own.alias("chunk"), other.alias("other"))
-        .select("bucket", (F.least("chunk", "other") * F.col("parts") + F.greatest("chunk", "other")).alias("sub"), "chunk", "line", "body")
+        grouped.join(bodies, "line").select("line", "body", F.col("of.bucket").alias("shared"), F.explode("of").alias("m"))
+        .select("line", "body", "shared", "m.*").select("bucket", "line", "body", "shared", "parts", own.alias("chunk"), other.alias("other"))
+        .select("bucket", (F.least("chunk", "other") * F.col("parts") + F.greatest("chunk", "other")).alias("sub"), "chunk", "line", "body", "shared")
     )
     dealt = dealt.repartition(partitions(docs.sparkSession), "bucket", "sub").sortWithinPartitions("bucket", "sub", "line")
     return dealt.mapInArrow(verify_batches(similar), "a bigint, b bigint")
