@@ -140,6 +140,10 @@ QUALITY = RATIO.format(w=0.65, t=0.35)
 BEFORE = "starts_at - interval {} minute"
 ASOF = "max_by(agf_percent, captured_at) filter (captured_at <= {})"
 
+LATEST = "latest as (select race_date, city, max(race_id) as k from races group by all)"
+DOCUMENT = """, x as (select race_date, city, race_number, case when race_id % 23 = 0 then 'noon' else strftime(starts_at, '%H:%M') end as time, horse_number,
+  case when horse_id % 17 <> 0 then 'HORSE ' || horse_id end as name, case when horse_id % 19 = 0 then 'about' else 'https://a.b/c' end as url from races join runners using (race_id))"""
+
 
 def all_sql() -> dict[str, str]:
     bodies = {
@@ -203,6 +207,22 @@ def all_sql() -> dict[str, str]:
         "insert_only": ("", "select race_id, city from races where race_id % 2 <> 0"),
         "newest_candidate": ("", f"select {HK}, max(captured_at) as captured_at, max_by(agf_percent, captured_at) as agf_percent, max_by(starts_at, captured_at) as starts_at from points where captured_at < starts_at group by {HK}"),
         "archive_documents": ("", "select race_id, count(*) as n_runners, (14 + sum(len('{\"horse_number\":,\"horse_id\":,\"finish_position\":},' || horse_number || horse_id || finish_position)) - 1)::bigint as size from runners join races using (race_id) group by race_id"),
+        "pending_meetings": (f"{LATEST}", "select distinct race_date, city from races where starts_at <= timestamp '1995-06-15 11:50:00' and race_id % 3 <> 0 and (race_date, city) in (select (race_date, city) from latest where k % 4 <> 0)"),
+        "field_gaps": ("sc as (select distinct race_id from runners where race_id % 11 <> 0 and hp is not null)",
+            "select race_id, case when race_id % 5 = 0 then 'MISSING' when race_id % 7 = 0 then 'NOT_HEALTHY' else 'NO_SCORE' end as gap from races where race_id % 5 = 0 or race_id % 7 = 0 or (race_id % 2 <> 0 and race_id not in (select race_id from sc))"),
+        "form_gaps": ("", "select distinct horse_id from runners where horse_id % 3 = 0 or horse_id % 4 = 0"),
+        "pick_validation": ("", "select source_key, case when race_id % 6 = 0 then 'EXPERT_RUNNER_KEY_NOT_FOUND' when (race_id + horse_id) % 13 = 0 then 'EXPERT_HORSE_NAME_MISMATCH' else 'VALID' end as reason, count(*) as picks from picks join runners using (race_id, horse_number) group by all"),
+        "comment_sentiment": ("c as (select race_id, horse_number, case when is_banko then 1 when is_strong and track = 'Kum' then 1 when is_strong then null when is_rival then -1 when is_avoid then 0 end as v from picks join races using (race_id))",
+            f"select race_id, horse_number, count(*) as relevant, {r(clamp('50 + 40 * sum(v) / count(*)::double', 0, 100), 1)} as score from c where v is not null group by all"),
+        "programme_rows": ("", DOCUMENT + " select race_date, city, race_number, time, horse_number, name, url from x"),
+        "document_violations": ("", DOCUMENT + " select race_date, city, race_number, horse_number, unnest(list_filter([case when time = 'noon' then 'INVALID_TIME' end, case when name is null then 'EMPTY_RUNNER_NAME' end, case when url = 'about' then 'INVALID_URL' end], lambda v: v is not null)) as code from x"),
+        "date_repair": (f"{FROZEN}, m as (select f.race_id, f.horse_number, f.name as s, o.name as o from frozen f left join results o using (race_id, horse_number)), ok as (select race_id, bool_and(o is not null and s = o) as good from m group by race_id)",
+            "select race_id as mapping, case when good and race_id % 3 = 0 then 'DELETE_DUPLICATE_SOURCE' when good then 'MOVE_SOURCE_TO_TARGET' else 'MANUAL_REVIEW' end as classification from ok"),
+        "history_violations": ("", "select jockey_id, case when jockey_id % 3 = 0 or max(finish_position) <= 0 then 'FORM_NO_USABLE_ROWS' else 'FORM_IMPLAUSIBLE_ROW_COUNT' end as code from runners where jockey_id is not null group by jockey_id having jockey_id % 3 = 0 or max(finish_position) <= 0 or count(*) > 500"),
+        "stage_log": ("", f"select user_id % 10 as scope, event_type as stage, count(*) as runs, count(*) filter (not value < 80) as failures, bool_or(value < 2) as fallback_used, {r('avg(floor(value))', 2)} as mean_ms from events group by all"),
+        "candidate_counts": ("c as (select race_id, starts_at, case when race_id % 8 = 0 then starts_at else starts_at - interval 5 minute end as captured_at from races)",
+            "select count(*) as candidates, count(*) filter (captured_at < starts_at and starts_at <= timestamp '1995-06-15 12:00:00') as eligible, count(*) filter (captured_at >= starts_at) as invalid_timing, min(captured_at) as earliest, max(captured_at) as latest, count(*) filter (starts_at < timestamp '1995-06-15 12:00:00' and race_id % 3 <> 0) as unlabelled from c"),
+        "selection_arrays": ("", "select race_id, race_number + 2 as total from races where race_id % 10 <> 0"),
         "page_fingerprints": ("", "select page_id, sha256(coalesce(url, '') || '|' || coalesce(html, '')) as fingerprint from pages"),
     }
     return {name: f"with {TABLES.strip()}{', ' + extra.strip() if extra.strip() else ''}\n{body}" for name, (extra, body) in bodies.items()}

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.names import distance_band
 from ..functions.numeric import rounded
-from ..operators import expert, learning, market, reports, scoring, sinks, tickets
+from ..operators import expert, gaps, learning, market, reports, scoring, sinks, tickets
 from ..sources import pages, racing
 from . import oracles
 
@@ -117,6 +117,93 @@ def mode_metrics(s: SparkSession, d: str) -> DataFrame:
     return m.select("mode", "races", "covered", rounded(F.col("hit_rate"), 6).alias("hit_rate"), rounded(F.col("mean_size"), 6).alias("mean_size"))
 
 
+NOW = "1995-06-15 12:00:00"
+
+
+def instant() -> Column:
+    return F.lit(NOW).cast("timestamp")
+
+
+def pending(s: SparkSession, d: str) -> DataFrame:
+    """Every third race is labelled; meetings with a late last race were tried just now."""
+    races = racing.races(s, d)
+    runs = races.groupBy("race_date", "city").agg(F.max("race_id").alias("k")).select("race_date", "city", F.when(F.col("k") % 4 == 0, instant()).otherwise(instant() - F.expr("interval 1 hour")).alias("last_attempt_at"))
+    return gaps.pending_meetings(races, races.where("race_id % 3 = 0"), runs, instant())
+
+
+def field_gaps(s: SparkSession, d: str) -> DataFrame:
+    k, races = F.col("race_id"), racing.races(s, d)
+    state = races.where("race_id % 5 <> 0").select("race_id", F.when(k % 7 == 0, "no-data").otherwise("healthy").alias("status"), F.when(k % 2 == 0, instant()).otherwise(instant() - F.expr("interval 2 hours")).alias("last_attempt_at"))
+    return gaps.field_gaps(races, state, racing.runners(s, d).select("race_id", F.when(k % 11 != 0, F.col("hp")).alias("score")), instant())
+
+
+def form_gaps(s: SparkSession, d: str) -> DataFrame:
+    runners, h = racing.runners(s, d), F.col("horse_id")
+    state = runners.select("horse_id").distinct().where("horse_id % 3 <> 0").select("horse_id", F.when(h % 4 == 0, instant() - F.expr("interval 7 hours")).otherwise(instant() - F.expr("interval 1 hour")).alias("last_success_at"))
+    return gaps.form_gaps(runners, state, instant())
+
+
+def pick_checks(s: SparkSession, d: str) -> DataFrame:
+    """Picks by name against the frozen runners; some races are unknown, some names differ."""
+    k = F.col("race_id") + F.col("horse_id")
+    names = racing.runners(s, d).select("race_id", "horse_number", F.concat(F.lit("Horse-"), F.col("horse_id").cast("string"), F.when(k % 13 == 0, " x").otherwise(" (3)")).alias("horse_name"))
+    picks = racing.picks(s, d).select("race_id", "horse_number", "source_key").join(names, ["race_id", "horse_number"])
+    return gaps.checked_picks(picks, frozen(s, d).where("race_id % 6 <> 0"), ["race_id", "horse_number"]).groupBy("source_key", F.coalesce("reason", F.lit("VALID")).alias("reason")).agg(F.count("*").alias("picks"))
+
+
+def comments(s: SparkSession, d: str) -> DataFrame:
+    """A comment a pick, worded by its flags."""
+    said = F.when(F.col("is_banko"), "PİST ve  Mesafe uygun").when(F.col("is_strong"), "Kumda etkili").when(F.col("is_rival"), "mesafe uzun gelir").when(F.col("is_avoid"), "zemin uygun değil").otherwise("Formda")
+    return gaps.comment_sentiment(racing.picks(s, d).join(racing.races(s, d).select("race_id", "track"), "race_id").withColumn("comment", said), ["race_id", "horse_number"])
+
+
+def programmes(s: SparkSession, d: str) -> DataFrame:
+    """Nested documents of the cards, a document a meeting."""
+    h = F.struct(F.col("horse_number").cast("string").alias("number"), F.when(F.col("horse_id") % 17 == 0, " ").otherwise(F.concat(F.lit("HORSE "), F.col("horse_id").cast("string"))).alias("name"), F.when(F.col("horse_id") % 19 == 0, "about").otherwise("https://a.b/c").alias("url"))
+    card = racing.runners(s, d).groupBy("race_id").agg(F.collect_list(h).alias("runners"))
+    race = F.struct(F.col("race_number").cast("string").alias("race_number"), F.when(F.col("race_id") % 23 == 0, "noon").otherwise(F.date_format("starts_at", "HH:mm")).alias("time"), "runners")
+    return racing.races(s, d).join(card, "race_id").groupBy("race_date", "city").agg(F.to_json(F.struct("city", F.collect_list(race).alias("races"))).alias("document"))
+
+
+def repairs(s: SparkSession, d: str) -> DataFrame:
+    """Races as mappings: a third have a target set already, some stored names are off."""
+    rows = frozen(s, d).select(F.col("race_id").alias("mapping"), F.lit(1).alias("race_number"), "horse_number", "name")
+    official = racing.results(s, d).select(F.col("race_id").alias("mapping"), F.lit(1).alias("race_number"), "horse_number", "name")
+    return gaps.date_repair(rows, rows.where("mapping % 3 = 0"), official)
+
+
+def signals(s: SparkSession, d: str) -> DataFrame:
+    """Past finishes of the runners' horses, by name."""
+    runners = frozen(s, d)
+    history = racing.runners(s, d).select("horse_id", "race_id", "finish_position").join(racing.races(s, d).select("race_id", "race_date"), "race_id")
+    own = racing.runners(s, d).select("race_id", "horse_id")
+    past = own.join(history.withColumnRenamed("race_id", "past").where("past % 4 = 0"), "horse_id").where("past <> race_id")
+    rows = past.select("race_id", F.concat(F.lit("Horse  "), F.col("horse_id").cast("string"), F.lit(" (1)")).alias("name"), "race_date", "finish_position").distinct()
+    return gaps.field_signals(runners, rows)
+
+
+def histories(s: SparkSession, d: str) -> DataFrame:
+    rows = racing.runners(s, d).join(racing.races(s, d).select("race_id", "race_date"), "race_id").select("jockey_id", "race_date", F.when(F.col("jockey_id") % 3 != 0, F.col("finish_position")).alias("finish_position"))
+    return gaps.history_violations(rows.where("jockey_id is not null"), "jockey_id")
+
+
+def stage_runs(s: SparkSession, d: str) -> DataFrame:
+    e = racing.read(s, d, "events")
+    log = e.select((F.col("user_id") % 10).alias("scope"), F.col("event_type").alias("stage"), (F.col("value") < 80).alias("ok"), (F.col("value") < 2).alias("fallback"), F.floor("value").alias("duration_ms"))
+    return gaps.stage_log(log)
+
+
+def promotions(s: SparkSession, d: str) -> DataFrame:
+    races = racing.races(s, d)
+    taken = races.select("race_id", "starts_at", F.when(F.col("race_id") % 8 == 0, F.col("starts_at")).otherwise(F.col("starts_at") - F.expr("interval 5 minutes")).alias("captured_at"))
+    return gaps.candidate_counts(taken, races.where("race_id % 3 = 0"), instant())
+
+
+def arrays(s: SparkSession, d: str) -> DataFrame:
+    text = F.when(F.col("race_id") % 10 == 0, "[1,").otherwise(F.concat(F.lit("["), F.col("race_number").cast("string"), F.lit(",2]")))
+    return racing.races(s, d).select("race_id", gaps.int_array(text).alias("a")).where("a is not null").select("race_id", F.aggregate("a", F.lit(0).cast("long"), lambda x, y: x + y).alias("total"))
+
+
 def queries() -> dict:
     r = racing
     return {
@@ -163,6 +250,19 @@ def queries() -> dict:
         "insert_only": lambda s, d: sinks.insert_only(r.races(s, d).where("race_id % 2 = 0").select("race_id"), r.races(s, d).select("race_id", "city"), ["race_id"], "city"),
         "newest_candidate": lambda s, d: sinks.newest_candidate(r.market_points(s, d), market.RUNNER),
         "archive_documents": document,
+        "pending_meetings": pending,
+        "field_gaps": field_gaps,
+        "form_gaps": form_gaps,
+        "pick_validation": pick_checks,
+        "comment_sentiment": comments,
+        "programme_rows": lambda s, d: gaps.programme_rows(programmes(s, d)),
+        "document_violations": lambda s, d: gaps.document_violations(gaps.programme_rows(programmes(s, d))),
+        "date_repair": repairs,
+        "field_signals": signals,
+        "history_violations": histories,
+        "stage_log": stage_runs,
+        "candidate_counts": promotions,
+        "selection_arrays": arrays,
         "page_links": lambda s, d: pages.links(r.read(s, d, "pages")),
         "page_candidates": page_candidates,
         "page_fingerprints": lambda s, d: pages.fingerprint(r.read(s, d, "pages"), "page_id", "url", "html"),
