@@ -86,6 +86,19 @@ def wanted_batches(words):
     return run
 
 
+def shared_batches(words):
+    """(bucket, line) of the buckets that may hold several lines."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            bands = part.column("bands").flatten().to_numpy(zero_copy_only=False)
+            line = np.repeat(part.column("line").to_numpy(zero_copy_only=False), BANDS)
+            some = may_hold(words.value, bands)
+            yield pa.RecordBatch.from_arrays([pa.array(bands[some]), pa.array(line[some])], ["bucket", "line"])
+
+    return run
+
+
 def shingles(body: bytes) -> set[bytes]:
     return {body[i : i + SHINGLE] for i in range(max(1, len(body) - SHINGLE + 1))}
 
@@ -139,11 +152,13 @@ def similar_links(docs: DataFrame, occurrences: DataFrame, similar: float = SIMI
     stays, so that one is always there. A bucket of more than `chunk` lines is dealt out as
     pairs of chunks, so no task holds more than two chunks.
     """
-    lines = occurrences.groupBy("line").agg(F.first("bands").alias("bands"))
-    banded = lines.select("line", F.explode("bands").alias("bucket"))
-    sized = banded.groupBy("bucket").agg(F.count("*").alias("n"), F.min("line").alias("low"), F.max("line").alias("high"), F.bit_xor(F.xxhash64("line")).alias("all"))
-    buckets = written(sized.where("n > 1").groupBy("n", "low", "high", "all").agg(F.min("bucket").alias("bucket")).select("bucket", F.ceil(F.col("n") / chunk).cast("int").alias("parts")), "buckets")
-    members = written(banded.join(buckets, "bucket"), "members")
+    banded = occurrences.groupBy("line").agg(F.first("bands").alias("bands")).select(F.explode("bands").alias("bucket"))
+    shared = written(banded.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "shared")
+    hits = occurrences.select("line", "bands").mapInArrow(shared_batches(bloom(shared.select("bucket"))), "bucket bigint, line bigint").distinct()
+    rows = written(hits.join(shared, "bucket"), "rows")
+    sized = rows.groupBy("bucket", "n").agg(F.min("line").alias("low"), F.max("line").alias("high"), F.bit_xor(F.xxhash64("line")).alias("all"))
+    buckets = sized.groupBy("n", "low", "high", "all").agg(F.min("bucket").alias("bucket")).select("bucket", F.ceil(F.col("n") / chunk).cast("int").alias("parts"))
+    members = written(rows.drop("n").join(buckets, "bucket"), "members")
     grouped = members.groupBy("line").agg(F.collect_list(F.struct("bucket", "parts")).alias("of"))  # one a band at most
     bodies = docs.select("text").mapInArrow(wanted_batches(bloom(members.select("line").distinct())), "line bigint, body binary").groupBy("line").agg(F.first("body").alias("body"))
     own = F.pmod(F.xxhash64("line"), F.col("parts")).cast("int")
