@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from paddock.functions import names
 from paddock.functions.numeric import rounded
-from paddock.operators import expert, market, scoring, sinks, tickets
+from paddock.operators import expert, gaps, market, scoring, sinks, tickets
 from paddock.sources import pages
 
 NOON = datetime(2026, 1, 1, 12)
@@ -143,3 +143,28 @@ def test_writes(spark):
     assert [r.k for r in sinks.insert_only(old, new, ["k"], "version").collect()] == [3]
     with pytest.raises(ValueError, match="empty"):
         sinks.reconcile(old, new.limit(0), ["k"])
+
+
+def test_comment_sentiment(spark):
+    rows = [(1, "Pisti SEVER", "Kum"), (1, "mesafe uzun gelir", "Kum"), (1, "formda", "Kum"), (2, "kumda etkili", "kum"), (3, "kumda etkili", "Çim"), (4, None, None)]
+    found = gaps.comment_sentiment(spark.createDataFrame(rows, "k int, comment string, track string"), ["k"])
+    assert {r.k: (r.relevant, r.score) for r in found.collect()} == {1: (2, 50.0), 2: (1, 90.0)}
+
+
+@pytest.mark.parametrize(("text", "want"), [("[1,2]", [1, 2]), ("[1,", None), ("x", None), ("[]", []), (None, None)])
+def test_int_array(spark, text, want):
+    assert one(spark, gaps.int_array(F.lit(text).cast("string")))[0] == want
+
+
+def test_date_repair(spark):
+    rows = lambda *ms: spark.createDataFrame([(m, 1, 1, name) for m, name in ms], "mapping int, race_number int, horse_number int, name string")
+    found = gaps.date_repair(rows((1, "A"), (2, "A"), (3, "B"), (4, "A")), rows((2, "A"), (4, "C")), rows((1, "A"), (2, "A"), (3, "A"), (4, "A")))
+    assert dict(found.collect()) == {1: "MOVE_SOURCE_TO_TARGET", 2: "DELETE_DUPLICATE_SOURCE", 3: "MANUAL_REVIEW", 4: "MANUAL_REVIEW"}
+
+
+def test_programme_documents(spark):
+    text = '{"city":"X","races":[{"race_number":"1,0","time":"9:00","runners":[{"number":"2","name":" ","url":"ftp://a"},{"number":"2","name":"A"}]}]}'
+    rows = gaps.programme_rows(spark.createDataFrame([("d", text), ("d", "{"), ("d", None)], "race_date string, document string"))
+    assert [(r.race_number, r.horse_number, r.name) for r in rows.where("name is not null").collect()] == [(1, 2, "A")]
+    codes = {r.code for r in gaps.document_violations(rows.where("city is not null")).collect()}
+    assert codes == {"INVALID_TIME", "DUPLICATE_RUNNER", "EMPTY_RUNNER_NAME", "INVALID_URL"}
