@@ -150,3 +150,10 @@ def candidate_counts(candidates: DataFrame, labelled: DataFrame, now: Column) ->
         F.count("*").alias("candidates"), F.count_if(early & (F.col("starts_at") <= now)).alias("eligible"), F.count_if(~early).alias("invalid_timing"), F.min("captured_at").alias("earliest"), F.max("captured_at").alias("latest"),
         F.count_if((F.col("starts_at") < now) & F.col("done").isNull()).alias("unlabelled"),
     )
+
+
+def model_report(gated: DataFrame, labelled: DataFrame, base: str, shadow: str) -> DataFrame:
+    """One row: the gate's status and scale, what the shadow score gains over the base one, labelled races."""
+    gain = lambda m, sign: rounded(sign * (F.col(f"{shadow}_{m}") - F.col(f"{base}_{m}")), 5).alias(f"gain_{m}")
+    one = gated.select("races", "status", "scale", gain("top1", 1), gain("top3", 1), gain("mean_rank", -1))
+    return one.crossJoin(F.broadcast(labelled.agg(F.countDistinct("race_id").alias("labelled_races"))))  # one row each

@@ -225,4 +225,7 @@ def all_sql() -> dict[str, str]:
         "selection_arrays": ("", "select race_id, race_number + 2 as total from races where race_id % 10 <> 0"),
         "page_fingerprints": ("", "select page_id, sha256(coalesce(url, '') || '|' || coalesce(html, '')) as fingerprint from pages"),
     }
-    return {name: f"with {TABLES.strip()}{', ' + extra.strip() if extra.strip() else ''}\n{body}" for name, (extra, body) in bodies.items()}
+    out = {name: f"with {TABLES.strip()}{', ' + extra.strip() if extra.strip() else ''}\n{body}" for name, (extra, body) in bodies.items()}
+    gains = ", ".join(f"{r(f'{sign} * (shadow_score_{m} - base_score_{m})', 5)} as gain_{m}" for m, sign in (("top1", 1), ("top3", 1), ("mean_rank", -1)))
+    labelled = f"(select count(distinct race_id) from ({out['strict_labels']}))"
+    return out | {"model_report": f"select races, status, scale, {gains}, {labelled} as labelled_races from ({out['ranking_evaluation']})"}

@@ -250,6 +250,7 @@ def queries() -> dict:
         "insert_only": lambda s, d: sinks.insert_only(r.races(s, d).where("race_id % 2 = 0").select("race_id"), r.races(s, d).select("race_id", "city"), ["race_id"], "city"),
         "newest_candidate": lambda s, d: sinks.newest_candidate(r.market_points(s, d), market.RUNNER),
         "archive_documents": document,
+        "model_report": lambda s, d: gaps.model_report(evaluation(s, d), learning.labels(frozen(s, d), r.results(s, d)), "base_score", "shadow_score"),
         "pending_meetings": pending,
         "field_gaps": field_gaps,
         "form_gaps": form_gaps,
