@@ -101,31 +101,43 @@ BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
 def gram_hash(data: np.ndarray, k: int) -> np.ndarray:
-    """64-bit hash of every k-byte string, by doubling."""
+    """64-bit hash of every k-byte string, by doubling; from 8 bytes on the windows are read as machine words.
+
+    The last step lets two windows overlap, so k need not be a power of two.
+    """
     n = len(data) - k + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    out, have, power, run, run_power = None, 0, byte_codes()[data], 1, BASE
-    while True:
-        if k & run:
-            out = power[:n].copy() if out is None else out * run_power + power[have : have + n]
-            have += run
-        if have == k:
-            return mix(out)
-        power = power[:-run] * run_power + power[run:]
-        run, run_power = run * 2, np.uint64(int(run_power) ** 2 % 2**64)
+    if k >= 8:
+        data = np.ascontiguousarray(data)
+        out, run = mix(np.ndarray(len(data) - 7, np.dtype("<u8"), data, strides=(1,))), 8
+    else:
+        out, run = byte_codes()[data], 1
+    while run < k:
+        step = min(run, k - run)
+        out = out[:-step] * BASE + out[step:]
+        out ^= out >> np.uint64(29)
+        run += step
+    return out if k == 8 else mix(out)
+
+
+@lru_cache(1)
+def base_powers(size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of BASE and of its inverse, `size` of each."""
+    out = np.full((2, size), BASE, np.uint64)
+    out[1] = pow(int(BASE), -1, 1 << 64)
+    out[:, 0] = 1
+    return np.cumprod(out[0], dtype=np.uint64), np.cumprod(out[1], dtype=np.uint64)
 
 
 class RangeHash:
     """64-bit hashes of arbitrary byte ranges from running sums."""
 
     def __init__(self, data: np.ndarray):
-        powers = np.full(len(data) + 1, BASE, np.uint64)
-        powers[0] = 1
-        self.powers = np.cumprod(powers, dtype=np.uint64)
-        powers[1:] = pow(int(BASE), -1, 1 << 64)
+        size = 1 << max(16, int(len(data)).bit_length())
+        self.powers, inverse = (base_powers if size <= 2 * SLICE_BYTES else base_powers.__wrapped__)(size)  # a very long text's aren't held
         self.sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(byte_codes()[data] * np.cumprod(powers, dtype=np.uint64)[:-1], dtype=np.uint64, out=self.sums[1:])
+        np.cumsum(byte_codes()[data] * inverse[: len(data)], dtype=np.uint64, out=self.sums[1:])
 
     def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         return mix((self.sums[ends] - self.sums[starts]) * self.powers[starts] + (ends - starts).astype(np.uint64))

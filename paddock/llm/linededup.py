@@ -9,24 +9,28 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import RangeHash, bloom, flat, gram_hash, may_hold, mix, partitions, runs, text_slices, unused, written
+from .common import RangeHash, bloom, flat, gram_hash, may_hold, mix, partitions, text_slices, unused, written
 from .components import LocalSets, components
 from .decontam import LOWERED
 from .quality import IS_SPACE
 
 SHINGLE, BANDS, ROWS, SIMILAR, CHUNK = 8, 9, 4, 0.8, 1024
+IS_INK = ~IS_SPACE
+SLICE = 1 << 18  # so that the arrays of a slice stay in the cache
 
 
 def line_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(start, end, text, line number within its text) of all lines that hold a word."""
-    is_break = data == 10
-    starts, ends = runs(~is_break, offsets)
-    inked = np.concatenate([[0], np.cumsum(~IS_SPACE[data])])
-    some = inked[ends] > inked[starts]
-    starts, ends = starts[some], ends[some]
+    breaks = np.flatnonzero(data == 10)
+    edges = np.sort(np.concatenate([breaks + 1, offsets[:-1]]), kind="stable")  # where lines begin; empty ones at a text's end share a place
+    edges = edges[edges < len(data)]
+    if not len(edges):
+        return (np.zeros(0, np.int64),) * 4
+    some = np.logical_or.reduceat(IS_INK[data], edges) & (np.diff(edges, append=len(data)) > 0)
+    starts, ends = edges[some], np.append(edges[1:], len(data))[some]
+    ends = ends - (data[ends - 1] == 10)
     of = np.searchsorted(offsets, starts, "right") - 1
-    breaks = np.concatenate([[0], np.cumsum(is_break)])
-    return starts, ends, of, breaks[starts] - breaks[offsets[of]]
+    return starts, ends, of, np.searchsorted(breaks, starts) - np.searchsorted(breaks, offsets[of])
 
 
 def signatures(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, whole: np.ndarray) -> np.ndarray:
@@ -56,7 +60,7 @@ def signatures(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, whole: np
 
 
 def line_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part in text_slices(batches):
+    for part in text_slices(batches, limit=SLICE):
         raw, offsets = flat(part.column("text"))
         data = LOWERED[raw]
         starts, ends, of, number = line_spans(data, offsets)
@@ -73,7 +77,7 @@ def wanted_batches(words):
     """(line, body) of the lines that may be candidates."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in text_slices(batches):
+        for part in text_slices(batches, limit=SLICE):
             raw, offsets = flat(part.column("text"))
             data = LOWERED[raw]
             starts, ends, _, _ = line_spans(data, offsets)
