@@ -223,9 +223,32 @@ def all_sql() -> dict[str, str]:
         "candidate_counts": ("c as (select race_id, starts_at, case when race_id % 8 = 0 then starts_at else starts_at - interval 5 minute end as captured_at from races)",
             "select count(*) as candidates, count(*) filter (captured_at < starts_at and starts_at <= timestamp '1995-06-15 12:00:00') as eligible, count(*) filter (captured_at >= starts_at) as invalid_timing, min(captured_at) as earliest, max(captured_at) as latest, count(*) filter (starts_at < timestamp '1995-06-15 12:00:00' and race_id % 3 <> 0) as unlabelled from c"),
         "selection_arrays": ("", "select race_id, race_number + 2 as total from races where race_id % 10 <> 0"),
+        "card_rows": ("s as (select *, case when distance_meters is not null then {'d': distance_meters, 't': track} end as own from races), "
+            "c as (select *, first_value(own ignore nulls) over (partition by race_date, city order by race_number rows between current row and unbounded following) as surface from s)",
+            "select race_date::varchar || '|' || city as page_id, race_number as race_no, strftime(starts_at, '%H:%M') as time, surface.d as distance_meters, case surface.t when 'Cim' then 'Çim' else surface.t end as track, horse_number, 'HORSE ' || horse_id as name, weight, "
+            "'J ' || coalesce(jockey_id, 0) as jockey, hp, agf_bp / 100.0::double as agf_percent from c join runners using (race_id)"),
+        "sixfold_starts": ("", "select race_date::varchar || '|' || city as page_id, race_number as race_no, case race_number when 1 then '1' else '2' end as sixfold_numbers from races where race_number in (1, 3)"),
+        "meeting_links": ("", "select distinct race_date::varchar as page_id, city, 'https://a.b/Info/GunlukYarisProgrami?SehirAdi=' || case when city like '%4' then '&k=' else '' end || city as url from races where city not like '%3'"),
+        "training_rows": (f"k as (select distinct race_date, city, race_number, max(captured_at) over (partition by race_date, city, race_number) as cut from points where race_number % 5 <> 0 and race_number % 3 <> 0), "
+            f"m as (select distinct race_date, city, race_number, horse_number, cut from points join k using (race_date, city, race_number) where date_trunc('hour', captured_at) = date_trunc('hour', cut)), "
+            f"l as (select race_date, city, race_number, horse_number, agf_percent, count(*) over (partition by {HK}) as n from points qualify row_number() over (partition by {HK} order by captured_at desc, agf_percent desc) = 1)",
+            f"select {HK}, cut as captured_at, case when horse_number % 2 = 0 then 'src' || horse_number end as source_key, agf_percent, n as points from m join l using (race_date, city, race_number, horse_number)"),
+        "pipeline_counters": (f"{LATEST}, u as (select race_date, city, k, max(starts_at) as t from races join latest using (race_date, city) group by all), "
+            "a as (select count(*) as candidates, count(*) filter (race_id % 8 = 0) as invalid_timing, max(case when race_id % 8 = 0 then starts_at else starts_at - interval 5 minute end) as latest_capture from races), "
+            "b as (select count(*) as tickets, count(*) filter (race_id % 3 = 0) as pending, max(starts_at) as latest_generation from races where race_number = 1), "
+            "c as (select count(*) as runs, count(*) filter (k % 4 > 1) as ok, count(*) filter (k % 4 = 1) as warnings, count(*) filter (k % 4 = 0) as errors, max(t) as latest_attempt, max(t) filter (k % 4 <> 0) as latest_success from u)",
+            "select * from a, b, c"),
+        "stage_errors": (f"{LATEST}, u as (select race_date, city, k, max(starts_at) as t from races join latest using (race_date, city) group by all order by t desc, race_date, city limit 20)",
+            "select race_date, city, stage, 'timeout' as error from u, (values ('labels', 4), ('priors', 8)) s(stage, n) where k % n = 0 and k % 12 <> 0"),
         "page_fingerprints": ("", "select page_id, sha256(coalesce(url, '') || '|' || coalesce(html, '')) as fingerprint from pages"),
     }
     out = {name: f"with {TABLES.strip()}{', ' + extra.strip() if extra.strip() else ''}\n{body}" for name, (extra, body) in bodies.items()}
     gains = ", ".join(f"{r(f'{sign} * (shadow_score_{m} - base_score_{m})', 5)} as gain_{m}" for m, sign in (("top1", 1), ("top3", 1), ("mean_rank", -1)))
     labelled = f"(select count(distinct race_id) from ({out['strict_labels']}))"
+    stages = ("strict_labels", "context_priors", "ranking_evaluation", "category_priors", "selection_metrics")
+    out["rebuild"] = " union all ".join(f"select {i}::bigint as place, '{n}' as stage, 'ok' as status, count(*) as rows from ({out[n]})" for i, n in enumerate(stages))
+    ahead = f"(with {TABLES.strip()}, {WINDOWS.strip()} select w.race_date::varchar || '|' || w.city as card, min(starts_at) as first_start from windows w join races using (race_id) where sixfold_number = 1 group by all having min(starts_at) > timestamp '1995-06-15 12:00:00')"
+    out["ticket_snapshots"] = f"select sha256(card || '|1|' || profile) as snapshot_key, card, profile, first_start, combinations, cost from ({out['ticket_backtest']}) join {ahead} using (card) where profile <> 'economic'"
+    out["applied_repair"] = (f"with {TABLES.strip()} select race_id as mapping, case classification when 'MOVE_SOURCE_TO_TARGET' then race_date + 1 else race_date end as race_date, city "
+        f"from races left join ({out['date_repair']}) c on race_id = mapping where coalesce(classification, '') <> 'DELETE_DUPLICATE_SOURCE'")
     return out | {"model_report": f"select races, status, scale, {gains}, {labelled} as labelled_races from ({out['ranking_evaluation']})"}

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.names import distance_band
 from ..functions.numeric import rounded
-from ..operators import expert, gaps, learning, market, reports, scoring, sinks, tickets
-from ..sources import pages, racing
+from ..operators import expert, gaps, learning, market, reports, scoring, sinks, snapshots, tickets
+from ..sources import cards, pages, racing
 from . import oracles
 
 
@@ -204,6 +204,84 @@ def arrays(s: SparkSession, d: str) -> DataFrame:
     return racing.races(s, d).select("race_id", gaps.int_array(text).alias("a")).where("a is not null").select("race_id", F.aggregate("a", F.lit(0).cast("long"), lambda x, y: x + y).alias("total"))
 
 
+def card_pages(s: SparkSession, d: str) -> DataFrame:
+    """A programme page a meeting, written from the tables."""
+    cell = lambda *xs: F.concat(*[F.concat(F.lit("<td>"), F.coalesce(x.cast("string"), F.lit("")), F.lit("</td>")) for x in xs])
+    n, share = F.col("horse_number"), F.concat(F.lit("% "), F.replace((F.col("agf_bp") / 100).cast("string"), F.lit("."), F.lit(",")))
+    jockey = F.concat(F.lit("J "), F.coalesce("jockey_id", F.lit(0)).cast("string"))
+    row = F.concat(F.lit("<tr>"), cell(n, F.concat(F.lit("HORSE "), F.col("horse_id").cast("string")), F.replace(F.col("weight").cast("string"), F.lit("."), F.lit(",")), jockey, F.col("hp"), share), F.lit("</tr>"))
+    rows = racing.runners(s, d).groupBy("race_id").agg(F.array_join(F.array_sort(F.collect_list(F.struct("horse_number", row.alias("row"))))["row"], "").alias("rows"))
+    head = "<table><tr><th>N</th><th>At İsmi</th><th>Sıklet</th><th>Jokey</th><th>HP</th><th>AGF</th></tr>"
+    title = F.concat(F.lit("<h3>Handikap "), F.coalesce(F.concat(F.col("distance_meters").cast("string"), F.lit(" "), F.col("track")), F.lit("")), F.lit("</h3>"))
+    marker = F.when(F.col("race_number") == 1, "<p>1. 6'LI GANYAN Bu koşudan başlar</p>").when(F.col("race_number") == 3, "<p>2. 6'LI GANYAN Bu koşudan başlar</p>").otherwise("<p>1. 6'LI GANYAN</p>")
+    race = F.concat(F.lit("<h3>"), F.col("race_number").cast("string"), F.lit(". Koşu "), F.date_format("starts_at", "HH.mm"), F.lit("</h3>"), title, marker, F.lit(head), F.coalesce("rows", F.lit("")), F.lit("</table>"))
+    docs = racing.races(s, d).join(rows, "race_id", "left").groupBy("race_date", "city").agg(F.array_join(F.array_sort(F.collect_list(F.struct("race_number", race.alias("part"))))["part"], "").alias("html"))
+    return docs.select(F.concat_ws("|", F.col("race_date").cast("string"), "city").alias("page_id"), F.concat(F.lit("<body>"), "html", F.lit("</body>")).alias("html"))
+
+
+def index_pages(s: SparkSession, d: str) -> DataFrame:
+    """An index page a date: cities by parameter or by label, some of them foreign, all of them twice."""
+    city, path = F.col("city"), "/Info/GunlukYarisProgrami"
+    label = F.concat(city, F.when(city.endswith("3"), " (YD)").otherwise(" (1. Y.G.)"))
+    href = F.concat(F.lit(f"{path}?SehirAdi="), F.when(city.endswith("4"), F.concat(F.lit("&k="), city)).otherwise(city))
+    link = F.concat(F.lit('<a href="'), href, F.lit('">'), label, F.lit('</a><a href="/other">x</a><a href="'), href, F.lit('&again=1">'), label, F.lit("</a>"))
+    by = racing.races(s, d).select("race_date", "city").distinct().groupBy("race_date").agg(F.array_join(F.array_sort(F.collect_list(link)), "").alias("html"))
+    return by.select(F.col("race_date").cast("string").alias("page_id"), F.lit("https://a.b/index").alias("url"), "html")
+
+
+def candidates(s: SparkSession, d: str) -> DataFrame:
+    """A snapshot candidate a race and hour: its runners, every even one with a pick; every fifth race's are of after the start."""
+    points = racing.market_points(s, d).withColumn("hour", F.date_trunc("hour", "captured_at"))
+    picks = F.when(F.col("horse_number") % 2 == 0, F.array(F.struct(F.concat(F.lit("src"), F.col("horse_number").cast("string")).alias("source_key"), F.lit(1).alias("source_rank"))))
+    by = points.groupBy(*snapshots.RACE, "hour").agg(F.max("captured_at").alias("captured_at"), F.first("starts_at").alias("starts_at"))
+    rows = points.select(*snapshots.RACE, "hour", "horse_number", picks.alias("picks")).distinct().groupBy(*snapshots.RACE, "hour").agg(F.to_json(F.struct(F.collect_list(F.struct("horse_number", "picks")).alias("runners"))).alias("snapshot"))
+    late = F.when(F.col("race_number") % 5 == 0, F.col("starts_at")).otherwise(F.col("captured_at"))
+    return by.join(rows, [*snapshots.RACE, "hour"]).select(*snapshots.RACE, late.alias("captured_at"), "starts_at", "snapshot")
+
+
+def training(s: SparkSession, d: str) -> DataFrame:
+    """Races with numbers divisible by three are frozen already."""
+    every = candidates(s, d)
+    chosen = snapshots.promoted(every, every.where("race_number % 3 = 0"), F.lit("2100-01-01").cast("timestamp"))
+    return snapshots.training_rows(chosen, racing.market_points(s, d)).select(*snapshots.RACE, "horse_number", "captured_at", "source_key", "agf_percent", "points")
+
+
+def new_tickets(s: SparkSession, d: str) -> DataFrame:
+    """Tickets of the first windows ahead; the economic ones are stored already."""
+    made = best_tickets(s, d).withColumn("sixfold_number", F.lit(1).cast("long"))
+    w = six_windows(s, d).select(F.concat_ws("|", F.col("race_date").cast("string"), "city").alias("card"), "sixfold_number", "race_id")
+    stored = made.where("profile = 'economic'").select(sinks.content_key("card", "sixfold_number", "profile").alias("snapshot_key"))
+    return snapshots.ticket_snapshots(made, w, racing.races(s, d).select("race_id", "starts_at"), stored, instant()).select("snapshot_key", "card", "profile", "first_start", "combinations", "cost")
+
+
+def result_runs(s: SparkSession, d: str) -> DataFrame:
+    """A run a meeting, by its last race."""
+    by = racing.races(s, d).groupBy("race_date", "city").agg(F.max("race_id").alias("k"), F.max("starts_at").alias("last_attempt_at"))
+    status = F.when(F.col("k") % 4 == 0, "error").when(F.col("k") % 4 == 1, "ok_with_warnings").otherwise("ok")
+    stage = lambda bad: F.when(bad, F.struct(F.lit("error").alias("status"), F.lit("timeout").alias("error"))).otherwise(F.struct(F.lit("ok").alias("status"), F.lit(None).cast("string").alias("error")))
+    detail = F.to_json(F.struct(F.struct(stage(F.col("k") % 4 == 0).alias("labels"), stage(F.col("k") % 8 == 0).alias("priors")).alias("stages")))
+    return by.select("race_date", "city", status.alias("status"), "last_attempt_at", F.when(F.col("k") % 4 != 0, F.col("last_attempt_at")).alias("last_success_at"), F.when(F.col("k") % 12 == 0, "{").otherwise(detail).alias("detail"))
+
+
+def counters(s: SparkSession, d: str) -> DataFrame:
+    races = racing.races(s, d)
+    taken = races.select("starts_at", F.when(F.col("race_id") % 8 == 0, F.col("starts_at")).otherwise(F.col("starts_at") - F.expr("interval 5 minutes")).alias("captured_at"))
+    made = races.where("race_number = 1").select(F.when(F.col("race_id") % 3 != 0, F.col("starts_at")).alias("evaluated_at"), F.col("starts_at").alias("generated_at"))
+    return snapshots.pipeline_counters(taken, made, result_runs(s, d))
+
+
+def rebuilt(s: SparkSession, d: str) -> DataFrame:
+    """The stages after results, in order."""
+    found = queries()
+    names = ("strict_labels", "context_priors", "ranking_evaluation", "category_priors", "selection_metrics")
+    return snapshots.rebuild(s, [(n, lambda n=n: found[n](s, d)) for n in names]).drop("error")
+
+
+def repaired(s: SparkSession, d: str) -> DataFrame:
+    rows = racing.races(s, d).select(F.col("race_id").alias("mapping"), "race_date", "city")
+    return snapshots.restated(rows, repairs(s, d), F.date_add("race_date", 1))
+
+
 def queries() -> dict:
     r = racing
     return {
@@ -264,6 +342,15 @@ def queries() -> dict:
         "stage_log": stage_runs,
         "candidate_counts": promotions,
         "selection_arrays": arrays,
+        "card_rows": lambda s, d: cards.card_rows(card_pages(s, d)),
+        "sixfold_starts": lambda s, d: cards.sixfold_starts(card_pages(s, d)).withColumn("sixfold_numbers", F.array_join(F.col("sixfold_numbers").cast("array<string>"), ",")),
+        "meeting_links": lambda s, d: cards.meeting_links(index_pages(s, d)),
+        "training_rows": training,
+        "ticket_snapshots": new_tickets,
+        "pipeline_counters": counters,
+        "stage_errors": lambda s, d: snapshots.stage_errors(result_runs(s, d)),
+        "rebuild": rebuilt,
+        "applied_repair": repaired,
         "page_links": lambda s, d: pages.links(r.read(s, d, "pages")),
         "page_candidates": page_candidates,
         "page_fingerprints": lambda s, d: pages.fingerprint(r.read(s, d, "pages"), "page_id", "url", "html"),

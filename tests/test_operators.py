@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from paddock.functions import names
 from paddock.functions.numeric import rounded
-from paddock.operators import expert, gaps, market, scoring, sinks, tickets
-from paddock.sources import pages
+from paddock.operators import expert, gaps, market, scoring, sinks, snapshots, tickets
+from paddock.sources import cards, pages
 
 NOON = datetime(2026, 1, 1, 12)
 
@@ -168,3 +168,54 @@ def test_programme_documents(spark):
     assert [(r.race_number, r.horse_number, r.name) for r in rows.where("name is not null").collect()] == [(1, 2, "A")]
     codes = {r.code for r in gaps.document_violations(rows.where("city is not null")).collect()}
     assert codes == {"INVALID_TIME", "DUPLICATE_RUNNER", "EMPTY_RUNNER_NAME", "INVALID_URL"}
+
+
+CARD_PAGE = (
+    "<h3>1. Koşu 9.05</h3><div><h3>Maiden 1200 Çim</h3><b>1. 6'LI GANYAN Bu koşudan başlar</b></div>"
+    "<table><tr><th>N</th><th>At İsmi</th><th>Sıklet</th><th>Jokey</th><th>AGF</th></tr><tr><td>3</td><td>KARA &amp; AK</td><td>54,5</td><td>A. B.</td><td>%12,5 (2)</td></tr>"
+    "<tr><td></td><td>NO NUMBER</td><td></td><td>C</td><td></td></tr></table><table><tr><th>x</th></tr><tr><td>1</td></tr></table><h3>2. Koşu: 17:30</h3><h3>Handikap</h3>"
+)
+
+
+def test_card_rows(spark):
+    page = spark.createDataFrame([(1, CARD_PAGE), (2, None), (3, ""), (4, "<table><tr><th>N</th><th>At İsmi</th><th>Jokey</th></tr><tr><td>1</td><td>A</td><td>B</td></tr></table>")], "page_id int, html string")
+    assert [tuple(r) for r in cards.card_rows(page).collect()] == [(1, 1, "09:05", 1200, "Çim", 3, "KARA & AK", 54.5, "A. B.", None, 12.5)]
+    assert [tuple(r) for r in cards.sixfold_starts(page).collect()] == [(1, 1, [1])]
+    assert cards.card_rows(page.limit(0)).count() == 0
+
+
+def test_meeting_links(spark):
+    html = '<a href="/x/GunlukYarisProgrami?SehirAdi=%C4%B0zmir">a</a><a href="/x/GunlukYarisProgrami?k=1">IZMIR (2)</a><a href="/x/GunlukYarisProgrami?k=2">Paris (YD)</a><a href="/x/GunlukYarisProgrami?SehirAdi=%Z">Adana (1)</a>'
+    rows = cards.meeting_links(spark.createDataFrame([(1, "https://a.b/", html), (2, None, None)], "page_id int, url string, html string")).collect()
+    assert sorted(r["city"] for r in rows) == ["Adana", "İzmir"]
+
+
+def test_snapshots_take_nothing_from_later(spark):
+    at = lambda m: NOON + timedelta(minutes=m)
+    text = '{"runners":[{"horse_number":1,"picks":[{"source_key":"a","source_rank":1},{"source_key":"b","source_rank":2}]},{"horse_number":2}]}'
+    made = [("A", 1, at(-30), NOON, text), ("A", 1, at(-60), NOON, "{}"), ("A", 1, at(5), NOON, text), ("A", 2, at(-5), NOON, "{"), ("A", 3, at(-5), at(99), text), ("A", 4, at(-5), NOON, text)]
+    every = spark.createDataFrame([(NOON.date(), *r) for r in made], "race_date date, city string, race_number int, captured_at timestamp, starts_at timestamp, snapshot string")
+    points = spark.createDataFrame([(NOON.date(), "A", 1, 1, at(m), float(m)) for m in (-40, -30, -20)], "race_date date, city string, race_number int, horse_number bigint, captured_at timestamp, agf_percent double")
+    chosen = snapshots.promoted(every, every.where("race_number = 4"), F.lit(at(1)))
+    rows = snapshots.training_rows(chosen, points).select("race_number", "horse_number", "source_key", "agf_percent", "points").collect()
+    assert sorted(map(tuple, rows), key=str) == [(1, 1, "a", -30.0, 2), (1, 1, "b", -30.0, 2), (1, 2, None, None, 0)]
+
+
+def test_rebuild_goes_on_after_a_failure(spark, tmp_path):
+    bad = lambda: spark.range(3).select(F.raise_error(F.lit("no")).alias("x"))
+    rows = snapshots.rebuild(spark, [("a", lambda: spark.range(2)), ("b", bad), ("c", lambda: spark.range(0))], f"file://{tmp_path}").collect()
+    assert [(r["stage"], r["status"], r["rows"]) for r in rows] == [("a", "ok", 2), ("b", "error", None), ("c", "ok", 0)]
+    assert spark.read.parquet(f"file://{tmp_path}/a").count() == 2
+
+
+def test_counters_of_empty_tables(spark):
+    empty = lambda schema: spark.createDataFrame([], schema)
+    row = snapshots.pipeline_counters(empty("captured_at timestamp, starts_at timestamp"), empty("evaluated_at timestamp, generated_at timestamp"), empty("status string, last_attempt_at timestamp, last_success_at timestamp")).first()
+    assert (row["candidates"], row["pending"], row["errors"], row["latest_attempt"]) == (0, 0, 0, None)
+
+
+def test_repair_is_applied(spark):
+    rows = spark.createDataFrame([(k, NOON.date()) for k in range(4)], "mapping int, race_date date")
+    kinds = spark.createDataFrame([(0, "MOVE_SOURCE_TO_TARGET"), (1, "DELETE_DUPLICATE_SOURCE"), (2, "MANUAL_REVIEW")], "mapping int, classification string")
+    out = {r["mapping"]: r["race_date"].day for r in snapshots.restated(rows, kinds, F.date_add("race_date", 1)).collect()}
+    assert out == {0: 2, 2: 1, 3: 1}
