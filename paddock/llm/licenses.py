@@ -43,6 +43,73 @@ RULES = (
     ("Proprietary", ("all-rights",)),
 )
 
+# Recognition over whole texts, where line breaks and comment marks are spaces. SPDX identifiers and patterns over normalised words.
+# A name counts where a few words before it state a licence.
+STATED = r"\b(?:under|terms of|subject to|spdx license identifier|licen[sc]e|licen[sc]ed)(?: [a-z0-9]+){0,8}? "
+GNU = r"(?: as published by the free software foundation)?(?: either)?,? ?(?:version |v)?"
+NAMES = (
+    ("Apache-2.0", r"apache(?: software)?(?: public)?(?: licen[sc]e)?(?: version| v)? ?2(?: 0)?\b"),
+    ("MIT", r"mit(?: x11)?(?: licen[sc]e)?(?= |$)"),
+    ("GPL-3.0", rf"(?:gnu general public licen[sc]e|gnu gpl|gpl){GNU} ?3\b"),
+    ("GPL-2.0", rf"(?:gnu general public licen[sc]e|gnu gpl|gpl){GNU} ?2\b"),
+    ("LGPL-3.0", rf"(?:gnu (?:lesser|library) general public licen[sc]e|gnu lgpl|lgpl){GNU} ?3\b"),
+    ("LGPL-2.1", rf"(?:gnu (?:lesser|library) general public licen[sc]e|gnu lgpl|lgpl){GNU} ?2 1\b"),
+    ("LGPL-2.0", rf"(?:gnu (?:lesser|library) general public licen[sc]e|gnu lgpl|lgpl){GNU} ?2\b(?! 1\b)"),
+    ("AGPL-3.0", rf"(?:gnu affero general public licen[sc]e|gnu agpl|agpl){GNU} ?3\b"),
+    ("BSD-3-Clause", r"(?:bsd 3 clause|(?:3|three) clause bsd|(?:new|modified|revised) bsd)\b"),
+    ("BSD-2-Clause", r"(?:bsd 2 clause|(?:2|two) clause bsd|(?:simplified|freebsd) (?:bsd|licen[sc]e))\b"),
+    ("ISC", r"isc(?: licen[sc]e)?(?= |$)"),
+    ("MPL-2.0", r"(?:mozilla public licen[sc]e|mpl)(?: version| v)? ?2(?: 0)?\b"),
+    ("MPL-1.1", r"(?:mozilla public licen[sc]e|mpl)(?: version| v)? ?1 1\b"),
+    ("EPL-2.0", r"(?:eclipse public licen[sc]e|epl)(?: version| v)? ?2(?: 0)?\b"),
+    ("EPL-1.0", r"(?:eclipse public licen[sc]e|epl)(?: version| v)? ?1(?: 0)?\b"),
+    ("BSL-1.0", r"(?:boost software licen[sc]e|bsl)(?: version| v)? ?1(?: 0)?\b"),
+    ("CC0-1.0", r"(?:cc0|creative commons zero)\b"),
+    ("Zlib", r"zlib(?: libpng)?(?: licen[sc]e)?(?= |$)"),
+    ("Unlicense", r"unlicense\b"),
+)
+# Sentences of the licence texts themselves: all of them, and none of the last.
+BSD = ("redistribution and use in source and binary forms with or without modification are permitted", "source code must retain the", "binary form must reproduce the")
+BSD_NAME = r"(?:neither the names? of|the names? of (?:[a-z0-9]+ ){0,8}?may not be used to endorse)"
+ISC_GRANT = r"permission to use copy modify and(?: or)? distribute this software for any purpose with or without fee is hereby granted"
+TEXTS = (
+    ("MIT", ("permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files",), None),
+    ("BSD-3-Clause", (*BSD, BSD_NAME), None),
+    ("BSD-2-Clause", BSD, BSD_NAME),
+    ("ISC", (f"{ISC_GRANT} provided that",), None),
+    ("0BSD", (ISC_GRANT,), f"{ISC_GRANT} provided that"),
+    ("Unlicense", ("this is free and unencumbered software released into the public domain",), None),
+    ("Zlib", ("provided as is without any express or implied warranty in no event will the authors be held liable",), None),
+)
+# Words without which no pattern matches.
+HINTS = ("under", "terms of", "subject to", "licens", "licenc", "permission", "redistribution", "unencumbered", "held liable")
+LONG_CC = (("creative commons attribution", "cc by"), ("non ?commercial", "nc"), ("share ?alike", "sa"), ("no ?deriv(?:ative)?s?(?: works)?", "nd"))
+CC = r"cc (by(?: nc)?(?: sa| nd)?)(?: licen[sc]e)?(?: version| v)?(?: ?([1-4]) ([05])\b)?"
+
+
+def text_licenses(text: Column) -> Column:
+    """Comma-separated identifiers of the licences stated or quoted anywhere in a text, wrapped or not; Proprietary only where there is no other."""
+    plain = F.trim(F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), "[^a-z0-9]+", " "))
+    hinted = F.lit(False)
+    for hint in HINTS:
+        hinted |= F.contains(plain, F.lit(hint))
+    short = plain
+    for long, cc in LONG_CC:
+        short = F.regexp_replace(short, long, cc)
+    stated = F.regexp_extract_all(short, F.lit(f"{STATED}({CC})"), F.lit(1))
+    part = lambda x, k: F.regexp_extract(x, CC, k)
+    ccs = F.transform(stated, lambda x: F.concat(F.lit("CC-"), F.translate(F.upper(part(x, 1)), " ", "-"), F.when(part(x, 2) == "", "").otherwise(F.concat(F.lit("-"), part(x, 2), F.lit("."), part(x, 3)))))
+    named = [F.when(F.regexp_like(plain, F.lit(STATED + pattern)), F.lit(name)) for name, pattern in NAMES]
+    quoted = []
+    for name, every, no in TEXTS:
+        hit = ~F.regexp_like(plain, F.lit(no)) if no else F.lit(True)
+        for pattern in every:
+            hit &= F.regexp_like(plain, F.lit(pattern))
+        quoted.append(F.when(hit, F.lit(name)))
+    found = F.when(hinted, F.array_sort(F.array_distinct(F.concat(F.array_compact(F.array(*named, *quoted)), ccs)))).otherwise(F.array().cast("array<string>"))
+    reserved = F.when(F.contains(plain, F.lit("all rights reserved")), "Proprietary").otherwise("")
+    return F.when(F.size(found) > 0, F.array_join(found, ",")).otherwise(reserved)
+
 
 def sentences(text: Column) -> Column:
     """Normalised sentences: they end at line breaks and at . ! ? before white space or the end."""
@@ -52,19 +119,21 @@ def sentences(text: Column) -> Column:
 
 
 def license_scan(docs: DataFrame, known: dict[str, str] = SENTENCES, rules=RULES) -> DataFrame:
-    """doc_id, n_sentences, n_known, sequence, licenses for every row of `docs`.
+    """doc_id, n_sentences, n_known, sequence, licenses, text_licenses for every row of `docs`.
 
     `sequence` has the identifiers of recognised sentences in their order, `licenses` the licences of
-    the rules found in it, each once, in the order of the rules. Tables are constants of the plan, so
+    the rules found in it, each once, in the order of the rules; both take whole sentences on a line, as
+    the SQL does. `text_licenses` has the licences recognised over the whole text, across line breaks and
+    within sentences. Tables are constants of the plan, so
     nothing is shuffled. NULL and empty texts have no sentences; repeated rows are judged each; an empty
     table gives an empty result. Other columns are ignored.
     """
     by_text = F.create_map(*[F.lit(x) for name, s in known.items() for x in (s, name)])
-    found = docs.select("doc_id", sentences(F.coalesce("text", F.lit(""))).alias("s"))
-    found = found.select("doc_id", F.size("s").cast("long").alias("n_sentences"), F.filter(F.transform("s", lambda s: F.try_element_at(by_text, s)), lambda x: x.isNotNull()).alias("ids"))
+    found = docs.select("doc_id", sentences(F.coalesce("text", F.lit(""))).alias("s"), text_licenses(F.col("text")).alias("text_licenses"))
+    found = found.select("doc_id", "text_licenses", F.size("s").cast("long").alias("n_sentences"), F.filter(F.transform("s", lambda s: F.try_element_at(by_text, s)), lambda x: x.isNotNull()).alias("ids"))
     line = F.concat(F.lit(";"), F.array_join("ids", ";"), F.lit(";"))
     hits = F.array(*[F.when(F.contains(line, F.lit(f";{';'.join(ids)};")), F.lit(name)) for name, ids in rules])
-    return found.select("doc_id", "n_sentences", F.size("ids").cast("long").alias("n_known"), F.array_join("ids", ";").alias("sequence"), F.array_join(F.array_distinct(F.array_compact(hits)), ",").alias("licenses"))
+    return found.select("doc_id", "n_sentences", F.size("ids").cast("long").alias("n_known"), F.array_join("ids", ";").alias("sequence"), F.array_join(F.array_distinct(F.array_compact(hits)), ",").alias("licenses"), "text_licenses")
 
 
 def sql(docs: str = "documents") -> str:

@@ -9,7 +9,8 @@ from .common import table
 def queries() -> dict:
     return {
         "op1_simhash_dedup": lambda s, d: simhash.simhash_components(table(s, d, "documents")),
-        "op2_license_scan": lambda s, d: licenses.license_scan(table(s, d, "documents")),
+        "op2_license_scan": lambda s, d: licenses.license_scan(table(s, d, "documents")).drop("text_licenses"),
+        "op2_license_texts": lambda s, d: licenses.license_scan(table(s, d, "documents")).select("doc_id", "text_licenses"),
         "op3_lm_scoring": lambda s, d: lmscore.pseudo_likelihood(table(s, d, "documents")),
         "op4_suffix_dedup": lambda s, d: suffixdedup.dedup_substrings(table(s, d, "documents")).drop("spans"),
         "op5_source_mix": lambda s, d: mixing.mix_sources(table(s, d, "documents")),
