@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import RangeHash, flat, mix, runs, text_slices, written
+from .common import RangeHash, flat, mix, runs, text_slices
 from .decontam import LOWERED
 from .quality import IS_SPACE
 
@@ -62,21 +62,15 @@ def windows(classes: np.ndarray, cuts: np.ndarray) -> np.ndarray:
     return out
 
 
-def sample_batches(vocabulary, rate: int):
-    """A proportional sample of windows, by position: one word in `rate` of every slice of texts."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in text_slices(batches):
-            found, cuts = buckets(part)
-            classes = vocabulary.value.class_of[found]
-            near = windows(classes, cuts)
-            key = mix(np.arange(len(found)).astype(np.uint64) + mix(found.astype(np.uint64) + (near @ np.array([1, 211, 44521, 9393931])).astype(np.uint64)))
-            pick = np.flatnonzero(key % np.uint64(rate) == 0)
-            rows = np.concatenate([near[pick], classes[pick, None]], axis=1).astype(np.int16)
-            packed = pa.FixedSizeBinaryArray.from_buffers(pa.binary(2 * rows.shape[1]), len(pick), [None, pa.py_buffer(rows.tobytes())])
-            yield pa.RecordBatch.from_arrays([packed.cast(pa.binary()), pa.array((key[pick] >> np.uint64(40)).astype(np.int64))], ["w", "place"])
-
-    return run
+def training_rows(part: pa.RecordBatch, vocabulary: Vocabulary, rate: int) -> np.ndarray:
+    """Windows with their middle class, in an order by hash; with a `rate` over 1 one word in `rate`, by hash."""
+    found, cuts = buckets(part)
+    classes = vocabulary.class_of[found]
+    near = windows(classes, cuts)
+    key = mix(np.arange(len(found)).astype(np.uint64) + mix(found.astype(np.uint64) + (near @ np.array([1, 211, 44521, 9393931])).astype(np.uint64)))
+    pick = np.flatnonzero(key % np.uint64(rate) == 0)
+    pick = pick[np.argsort(key[pick] >> np.uint64(24))]
+    return np.concatenate([near[pick], classes[pick, None]], axis=1)
 
 
 class Network:
@@ -136,14 +130,14 @@ class Network:
                 mine -= rate * g / (np.sqrt(seen) + 1e-6)
 
 
-def train_batches(start):
-    """One worker's pass over its windows from the broadcast parameters."""
+def train_batches(start, vocabulary, rate: int):
+    """One worker's pass over all windows of its texts from the broadcast parameters, slice by slice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flat, squares = start.value
         net, squares, seen = Network(flat.copy()), squares.copy(), 0
-        for batch in batches:
-            rows = np.frombuffer(b"".join(batch.column("w").to_pylist()), np.int16).reshape(-1, 2 * SIDE + 1).astype(np.int64)
+        for part in text_slices(batches):
+            rows = training_rows(part, vocabulary.value, rate)
             net.learn(rows, squares)
             seen += len(rows)
         if seen:
@@ -174,20 +168,23 @@ def vocabulary_of(docs: DataFrame) -> Vocabulary:
     return Vocabulary(counts)
 
 
-def train(docs: DataFrame, vocabulary: Vocabulary, rate: int = 16, rounds: int = 2, workers: int = 12) -> np.ndarray:
+def train(docs: DataFrame, vocabulary: Vocabulary, rate: int = 1, rounds: int = 2, workers: int = 12, seen: list | None = None) -> np.ndarray:
     """Parameters after `rounds` passes of `workers` copies, averaged by windows seen after each.
 
-    One word in `rate` of all documents is a training window, so what is learnt from grows with the
-    input; what reaches the driver is `workers` parameter vectors of about 130 KB.
+    Every word of all documents is a training window in each round (with a `rate` over 1, one in `rate`);
+    the windows are made as the texts pass and never stored. What reaches the driver is `workers`
+    parameter vectors of about 130 KB. `seen` gets the number of windows of each round.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(vocabulary)
-    picked = written(docs.select("text").mapInArrow(sample_batches(shared, rate), "w binary, place bigint").repartition(workers, "place"), "windows")
+    texts = docs.select("text").repartition(workers, F.xxhash64("text", F.monotonically_increasing_id()))
     flat = Network.start(vocabulary.log_class).flat
     squares = np.zeros_like(flat)
     for _ in range(rounds):
         start = spark.sparkContext.broadcast((flat, squares))
-        got = picked.repartition(workers, "place").mapInArrow(train_batches(start), "n bigint, flat binary, squares binary").collect()
+        got = texts.mapInArrow(train_batches(start, shared, rate), "n bigint, flat binary, squares binary").collect()
+        if seen is not None:
+            seen.append(sum(r["n"] for r in got))
         if not got:
             return flat
         n = np.array([r["n"] for r in got], np.float64)
