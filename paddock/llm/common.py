@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 
 import numpy as np
@@ -32,21 +33,54 @@ def words(text: Column) -> Column:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; only where none is configured (tests) a temporary one."""
+    """The folder that driver and executors share; only in local mode (tests) a temporary one if none is set."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         named = f"file://{tempfile.mkdtemp(prefix='paddock-')}"
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
 
 
+SCOPES: list[list] = []  # what the open `scratch` blocks have made
+
+
 def written(df: DataFrame, kind: str) -> DataFrame:
-    """Cut the lineage with a Parquet table in the shared folder, which outlives any executor."""
+    """Cut the lineage with a Parquet table in the shared folder, which outlives any executor; it goes with `scratch`."""
     path = f"{shared_folder(df.sparkSession)}/{kind}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if SCOPES:
+        SCOPES[-1].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def shared(spark: SparkSession, value):
+    """A broadcast variable that is released with `scratch`."""
+    made = spark.sparkContext.broadcast(value)
+    if SCOPES:
+        SCOPES[-1].append(made)
+    return made
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Tables and broadcasts that operators make inside go at the end, so what is read from them must be written by then.
+
+    Operators return lazy results; outside such a block their tables stay in the shared folder.
+    """
+    SCOPES.append([])
+    try:
+        yield
+    finally:
+        for made in SCOPES.pop():
+            if isinstance(made, str):
+                path = spark._jvm.org.apache.hadoop.fs.Path(made)
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+            else:
+                made.unpersist()
+
+
 def unused(name: str, columns: list[str]) -> str:
     """`name`, lengthened until no column has it."""
     while name.lower() in {c.lower() for c in columns}:
@@ -60,7 +94,7 @@ def partitions(spark: SparkSession) -> int:
 
 # --- byte-level helpers that run inside tasks ---
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 18  # so that the arrays of a slice are small and stay in the cache
 
 
 def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -121,26 +155,57 @@ def gram_hash(data: np.ndarray, k: int) -> np.ndarray:
     return out if k == 8 else mix(out)
 
 
+BLOCK = 1 << 18
+
+
 @lru_cache(1)
-def base_powers(size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of BASE and of its inverse, `size` of each."""
-    out = np.full((2, size), BASE, np.uint64)
+def base_powers() -> tuple[np.ndarray, np.ndarray]:
+    """BLOCK + 1 powers of BASE and of its inverse."""
+    out = np.full((2, BLOCK + 1), BASE, np.uint64)
     out[1] = pow(int(BASE), -1, 1 << 64)
     out[:, 0] = 1
     return np.cumprod(out[0], dtype=np.uint64), np.cumprod(out[1], dtype=np.uint64)
 
 
 class RangeHash:
-    """64-bit hashes of arbitrary byte ranges from running sums."""
+    """64-bit hashes of arbitrary byte ranges from running sums.
+
+    The sums are made block by block, and of long data only those at the asked places are ever held.
+    """
 
     def __init__(self, data: np.ndarray):
-        size = 1 << max(16, int(len(data)).bit_length())
-        self.powers, inverse = (base_powers if size <= 2 * SLICE_BYTES else base_powers.__wrapped__)(size)  # a very long text's aren't held
-        self.sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(byte_codes()[data] * inverse[: len(data)], dtype=np.uint64, out=self.sums[1:])
+        self.data = data
+        self.sums = self.block(0) if len(data) <= BLOCK else None
+
+    def block(self, at: int) -> np.ndarray:
+        data = self.data[at : at + BLOCK]
+        sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(byte_codes()[data] * base_powers()[1][: len(data)], dtype=np.uint64, out=sums[1:])
+        return sums
+
+    def at(self, places: np.ndarray) -> np.ndarray:
+        """Running sums at places, which rise."""
+        if self.sums is not None:
+            return self.sums[places]
+        out, total = np.empty(len(places), np.uint64), np.zeros(1, np.uint64)
+        scale, step = np.ones(1, np.uint64), base_powers()[1][BLOCK:]
+        cuts = np.searchsorted(places, np.arange(0, len(self.data) + BLOCK + 1, BLOCK))
+        for k, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
+            sums = self.block(k * BLOCK)
+            out[a:b] = total + scale * sums[places[a:b] - k * BLOCK]
+            total, scale = total + scale * sums[-1:], scale * step
+        return out
+
+    def power(self, places: np.ndarray) -> np.ndarray:
+        powers = base_powers()[0]
+        if self.sums is not None:
+            return powers[places]
+        high = np.cumprod(np.concatenate([[np.uint64(1)], np.full(len(self.data) // BLOCK + 1, powers[BLOCK])]), dtype=np.uint64)
+        return high[places // BLOCK] * powers[places % BLOCK]
 
     def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        return mix((self.sums[ends] - self.sums[starts]) * self.powers[starts] + (ends - starts).astype(np.uint64))
+        """Hashes of [start, end); both rise."""
+        return mix((self.at(ends) - self.at(starts)) * self.power(starts) + (ends - starts).astype(np.uint64))
 
 
 def runs(mask: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -153,6 +218,20 @@ def runs(mask: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return starts, np.flatnonzero(mask & (~after | edge[1:])) + 1
 
 
+def marked(mask: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """How many bytes of each text are marked."""
+    edges = offsets.tolist()
+    return np.array([np.count_nonzero(mask[a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True)], np.int64)
+
+
+def any_in(mask: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Whether each of the rising, separate, non-empty ranges has a marked byte."""
+    edges = np.stack([starts, ends], axis=1).reshape(-1)
+    if len(edges) and edges[-1] == len(mask):
+        edges = edges[:-1]
+    return np.logical_or.reduceat(mask, edges)[::2] if len(edges) else np.zeros(0, bool)
+
+
 def counts_between(points: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """How many of the sorted points fall into each text."""
     return np.diff(np.searchsorted(points, offsets))
@@ -169,7 +248,7 @@ def bloom(keys: DataFrame, most_bits: int = 1 << 27):
     ored = places.groupBy(F.shiftright("p", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("b")).toArrow()
     words = np.zeros(bits >> 6, np.int64)
     words[ored.column("word").to_numpy()] = ored.column("b").to_numpy()
-    return keys.sparkSession.sparkContext.broadcast(words)
+    return shared(keys.sparkSession, words)
 
 
 def spark_xxhash64(values: np.ndarray, k: int) -> np.ndarray:

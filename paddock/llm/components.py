@@ -57,3 +57,8 @@ class LocalSets:
         x, y = self.root(x), self.root(y)
         if x != y:
             self.up[max(x, y)] = min(x, y)
+
+    def join_all(self, x: int, others: np.ndarray) -> None:
+        """Join x with every other; those already with it cost one comparison of an array."""
+        for y in np.unique(self.up[others[self.up[others] != self.up[x]]]).tolist():
+            self.join(x, y)

@@ -7,16 +7,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import RangeHash, flat, runs, text_slices, unused
+from .common import RangeHash, flat, marked, runs, shared, text_slices, unused, written
 
 IS_WORD = np.isin(np.arange(256), [*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)])
 LOWERED = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
 SAMPLE = 16
 MADE = ("n_words", "n_hit", "items", "spans")
+SHARD = 1 << 20  # bytes of the texts of one index
 
 
 class FMIndex:
@@ -114,52 +114,62 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, ends, RangeHash(LOWERED[data])(starts, ends)
 
 
-def phrases(items: pa.Table, window: int) -> dict:
-    """Distinct windows of the items as word symbols, with the items of each."""
-    data, offsets = flat(items.column("text").combine_chunks())
+def phrases(texts: pa.Array, names: list, window: int) -> dict:
+    """Distinct windows of the items as word symbols, with the items of each (their places in `names` from `cuts`)."""
+    data, offsets = flat(texts)
     starts, _, hashes = word_spans(data, offsets)
     known = np.unique(hashes)
     symbols = np.searchsorted(known, hashes) + 2
     cuts = np.searchsorted(starts, offsets)
-    of: dict[tuple, set[str]] = {}
-    for k, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
-        name = items.column("item_id")[k].as_py()
-        for s in range(a, max(a + 1, b - window + 1)) if b > a else ():
-            of.setdefault(tuple(symbols[s : min(b, s + window)].tolist()), set()).add("" if name is None else str(name))
+    n = np.diff(cuts)
+    times = np.where(n >= window, n - window + 1, np.minimum(n, 1))
+    of = np.repeat(np.arange(len(n)), times)
+    begin = np.arange(len(of)) - np.repeat(np.cumsum(times) - times, times) + cuts[of]
+    sizes = np.minimum(n[of], window)
     lines = np.zeros((len(of), window), np.int32)
-    for k, p in enumerate(of):
-        lines[k, window - len(p) :] = p
-    return {"known": known, "lines": lines, "sizes": np.array([len(p) for p in of], np.int64), "items": [sorted(x) for x in of.values()]}
+    for k in range(window):  # right-aligned
+        there = sizes > k
+        lines[there, window - 1 - k] = symbols[(begin + sizes - 1 - k)[there]]
+    lines, which = np.unique(lines, axis=0, return_inverse=True) if len(lines) else (lines, of)
+    order = np.argsort(which, kind="stable")
+    return {
+        "known": known, "lines": lines, "sizes": (lines > 0).sum(axis=1), "names": ["" if x is None else str(x) for x in names],
+        "of": of[order], "cuts": np.searchsorted(which[order], np.arange(len(lines) + 1)),
+    }
 
 
-def hit_batches(blocks):
-    """Per document: words, hit words and items; each slice of texts is a shard with its own index."""
+def hit_batches(block, first: bool, last: bool):
+    """Adds what a block of phrases hits: word ranges and items; each slice of texts is a shard with its own index.
+
+    The first pass starts the two columns, the last turns them into counts and byte ranges.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in text_slices(batches):
+        for part in text_slices(batches, limit=SHARD):
             data, offsets = flat(part.column("text"))
             starts, ends, hashes = word_spans(data, offsets)
             cuts = np.searchsorted(starts, offsets)
-            hit, items = np.zeros(len(starts) + 1, np.int64), [set() for _ in range(part.num_rows)]
-            for block in blocks.value:
-                if len(block["sizes"]) and len(starts):
-                    search_shard(block, hashes, cuts, hit, items)
+            hit, items = np.zeros(len(starts) + 1, np.int32), [set() for _ in range(part.num_rows)]
+            if not first:
+                for k, (ranges, names) in enumerate(zip(part.column("hit").to_pylist(), part.column("items").to_pylist(), strict=True)):
+                    items[k].update(names)
+                    for a, b in ranges:
+                        hit[cuts[k] + a] += 1
+                        hit[cuts[k] + b] -= 1
+            if len(block.value["sizes"]) and len(starts):
+                search_shard(block.value, hashes, cuts, hit, items)
             covered = np.cumsum(hit)[:-1] > 0
-            counts = np.diff(np.concatenate([[0], np.cumsum(covered)])[cuts])
-            spans = [[] for _ in items]
-            edge = np.zeros(len(covered) + 1, bool)
-            edge[cuts] = True
             a, b = runs(covered, cuts)
-            for x, y, k in zip(a.tolist(), b.tolist(), (np.searchsorted(cuts, a, "right") - 1).tolist(), strict=True):
-                spans[k].append([int(starts[x] - offsets[k]), int(ends[y - 1] - offsets[k])])
-            names = [sorted(x) for x in items]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    *[part.column(c) for c in part.schema.names if c != "text"], pa.array(np.diff(cuts).astype(np.int64)), pa.array(counts.astype(np.int64)),
-                    pa.array(names, pa.list_(pa.string())), pa.array(spans, pa.list_(pa.list_(pa.int64()))), part.column("text"),
-                ],
-                [*[c for c in part.schema.names if c != "text"], "n_words", "n_hit", "items", "spans", "text"],
-            )
+            doc, spans = np.searchsorted(cuts, a, "right") - 1, [[] for _ in items]
+            for x, y, k in zip(a.tolist(), b.tolist(), doc.tolist(), strict=True):
+                spans[k].append([int(starts[x] - offsets[k]), int(ends[y - 1] - offsets[k])] if last else [x - int(cuts[k]), y - int(cuts[k])])
+            kept = [c for c in part.schema.names if c not in ("text", "hit", "items")]
+            made = [pa.array([sorted(x) for x in items], pa.list_(pa.string())), pa.array(spans, pa.list_(pa.list_(pa.int64())))]
+            names = ["items", "spans" if last else "hit"]
+            if last:
+                counts = [np.diff(cuts), marked(covered, cuts)]
+                made, names = [pa.array(x.astype(np.int64)) for x in counts] + made, ["n_words", "n_hit", *names]
+            yield pa.RecordBatch.from_arrays([*[part.column(c) for c in kept], *made, part.column("text")], [*kept, *names, "text"])
 
     return run
 
@@ -195,25 +205,47 @@ def search_shard(block: dict, hashes: np.ndarray, cuts: np.ndarray, hit: np.ndar
     np.add.at(hit, begin + block["sizes"][phrase], -1)
     doc = np.searchsorted(cuts, begin, "right") - 1
     for d, p in np.unique(np.stack([doc, phrase], axis=1), axis=0).tolist():
-        items[d].update(block["items"][p])
+        items[d].update(block["names"][k] for k in block["of"][block["cuts"][p] : block["cuts"][p + 1]].tolist())
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes: int = 32 << 20) -> DataFrame:
+def benchmark_blocks(benchmark: DataFrame, block_bytes: int) -> tuple[DataFrame, list[int]]:
+    """(table of item_id, text, block; the blocks): items dealt by hash, so that no block of several items is over `block_bytes`."""
+    asked = benchmark.select("item_id", "text").where("text is not null").distinct()
+    asked = asked.select("*", F.octet_length("text").cast("long").alias("bytes"), F.xxhash64("item_id", "text").alias("h"))
+    count = max(1, -(-(asked.agg(F.sum("bytes")).first()[0] or 0) // block_bytes))
+    while True:
+        dealt = asked.withColumn("block", F.pmod("h", F.lit(count)))
+        found = dealt.groupBy("block").agg(F.sum("bytes").alias("bytes"), F.count("*").alias("n"))
+        if found.where((F.col("bytes") > block_bytes) & (F.col("n") > 1)).isEmpty():
+            return written(dealt.select("item_id", "text", "block"), "benchmark"), [r[0] for r in found.select("block").orderBy("block").collect()]
+        count *= 2
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes: int = 4 << 20) -> DataFrame:
     """All columns of `docs` but clashing ones, with n_words, n_hit, items, spans (byte ranges) for every row.
 
-    The benchmark is a stated query set; it is cut into blocks of `block_bytes`, each with its own
-    phrases, and every block is searched in every shard. NULL or wordless texts have no words and no
-    hits; items without words are skipped, a NULL item_id counts as the empty string, and repeated
-    items are one. Phrases never cross documents. Empty tables give empty results or no hits.
+    The benchmark is a stated query set. Spark deals it into blocks of `block_bytes` at most (or one
+    longer item), and the driver holds and broadcasts the phrases of one block at a time; every block is
+    searched in every shard, and what it hits is written before the next. NULL or wordless texts have no
+    words and no hits; items without words are skipped, a NULL item_id counts as the empty string, and
+    repeated items are one. Phrases never cross documents. Empty tables give empty results or no hits.
+    A text longer than a shard is a shard of its own.
     """
     spark = docs.sparkSession
-    asked = benchmark.select("item_id", "text").where("text is not null").toArrow()
-    sizes = np.cumsum(pc.binary_length(asked.column("text").combine_chunks()).to_numpy(zero_copy_only=False)) // block_bytes if asked.num_rows else np.zeros(0)
-    edges = [0, *(np.flatnonzero(np.diff(sizes)) + 1).tolist(), asked.num_rows]
-    blocks = spark.sparkContext.broadcast([phrases(asked.slice(a, b - a), window) for a, b in zip(edges[:-1], edges[1:], strict=True) if b > a])
-    plain = docs.select(*[c for c in docs.columns if c not in (*MADE, "text")], "text")
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema if f.name != "text")
-    return plain.mapInArrow(hit_batches(blocks), f"{kinds}, n_words bigint, n_hit bigint, items array<string>, spans array<array<bigint>>, text string")
+    table, blocks = benchmark_blocks(benchmark, block_bytes)
+    found = docs.select(*[c for c in docs.columns if c.lower() not in (*MADE, "hit", "text")], F.col("text").alias("text"))
+    kinds = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in found.schema if f.name != "text")
+    kinds = f"{kinds}, " if kinds else ""
+    for k, block in enumerate(blocks or [None]):
+        items = table.where(F.col("block") == F.lit(block)).toArrow()
+        phrase = shared(spark, phrases(items.column("text").combine_chunks(), items.column("item_id").to_pylist(), window))
+        last = k >= len(blocks) - 1
+        made = "n_words bigint, n_hit bigint, items array<string>, spans array<array<bigint>>" if last else "items array<string>, hit array<array<bigint>>"
+        found = found.mapInArrow(hit_batches(phrase, k == 0, last), f"{kinds}{made}, text string")
+        if not last:
+            found = written(found, "hits")
+            phrase.unpersist()
+    return found
 
 
 def verdicts(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
@@ -223,7 +255,7 @@ def verdicts(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFra
 
 
 def cut_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part in batches:
+    for part in text_slices(batches):
         out = []
         for text, spans in zip(part.column("text").to_pylist(), part.column("spans").to_pylist(), strict=True):
             if spans:
@@ -237,8 +269,12 @@ def cut_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def remove_hits(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
-    """`docs` with hit words, and what stands between them, cut out of the texts; n_chars follows where it exists."""
-    spare = {c: unused(f"own_{c}", docs.columns) for c in MADE if c in docs.columns}
+    """`docs` with hit words, and what stands between them, cut out of the texts; n_chars follows where it exists.
+
+    Every row is cut by its own text, so rows may repeat a doc_id; NULL and empty texts stay as they are;
+    an empty table stays empty; columns of any other name, in any case, stay.
+    """
+    spare = {c: unused(f"own_{c}", docs.columns) for c in docs.columns if c.lower() in (*MADE, "hit")}
     found = contamination(docs.withColumnsRenamed(spare), benchmark, window)
     cut = found.mapInArrow(cut_batches, found.schema)
     if "n_chars" in docs.columns:

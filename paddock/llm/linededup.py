@@ -9,14 +9,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import RangeHash, bloom, flat, gram_hash, may_hold, mix, partitions, text_slices, unused, written
+from .common import BLOCK, RangeHash, bloom, flat, may_hold, mix, partitions, text_slices, unused, written
 from .components import LocalSets, components
 from .decontam import LOWERED
 from .quality import IS_SPACE
 
-SHINGLE, BANDS, ROWS, SIMILAR, CHUNK = 8, 9, 4, 0.8, 1024
+SHINGLE, BANDS, ROWS, SIMILAR, CHUNK = 5, 9, 4, 0.8, 1024
 IS_INK = ~IS_SPACE
-SLICE = 1 << 18  # so that the arrays of a slice stay in the cache
+AHEAD = 4 * SHINGLE + 1  # bytes that hold the code points of one shingle and the next
 
 
 def line_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -33,19 +33,37 @@ def line_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, ends, of, np.searchsorted(breaks, starts) - np.searchsorted(breaks, offsets[of])
 
 
+def shingle_blocks(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(line, hash) of all shingles of SHINGLE code points of the lines [start, end), a block of bytes at a time."""
+    for at in range(0, len(data), BLOCK - AHEAD):
+        part = data[at : at + BLOCK]
+        first, last = np.searchsorted(ends, at, "right"), np.searchsorted(starts, at + BLOCK - AHEAD)
+        if first >= last:
+            continue
+        heads = np.flatnonzero((part & 0xC0) != 0x80)
+        own = np.searchsorted(heads, BLOCK - AHEAD)
+        low, high = np.searchsorted(heads, np.maximum(starts[first:last] - at, 0)), np.minimum(np.searchsorted(heads, ends[first:last] - at) - SHINGLE + 1, own)
+        sizes = np.maximum(high - low, 0)
+        where = np.repeat(low - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+        heads = np.append(heads, len(part))
+        yield np.repeat(np.arange(first, last), sizes), RangeHash(part)(heads[where], heads[where + SHINGLE])
+
+
 def signatures(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, whole: np.ndarray) -> np.ndarray:
-    """One-permutation MinHash with BANDS * ROWS bins; empty bins borrow from the next filled one."""
+    """One-permutation MinHash with BANDS * ROWS bins; empty bins borrow from the next filled one. A line without a shingle is one itself."""
     bins = BANDS * ROWS
-    sizes = np.maximum(ends - starts - SHINGLE + 1, 0)
     out = np.full((len(starts), bins), np.iinfo(np.uint64).max, np.uint64)
-    line = np.repeat(np.arange(len(starts)), sizes)
-    where = np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
-    grams = gram_hash(data, SHINGLE)[where]
-    short = sizes == 0
-    line, grams = np.concatenate([line, np.flatnonzero(short)]), np.concatenate([grams, whole[short]])
-    place = line * bins + ((grams >> np.uint64(32)) * np.uint64(bins) >> np.uint64(32)).astype(np.int64)
-    np.minimum.at(out.reshape(-1), place, grams & np.uint64(0xFFFFFFFF))
+
+    def add(line: np.ndarray, grams: np.ndarray) -> None:
+        place = line * bins + ((grams >> np.uint64(32)) * np.uint64(bins) >> np.uint64(32)).astype(np.int64)
+        np.minimum.at(out.reshape(-1), place, grams & np.uint64(0xFFFFFFFF))
+
+    for line, grams in shingle_blocks(data, starts, ends):
+        add(line, grams)
     empty = out == np.iinfo(np.uint64).max
+    short = np.flatnonzero(empty.all(axis=1))
+    add(short, whole[short])
+    empty[short] = out[short] == np.iinfo(np.uint64).max
     todo = np.flatnonzero(empty.any(axis=1))
     full, filled = out[todo], ~empty[todo]
     have, source = filled.copy(), full.copy()
@@ -60,24 +78,29 @@ def signatures(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, whole: np
 
 
 def line_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part in text_slices(batches, limit=SLICE):
+    for part in text_slices(batches):
         raw, offsets = flat(part.column("text"))
         data = LOWERED[raw]
         starts, ends, of, number = line_spans(data, offsets)
         whole = RangeHash(data)(starts, ends)
-        sig = signatures(data, starts, ends, whole).reshape(len(starts), BANDS, ROWS)
-        keys = np.zeros((len(starts), BANDS), np.uint64) + np.arange(BANDS, dtype=np.uint64)
-        for k in range(ROWS):
-            keys = mix(keys * np.uint64(0x2545F4914F6CDD1D) + sig[:, :, k])
-        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(starts) + 1, dtype=np.int32) * BANDS), pa.array(keys.reshape(-1).view(np.int64)))
-        yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(of)), pa.array(number), pa.array(whole.view(np.int64)), lists], ["doc_id", "line_no", "line", "bands"])
+        for at in range(0, len(starts), 20_000):  # a long text has many lines
+            a, b, w = starts[at : at + 20_000], ends[at : at + 20_000], whole[at : at + 20_000]
+            sig = signatures(data[a[0] : b[-1]], a - a[0], b - a[0], w).reshape(len(a), BANDS, ROWS)
+            keys = np.zeros((len(a), BANDS), np.uint64) + np.arange(BANDS, dtype=np.uint64)
+            for k in range(ROWS):
+                keys = mix(keys * np.uint64(0x2545F4914F6CDD1D) + sig[:, :, k])
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(a) + 1, dtype=np.int32) * BANDS), pa.array(keys.reshape(-1).view(np.int64)))
+            where = pa.array(of[at : at + 20_000])
+            yield pa.RecordBatch.from_arrays(
+                [part.column("doc_id").take(where), part.column("tid").take(where), pa.array(number[at : at + 20_000]), pa.array(w.view(np.int64)), lists], ["doc_id", "tid", "line_no", "line", "bands"]
+            )
 
 
 def wanted_batches(words):
     """(line, body) of the lines that may be candidates."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in text_slices(batches, limit=SLICE):
+        for part in text_slices(batches):
             raw, offsets = flat(part.column("text"))
             data = LOWERED[raw]
             starts, ends, _, _ = line_spans(data, offsets)
@@ -103,31 +126,38 @@ def shared_batches(words):
     return run
 
 
-def shingles(body: bytes) -> set[bytes]:
-    return {body[i : i + SHINGLE] for i in range(max(1, len(body) - SHINGLE + 1))}
+def shingles(body: bytes) -> set[int]:
+    """The different shingles of a line, by their hashes."""
+    data = np.frombuffer(body, np.uint8)
+    whole = np.zeros(1, np.int64), np.array([len(data)])
+    found = [x for _, x in shingle_blocks(data, *whole)]
+    return set(np.concatenate(found).tolist() if found and len(found[0]) else RangeHash(data)(*whole).tolist())
 
 
 def verify_batches(similar: float):
-    """Exact Jaccard within each bucket; a pair already connected here, or that shares a lower bucket, needs no comparison."""
+    """Exact Jaccard within each bucket; a pair with one label, already connected here or sharing a lower bucket needs no comparison."""
 
-    def links(bucket: int, rows: list[tuple[int, int, bytes, list[int]]]) -> Iterator[tuple[int, int]]:
+    def links(bucket: int, rows: list[tuple]) -> Iterator[tuple[int, int]]:
+        lines, chunks, labels, bodies, shared = zip(*rows, strict=True)
         sets, bags = LocalSets(len(rows)), {}
 
-        def bag(i: int) -> set[bytes]:
+        def bag(i: int) -> set[int]:
             if i not in bags:
-                bags[i] = shingles(rows[i][2])
+                bags[i] = shingles(bodies[i])
             return bags[i]
 
-        lower = [{x for x in r[3] if x < bucket} for r in rows]
-        split = len({r[1] for r in rows}) > 1  # two chunks of a large bucket: pairs within one are compared elsewhere
+        lower = [{x for x in r if x < bucket} for r in shared]
+        split = len(set(chunks)) > 1  # two chunks of a large bucket: pairs within one are compared elsewhere
         for i in range(len(rows)):
+            mine = sets.root(i)
             for j in range(i):
-                if split and rows[i][1] == rows[j][1] or not lower[i].isdisjoint(lower[j]) or sets.root(i) == sets.root(j):
+                if labels[i] == labels[j] or split and chunks[i] == chunks[j] or sets.root(j) == mine or not lower[i].isdisjoint(lower[j]):
                     continue
                 a, b = bag(i), bag(j)
                 if min(len(a), len(b)) >= similar * max(len(a), len(b)) and (both := len(a & b)) >= similar * (len(a) + len(b) - both):
                     sets.join(i, j)
-                    yield rows[i][0], rows[j][0]
+                    mine = sets.root(i)
+                    yield lines[i], lines[j]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held = None, []
@@ -137,24 +167,32 @@ def verify_batches(similar: float):
             return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in range(2)], ["a", "b"])
 
         for batch in batches:
-            for bucket, sub, chunk, line, body, shared in zip(*(batch.column(c).to_pylist() for c in ("bucket", "sub", "chunk", "line", "body", "shared")), strict=True):
+            for bucket, sub, *row in zip(*(batch.column(c).to_pylist() for c in ("bucket", "sub", "line", "chunk", "label", "body", "shared")), strict=True):
                 if (bucket, sub) != key:
                     if len(held) > 1:
                         yield packed()
                     key, held = (bucket, sub), []
-                held.append((line, chunk, body, shared))
+                held.append(row)
         if len(held) > 1:
             yield packed()
 
     return run
 
 
+def compared(rows: DataFrame, similar: float) -> DataFrame:
+    """rows(bucket, sub, line, chunk, label, body, shared) -> links (a, b) within each (bucket, sub)."""
+    dealt = rows.select("bucket", "sub", "line", "chunk", "label", "body", "shared").repartition(partitions(rows.sparkSession), "bucket", "sub")
+    return dealt.sortWithinPartitions("bucket", "sub", "line").mapInArrow(verify_batches(similar), "a bigint, b bigint")
+
+
 def similar_links(docs: DataFrame, occurrences: DataFrame, similar: float = SIMILAR, chunk: int = CHUNK) -> DataFrame:
-    """Links (a, b) between different lines with a Jaccard similarity of `similar` or more that share a band.
+    """Links (a, b) between different lines that connect all with a Jaccard similarity of `similar` or more that share a band.
 
     A pair is compared in the lowest bucket that it shares; of buckets with the same members the lowest
-    stays, so that one is always there. A bucket of more than `chunk` lines is dealt out as
-    pairs of chunks, so no task holds more than two chunks.
+    stays, so that one is always there. A bucket of more than `chunk` lines is cut into parts by hash.
+    Pairs within a part come first, then one line of each group found so far; a bucket that is one group
+    by then, as variants of a template are, is done after work in proportion to its lines. Only what is
+    still apart is compared as pairs of parts, so that no link is lost and no task holds more than two.
     """
     banded = occurrences.groupBy("line").agg(F.first("bands").alias("bands")).select(F.explode("bands").alias("bucket"))
     shared = written(banded.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "shared")
@@ -165,58 +203,97 @@ def similar_links(docs: DataFrame, occurrences: DataFrame, similar: float = SIMI
     members = written(rows.drop("n").join(buckets, "bucket"), "members")
     grouped = members.groupBy("line").agg(F.collect_list(F.struct("bucket", "parts")).alias("of"))  # one a band at most
     bodies = docs.select("text").mapInArrow(wanted_batches(bloom(members.select("line").distinct())), "line bigint, body binary").groupBy("line").agg(F.first("body").alias("body"))
+    held = written(grouped.join(bodies, "line"), "candidates")
+    each = held.select("line", "body", F.col("of.bucket").alias("shared"), F.explode("of").alias("m")).select("line", "body", "shared", "m.*")
     own = F.pmod(F.xxhash64("line"), F.col("parts")).cast("int")
+    links = written(compared(each.withColumns({"sub": own, "chunk": own, "label": F.col("line")}), similar), "links")
+    large = each.where("parts > 1")
+    if members.where("parts > 1").isEmpty():
+        return links
+
+    def labelled(rows: DataFrame, links: DataFrame) -> DataFrame:
+        found = written(components(links).select(F.col("node").alias("line"), F.col("component").alias("joined")), "labels")
+        return rows.join(found, "line", "left").withColumn("label", F.coalesce("joined", "line")).drop("joined")
+
+    row = F.struct("line", "body", "shared")
+    ones = labelled(large, links).groupBy("bucket", "parts", own.alias("own"), "label").agg(F.min_by(row, "line").alias("r")).select("bucket", "parts", "label", "r.*")
+    ones = written(ones, "ones")
+    needed = ones.groupBy("bucket").agg(F.ceil(F.count("*") / chunk).cast("int").alias("needed"))
+    second = F.pmod(F.xxhash64("line", "bucket"), F.col("needed")).cast("int")
+    links = written(links.unionByName(compared(ones.join(needed, "bucket").withColumns({"sub": second, "chunk": second}), similar)), "links")
+    apart = written(labelled(large, links), "apart")
+    several = apart.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("bucket")
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    dealt = (
-        grouped.join(bodies, "line").select("line", "body", F.col("of.bucket").alias("shared"), F.explode("of").alias("m"))
-        .select("line", "body", "shared", "m.*").select("bucket", "line", "body", "shared", "parts", own.alias("chunk"), other.alias("other"))
-        .select("bucket", (F.least("chunk", "other") * F.col("parts") + F.greatest("chunk", "other")).alias("sub"), "chunk", "line", "body", "shared")
-    )
-    dealt = dealt.repartition(partitions(docs.sparkSession), "bucket", "sub").sortWithinPartitions("bucket", "sub", "line")
-    return dealt.mapInArrow(verify_batches(similar), "a bigint, b bigint")
+    pairs = apart.join(several, "bucket", "left_semi").withColumn("chunk", own).select("*", other.alias("other"))
+    pairs = pairs.withColumn("sub", (F.least("chunk", "other") * F.col("parts") + F.greatest("chunk", "other")))
+    return links.unionByName(compared(pairs, similar))
 
 
 def line_verdicts(docs: DataFrame, similar: float = SIMILAR, chunk: int = CHUNK) -> DataFrame:
-    """(doc_id, line_no, line, component, kept): every line that holds a word, kept where it is its component's first.
+    """(doc_id, tid, line_no, line, component, kept): every line that holds a word, kept where it is its component's first.
 
     Lines are the \\n-split parts of the whole texts, compared with A-Z lower-cased; equal lines are one
-    (by a 64-bit hash), lines at Jaccard `similar` or more over 8-byte shingles are linked when they share
-    one of 9 bands of 4 (0.8: found with 99 %). The first line by (doc_id, line_no) of a component stays;
-    NULL doc_ids come first. Lines without a word and NULL or empty texts have no rows. Rows that repeat
-    a doc_id with the same line number are kept or dropped alike. An empty table gives an empty result.
+    (by a 64-bit hash), lines at Jaccard `similar` or more over shingles of five code points are linked
+    when they share one of 9 bands of 4 (0.8: found with 99 %). The first line by (doc_id, tid, line_no)
+    of a component stays, tid being a hash of the text that tells rows with one doc_id apart; NULL
+    doc_ids come first. Rows equal in doc_id and text are one document. Lines without a word and NULL or
+    empty texts have no rows. An empty table gives an empty result. Texts and lines of any length are
+    taken whole, their shingles a block at a time.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    occurrences = written(docs.select("doc_id", "text").mapInArrow(line_batches, f"doc_id {kind}, line_no bigint, line bigint, bands array<bigint>"), "lines")
+    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("tid"))
+    occurrences = written(keyed.mapInArrow(line_batches, f"doc_id {kind}, tid bigint, line_no bigint, line bigint, bands array<bigint>"), "lines")
     linked = components(similar_links(docs, occurrences, similar, chunk)).select(F.col("node").alias("line"), "component")
-    place = F.struct("doc_id", "line_no")
+    place = F.struct("doc_id", "tid", "line_no")
     lines = occurrences.groupBy("line").agg(F.min(place).alias("at")).join(linked, "line", "left").withColumn("component", F.coalesce("component", "line"))
     lines = written(lines, "components")
     first = lines.groupBy("component").agg(F.min("at").alias("first"))
     named = lines.join(first, "component").select("line", "component", "first")
-    return occurrences.drop("bands").join(named, "line").select("doc_id", "line_no", "line", "component", place.eqNullSafe(F.col("first")).alias("kept"))
+    return occurrences.drop("bands").join(named, "line").select("doc_id", "tid", "line_no", "line", "component", place.eqNullSafe(F.col("first")).alias("kept"))
 
 
 def report(docs: DataFrame, **how) -> DataFrame:
-    """(doc_id, n_lines, n_removed, removed): for every row, its lines with a word and the numbers of those dropped."""
-    found = line_verdicts(docs, **how).groupBy("doc_id").agg(
+    """(doc_id, tid, n_lines, n_removed, removed): for every row, its lines with a word and the numbers of those dropped."""
+    found = line_verdicts(docs, **how).groupBy(F.col("doc_id").alias("of"), F.col("tid").alias("of_tid")).agg(
         F.countDistinct("line_no").alias("n_lines"), F.array_sort(F.collect_set(F.when(~F.col("kept"), F.col("line_no")))).alias("removed")
     )
-    found = found.withColumnRenamed("doc_id", "of")
-    return docs.select("doc_id").join(found, F.col("doc_id").eqNullSafe(F.col("of")), "left").select(
-        "doc_id", F.coalesce("n_lines", F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce("removed", F.array().cast("array<bigint>")).alias("removed")
+    keyed = docs.select("doc_id", F.xxhash64("text").alias("tid"))
+    return keyed.join(found, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("tid") == F.col("of_tid")), "left").select(
+        "doc_id", "tid", F.coalesce("n_lines", F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce("removed", F.array().cast("array<bigint>")).alias("removed")
     )
 
 
+def cut_batches(removed: str):
+    """The rows without the lines of the numbers in the column `removed`."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in text_slices(batches):
+            numbers = part.column(removed)
+            if numbers.null_count < len(numbers):
+                texts = part.column("text").to_pylist()
+                for k, some in enumerate(numbers.to_pylist()):
+                    if some:
+                        gone = set(some)
+                        texts[k] = "\n".join(x for i, x in enumerate(texts[k].split("\n")) if i not in gone)
+                part = part.set_column(part.schema.get_field_index("text"), part.schema.field("text"), pa.array(texts, part.schema.field("text").type))
+            yield part
+
+    return run
+
+
 def drop_lines(docs: DataFrame, **how) -> DataFrame:
     """`docs` with duplicate lines cut out; a document that loses all its lines goes; n_chars follows where it exists.
 
-    Documents that had no line with a word stay as they are.
+    Rows are told apart by doc_id and text, so rows that share a doc_id lose only their own lines.
+    Documents that had no line with a word, NULL and empty ones too, stay as they are; an empty table
+    stays empty; columns of any other name stay.
     """
-    of, removed, gone = (unused(c, docs.columns) for c in ("of", "removed", "gone"))
-    found = report(docs, **how).where("n_removed > 0").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias(of), F.col("removed").alias(removed), (F.col("n_removed") == F.col("n_lines")).alias(gone))
-    both = docs.join(found, F.col("doc_id").eqNullSafe(F.col(of)), "left").where(~F.coalesce(F.col(gone), F.lit(False)))
-    left = F.array_join(F.filter(F.split("text", "\n", -1), lambda _, i: ~F.array_contains(removed, i.cast("long"))), "\n")
-    both = both.withColumn("text", F.when(F.col(removed).isNull(), F.col("text")).otherwise(left))
+    of, of_tid, removed, gone = names = [unused(c, docs.columns) for c in ("of", "of_tid", "removed", "gone")]
+    found = report(docs, **how).where("n_removed > 0").dropDuplicates(["doc_id", "tid"])
+    found = found.select(F.col("doc_id").alias(of), F.col("tid").alias(of_tid), F.col("removed").alias(removed), (F.col("n_removed") == F.col("n_lines")).alias(gone))
+    both = docs.join(found, F.col("doc_id").eqNullSafe(F.col(of)) & (F.xxhash64("text") == F.col(of_tid)), "left").where(~F.coalesce(F.col(gone), F.lit(False)))
+    kinds = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in both.schema)
+    both = both.mapInArrow(cut_batches(removed), kinds)
     if "n_chars" in docs.columns:
         both = both.withColumn("n_chars", F.when(F.col(removed).isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
-    return both.select(docs.columns)
+    return both.drop(*names).select(docs.columns)

@@ -7,36 +7,44 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, written
+from .common import WORD, partitions, unused, written
 
 BITS, LEVELS = 12, 5
 
 
+def placed(sources: DataFrame) -> DataFrame:
+    """`sources` with `place`, from 0, in code-point order of source, NULL last: ranks within ranges plus what lies before each range."""
+    ranges = sources.repartitionByRange(partitions(sources.sparkSession), F.col("source").asc_nulls_last()).withColumn("range", F.spark_partition_id())
+    ranges = written(ranges, "ranges")
+    counts, before, rows = {r[0]: r[1] for r in ranges.groupBy("range").count().collect()}, 0, []
+    for k in sorted(counts):
+        rows.append((k, before))
+        before += counts[k]
+    offsets = F.broadcast(sources.sparkSession.createDataFrame(rows, "range int, before long"))  # one row a shuffle partition
+    within = Window.partitionBy("range").orderBy(F.col("source").asc_nulls_last())
+    return ranges.join(offsets, "range").withColumn("place", F.col("before") + F.row_number().over(within) - 1).drop("range", "before")
+
+
 def shares(sources: DataFrame, most: int = 3) -> DataFrame:
     """(key, source, source_size) -> with `target`: the whole divided by weights 1, 2, 3, repeating in code-point order.
 
-    A target stops at `most` times its source. Raising a common level until the whole is shared is the
-    fixed point of resharing each excess by weight, so sources are capped in order of cap over weight.
-    One row a source passes through the single-partition windows, never one a document.
+    A target stops at `most` times its source. All uncapped sources share one level by weight; it rises
+    with every excess reshared, until it caps no further source. Each step is one aggregate over the
+    sources, whose number is unbounded, so none passes through a single task.
     """
-    by_name = Window.orderBy(F.col("source").asc_nulls_last())
-    by_ratio = Window.orderBy("ratio", "place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    everything = Window.partitionBy()
-    ranked = (
-        sources.withColumn("place", F.row_number().over(by_name))
-        .withColumn("weight", (F.col("place") - 1) % 3 + 1)
-        .withColumn("cap", most * F.col("source_size"))
-        .withColumn("ratio", F.col("cap") / F.col("weight"))
-        .withColumn("total", F.sum("source_size").over(everything))
-        .withColumn("weights", F.sum("weight").over(everything))
-        .withColumn("cap_to", F.sum("cap").over(by_ratio))
-        .withColumn("weight_to", F.sum("weight").over(by_ratio))
-    )
-    before = F.try_divide(F.col("total") - F.col("cap_to") + F.col("cap"), F.col("weights") - F.col("weight_to") + F.col("weight"))
-    here = F.try_divide(F.col("total") - F.col("cap_to"), F.col("weights") - F.col("weight_to"))
-    capped = ranked.withColumn("capped", before >= F.col("ratio"))
-    level = F.coalesce(F.max_by(F.when(F.col("capped"), here), F.when(F.col("capped"), F.col("weight_to"))).over(everything), F.col("total") / F.col("weights"))
-    return capped.select("key", "source_size", F.when(F.col("capped"), F.col("cap").cast("double")).otherwise(F.least(F.col("cap").cast("double"), level * F.col("weight"))).alias("target"))
+    ranked = written(placed(sources).withColumn("weight", F.col("place") % 3 + 1).withColumn("cap", most * F.col("source_size")), "ranked")
+    total, weights = ranked.agg(F.sum("source_size"), F.sum("weight")).first()
+    level, seen = (total / weights if weights else 0.0), -1
+    while True:
+        capped = F.col("cap") <= F.lit(level) * F.col("weight")
+        n, caps, free = ranked.agg(F.count_if(capped), F.sum(F.when(capped, F.col("cap"))), F.sum(F.when(~capped, F.col("weight")))).first()
+        if n == seen or not free:
+            break
+        seen, level = n, (total - (caps or 0)) / free
+    target = F.least(F.col("cap").cast("double"), F.lit(level) * F.col("weight")) if weights else F.lit(0.0)
+    if weights and not free:
+        target = F.col("cap").cast("double")
+    return ranked.select("key", "source_size", target.alias("target"))
 
 
 def thresholds(sized: DataFrame, budgets: DataFrame) -> DataFrame:
@@ -61,11 +69,12 @@ def thresholds(sized: DataFrame, budgets: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, done)
 
 
-def sizes(docs: DataFrame) -> DataFrame:
-    """`docs` with key (of the source), size (words) and hash (60 bits of doc_id)."""
+def sizes(docs: DataFrame, names: tuple[str, str, str] = ("key", "size", "hash")) -> DataFrame:
+    """`docs` with key (of the source), size (words) and hash (60 bits of doc_id) under the given names."""
     key = F.when(F.col("source").isNull(), "n").otherwise(F.concat(F.lit("v"), F.col("source")))
     hashed = F.md5(F.concat(F.lit("mix:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    return docs.withColumns({"key": key, "size": F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"), "hash": F.conv(F.substring(hashed, 1, 15), 16, 10).cast("long")})
+    made = key, F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"), F.conv(F.substring(hashed, 1, 15), 16, 10).cast("long")
+    return docs.withColumns(dict(zip(names, made, strict=True)))
 
 
 def mix_sources(docs: DataFrame, most: int = 3, with_documents: bool = False) -> DataFrame:
@@ -73,7 +82,7 @@ def mix_sources(docs: DataFrame, most: int = 3, with_documents: bool = False) ->
 
     Whole copies are taken `floor(target / source_size)` times and the rest by a threshold on a hash of
     doc_id, so reruns agree and no document is sorted. `with_documents`: instead the rows of which words
-    are taken, with all their columns but clashing ones. NULL text or no word: size and taken 0. A NULL
+    are taken, with all their columns; of the four new ones one that clashes gets underscores at its end. NULL text or no word: size and taken 0. A NULL
     source is a source of its own, last in order; a NULL doc_id hashes as the empty string; rows that
     repeat a doc_id share its hash and are taken alike. An empty table gives an empty result.
     """
@@ -86,9 +95,14 @@ def mix_sources(docs: DataFrame, most: int = 3, with_documents: bool = False) ->
     taken = F.col("size") * F.least(F.col("whole") + in_rest.cast("long"), F.lit(most))
     if not with_documents:
         return sized.join(plan, "key").select("doc_id", "size", "source_size", "target", taken.alias("taken"))
-    made = ["key", "size", "hash", "source_size", "target", "taken", "whole", "extra", "threshold"]
-    kept = [c for c in docs.columns if c not in made]
-    return sizes(docs.select(kept)).join(plan, "key").select(*kept, "size", "source_size", "target", taken.alias("taken")).where("taken > 0")
+    names = []
+    for name in ("key", "hash", "size", "source_size", "target", "taken", "whole", "extra", "threshold"):
+        names.append(unused(name, [*docs.columns, *names]))
+    key_, hash_, size_, source_size_, target_, taken_, whole_, extra_, threshold_ = names
+    plan = plan.select(F.col("key").alias(key_), *[F.col(c).alias(n) for c, n in zip(("source_size", "target", "whole", "extra", "threshold"), (source_size_, target_, whole_, extra_, threshold_), strict=True)])
+    rest = (F.col(extra_) > 0) & (F.col(threshold_).isNull() | (F.col(hash_) < F.col(threshold_)))
+    mixed = sizes(docs, (key_, size_, hash_)).join(plan, key_).withColumn(taken_, F.col(size_) * F.least(F.col(whole_) + rest.cast("long"), F.lit(most)))
+    return mixed.where(F.col(taken_) > 0).select(*docs.columns, size_, source_size_, target_, taken_)
 
 
 SQL = r"""

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import RangeHash, counts_between, flat, mix, runs, text_slices, unused, written
+from .common import RangeHash, any_in, counts_between, flat, marked, mix, runs, text_slices, unused, written
 
 IS_SPACE = np.isin(np.arange(256), [32, *range(9, 14)])
 IS_SYMBOL = np.isin(np.arange(256), list(b"#*$%&|<>"))
@@ -30,51 +30,62 @@ def repeated(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return many, later
 
 
-def count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part in text_slices(batches):
-        data, offsets = flat(part.column("text"))
-        inside = ~IS_SPACE[data]
-        starts, ends = runs(inside, offsets)
-        hashed = RangeHash(data)
-        of = np.searchsorted(offsets, starts, "right") - 1
-        total = lambda mask: np.diff(np.concatenate([[0], np.cumsum(mask)])[offsets])
-        # 8-word windows that are found again in the same text
-        word = hashed(starts, ends)
-        n = max(0, len(word) - WINDOW + 1)
-        key = np.zeros(n, np.uint64)
-        for k in range(WINDOW):
-            key = key * np.uint64(0x2545F4914F6CDD1D) + word[k : k + n]
-        whole = np.flatnonzero(of[:n] == of[WINDOW - 1 :]) if n else np.zeros(0, np.int64)
-        again, _ = repeated(mix(key[whole] + of[whole].astype(np.uint64) * np.uint64(0xD1342543DE82EF95)))
-        cover = np.zeros(len(word) + 1, np.int64)
-        np.add.at(cover, whole[again], 1)
-        np.add.at(cover, whole[again] + WINDOW, -1)
-        covered = np.cumsum(cover)[:-1] > 0
-        # lines with a word
-        is_break = data == 10
-        line_starts, line_ends = runs(~is_break, offsets)
-        line_words = np.searchsorted(starts, line_ends) - np.searchsorted(starts, line_starts)
-        line_starts, line_ends = line_starts[line_words > 0], line_ends[line_words > 0]
-        line_of = np.searchsorted(offsets, line_starts, "right") - 1
-        _, later = repeated(mix(hashed(line_starts, line_ends) + line_of.astype(np.uint64) * np.uint64(0xD1342543DE82EF95)))
-        last = ends[np.searchsorted(ends, line_ends, "right") - 1] - 1 if len(line_ends) else line_ends
-        ended = np.isin(data[last], list(b".!?:;\"')")) if len(last) else np.zeros(0, bool)
-        letters = np.concatenate([[0], np.cumsum(IS_ALPHA[data])])
-        alpha = letters[ends] - letters[starts] > 0
-        heads = inside & ((data & 0xC0) != 0x80)
-        upper = IS_UPPER[data]
-        out = [
-            np.diff(np.searchsorted(starts, offsets)), total(heads), total(IS_SYMBOL[data]), np.bincount(line_of[later], minlength=part.num_rows),
-            counts_between(starts[covered], offsets), counts_between(line_starts, offsets), counts_between(starts[alpha], offsets),
-            total(upper), total(IS_ALPHA[data] & ((data & 0xC0) != 0x80)), total(IS_DIGIT[data]), counts_between(line_starts[ended], offsets),
-        ]
-        yield pa.RecordBatch.from_arrays([part.column("doc_id"), *[pa.array(x.astype(np.int64)) for x in out]], ["doc_id", *COUNTS])
-
-
-def text_counts(docs: DataFrame) -> DataFrame:
-    """Counts of every whole text, from its bytes."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(count_batches, f"doc_id {kind}, " + ", ".join(f"{c} bigint" for c in COUNTS))
+def counts_of(column: pa.Array) -> list[np.ndarray]:
+    """The COUNTS of each text. Of a long text only masks of a byte a byte and arrays by word are held."""
+    data, offsets = flat(column)
+    hashed = RangeHash(data)
+    inside = ~IS_SPACE[data]
+    starts, ends = runs(inside, offsets)
+    heads = (data & 0xC0) != 0x80
+    chars, letters = marked(inside & heads, offsets), marked(IS_ALPHA[data] & heads, offsets)
+    alpha = any_in(IS_ALPHA[data], starts, ends)
+    del inside, heads
+    # 8-word windows that are found again in the same text
+    cuts = np.searchsorted(starts, offsets)
+    word = hashed(starts, ends)
+    n = max(0, len(word) - WINDOW + 1)
+    key = np.zeros(n, np.uint64)
+    for k in range(WINDOW):
+        key = key * np.uint64(0x2545F4914F6CDD1D) + word[k : k + n]
+    of = np.repeat(np.arange(len(cuts) - 1), np.diff(cuts))
+    whole = np.flatnonzero(of[:n] == of[WINDOW - 1 :]) if n else np.zeros(0, np.int64)
+    again = whole[repeated(mix(key[whole] + of[whole].astype(np.uint64) * np.uint64(0xD1342543DE82EF95)))[0]]
+    cover = np.zeros(len(word) + 1, np.int32)
+    cover[again] += 1  # places within `again` differ
+    cover[again + WINDOW] -= 1
+    covered = np.cumsum(cover)[:-1] > 0
+    del key, of, word
+    # lines with a word
+    line_starts, line_ends = runs(data != 10, offsets)
+    line_words = np.searchsorted(starts, line_ends) - np.searchsorted(starts, line_starts)
+    line_starts, line_ends = line_starts[line_words > 0], line_ends[line_words > 0]
+    line_of = np.searchsorted(offsets, line_starts, "right") - 1
+    _, later = repeated(mix(hashed(line_starts, line_ends) + line_of.astype(np.uint64) * np.uint64(0xD1342543DE82EF95)))
+    last = ends[np.searchsorted(ends, line_ends, "right") - 1] - 1 if len(line_ends) else line_ends
+    ended = np.isin(data[last], list(b".!?:;\"')")) if len(last) else np.zeros(0, bool)
+    return [
+        np.diff(cuts), chars, marked(IS_SYMBOL[data], offsets), np.bincount(line_of[later], minlength=len(column)),
+        counts_between(starts[covered], offsets), counts_between(line_starts, offsets), counts_between(starts[alpha], offsets),
+        marked(IS_UPPER[data], offsets), letters, marked(IS_DIGIT[data], offsets), counts_between(line_starts[ended], offsets),
+    ]
+
+
+def count_batches(names: list[str], drop: tuple[str, ...] = ()):
+    """The rows with the COUNTS of their texts under the given names, without the columns in `drop`."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in text_slices(batches):
+            kept = [c for c in part.schema.names if c not in drop]
+            counts = [pa.array(x.astype(np.int64)) for x in counts_of(part.column("text"))]
+            yield pa.RecordBatch.from_arrays([*[part.column(c) for c in kept], *counts], [*kept, *names])
+
+    return run
+
+
+def text_counts(docs: DataFrame, names: list[str] = COUNTS, drop: tuple[str, ...] = ("text",)) -> DataFrame:
+    """`docs` without `drop`, with counts of every whole text, from its bytes."""
+    kept = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in docs.schema if f.name not in drop)
+    return docs.mapInArrow(count_batches(names, drop), ", ".join([kept, *[f"`{c}` bigint" for c in names]]))
 
 
 def band(value: Column, good: Column, bad: Column) -> Column:
@@ -82,9 +93,9 @@ def band(value: Column, good: Column, bad: Column) -> Column:
     return F.when(bad, -1).when(good, 1).otherwise(0)
 
 
-def rules() -> dict[str, Column]:
-    """The rules and when they vote. A ratio over nothing is NULL, and then the rule abstains."""
-    c = F.col
+def rules(named: dict[str, str] | None = None) -> dict[str, Column]:
+    """The rules and when they vote. A ratio over nothing is NULL, and then the rule abstains. `named`: other names of the counts."""
+    c = lambda x: F.col((named or {}).get(x, x))
     per = lambda a, b: F.try_divide(c(a), c(b))
     ratio = lambda x, good, bad: band(x, x <= good, x > bad)
     length, alpha, ended = per("word_chars", "n_words"), per("n_alpha_words", "n_words"), per("n_ended_lines", "n_lines")
@@ -122,6 +133,24 @@ def posterior(votes: np.ndarray, accuracy: np.ndarray, prior: float) -> np.ndarr
     return 1 / (1 + np.exp(-(np.log(prior / (1 - prior)) + votes @ np.log(accuracy / (1 - accuracy)))))
 
 
+def judged(counted: DataFrame, names: list[str], threshold: float) -> DataFrame:
+    """`counted` with base_failed, votes, quality and kept under the names given after those of the COUNTS."""
+    failed_, votes_, quality_, kept_ = names[len(COUNTS) :]
+    as_named = dict(zip(COUNTS, names, strict=False))
+    votes = F.concat(*[(F.coalesce(v, F.lit(0)) + 1).cast("string") for v in rules(as_named).values()])
+    counted = written(counted.withColumn(votes_, votes), "votes")
+    patterns = {r[0]: r[1] for r in counted.groupBy(votes_).count().collect()}  # 3 ** len(rules()) rows at most
+    known = []
+    if patterns:
+        accuracy, prior = fit_accuracies(patterns)
+        quality = posterior(np.array([[int(x) - 1 for x in p] for p in patterns], float), accuracy, prior)
+        known = [(p, float(q)) for p, q in zip(patterns, quality, strict=True)]
+    known = counted.sparkSession.createDataFrame(known, f"`{votes_}` string, `{quality_}` double")
+    n_words, n_repeat = F.col(as_named["n_words"]), F.col(as_named["n_repeat_words"])
+    found = counted.join(F.broadcast(known), votes_).withColumn(failed_, (n_words < 20) | (100 * n_repeat > 30 * n_words))
+    return found.withColumn(kept_, ~F.col(failed_) & (F.col(quality_) >= threshold))
+
+
 def quality_verdicts(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     """A row for every row of `docs`: doc_id, counts, base_failed, votes, quality, kept.
 
@@ -129,25 +158,21 @@ def quality_verdicts(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     and `quality` is the posterior probability of a good text; kept where it reaches `threshold` and the
     base rules (20 words at least, no more than 30 % of words in repeated 8-word windows) hold. NULL and
     empty texts have no words and fail the base. Rows that repeat a doc_id are judged each. An empty
-    table gives an empty result. Other columns are ignored.
+    table gives an empty result. Other columns are ignored. A text of any length is taken whole; it
+    needs some ten times its size in memory.
     """
-    votes = F.concat(*[(F.coalesce(v, F.lit(0)) + 1).cast("string") for v in rules().values()])
-    counted = written(text_counts(docs).withColumn("votes", votes), "votes")
-    patterns = {r["votes"]: r["count"] for r in counted.groupBy("votes").count().collect()}  # 3 ** len(rules()) rows at most
-    spark = docs.sparkSession
-    if patterns:
-        accuracy, prior = fit_accuracies(patterns)
-        quality = posterior(np.array([[int(x) - 1 for x in p] for p in patterns], float), accuracy, prior)
-        known = spark.createDataFrame([(p, float(q)) for p, q in zip(patterns, quality, strict=True)], "votes string, quality double")
-    else:
-        known = spark.createDataFrame([], "votes string, quality double")
-    failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    judged = counted.join(F.broadcast(known), "votes").withColumn("base_failed", failed)
-    return judged.select("doc_id", *COUNTS, "base_failed", "votes", "quality", (~F.col("base_failed") & (F.col("quality") >= threshold)).alias("kept"))
+    names = [*COUNTS, "base_failed", "votes", "quality", "kept"]
+    return judged(text_counts(docs.select("doc_id", "text")), names, threshold).select("doc_id", *names)
 
 
 def keep_good(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """The documents with a row that is kept; NULL doc_ids are matched with each other."""
-    kept_id = unused("kept_id", docs.columns)
-    good = quality_verdicts(docs, threshold).where("kept").select(F.col("doc_id").alias(kept_id)).distinct()
-    return docs.join(good, F.col("doc_id").eqNullSafe(F.col(kept_id)), "left_semi")
+    """The rows of `docs` that are kept, each judged by its own text, with all their columns.
+
+    NULL and empty texts fail the base and go; rows that repeat a doc_id are judged each; an empty table
+    stays empty; columns of any name stay as they are. The rows pass the rules once and are written with
+    their votes, so nothing is shuffled or joined but the votes' probabilities.
+    """
+    names = []
+    for name in (*COUNTS, "base_failed", "votes", "quality", "kept"):
+        names.append(unused(name, [*docs.columns, *names]))
+    return judged(text_counts(docs, names[: len(COUNTS)], ()), names, threshold).where(F.col(names[-1])).select(docs.columns)

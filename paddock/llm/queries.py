@@ -14,7 +14,7 @@ def queries() -> dict:
         "op3_lm_scoring": lambda s, d: lmscore.pseudo_likelihood(table(s, d, "documents")),
         "op4_suffix_dedup": lambda s, d: suffixdedup.dedup_substrings(table(s, d, "documents")).drop("spans"),
         "op5_source_mix": lambda s, d: mixing.mix_sources(table(s, d, "documents")),
-        "op6_line_dedup": lambda s, d: linededup.report(table(s, d, "documents")),
+        "op6_line_dedup": lambda s, d: linededup.report(table(s, d, "documents")).drop("tid"),
         "op7_secret_scan": lambda s, d: secrets.secret_report(table(s, d, "documents")),
         "op8_pii": lambda s, d: pii.pii_report(table(s, d, "documents")),
         "op9_quality_rules": lambda s, d: quality.quality_verdicts(table(s, d, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality"),

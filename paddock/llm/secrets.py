@@ -33,9 +33,9 @@ RULES = (
     Rule("github", r"gh[pousr]_[A-Za-z0-9]+", 0, 40),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]+", 0, 15),
     Rule("google", r"AIza[A-Za-z0-9_-]+", 0, 39),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 40),
+    Rule("jwt", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 40),
     Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
-    Rule("url_login", r"[a-z]+://[^\x00-\x20:@/]+:[^\x00-\x20:@/]+@", 0, 8),
+    Rule("url_login", r"(?<![a-z])[a-z]+://[^\x00-\x20:@/]+:[^\x00-\x20:@/]+@", 0, 8),
 )
 MOST = 64  # strings followed at once while a regex is taken apart
 
@@ -132,12 +132,26 @@ def candidates(index: DataFrame, queries: dict[int, list[list[frozenset[str]]]])
     return held.where(F.col("n") == wanted).groupBy("doc_id", "tid").agg(F.collect_set("place").alias("places"))
 
 
+def key_bits(keys: DataFrame, most_bits: int = 1 << 23) -> DataFrame:
+    """One row with a bit array over the bigint column of `keys`: 16 bits a key, `most_bits` (1 MB) at most.
+
+    A prefilter before an exact join, so too many keys only let more rows through.
+    """
+    (name,) = keys.columns
+    bits = min(most_bits, 1 << max(10, (16 * max(1, keys.count()) - 1).bit_length()))
+    at = F.pmod(F.xxhash64(name), F.lit(bits))
+    some = keys.groupBy(F.shiftright(at, 6).alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(xxhash64({name}), {bits}L) & 63 as int))")).alias("b"))
+    every = keys.sparkSession.range(bits >> 6).select(F.col("id").alias("w")).join(some, "w", "left").select("w", F.coalesce("b", F.lit(0).cast("long")).alias("b"))
+    return written(every.agg(F.transform(F.array_sort(F.collect_list(F.struct("w", "b"))), lambda x: x["b"]).alias("held")).withColumn("bits", F.lit(bits).cast("long")), "bits")
+
+
 def secret_spans(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """(doc_id, tid, found): every row with the sorted spans (start, place, end, kind) of all rules.
 
     Rules with mandatory trigrams are verified in the candidates that intersected postings name; the
     rest scan every text. NULL is the empty text. Rows equal in doc_id and text get equal results, a NULL
     doc_id is a value like another, and an empty table gives an empty result. Other columns are ignored.
+    Every rule takes time in proportion to a text of any length.
     """
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("tid", F.xxhash64("text"))
     queries = {k: q for k, r in enumerate(rules) if (q := trigram_query(r.regex))}
@@ -147,8 +161,12 @@ def secret_spans(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     if not queries:
         return scanned.withColumnRenamed("scanned", "found")
     index = written(postings(texts, sorted({t for q in queries.values() for c in q for some in c for t in some})), "postings")
-    named = candidates(index, queries).select(F.col("doc_id").alias("of"), F.col("tid").alias("of_tid"), "places")
-    near = texts.join(named, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("tid") == F.col("of_tid")))
+    named = written(candidates(index, queries).select(F.col("doc_id").alias("of"), F.col("tid").alias("of_tid"), "places"), "candidates")
+    # only texts that may be candidates are exchanged to meet them
+    held = key_bits(named.select(F.xxhash64("of", "of_tid").alias("k")))
+    at = F.pmod(F.xxhash64(F.xxhash64("doc_id", "tid")), F.col("bits"))
+    bit = F.getbit(F.element_at("held", (F.shiftright(at, 6) + 1).cast("int")), at.bitwiseAND(63).cast("int"))
+    near = texts.join(F.broadcast(held), bit == 1, "left_semi").join(named, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("tid") == F.col("of_tid")))
     checked = F.concat(none, *[F.when(F.array_contains("places", k), kinded(found_spans(F.col("text"), rules[k]), k, rules[k])).otherwise(none) for k in queries])
     verified = written(near.select("of", "of_tid", checked.alias("verified")).where(F.size("verified") > 0).dropDuplicates(["of", "of_tid"]), "verified")
     both = scanned.join(verified, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("tid") == F.col("of_tid")), "left")

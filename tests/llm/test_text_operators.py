@@ -2,9 +2,14 @@
 
 import hashlib
 import re
+import subprocess
+import sys
+import time
+from pathlib import Path
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -175,6 +180,7 @@ def test_lines(spark, chunk):
 
 def test_line_recall(docs):
     verdict = {(r.doc_id, r.line_no): r.component for r in linededup.line_verdicts(docs).collect()}
+    assert linededup.shingles("äbcdéf".encode()) == {int(common.RangeHash(np.frombuffer(x.encode(), np.uint8))(np.zeros(1, int), np.array([len(x.encode())]))[0]) for x in ("äbcdé", "bcdéf")}
     lines = {(d.doc_id, k): line.translate(LOWER).encode() for d in docs.collect() for k, line in enumerate((d.text or "").split("\n")) if line.encode().split()}
     assert set(verdict) == set(lines)
     first, bags = {}, {}
@@ -194,6 +200,69 @@ def test_line_recall(docs):
     assert found >= 0.9 * close
 
 
+def test_rows_that_share_a_doc_id(spark):
+    """They lose only their own lines, and each is judged by its own text."""
+    df = spark.createDataFrame([(1, "shared line number one here"), (2, "shared line number one here"), (2, "a wholly different unique passage")], "doc_id long, text string")
+    assert sorted((r.doc_id, r.text) for r in linededup.drop_lines(df).collect()) == [(1, "shared line number one here"), (2, "a wholly different unique passage")]
+    good = " ".join(f"{w}{k}." for k, w in enumerate(PROSE.split() * 3))
+    kept = quality.keep_good(spark.createDataFrame([(1, good), (1, "bad"), (None, good), (None, None)], "doc_id long, text string")).collect()
+    assert sorted(str(r.doc_id) for r in kept) == ["1", "None"] and {r.text for r in kept} == {good}
+
+
+def test_clashing_names_in_any_case(spark, bench):
+    df = spark.createDataFrame([(1, PROSE + " and more words of its own", "a", 5, 6, 7)], "doc_id long, text string, source string, N_Words long, Size long, Hit long")
+    cut = decontam.remove_hits(df, bench)
+    assert cut.columns == df.columns and cut.first().N_Words == 5 and PROSE not in cut.first().text
+    mixed = mixing.mix_sources(df, with_documents=True)
+    assert mixed.columns == [*df.columns, "size_", "source_size", "target", "taken"]
+    assert common.written(mixed, "mixed").first().Size == 6
+    assert quality.keep_good(df).columns == df.columns
+
+
+def test_large_bucket(spark):
+    """A bucket of many variants of a template, and others that share it but not the similarity."""
+    variants = [f"{PROSE} number {k:03d} of the whole long list of lines that differ by a number only" for k in range(40)]
+    df = spark.createDataFrame(list(enumerate(variants)), "doc_id long, text string")
+    whole = {r.doc_id: r.removed for r in linededup.report(df).collect()}
+    assert whole == {0: []} | {k: [0] for k in range(1, 40)}
+    assert {r.doc_id: r.removed for r in linededup.report(df, chunk=3).collect()} == whole
+
+
+@pytest.mark.parametrize("kind", ["word", "lines", "words"])
+def test_texts_over_many_blocks(kind):
+    """Counts and hashes of a text of several blocks are those of its parts put together."""
+    text = {"word": "ab" * 500_000, "lines": "one line of text, again\n" * 40_000 + "end", "words": " ".join(f"w{k}" for k in range(150_000))}[kind]
+    data = np.frombuffer(text.encode(), np.uint8)
+    places = np.array([0, 5, common.BLOCK - 1, common.BLOCK, common.BLOCK + 3, len(data) - 30])
+    short = [common.RangeHash(data[a : a + 30])(np.zeros(1, int), np.array([30]))[0] for a in places]
+    assert common.RangeHash(data)(places, places + 30).tolist() == short
+    assert len({common.RangeHash(data[a:])(np.zeros(1, int), np.array([len(data) - a]))[0] for a in (0, 0)}) == 1
+    counts = dict(zip(quality.COUNTS, (int(x[0]) for x in quality.counts_of(pa.array([text]))), strict=True))
+    lines = text.split("\n")
+    assert counts["n_words"] == len(text.split()) and counts["n_dup_lines"] == len(lines) - len(set(lines)) and counts["word_chars"] == sum(map(len, text.split()))
+    starts, ends, _, _ = linededup.line_spans(data, np.array([0, len(data)]))
+    got = [(int(k), int(h)) for lines_, hashes in linededup.shingle_blocks(data, starts, ends) for k, h in zip(lines_, hashes, strict=True)]
+    assert len(got) == sum(max(0, len(x) - 4) for x in lines)
+    assert len({h for _, h in got}) == len({x[i : i + 5] for x in lines for i in range(len(x) - 4)})
+
+
+def test_memory_of_a_long_text():
+    """A text of 50 MB is counted in a bounded multiple of its size."""
+    code = (
+        "import resource, pyarrow as pa; from paddock.llm import quality; quality.counts_of(pa.array(['a b'])); before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss;"
+        "t = pa.array(['seven words are in this line here\\n' * 1_500_000]); quality.counts_of(t); print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) // 1024)"
+    )
+    used = int(subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, cwd=Path(__file__).parents[2]).stdout)
+    assert used < 900
+
+
+def test_scratch_removes_tables(spark):
+    with common.scratch(spark):
+        path = common.written(spark.range(3).toDF("x"), "t").inputFiles()[0].removeprefix("file://")
+        assert Path(path).exists()
+    assert not Path(path).exists()
+
+
 def base_secrets(text):
     found = [(m.start(), 0, m.end(), "assign") for m in re.finditer(secrets.ASSIGN, text) if len(m[2]) >= 6]
     found += [(m.start(), 1, m.end(), "access") for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
@@ -208,6 +277,10 @@ def test_secrets(spark, docs):
     for r in df.collect():
         assert got[r.doc_id].base_sha256 == hashlib.sha256(base_secrets(r.text or "").encode()).hexdigest()
     assert "github:0:40" in got[-4].spans
+    began = time.time()
+    runs = spark.createDataFrame([(1, "a" * 1_000_000), (2, "x" * 300_000 + " ftp://me:pw@host " + "eyJ" * 200_000)], "doc_id long, text string")
+    assert [r.spans for r in secrets.secret_report(runs).orderBy("doc_id").collect()] == ["hex:0:1000000", "url_login:300001:300013"]
+    assert time.time() - began < 60  # the pattern alone takes milliseconds; the rest is Spark
     assert secrets.trigram_query(secrets.RULES[2].regex) == []
 
 
