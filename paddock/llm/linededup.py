@@ -3,20 +3,24 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLOCK, RangeHash, bloom, flat, may_hold, mix, partitions, text_slices, unused, written
+from .common import RangeHash, bloom, flat, may_hold, mix, partitions, text_slices, unused, written
 from .components import LocalSets, components
 from .decontam import LOWERED
 from .quality import IS_SPACE
 
-SHINGLE, BANDS, ROWS, SIMILAR, CHUNK = 5, 9, 4, 0.8, 1024
+SHINGLE, BANDS, ROWS, SIMILAR, CHUNK = 6, 9, 4, 0.8, 1024
 IS_INK = ~IS_SPACE
 AHEAD = 4 * SHINGLE + 1  # bytes that hold the code points of one shingle and the next
+MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)  # of the first bytes of a machine word
+STEP = 1 << 16
+LONG = 100_000  # bytes from which a pair of lines is compared by arrays of hashes
 
 
 def line_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -33,20 +37,44 @@ def line_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, ends, of, np.searchsorted(breaks, starts) - np.searchsorted(breaks, offsets[of])
 
 
+def longer_hash(words: np.ndarray, begin: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Hashes of strings of up to 24 bytes from the machine words at every byte."""
+    out = mix((words[begin] & MASKS[np.minimum(sizes, 8)]) + sizes.astype(np.uint64))
+    for k in (8, 16):
+        more = np.flatnonzero(sizes > k)
+        out[more] = mix(out[more] + (words[begin[more] + k] & MASKS[np.minimum(sizes[more] - k, 8)]))
+    return out
+
+
 def shingle_blocks(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(line, hash) of all shingles of SHINGLE code points of the lines [start, end), a block of bytes at a time."""
-    for at in range(0, len(data), BLOCK - AHEAD):
-        part = data[at : at + BLOCK]
-        first, last = np.searchsorted(ends, at, "right"), np.searchsorted(starts, at + BLOCK - AHEAD)
+    """(line, hash) of all shingles of SHINGLE code points of the lines [start, end), a block of bytes at a time.
+
+    Shingles of ASCII are read as a machine word, those with longer characters as up to three.
+    """
+    for at in range(0, len(data), STEP):
+        part = data[at : at + STEP + AHEAD]
+        first, last = np.searchsorted(ends, at, "right"), np.searchsorted(starts, at + STEP)
         if first >= last:
             continue
-        heads = np.flatnonzero((part & 0xC0) != 0x80)
-        own = np.searchsorted(heads, BLOCK - AHEAD)
-        low, high = np.searchsorted(heads, np.maximum(starts[first:last] - at, 0)), np.minimum(np.searchsorted(heads, ends[first:last] - at) - SHINGLE + 1, own)
-        sizes = np.maximum(high - low, 0)
+        padded = np.concatenate([part, np.zeros(32, np.uint8)])
+        words = np.ndarray(len(part) + 24, np.dtype("<u8"), padded, strides=(1,))
+        wide = np.flatnonzero((part & 0xC0) == 0x80)
+        low, high = np.maximum(starts[first:last] - at, 0), np.minimum(ends[first:last] - at, len(part))
+        if len(wide):
+            heads = np.flatnonzero((part & 0xC0) != 0x80)
+            low, high, own = np.searchsorted(heads, low), np.searchsorted(heads, high), np.searchsorted(heads, STEP)
+        else:
+            own = min(STEP, len(part))
+        sizes = np.maximum(np.minimum(high - SHINGLE + 1, own) - low, 0)
         where = np.repeat(low - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
-        heads = np.append(heads, len(part))
-        yield np.repeat(np.arange(first, last), sizes), RangeHash(part)(heads[where], heads[where + SHINGLE])
+        begin = heads[where] if len(wide) else where
+        hashed = mix(words[begin] & np.uint64((1 << 8 * SHINGLE) - 1))
+        if len(wide):
+            end = np.append(heads, len(part))[where + SHINGLE]
+            longer = np.flatnonzero(end - begin > SHINGLE)
+            if len(longer):
+                hashed[longer] = longer_hash(words, begin[longer], (end - begin)[longer])
+        yield np.repeat(np.arange(first, last), sizes), hashed
 
 
 def signatures(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, whole: np.ndarray) -> np.ndarray:
@@ -126,12 +154,29 @@ def shared_batches(words):
     return run
 
 
-def shingles(body: bytes) -> set[int]:
-    """The different shingles of a line, by their hashes."""
+def shingles(body: bytes) -> set[str]:
+    """The different shingles of a line; a shorter line is one itself."""
+    text = body.decode()
+    return {text[i : i + SHINGLE] for i in range(max(1, len(text) - SHINGLE + 1))}
+
+
+def hashed_shingles(body: bytes) -> np.ndarray:
+    """The same as sorted hashes."""
     data = np.frombuffer(body, np.uint8)
-    whole = np.zeros(1, np.int64), np.array([len(data)])
-    found = [x for _, x in shingle_blocks(data, *whole)]
-    return set(np.concatenate(found).tolist() if found and len(found[0]) else RangeHash(data)(*whole).tolist())
+    return np.unique(np.concatenate([x for _, x in shingle_blocks(data, np.zeros(1, np.int64), np.array([len(data)]))]))
+
+
+def similar_lines(a: bytes, b: bytes, bag, similar: float) -> bool:
+    """Exact Jaccard of two lines; `bag` gives the shingles of the shorter kind."""
+    if min(len(a), len(b)) > LONG:
+        x, y = hashed_shingles(a), hashed_shingles(b)
+        both = len(np.intersect1d(x, y, assume_unique=True))
+    else:
+        x, y = bag(a), bag(b)
+        if min(len(x), len(y)) < similar * max(len(x), len(y)):
+            return False
+        both = len(x & y)
+    return both >= similar * (len(x) + len(y) - both)
 
 
 def verify_batches(similar: float):
@@ -139,13 +184,7 @@ def verify_batches(similar: float):
 
     def links(bucket: int, rows: list[tuple]) -> Iterator[tuple[int, int]]:
         lines, chunks, labels, bodies, shared = zip(*rows, strict=True)
-        sets, bags = LocalSets(len(rows)), {}
-
-        def bag(i: int) -> set[int]:
-            if i not in bags:
-                bags[i] = shingles(bodies[i])
-            return bags[i]
-
+        sets, bag = LocalSets(len(rows)), cache(shingles)
         lower = [{x for x in r if x < bucket} for r in shared]
         split = len(set(chunks)) > 1  # two chunks of a large bucket: pairs within one are compared elsewhere
         for i in range(len(rows)):
@@ -153,8 +192,7 @@ def verify_batches(similar: float):
             for j in range(i):
                 if labels[i] == labels[j] or split and chunks[i] == chunks[j] or sets.root(j) == mine or not lower[i].isdisjoint(lower[j]):
                     continue
-                a, b = bag(i), bag(j)
-                if min(len(a), len(b)) >= similar * max(len(a), len(b)) and (both := len(a & b)) >= similar * (len(a) + len(b) - both):
+                if similar_lines(bodies[i], bodies[j], bag, similar):
                     sets.join(i, j)
                     mine = sets.root(i)
                     yield lines[i], lines[j]
@@ -233,7 +271,7 @@ def line_verdicts(docs: DataFrame, similar: float = SIMILAR, chunk: int = CHUNK)
     """(doc_id, tid, line_no, line, component, kept): every line that holds a word, kept where it is its component's first.
 
     Lines are the \\n-split parts of the whole texts, compared with A-Z lower-cased; equal lines are one
-    (by a 64-bit hash), lines at Jaccard `similar` or more over shingles of five code points are linked
+    (by a 64-bit hash), lines at Jaccard `similar` or more over shingles of six code points are linked
     when they share one of 9 bands of 4 (0.8: found with 99 %). The first line by (doc_id, tid, line_no)
     of a component stays, tid being a hash of the text that tells rows with one doc_id apart; NULL
     doc_ids come first. Rows equal in doc_id and text are one document. Lines without a word and NULL or
