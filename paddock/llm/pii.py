@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import hashlib
+import random
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_slices, written
+from .common import shared, text_slices, written
 
 KINDS = ("email", "ip", "card", "phone")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -19,14 +23,14 @@ DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-# generators of further candidates
-LOOSE = {
-    "email": re.compile(r"[A-Za-z0-9._%+-]{1,64}\x20?(?:@|\(at\)|\[at\])\x20?[A-Za-z0-9-]{1,63}(?:\x20?(?:\.|\(dot\)|\[dot\])\x20?[A-Za-z0-9-]{1,63}){0,8}"),
-    "ip": re.compile(r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9])"),
-    "card": re.compile(r"(?<![0-9])[0-9]{4}(?:[\x20.-]?[0-9]{2,6}){2,4}(?![0-9])"),
-    "phone": re.compile(r"(?<![0-9])[(+]?[0-9]{1,4}[)]?(?:[\x20./-]?[(]?[0-9]{2,5}[)]?){2,5}(?![0-9])"),
-}
+# generators of further candidates; every pattern takes time in proportion to the text
+AT = re.compile(r"\x20?(?:@|[(\[{]\x20?(?:at|AT|@)\x20?[)\]}])\x20?")
+LOOSE_DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\x20?(?:\.|[(\[{]\x20?(?:dot|DOT|\.)\x20?[)\]}])\x20?[A-Za-z0-9-]+)*")
+LOOSE_IP = re.compile(r"(?<![0-9.])[0-9]+(?:(?:\x20\.\x20|\.|[(\[](?:\.|dot)[)\]])[0-9]+){3}(?!\.?[0-9])")
+NUMBERS = re.compile(r"[(+]?(?<![0-9])[0-9]+(?:[\x20./()-]+[0-9]+)*")
 CUES = {"email": ("mail", "contact", "write"), "ip": ("ip", "host", "server"), "card": ("card", "visa", "pay"), "phone": ("tel", "phone", "call")}
+# Digits of card numbers (ISO/IEC 7812, from 12 on in use) and of phone numbers (E.164, from 7 on).
+CARD_DIGITS, PHONE_DIGITS = (12, 19), (7, 15)
 
 
 def luhn(digits: str) -> bool:
@@ -57,37 +61,118 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
+def loose_spans(text: str) -> set[tuple[str, int, int]]:
+    """High-recall candidates; spans may overlap."""
+    found, end = set(), 0
+    if "@" in text or "at" in text or "AT" in text:
+        for m in AT.finditer(text):
+            start = m.start()
+            while start > end and text[start - 1] in LOCAL:
+                start -= 1
+            if start < m.start() and (d := LOOSE_DOMAIN.match(text, m.end())):
+                found.add(("email", start, d.end()))
+                end = d.end()
+    if "." in text or "dot" in text:
+        found.update(("ip", m.start(), m.end()) for m in LOOSE_IP.finditer(text))
+    for m in NUMBERS.finditer(text):
+        if m.end() - m.start() < PHONE_DIGITS[0]:
+            continue
+        groups = [(g.start(), g.end()) for g in GROUP.finditer(text, m.start(), m.end())]
+        if PHONE_DIGITS[0] <= sum(b - a for a, b in groups) <= PHONE_DIGITS[1]:
+            found.add(("phone", m.start(), m.end()))
+        for i in range(len(groups)):  # runs of groups, of at most as many groups as a card has digits
+            digits = 0
+            for a, b in groups[i : i + CARD_DIGITS[1]]:
+                digits += b - a
+                if digits > CARD_DIGITS[1]:
+                    break
+                if digits >= CARD_DIGITS[0] and luhn(digits_of(text[groups[i][0] : b])):
+                    found.add(("card", groups[i][0], b))
+    return found
+
+
+GROUP = re.compile("[0-9]+")
+MARKS = ("@", "at)", "at]", "dot)", "dot]", "[.]", ".", "-", " ", "/", "(", "+")
+
+
 def describe(text: str, kind: str, a: int, b: int) -> list[float]:
     """Format, check digit and context of a span."""
     span, before, after = text[a:b], text[max(0, a - 24) : a].lower(), text[b : b + 24].lower()
     d = digits_of(span)
-    groups = [len(x) for x in re.findall("[0-9]+", span)] or [0]
+    parts = GROUP.findall(span) or [""]
+    groups = [len(x) for x in parts]
     cue = [float(any(w in before or w in after for w in CUES[k])) for k in KINDS]
+    low = span.lower()
     return [
-        *[float(kind == k) for k in KINDS], float(len(span)), float(len(d)), len(d) / len(span), float(len(groups)), float(max(groups)), float(min(groups)), float(groups[-1]),
-        float(span.count(".")), float(span.count("-")), float(span.count(" ")), float(span.count("(")), float(before[-1:].isspace() or not before), float(after[:1].isspace() or not after),
-        float(before[-1:].isalnum()), float(len(d) > 1 and luhn(d)), *cue,
+        *[float(kind == k) for k in KINDS], float(len(span)), float(len(d)), len(d) / len(span), float(len(groups)), float(max(groups)), float(min(groups)), float(groups[0]), float(groups[-1]),
+        *[float(low.count(x)) for x in MARKS], float(before[-1:].isspace() or not before), float(after[:1].isspace() or not after), float(before[-1:].isalnum()), float(after[:1].isalnum()),
+        float(len(d) > 1 and luhn(d)), float(max((int(x[:6] or 0) for x in parts), default=0) <= 255), float(d[:1] or -1), float(d[:2] == "00"), *cue, float(before.rstrip()[-1:] in (":", ".")),
     ]
 
 
+def planted(text: str, rng: random.Random) -> tuple[str, list[tuple[str, int, int]]]:
+    """`text` with one made-up, obfuscated datum of each kind, and their spans: what the base rules miss by construction."""
+    word = lambda: "".join(rng.choice("abcdefghijklmnoprstuvwz") for _ in range(rng.randint(3, 9)))
+    number = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    at, dot = rng.choice((" (at) ", "(at)", " [at] ", "[at]", "{at}", " @ ")), rng.choice((" (dot) ", "(dot)", " [dot] ", "[dot]", "."))
+    made = {"email": f"{word()}{rng.choice(('.', '_', ''))}{word()}{at}{word()}{dot}{rng.choice(('com', 'org', 'de', 'net'))}"}
+    made["ip"] = rng.choice(("[.]", "(.)", " . ", "[dot]")).join(str(rng.randint(1, 255)) for _ in range(4))
+    digits = rng.choice("3456") + number(14)
+    digits += next(c for c in "0123456789" if luhn(digits + c))
+    made["card"] = rng.choice((".", "/", "  ", " - ")).join(digits[i : i + 4] for i in (0, 4, 8, 12))
+    made["phone"] = rng.choice((f"0{number(3)} / {number(7)}", f"0{number(3)}-{number(3)}-{number(4)}", f"({rng.choice('23456789')}{number(2)}) {rng.choice('23456789')}{number(2)}-{number(4)}", f"00{rng.randint(20, 98)} {number(3)} {number(3)} {number(3)}"))
+    spans, cuts = [], sorted(rng.choice([m.end() for m in GAP.finditer(text)] or [0]) for _ in KINDS)
+    out, at_ = [], 0
+    for cut, kind in zip(cuts, rng.sample(KINDS, len(KINDS)), strict=True):
+        lead = rng.choice(("", "", rng.choice(CUES[kind]) + " ", rng.choice(CUES[kind]) + ": "))
+        out += [text[at_:cut], f" {lead}"]
+        start = sum(map(len, out))
+        out += [made[kind], " "]
+        spans.append((kind, start, start + len(made[kind])))
+        at_ = cut
+    return "".join([*out, text[at_:]]), spans
+
+
+GAP = re.compile(r"\s")
+STRUCT = "kind: string, start: bigint, end: bigint"
+SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
+
+
+def example_batches(bound: int):
+    """(truth, x) of labelled candidates: planted data, and against them what the generators propose in the texts as they are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in text_slices(batches):
+            truth, x = [], []
+            for text in part.column("text").to_pylist():
+                rng = random.Random(f"plants:{hashlib.sha256((text or '').encode()).hexdigest()}")
+                text, plants = planted(text or "", rng)
+                base = set(base_spans(text))
+                for kind, a, b in sorted(loose_spans(text) - base):
+                    near = [p for p in plants if p[1] < b and a < p[2]]
+                    hit = (kind, a, b) in near
+                    if hit or not near and rng.getrandbits(62) < bound:
+                        truth.append(hit)
+                        x.append(describe(text, kind, a, b))
+            yield pa.RecordBatch.from_arrays([pa.array(truth, pa.bool_()), pa.array(x, pa.list_(pa.float32()))], ["truth", "x"])
+
+    return run
+
+
 def candidate_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kinds = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
-    more = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("truth", pa.bool_()), ("x", pa.list_(pa.float32()))]))
+    more = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("x", pa.list_(pa.float32()))]))
     for part in text_slices(batches):
         bases, candidates = [], []
         for text in part.column("text").to_pylist():
             text = text or ""
             base = base_spans(text)
             bases.append([dict(zip(("kind", "start", "end"), s, strict=True)) for s in base])
-            known, found = set(base), {}
-            for kind, start, end in base:
-                found[kind, start, end] = True
-            for kind, regex in LOOSE.items():
-                if kind != "email" or "@" in text or "at)" in text or "at]" in text:
-                    for m in regex.finditer(text):
-                        found.setdefault((kind, *m.span()), (kind, *m.span()) in known)
-            candidates.append([{"kind": k, "start": a, "end": b, "truth": t, "x": describe(text, k, a, b)} for (k, a, b), t in sorted(found.items())])
-        yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(bases, kinds), pa.array(candidates, more)], ["doc_id", "base", "candidates"])
+            taken = sorted((a, b) for _, a, b in base)
+            starts = [a for a, _ in taken]
+            reach = list(accumulate((b for _, b in taken), max))
+            free = [c for c in sorted(loose_spans(text)) if not (k := bisect_left(starts, c[2])) or reach[k - 1] <= c[1]]
+            candidates.append([{"kind": k, "start": a, "end": b, "x": describe(text, k, a, b)} for k, a, b in free])
+        yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(bases, SPANS), pa.array(candidates, more)], ["doc_id", "base", "candidates"])
 
 
 class BoostedTrees:
@@ -139,14 +224,15 @@ class BoostedTrees:
 
 
 def thresholds(kind: np.ndarray, p: np.ndarray, truth: np.ndarray, precision: float) -> dict[str, float]:
-    """Per kind the least probability above which held-out candidates are right with the asked precision."""
+    """Per kind the least probability above which held-out candidates are right with the asked precision; one without any is never added."""
     out = {}
     for k, name in enumerate(KINDS):
         mine = kind == k
         by = np.argsort(-p[mine], kind="stable")
         right = np.cumsum(truth[mine][by]) / np.arange(1, len(by) + 1)
         good = np.flatnonzero(right >= precision)
-        out[name] = float(max(0.5, p[mine][by][good[-1]])) if len(good) else 2.0
+        below = p[mine][by][good[-1] + 1 :][:1] if len(good) else p[:0]  # halfway to the next one that isn't wanted; none: half
+        out[name] = float(max(0.5, (p[mine][by][good[-1]] + below[0]) / 2 if len(below) else 0.5)) if len(good) else 2.0
     return out
 
 
@@ -161,25 +247,26 @@ def fit(sample: list, precision: float) -> tuple[BoostedTrees, dict[str, float]]
 
 
 def choose_batches(model):
-    """Base spans, and what the trees add where it overlaps neither those nor a likelier addition."""
+    """Base spans, and what the trees add where it overlaps no likelier addition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spans = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
         for part in batches:
-            base, candidates = part.column("base").to_pylist(), part.column("candidates").to_pylist()
-            flat = [(k, c) for k, some in enumerate(candidates) for c in some if not c["truth"]]
-            added: list[list[dict]] = [[] for _ in base]
-            if model.value and flat:
+            candidates = part.column("candidates").to_pylist()
+            every = [(k, c) for k, some in enumerate(candidates) for c in some]
+            added: list[list[dict]] = [[] for _ in candidates]
+            if model.value and every:
                 trees, least = model.value
-                p = trees.probability(np.array([c["x"] for _, c in flat], float))
-                taken = [[(s["start"], s["end"]) for s in x] for x in base]
-                for i in np.lexsort(([c["start"] for _, c in flat], -p)).tolist():
-                    k, c = flat[i]
-                    if p[i] >= least[c["kind"]] and all(c["end"] <= a or b <= c["start"] for a, b in taken[k]):
-                        taken[k].append((c["start"], c["end"]))
-                        added[k].append({"kind": f"likely_{c['kind']}", "start": c["start"], "end": c["end"]})
+                p = trees.probability(np.array([c["x"] for _, c in every], float))
+                taken: list[list[tuple[int, int]]] = [[] for _ in candidates]  # sorted, separate
+                for i in np.lexsort(([c["start"] for _, c in every], -p)).tolist():
+                    k, c = every[i]
+                    if p[i] >= least[c["kind"]]:
+                        at = bisect_left(taken[k], (c["start"], c["end"]))
+                        if (not at or taken[k][at - 1][1] <= c["start"]) and (at == len(taken[k]) or c["end"] <= taken[k][at][0]):
+                            taken[k].insert(at, (c["start"], c["end"]))
+                            added[k].append({"kind": f"likely_{c['kind']}", "start": c["start"], "end": c["end"]})
             added = [sorted(x, key=lambda s: (KINDS.index(s["kind"][7:]), s["start"])) for x in added]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(base, spans), pa.array(added, spans)], ["doc_id", "base", "added"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("base"), pa.array(added, SPANS)], ["doc_id", "base", "added"])
 
     return run
 
@@ -187,24 +274,33 @@ def choose_batches(model):
 def find_pii(docs: DataFrame, sample_rows: int = 20_000, precision: float = 0.95) -> DataFrame:
     """(doc_id, base, added): spans in code points for every row of `docs`.
 
-    Candidates that a base rule confirms are the labels. The trees are fitted on `sample_rows` of them at
-    most, those with the least hash, so the sample is bounded and the same in every run; all candidates
-    of all texts are scored. Thresholds reach `precision` on held-out candidates. NULL and empty texts
-    have no spans; repeated rows are judged each; too few candidates to fit: base spans only. An empty
-    table gives an empty result. Other columns are ignored.
+    The trees learn from made-up data in obfuscated forms, which the base rules miss, planted in a sample
+    of the texts by hash: those are the positive labels, and what the generators propose elsewhere in the
+    sample the negative ones. Of both some `sample_rows` at most are expected; the draw depends on the
+    texts alone, so every run has the same. All candidates of all texts are scored. Thresholds by kind reach
+    `precision` on held-out labels. NULL and empty texts have no spans; repeated rows are judged each;
+    too few labels to fit: base spans only. An empty table gives an empty result. Other columns are
+    ignored. A text of any length is taken whole.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    span = "kind: string, start: bigint, end: bigint"
-    found = written(docs.select("doc_id", "text").mapInArrow(candidate_batches, f"doc_id {kind}, base array<struct<{span}>>, candidates array<struct<{span}, truth: boolean, x: array<float>>>"), "candidates")
-    each = found.select("doc_id", F.explode("candidates").alias("c")).select("doc_id", "c.*")
-    sample = each.withColumn("h", F.xxhash64("doc_id", "kind", "start", "end")).orderBy("h", "doc_id", "start").limit(sample_rows).select("truth", "x").collect()
-    model = docs.sparkSession.sparkContext.broadcast(fit(sample, precision))
-    return found.mapInArrow(choose_batches(model), f"doc_id {kind}, base array<struct<{span}>>, added array<struct<{span}>>")
+    found = written(docs.select("doc_id", "text").mapInArrow(candidate_batches, f"doc_id {kind}, base array<struct<{STRUCT}>>, candidates array<struct<{STRUCT}, x: array<float>>>"), "candidates")
+    rows, proposed = found.agg(F.count("*"), F.coalesce(F.sum(F.size("candidates")), F.lit(0))).first()
+    half = sample_rows // 2
+    share = min(1.0, half / max(1, rows * len(KINDS)))
+    chosen = docs.select("text").where(F.abs(F.xxhash64("text", F.lit("plants")) % 1_000_000_007) < int(1_000_000_007 * share) + (share == 1))
+    bound = int(min(1.0, half / max(1, proposed * share)) * (1 << 62))
+    labelled = chosen.mapInArrow(example_batches(bound), "truth boolean, x array<float>").collect()
+    labelled.sort(key=lambda r: (r["x"], r["truth"]))
+    model = shared(docs.sparkSession, fit([labelled[i] for i in np.random.default_rng(5).permutation(len(labelled))], precision))
+    return found.mapInArrow(choose_batches(model), f"doc_id {kind}, base array<struct<{STRUCT}>>, added array<struct<{STRUCT}>>")
 
 
 def pii_report(docs: DataFrame, **how) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans for every row."""
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added, n_found for every row."""
     text = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
     found = find_pii(docs, **how)
     of = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
-    return found.select("doc_id", *[of(k).alias(f"n_{k}") for k in KINDS], F.sha2(text(F.col("base")), 256).alias("base_sha256"), text(F.concat("base", "added")).alias("spans"))
+    added = F.size("added").cast("long")
+    return found.select(
+        "doc_id", *[of(k).alias(f"n_{k}") for k in KINDS], F.sha2(text(F.col("base")), 256).alias("base_sha256"), text(F.concat("base", "added")).alias("spans"), added.alias("n_added"), (F.size("base") + added).alias("n_found")
+    )

@@ -1,6 +1,7 @@
 """The text operators against brute force, on awkward rows and on the small tables."""
 
 import hashlib
+import random
 import re
 import subprocess
 import sys
@@ -302,6 +303,31 @@ def test_pii(spark, docs):
         assert got[r.doc_id].base_sha256 == hashlib.sha256(want.encode()).hexdigest()
 
 
+def test_pii_finds_obfuscated_data(spark, docs):
+    """Plants of another draw than those the trees learn from, in every eighth text: nearly all are added, and little else is."""
+    rng, rows, plants = random.Random(11), [], {}
+    for r in docs.collect():
+        text, plants[r.doc_id] = pii.planted(r.text or "", rng) if r.doc_id % 8 == 0 else (r.text, [])
+        rows.append((r.doc_id, text))
+    got = {r.doc_id: r.added for r in pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    hit = dict.fromkeys(pii.KINDS, 0)
+    for d, some in plants.items():
+        for kind, a, b in some:
+            hit[kind] += any(s.kind == f"likely_{kind}" and s.start < b and a < s.end for s in got[d])
+    assert all(n >= 0.9 * sum(map(bool, plants.values())) for n in hit.values()), hit
+    extra = sum(not any(a < s.end and s.start < b for _, a, b in plants[d]) for d, some in got.items() for s in some)
+    assert extra <= 0.1 * len(plants), extra
+
+
+def test_pii_long_runs(spark):
+    """Time grows in proportion to a run."""
+    began = time.time()
+    for text in ("9" * 300_000, "1 " * 200_000, "a" * 500_000 + "@", "1.2.3." * 100_000, "x (at) " * 50_000):
+        pii.loose_spans(text)
+        pii.base_spans(text)
+    assert time.time() - began < 20
+
+
 def test_trees_learn():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(2000, 4))
