@@ -223,27 +223,30 @@ class BoostedTrees:
         return 1 / (1 + np.exp(-(self.bias + sum(self.leaves(t, binned) for t in self.trees))))
 
 
-def thresholds(kind: np.ndarray, p: np.ndarray, truth: np.ndarray, precision: float) -> dict[str, float]:
-    """Per kind the least probability above which held-out candidates are right with the asked precision; one without any is never added."""
+def thresholds(kind: np.ndarray, p: np.ndarray, truth: np.ndarray, recall: float) -> dict[str, float]:
+    """Per kind a probability that `recall` of the held-out plants reach, halfway to the likeliest other candidate below; 0.5 at least.
+
+    Precision can't be the measure: some of the other candidates are personal data that nobody labelled.
+    """
     out = {}
     for k, name in enumerate(KINDS):
-        mine = kind == k
-        by = np.argsort(-p[mine], kind="stable")
-        right = np.cumsum(truth[mine][by]) / np.arange(1, len(by) + 1)
-        good = np.flatnonzero(right >= precision)
-        below = p[mine][by][good[-1] + 1 :][:1] if len(good) else p[:0]  # halfway to the next one that isn't wanted; none: half
-        out[name] = float(max(0.5, (p[mine][by][good[-1]] + below[0]) / 2 if len(below) else 0.5)) if len(good) else 2.0
+        good, other = p[(kind == k) & truth], p[(kind == k) & ~truth]
+        if not len(good):
+            out[name] = 2.0
+            continue
+        reached = float(np.quantile(good, 1 - recall, method="lower"))
+        out[name] = max(0.5, (reached + max(other[other < reached], default=0.0)) / 2)
     return out
 
 
-def fit(sample: list, precision: float) -> tuple[BoostedTrees, dict[str, float]] | None:
+def fit(sample: list, recall: float) -> tuple[BoostedTrees, dict[str, float]] | None:
     """Trees on two thirds of a labelled sample, thresholds on the rest."""
     if len(sample) < 30 or len({r["truth"] for r in sample}) < 2:
         return None
     x, y = np.array([r["x"] for r in sample], float), np.array([r["truth"] for r in sample], float)
     held = np.arange(len(y)) % 3 == 0
     trees = BoostedTrees(x[~held], y[~held])
-    return trees, thresholds(x[held, :4].argmax(axis=1), trees.probability(x[held]), y[held], precision)
+    return trees, thresholds(x[held, :4].argmax(axis=1), trees.probability(x[held]), y[held] > 0, recall)
 
 
 def choose_batches(model):
@@ -271,14 +274,14 @@ def choose_batches(model):
     return run
 
 
-def find_pii(docs: DataFrame, sample_rows: int = 20_000, precision: float = 0.95) -> DataFrame:
+def find_pii(docs: DataFrame, sample_rows: int = 20_000, recall: float = 0.97) -> DataFrame:
     """(doc_id, base, added): spans in code points for every row of `docs`.
 
     The trees learn from made-up data in obfuscated forms, which the base rules miss, planted in a sample
     of the texts by hash: those are the positive labels, and what the generators propose elsewhere in the
     sample the negative ones. Of both some `sample_rows` at most are expected; the draw depends on the
-    texts alone, so every run has the same. All candidates of all texts are scored. Thresholds by kind reach
-    `precision` on held-out labels. NULL and empty texts have no spans; repeated rows are judged each;
+    texts alone, so every run has the same. All candidates of all texts are scored. Thresholds by kind keep
+    `recall` of held-out plants. NULL and empty texts have no spans; repeated rows are judged each;
     too few labels to fit: base spans only. An empty table gives an empty result. Other columns are
     ignored. A text of any length is taken whole.
     """
@@ -291,7 +294,7 @@ def find_pii(docs: DataFrame, sample_rows: int = 20_000, precision: float = 0.95
     bound = int(min(1.0, half / max(1, proposed * share)) * (1 << 62))
     labelled = chosen.mapInArrow(example_batches(bound), "truth boolean, x array<float>").collect()
     labelled.sort(key=lambda r: (r["x"], r["truth"]))
-    model = shared(docs.sparkSession, fit([labelled[i] for i in np.random.default_rng(5).permutation(len(labelled))], precision))
+    model = shared(docs.sparkSession, fit([labelled[i] for i in np.random.default_rng(5).permutation(len(labelled))], recall))
     return found.mapInArrow(choose_batches(model), f"doc_id {kind}, base array<struct<{STRUCT}>>, added array<struct<{STRUCT}>>")
 
 

@@ -314,7 +314,7 @@ def test_pii_finds_obfuscated_data(spark, docs):
     for d, some in plants.items():
         for kind, a, b in some:
             hit[kind] += any(s.kind == f"likely_{kind}" and s.start < b and a < s.end for s in got[d])
-    assert all(n >= 0.9 * sum(map(bool, plants.values())) for n in hit.values()), hit
+    assert sum(hit.values()) >= 0.9 * sum(map(len, plants.values())) and min(hit.values()) > 0.8 * sum(map(bool, plants.values())), hit
     extra = sum(not any(a < s.end and s.start < b for _, a, b in plants[d]) for d, some in got.items() for s in some)
     assert extra <= 0.1 * len(plants), extra
 
