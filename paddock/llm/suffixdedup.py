@@ -22,8 +22,10 @@ from pyspark.sql import functions as F
 from .common import RangeHash, bloom, flat, gram_hash, may_hold, mix, partitions, text_slices, written
 from .quality import repeated
 
-LENGTH, SHARD, HOT = 100, 20_000, 200_000
-PLACE = 28  # bits of a position within a slice of texts
+LENGTH, SHARD, HOT = 100, 6_000, 200_000
+PIECE = 1 << 20  # bytes from which a slice is taken in overlapping pieces
+PLACE = 24  # bits of a position within a piece
+ROWS = 1 << 20  # rows of the transform's columns read at once
 
 
 def gram_of(length: int) -> int:
@@ -55,10 +57,23 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndar
     return grams[at[first]], window[first], owned, of[window[first]], at[first] - window[first]
 
 
+def pieces(column: pa.Array, length: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """(bytes, offsets, place of each text's first byte within it, its row): the texts at once, or a long one in pieces that share all but the first windows."""
+    data, offsets = flat(column)
+    if len(data) <= PIECE:
+        yield data, offsets, np.zeros(len(column), np.int64), np.arange(len(column))
+        return
+    for row, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
+        for at in range(0, max(1, b - a - length + 1), PIECE):
+            part = data[a + at : min(b, a + at + PIECE + length - 1)]
+            yield part, np.array([0, len(part)]), np.array([at]), np.array([row])
+
+
 def count_batches(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches):
-            found, times = np.unique(anchors(*flat(part.column("text")), length)[0], return_counts=True)
+            found = [anchors(data, offsets, length)[0] for data, offsets, _, _ in pieces(part.column("text"), length)]
+            found, times = np.unique(np.concatenate(found), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(times)], ["anchor", "n"])
 
     return run
@@ -79,21 +94,21 @@ def segment_batches(length: int, words, bodies: bool = False, digests: bool = Tr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches):
-            data, offsets = flat(part.column("text"))
-            found = anchors(data, offsets, length)
-            key = found[0].view(np.int64)
-            if bodies:
-                key = part.column("key").to_numpy()[found[3]] ^ ((found[1] - offsets[found[3]]) * STEP)
-            may = np.flatnonzero(may_hold(words.value, key))
-            hashed, first, owned, of, lead = (x[may] for x in found)
-            start, where = first - offsets[of], pa.array(of)
-            columns = [part.column("doc_id").take(where), part.column("tid").take(where), pa.array(hashed.view(np.int64)), pa.array(start), pa.array(owned), pa.array(lead)]
-            names = ["doc_id", "tid", "anchor", "start", "owned", "lead"]
-            if bodies or digests:
-                body = [data[a:b].tobytes() for a, b in zip(first.tolist(), (first + owned + length - 1).tolist(), strict=True)]
-                columns.append(pa.array(body if bodies else [digest(x) for x in body], pa.binary()))
-                names.append("body" if bodies else "digest")
-            yield pa.RecordBatch.from_arrays(columns, names)
+            for data, offsets, base, row in pieces(part.column("text"), length):
+                found = anchors(data, offsets, length)
+                key, place = found[0].view(np.int64), base[found[3]] + found[1] - offsets[found[3]]
+                if bodies:
+                    key = part.column("key").to_numpy()[row[found[3]]] ^ (place * STEP)
+                may = np.flatnonzero(may_hold(words.value, key))
+                hashed, first, owned, of, lead = (x[may] for x in found)
+                where = pa.array(row[of])
+                columns = [part.column("doc_id").take(where), part.column("tid").take(where), pa.array(hashed.view(np.int64)), pa.array(place[may]), pa.array(owned), pa.array(lead)]
+                names = ["doc_id", "tid", "anchor", "start", "owned", "lead"]
+                if bodies or digests:
+                    body = [data[a:b].tobytes() for a, b in zip(first.tolist(), (first + owned + length - 1).tolist(), strict=True)]
+                    columns.append(pa.array(body if bodies else [digest(x) for x in body], pa.binary()))
+                    names.append("body" if bodies else "digest")
+                yield pa.RecordBatch.from_arrays(columns, names)
 
     return run
 
@@ -121,80 +136,146 @@ def cut_segments(length: int):
 class CollectionBWT:
     """Transform and common prefixes of a collection, grown by one symbol of each string a round.
 
-    The columns (symbol before, common prefix with the row above, string and suffix length) are files
-    that each round reads from front to back and writes anew. Strings have 127 symbols at most, a collection 2 ** 24 strings.
+    The columns (symbol before, common prefix with the row above, string and suffix length) are files.
+    A round reads them from front to back twice, `rows` at a time, and writes them anew: first it finds
+    where the live strings' longer suffixes go, then it merges those in. In memory are one block, what
+    each symbol carries from block to block, and the live strings with their places.
     """
 
-    COLUMNS = (("bwt", np.uint8), ("lcp", np.uint8), ("suffix", np.int32))
-
-    def __init__(self, data: np.ndarray, sizes: np.ndarray, folder: str):
-        self.folder, self.turn = Path(folder), 0
+    def __init__(self, data: np.ndarray, sizes: np.ndarray, folder: str, rows: int = ROWS):
+        self.folder, self.turn, self.rows = Path(folder), 0, rows
         symbols = np.unique(data)
-        if len(symbols) > 255 or sizes.max(initial=0) > 127 or len(sizes) >= 1 << 24:
-            raise ValueError("too many symbols or strings")
+        if len(symbols) > 255:
+            raise ValueError("255 different bytes at most; UTF-8 has fewer")
+        longest = int(sizes.max(initial=0))
+        self.bits = longest.bit_length()
+        kind = np.uint8 if longest < 255 else np.uint16 if longest < 65535 else np.uint32
+        self.columns = {"bwt": np.uint8, "lcp": kind, "suffix": np.int32 if len(sizes) << self.bits < 1 << 31 else np.int64}
         code = np.zeros(256, np.uint8)
         code[symbols] = np.arange(1, len(symbols) + 1)
         coded, last = code[data], np.cumsum(sizes) - 1
-        n = len(sizes)
+        n = self.n = self.size = len(sizes)
         before = lambda live, k: np.where(sizes[live] > k, coded[np.maximum(last[live] - k, 0)], 0).astype(np.uint8)
         at = live = np.arange(n)
-        self.write(before(live, 0), np.zeros(n, np.uint8), (live << 7).astype(np.int32))
-        for k in range(1, int(sizes.max(initial=0)) + 1):
+        self.counts = np.zeros(len(symbols) + 1, np.int64)  # of each symbol in the transform
+        first = before(live, 0)
+        self.add(first)
+        for name, column in zip(self.columns, (first, np.zeros(n), live << self.bits), strict=True):
+            column.astype(self.columns[name]).tofile(self.folder / f"{name}{self.turn}")
+        for k in range(1, longest + 1):
             still = sizes[live] >= k
-            live, at = self.insert(n, k, live[still], at[still], before)
+            live, at = self.insert(k, live[still], at[still], before)
 
-    def read(self, name: str) -> np.ndarray:
-        return np.fromfile(self.folder / f"{name}{self.turn}", dict(self.COLUMNS)[name])
+    def add(self, symbols: np.ndarray) -> None:
+        self.counts += np.bincount(symbols, minlength=len(self.counts))
 
-    def write(self, *columns: np.ndarray) -> None:
-        self.turn ^= 1
-        for (name, _), column in zip(self.COLUMNS, columns, strict=True):
-            column.tofile(self.folder / f"{name}{self.turn}")
+    def read(self, *names: str) -> Iterator[tuple[int, list[np.ndarray]]]:
+        """(first row, columns) block by block."""
+        files = [open(self.folder / f"{name}{self.turn}", "rb") for name in names]
+        try:
+            for low in range(0, self.size, self.rows):
+                yield low, [np.fromfile(f, self.columns[name], min(self.rows, self.size - low)) for f, name in zip(files, names, strict=True)]
+        finally:
+            for f in files:
+                f.close()
 
-    def insert(self, n: int, k: int, live: np.ndarray, at: np.ndarray, before) -> tuple[np.ndarray, np.ndarray]:
+    def whole(self, name: str) -> np.ndarray:
+        return np.concatenate([x for _, (x,) in self.read(name)]) if self.size else np.zeros(0, self.columns[name])
+
+    def insert(self, k: int, live: np.ndarray, at: np.ndarray, before) -> tuple[np.ndarray, np.ndarray]:
         """Insert the suffixes of length k of the live strings, whose shorter ones are at the rising rows `at`."""
-        bwt, lcp = self.read("bwt"), self.read("lcp")
-        order = np.argsort(bwt, kind="stable").astype(np.int32)
-        rank = np.empty(len(bwt), np.int32)
-        rank[order] = np.arange(len(bwt), dtype=np.int32)
-        ends = int((bwt == 0).sum())
-        r, symbol = rank[at].astype(np.int64), bwt[at]
-        new = n + r - ends
-        above, below = order[np.maximum(r - 1, 0)].astype(np.int64), order[np.minimum(r + 1, len(order) - 1)].astype(np.int64)
-        has_above, has_below = (r > 0) & (bwt[above] == symbol), (r + 1 < len(order)) & (bwt[below] == symbol)
-        ext = np.concatenate([lcp, [0]]).astype(np.uint8)
-
-        def least(low: np.ndarray, high: np.ndarray) -> np.ndarray:
-            """The least common prefix of the rows low .. high - 1; ranges in order, so that gaps between them add up to the whole at most."""
-            by = np.argsort(low, kind="stable")
-            out = np.empty(len(low), np.uint8)
-            if len(low):
-                out[by] = np.minimum.reduceat(ext, np.stack([low[by], high[by]], axis=1).reshape(-1))[::2]
-            return out
-
-        kept = np.ones(len(bwt) + len(new), bool)
-        kept[new] = False
-
-        def grown(old: np.ndarray, fresh: np.ndarray) -> np.ndarray:
-            out = np.empty(len(kept), old.dtype)
-            out[kept] = old
-            out[new] = fresh
-            return out
-
-        prefix = np.zeros(len(new), np.uint8)
-        prefix[has_above] = least(above[has_above] + 1, at[has_above] + 1) + 1
-        lcp = grown(lcp, prefix)
-        lcp[new[has_below] + 1] = least(at[has_below] + 1, below[has_below] + 1) + 1
-        self.write(grown(bwt, before(live, k)), lcp, grown(self.read("suffix"), (live << 7 | k).astype(np.int32)))
+        rank, above, below = self.places(at)
+        new = self.n + rank - self.counts[0]
         by = np.argsort(new)
-        return live[by], new[by]
+        live, new, above, below = live[by], new[by], above[by], below[by]
+        self.merge(new, before(live, k), live << self.bits | k, above, below)
+        return live, new
+
+    def places(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For the rows `at`: rank by symbol and row, and the common prefixes of the longer suffix with those above and below it (-1: none)."""
+        starts = np.cumsum(self.counts) - self.counts
+        none = np.iinfo(np.int64).max
+        held, since = np.zeros(len(starts), np.int64), np.full(len(starts), -1, np.int64)  # occurrences so far; least prefix since the last
+        waiting, ahead = np.full(len(starts), -1), np.zeros(len(starts), np.int64)  # the live row that waits for a next occurrence; least prefix since
+        rank, above, below = np.empty(len(at), np.int64), np.full(len(at), -1, np.int64), np.full(len(at), -1, np.int64)
+        cuts = np.searchsorted(at, np.arange(0, self.size + self.rows, self.rows))
+        for block, (low, (bwt, lcp)) in enumerate(self.read("bwt", "lcp")):
+            mine = slice(cuts[block], cuts[block + 1])
+            here, size = at[mine] - low, len(bwt)
+            order = np.argsort(bwt, kind="stable").astype(np.int32)
+            place = np.empty(size, np.int32)
+            place[order] = np.arange(size, dtype=np.int32)
+            times = np.bincount(bwt, minlength=len(starts))
+            first = np.cumsum(times) - times
+            r, symbol = place[here].astype(np.int64), bwt[here]
+            rank[mine] = starts[symbol] + held[symbol] + r - first[symbol]
+            up, down = order[np.maximum(r - 1, 0)].astype(np.int64), order[np.minimum(r + 1, size - 1)].astype(np.int64)
+            has_up, has_down = r > first[symbol], r + 1 < first[symbol] + times[symbol]
+            ext = np.append(lcp, lcp.dtype.type(0))
+
+            def least(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+                """The least of the rows a .. b - 1; ranges in order, so that gaps between them add up to the block at most."""
+                by = np.argsort(a, kind="stable")
+                out = np.empty(len(a), np.int64)
+                if len(a):
+                    out[by] = np.minimum.reduceat(ext, np.stack([a[by], b[by]], axis=1).reshape(-1))[::2]  # noqa: B023
+                return out
+
+            over, under = np.full(len(here), -1, np.int64), np.full(len(here), -1, np.int64)
+            over[has_up] = least(up[has_up] + 1, here[has_up] + 1)
+            under[has_down] = least(here[has_down] + 1, down[has_down] + 1)
+            if self.size > size:  # more blocks than one: what symbols carry over the edges
+                fore, back = np.minimum.accumulate(lcp).astype(np.int64), np.append(np.minimum.accumulate(lcp[::-1])[::-1].astype(np.int64), none)
+                early = np.flatnonzero(~has_up & (since[symbol] >= 0))
+                over[early] = np.minimum(since[symbol[early]], fore[here[early]])
+                some = np.flatnonzero(times)
+                head, tail = order[first[some]], order[first[some] + times[some] - 1]
+                met = waiting[some] >= 0
+                below[waiting[some[met]]] = np.minimum(ahead[some[met]], fore[head[met]])
+                waiting[some] = -1
+                ahead = np.minimum(ahead, fore[-1])
+                last = np.flatnonzero(~has_down)
+                waiting[symbol[last]], ahead[symbol[last]] = last + cuts[block], back[here[last] + 1]
+                since = np.where(since >= 0, np.minimum(since, fore[-1]), since)
+                since[some] = back[tail.astype(np.int64) + 1]
+            held += times
+            above[mine], below[mine] = over, under
+        return rank, above, below
+
+    def merge(self, new: np.ndarray, symbols: np.ndarray, suffixes: np.ndarray, above: np.ndarray, below: np.ndarray) -> None:
+        """Write the columns with the new rows; the prefix of a row below a new one changes, too."""
+        old = new - np.arange(len(new))  # before which old row each new one goes
+        after = np.flatnonzero((below >= 0) & (np.append(new[1:], -1) != new + 1))  # the row below is an old one
+        fresh = np.where(above >= 0, above + 1, 0)
+        follow = np.flatnonzero((below[:-1] >= 0) & (new[1:] == new[:-1] + 1)) if len(new) else after
+        fresh[follow + 1] = below[follow] + 1
+        values = dict(zip(self.columns, (symbols, fresh, suffixes), strict=True))
+        files = {name: open(self.folder / f"{name}{self.turn ^ 1}", "wb") for name in self.columns}
+        for low, block in self.read(*self.columns):
+            size = len(block[0])
+            a, b = np.searchsorted(old, low), np.searchsorted(old, low + size) if low + size < self.size else len(old)
+            at = new[a:b] - (low + a)
+            kept = np.ones(size + b - a, bool)
+            kept[at] = False
+            for name, column in zip(self.columns, block, strict=True):
+                if name == "lcp":
+                    changed = after[(old[after] >= low) & (old[after] < low + size)]
+                    column[old[changed] - low] = below[changed] + 1
+                out = np.empty(len(kept), column.dtype)
+                out[kept] = column
+                out[at] = values[name][a:b]
+                out.tofile(files[name])
+        for f in files.values():
+            f.close()
+        self.turn, self.size = self.turn ^ 1, self.size + len(new)
+        self.add(symbols)
 
     def repeats(self, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(class, string, suffix length) of the suffixes that share a prefix of `length` or more with another."""
-        deep = self.read("lcp") >= length
+        deep = self.whole("lcp") >= length
         rows = np.flatnonzero(deep | np.concatenate([deep[1:], [False]]))
-        suffix = self.read("suffix")[rows]
-        return np.cumsum(~deep)[rows], suffix.astype(np.int64) >> 7, suffix.astype(np.int64) & 127
+        suffix = self.whole("suffix")[rows].astype(np.int64)
+        return np.cumsum(~deep)[rows], suffix >> self.bits, suffix & ((1 << self.bits) - 1)
 
 
 def shard_batches(length: int, shard: int):
@@ -308,6 +389,28 @@ def collapsed(segments: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
     return later.select("doc_id", "tid", "start", (F.col("owned") + length - 1).alias("size")), firsts.select("anchor", *kept, "at.*")
 
 
+def parted(segments: DataFrame, length: int, windows: bool) -> DataFrame:
+    """Segments of hot anchors cut up, each part with an anchor of its own that equal windows share.
+
+    Every window holds its anchor with the `side` bytes before it or else with those after it: the
+    windows of a segment with the former make one part, the rest another, and those bytes join the
+    anchor's hash. With `windows` each window is a part.
+    """
+    gram = gram_of(length)
+    side = (length - gram) // 2
+    lead, owned = F.col("lead"), (F.octet_length("body") - length + 1).cast("long")
+    part = lambda a, n, context, name: F.struct(a.cast("long").alias("a"), n.cast("long").alias("n"), F.xxhash64("anchor", F.lit(name), context).alias("key"))
+    cut = lambda at, n: F.substring("body", (at + 1).cast("int"), n)
+    if windows:
+        parts = F.transform(F.sequence(F.lit(0).cast("long"), owned - 1), lambda k: part(k, F.lit(1), cut(k, F.lit(length)), "window"))
+    else:
+        before = F.least(owned, F.greatest(lead - side + 1, F.lit(0)))
+        parts = F.array(part(F.lit(0), before, cut(lead - side, F.lit(side)), "before"), part(before, owned - before, cut(lead + gram, F.lit(side)), "after"))
+    each = segments.select("*", F.explode(parts).alias("p")).where("p.n > 0")
+    body = F.substring("body", (F.col("p.a") + 1).cast("int"), (F.col("p.n") + length - 1).cast("int"))
+    return each.select("doc_id", "tid", F.col("p.key").alias("anchor"), (F.col("start") + F.col("p.a")).alias("start"), F.col("p.n").alias("owned"), (lead - F.col("p.a")).alias("lead"), F.md5(body).cast("binary").alias("digest"), body.alias("body"))
+
+
 def repeated_spans(texts: DataFrame, length: int = LENGTH, most_bits: int = 1 << 27, hot: int = HOT, shard: int = SHARD) -> DataFrame:
     """texts(doc_id, tid, text) -> (doc_id, tid, start, size): byte spans covered by windows that start earlier elsewhere."""
     kind, n = texts.schema["doc_id"].dataType.simpleString(), partitions(texts.sparkSession)
@@ -329,16 +432,23 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, most_bits: int = 1 <<
     key = F.xxhash64("doc_id", "tid")
     wanted = firsts.join(by_anchor, "anchor", "left_semi").select(key.bitwiseXOR(F.col("start") * STEP).alias("key"))
     bodies = texts.withColumn("key", key).mapInArrow(segment_batches(length, bloom(wanted, most_bits), bodies=True), f"{narrow}, body binary")
-    # an anchor with very many different segments is dealt out by whole windows
-    large = by_anchor.where(F.col("count") > hot).select("anchor")
-    windows = bodies.join(large, "anchor").withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("owned") - 1)))
-    window = F.substring("body", F.col("k").cast("int") + 1, F.lit(length))
-    dealt = windows.select("doc_id", "tid", F.xxhash64("anchor", window).alias("anchor"), (F.col("start") + F.col("k")).alias("start"), F.lit(1).cast("long").alias("owned"), (F.col("lead") - F.col("k")).alias("lead"), F.md5(window).cast("binary").alias("digest"), window.alias("body"))
-    more, singles = collapsed(written(dealt, "windows"), length)
-    rest = bodies.join(large, "anchor", "left_anti").select("anchor", "body", "lead", "doc_id", "start", "tid").unionByName(singles.drop("owned"))
+    # an anchor with very many different segments is split by what stands beside it, and what is hot still, by whole windows
+    large = written(by_anchor.where(F.col("count") > hot).select("anchor"), "large")
+    columns = ["anchor", "body", "lead", "doc_id", "start", "tid"]
+    rest, spans = bodies.join(large, "anchor", "left_anti").select(columns), copies
+    hotter = bodies.join(large, "anchor", "left_semi").select(columns)
+    for kind_of in ("side", "window"):
+        more, firsts = collapsed(written(parted(hotter, length, kind_of == "window"), kind_of), length)
+        spans = spans.unionByName(more)
+        if kind_of == "side":
+            still = written(firsts.groupBy("anchor").count().where(F.col("count") > hot).select("anchor"), "still")
+            rest = rest.unionByName(firsts.join(still, "anchor", "left_anti").select(columns))
+            hotter = firsts.join(still, "anchor", "left_semi").select(columns)
+        else:
+            rest = rest.unionByName(firsts.select(columns))
     rest = rest.repartition(n, "anchor").sortWithinPartitions("anchor")
     same = rest.mapInArrow(shard_batches(length, shard), f"doc_id {kind}, tid bigint, start bigint, size bigint")
-    return copies.unionByName(more).unionByName(same)
+    return spans.unionByName(same)
 
 
 def plain_batches(words):

@@ -105,7 +105,7 @@ def test_components(spark):
     assert got == {k: 0 for k in range(41)} | {50: 50, 51: 50, 52: 50}
 
 
-@pytest.mark.parametrize("how", [{}, {"most_bits": 1 << 12}, {"hot": 2, "shard": 5}])
+@pytest.mark.parametrize("how", [{}, {"most_bits": 1 << 12}, {"hot": 2, "shard": 5}, {"hot": 0}])
 def test_suffix_dedup(spark, how):
     rng = np.random.default_rng(1)
     pieces = ["".join(rng.choice(list("abcdé "), 70)) for _ in range(12)]
@@ -116,15 +116,42 @@ def test_suffix_dedup(spark, how):
     assert {r.doc_id: (r.n_removed, r.n_spans, r.kept_sha256) for r in rows} == want
 
 
-def test_transform_is_sorted(tmp_path):
+@pytest.mark.parametrize("rows", [1 << 20, 37, 4, 1])
+def test_transform_is_sorted(tmp_path, rows):
+    """Whatever the blocks in which the columns are read."""
     rng = np.random.default_rng(5)
     strings = [bytes(rng.integers(97, 100, rng.integers(1, 30)).astype(np.uint8)) for _ in range(50)]
-    bwt = suffixdedup.CollectionBWT(np.frombuffer(b"".join(strings), np.uint8), np.array([len(s) for s in strings]), str(tmp_path))
-    suffix, lcp = bwt.read("suffix").astype(int), bwt.read("lcp")
-    rows = [(strings[s >> 7][len(strings[s >> 7]) - (s & 127) :], s >> 7) for s in suffix]
-    assert rows == sorted(rows)
+    bwt = suffixdedup.CollectionBWT(np.frombuffer(b"".join(strings), np.uint8), np.array([len(s) for s in strings]), str(tmp_path), rows)
+    suffix, lcp = bwt.whole("suffix").astype(int), bwt.whole("lcp")
+    found = [(strings[s >> bwt.bits][len(strings[s >> bwt.bits]) - (s & ((1 << bwt.bits) - 1)) :], s >> bwt.bits) for s in suffix]
+    assert found == sorted(found)
     common_prefix = lambda a, b: next((k for k, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
-    assert [common_prefix(a[0], b[0]) for a, b in zip(rows, rows[1:], strict=False)] == lcp[1:].tolist()
+    assert [common_prefix(a[0], b[0]) for a, b in zip(found, found[1:], strict=False)] == lcp[1:].tolist()
+
+
+def test_suffix_dedup_of_the_table(docs):
+    want = suffixdedup.brute_force({r.doc_id: (r.text or "").encode() for r in docs.collect()}, 100)
+    rows = suffixdedup.dedup_substrings(docs).collect()
+    assert {r.doc_id: (r.n_removed, r.n_spans, r.kept_sha256) for r in rows} == want and sum(r.n_removed > 0 for r in rows) > 10
+
+
+@pytest.mark.parametrize("length", [8, 300])
+def test_suffix_dedup_of_other_lengths(spark, length, monkeypatch):
+    """Lengths well over a byte's range, and texts taken in pieces."""
+    rng = np.random.default_rng(9)
+    piece = "".join(rng.choice(list("abcdefgh "), 400))
+    texts = {1: "x" * 700 + piece, 2: piece[:350] + "q", 3: "".join(rng.choice(list("abc"), 900)), 4: "y" + piece}
+    want = suffixdedup.brute_force({k: t.encode() for k, t in texts.items()}, length)
+    df = spark.createDataFrame([*texts.items()], "doc_id long, text string")
+    assert {r.doc_id: (r.n_removed, r.n_spans, r.kept_sha256) for r in suffixdedup.dedup_substrings(df, length).collect()} == want
+    whole = [x for data, offsets, base, _ in suffixdedup.pieces(pa.array([piece]), 30) for x in base + suffixdedup.anchors(data, offsets, 30)[1] - offsets[0]]
+    monkeypatch.setattr(suffixdedup, "PIECE", 64)
+    parts, covered = [], 0
+    for data, offsets, base, _ in suffixdedup.pieces(pa.array([piece]), 30):
+        found = suffixdedup.anchors(data, offsets, 30)
+        parts += (base + found[1]).tolist()
+        covered += int(found[2].sum())
+    assert set(whole) <= set(parts) and covered == len(piece) - 29
 
 
 def test_decontamination(spark, docs):
