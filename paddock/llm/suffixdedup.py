@@ -22,10 +22,10 @@ from pyspark.sql import functions as F
 from .common import RangeHash, bloom, flat, gram_hash, may_hold, mix, partitions, text_slices, written
 from .quality import repeated
 
-LENGTH, SHARD, HOT = 100, 6_000, 200_000
+LENGTH, SHARD, HOT = 100, 20_000, 200_000
 PIECE = 1 << 20  # bytes from which a slice is taken in overlapping pieces
 PLACE = 24  # bits of a position within a piece
-ROWS = 1 << 20  # rows of the transform's columns read at once
+ROWS = 1 << 17  # rows of the transform's columns read at once; their arrays stay in the cache
 
 
 def gram_of(length: int) -> int:
@@ -133,6 +133,25 @@ def cut_segments(length: int):
     return run
 
 
+def upto(values: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """The least of the values up to and at each place."""
+    ends, which = np.unique(places + 1, return_inverse=True)
+    if not len(ends):
+        return ends
+    edges = np.append(0, ends[:-1])
+    return np.minimum.accumulate(np.minimum.reduceat(values[: ends[-1]], edges).astype(np.int64))[which]
+
+
+def beyond(values: np.ndarray, places: np.ndarray, none: int) -> np.ndarray:
+    """The least of the values after each place; `none` after the last."""
+    starts, which = np.unique(places + 1, return_inverse=True)
+    inside = starts[starts < len(values)]
+    least = np.full(len(starts), none, np.int64)
+    if len(inside):
+        least[: len(inside)] = np.minimum.accumulate(np.minimum.reduceat(values, inside).astype(np.int64)[::-1])[::-1]
+    return least[which]
+
+
 class CollectionBWT:
     """Transform and common prefixes of a collection, grown by one symbol of each string a round.
 
@@ -143,7 +162,7 @@ class CollectionBWT:
     """
 
     def __init__(self, data: np.ndarray, sizes: np.ndarray, folder: str, rows: int = ROWS):
-        self.folder, self.turn, self.rows = Path(folder), 0, rows
+        self.turn, self.rows = 0, rows
         symbols = np.unique(data)
         if len(symbols) > 255:
             raise ValueError("255 different bytes at most; UTF-8 has fewer")
@@ -160,8 +179,10 @@ class CollectionBWT:
         self.counts = np.zeros(len(symbols) + 1, np.int64)  # of each symbol in the transform
         first = before(live, 0)
         self.add(first)
+        # every column has two files, read and overwritten by turns
+        self.files = [{name: open(Path(folder) / f"{name}{k}", "w+b", buffering=0) for name in self.columns} for k in range(2)]
         for name, column in zip(self.columns, (first, np.zeros(n), live << self.bits), strict=True):
-            column.astype(self.columns[name]).tofile(self.folder / f"{name}{self.turn}")
+            self.files[0][name].write(column.astype(self.columns[name]))
         for k in range(1, longest + 1):
             still = sizes[live] >= k
             live, at = self.insert(k, live[still], at[still], before)
@@ -171,13 +192,18 @@ class CollectionBWT:
 
     def read(self, *names: str) -> Iterator[tuple[int, list[np.ndarray]]]:
         """(first row, columns) block by block."""
-        files = [open(self.folder / f"{name}{self.turn}", "rb") for name in names]
-        try:
-            for low in range(0, self.size, self.rows):
-                yield low, [np.fromfile(f, self.columns[name], min(self.rows, self.size - low)) for f, name in zip(files, names, strict=True)]
-        finally:
-            for f in files:
-                f.close()
+        for name in names:
+            self.files[self.turn][name].seek(0)
+        for low in range(0, self.size, self.rows):
+            block = [np.empty(min(self.rows, self.size - low), self.columns[name]) for name in names]
+            for name, column in zip(names, block, strict=True):
+                if self.files[self.turn][name].readinto(column.view(np.uint8)) != column.nbytes:
+                    raise OSError("a column's file is shorter than the column")
+            yield low, block
+
+    def close(self) -> None:
+        for f in (f for pair in self.files for f in pair.values()):
+            f.close()
 
     def whole(self, name: str) -> np.ndarray:
         return np.concatenate([x for _, (x,) in self.read(name)]) if self.size else np.zeros(0, self.columns[name])
@@ -225,19 +251,18 @@ class CollectionBWT:
             over[has_up] = least(up[has_up] + 1, here[has_up] + 1)
             under[has_down] = least(here[has_down] + 1, down[has_down] + 1)
             if self.size > size:  # more blocks than one: what symbols carry over the edges
-                fore, back = np.minimum.accumulate(lcp).astype(np.int64), np.append(np.minimum.accumulate(lcp[::-1])[::-1].astype(np.int64), none)
-                early = np.flatnonzero(~has_up & (since[symbol] >= 0))
-                over[early] = np.minimum(since[symbol[early]], fore[here[early]])
                 some = np.flatnonzero(times)
-                head, tail = order[first[some]], order[first[some] + times[some] - 1]
+                head, tail = order[first[some]].astype(np.int64), order[first[some] + times[some] - 1].astype(np.int64)
                 met = waiting[some] >= 0
-                below[waiting[some[met]]] = np.minimum(ahead[some[met]], fore[head[met]])
+                early, last = np.flatnonzero(~has_up & (since[symbol] >= 0)), np.flatnonzero(~has_down)
+                over[early] = np.minimum(since[symbol[early]], upto(lcp, here[early]))
+                below[waiting[some[met]]] = np.minimum(ahead[some[met]], upto(lcp, head[met]))
                 waiting[some] = -1
-                ahead = np.minimum(ahead, fore[-1])
-                last = np.flatnonzero(~has_down)
-                waiting[symbol[last]], ahead[symbol[last]] = last + cuts[block], back[here[last] + 1]
-                since = np.where(since >= 0, np.minimum(since, fore[-1]), since)
-                since[some] = back[tail.astype(np.int64) + 1]
+                low_here = int(lcp.min())
+                ahead = np.minimum(ahead, low_here)
+                waiting[symbol[last]], ahead[symbol[last]] = last + cuts[block], beyond(lcp, here[last], none)
+                since = np.where(since >= 0, np.minimum(since, low_here), since)
+                since[some] = beyond(lcp, tail, none)
             held += times
             above[mine], below[mine] = over, under
         return rank, above, below
@@ -250,7 +275,9 @@ class CollectionBWT:
         follow = np.flatnonzero((below[:-1] >= 0) & (new[1:] == new[:-1] + 1)) if len(new) else after
         fresh[follow + 1] = below[follow] + 1
         values = dict(zip(self.columns, (symbols, fresh, suffixes), strict=True))
-        files = {name: open(self.folder / f"{name}{self.turn ^ 1}", "wb") for name in self.columns}
+        files = self.files[self.turn ^ 1]
+        for f in files.values():
+            f.seek(0)
         for low, block in self.read(*self.columns):
             size = len(block[0])
             a, b = np.searchsorted(old, low), np.searchsorted(old, low + size) if low + size < self.size else len(old)
@@ -264,9 +291,7 @@ class CollectionBWT:
                 out = np.empty(len(kept), column.dtype)
                 out[kept] = column
                 out[at] = values[name][a:b]
-                out.tofile(files[name])
-        for f in files.values():
-            f.close()
+                files[name].write(out)
         self.turn, self.size = self.turn ^ 1, self.size + len(new)
         self.add(symbols)
 
@@ -293,7 +318,9 @@ def shard_batches(length: int, shard: int):
         inner[head + 1] += 1
         inner[head + gram] -= 1
         with tempfile.TemporaryDirectory() as folder:
-            kind, string, size = CollectionBWT(data[np.cumsum(inner)[:-1] == 0], sizes - gram + 1, folder).repeats(length - gram + 1)
+            transform = CollectionBWT(data[np.cumsum(inner)[:-1] == 0], sizes - gram + 1, folder)
+            kind, string, size = transform.repeats(length - gram + 1)
+            transform.close()
         start, tid, anchor = (table.column(c).to_numpy() for c in ("start", "tid", "anchor"))
         doc, group = dense(table.column("doc_id")), np.unique(anchor, return_inverse=True)[1]
         offset = (sizes - gram + 1)[string] - size
