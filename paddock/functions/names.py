@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def upper_tr(x: Column) -> Column:
@@ -32,8 +33,15 @@ def without_number(x: Column) -> Column:
     return F.regexp_replace(x, r"\s*\(\d+\)\s*$", "")
 
 
+@F.pandas_udf(StringType())
+def compatible(values: pd.Series) -> pd.Series:
+    """Unicode's NFKC form; Spark has no function for it."""
+    return values.str.normalize("NFKC")
+
+
 def identity_name(x: Column) -> Column:
-    return spaced(upper_tr(x))
+    """Compatibility forms are folded first; plain ASCII names don't leave the JVM's result."""
+    return spaced(upper_tr(F.when(x.rlike(r"[^\x00-\x7F]"), compatible(x)).otherwise(x)))
 
 
 def pick_name(x: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import clamp, rounded
-from ..functions.signals import LEAST_SAMPLES, POSITIVE, flag, is_positive, source_weight, strength
+from ..functions.signals import LEAST_SAMPLES, POSITIVE, category, flag, is_positive, source_weight, strength
 
 RUNNER = ["race_id", "horse_number"]
 
@@ -17,23 +17,36 @@ def first_per_source(picks: DataFrame) -> DataFrame:
     return picks.where("source_key is not null").withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
 
 
-def weighted_picks(picks: DataFrame, sources: DataFrame) -> DataFrame:
-    """Picks of enabled sources with their effective weight."""
-    return first_per_source(picks).join(sources.where("enabled"), "source_key").withColumn("w", source_weight(F.col("base_weight"), F.col("confidence"), F.col("source_rank")))
+def weighted_picks(picks: DataFrame, sources: DataFrame, by_source: DataFrame | None = None, by_category: DataFrame | None = None) -> DataFrame:
+    """Picks of enabled sources with their effective weight.
 
+    The base weight is calibrated by the multipliers that a source has earned, in all and in the pick's
+    category: by_source(source_key, multiplier), by_category(source_key, category, multiplier); 1 where there is none.
+    """
+    rows = first_per_source(picks).join(sources.where("enabled"), "source_key")
+    base = F.col("base_weight")
+    if by_source is not None:
+        rows = rows.join(by_source.select("source_key", F.col("multiplier").alias("_general")), "source_key", "left")
+        base = base * F.coalesce("_general", F.lit(1.0))
+    if by_category is not None:
+        earned = by_category.select("source_key", F.col("category").alias("_category"), F.col("multiplier").alias("_special"))
+        rows = rows.withColumn("_category", category()).join(earned, ["source_key", "_category"], "left")
+        base = base * F.coalesce("_special", F.lit(1.0))
+    return rows.withColumn("w", source_weight(base, F.col("confidence"), F.col("source_rank")))
 
-def consensus(picks: DataFrame, sources: DataFrame) -> DataFrame:
-    """Counts, weighted support and opposition, score and support confidence of every runner with a pick."""
+
+def consensus(picks: DataFrame, sources: DataFrame, by_source: DataFrame | None = None, by_category: DataFrame | None = None) -> DataFrame:
+    """Counts and weights of every flag, weighted support and opposition, score and support confidence of every runner with a pick."""
     w, avoid = F.col("w"), flag(F.col("is_avoid"))
     counts = [F.count_if(flag(F.col(f"is_{c}"))).alias(f"{c}_count") for c in (*POSITIVE, "avoid")]
-    sums = weighted_picks(picks, sources).groupBy(*RUNNER).agg(
-        F.count("*").alias("source_count"), *counts, F.sum("w").alias("weight_sum"),
+    sums = weighted_picks(picks, sources, by_source, by_category).groupBy(*RUNNER).agg(
+        F.count("*").alias("source_count"), *counts, *[F.sum(F.when(flag(F.col(f"is_{c}")), w).otherwise(0.0)).alias(f"weighted_{c}") for c in (*POSITIVE, "avoid")], F.sum("w").alias("weight_sum"),
         F.sum(F.when(avoid, 0.0).otherwise(w * strength())).alias("support"), F.sum(F.when(avoid, 0.9 * w).otherwise(0.0)).alias("opposition"),
     )
     score = clamp(50 + 50 * (F.col("support") - F.col("opposition")) / F.col("weight_sum"), 0.0, 100.0)
     labels = F.array_compact(F.array(*[F.when(F.col(f"{c}_count") > 0, c) for c in (*POSITIVE, "avoid")]))
     return sums.select(
-        *RUNNER, "source_count", *[f"{c}_count" for c in (*POSITIVE, "avoid")], rounded(F.col("support"), 3).alias("support"), rounded(F.col("opposition"), 3).alias("opposition"),
+        *RUNNER, "source_count", *[f"{c}_count" for c in (*POSITIVE, "avoid")], *[rounded(F.col(f"weighted_{c}"), 3).alias(f"weighted_{c}") for c in (*POSITIVE, "avoid")], rounded(F.col("support"), 3).alias("support"), rounded(F.col("opposition"), 3).alias("opposition"),
         rounded(score, 0).alias("expert_score"), rounded(1 - F.exp(-F.col("source_count") / 2.5), 2).alias("expert_confidence"), F.array_join(labels, ",").alias("labels"),
     )
 

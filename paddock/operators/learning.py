@@ -40,19 +40,26 @@ def learned_signal(samples: Column, wins: Column, top3: Column, least: int, full
 
 
 def adjustment(rows: DataFrame, priors: DataFrame, rates_row: DataFrame, scale: float = 1.0) -> DataFrame:
-    """`adjustment` of every runner from its horse, jockey and pair priors, shares renormalised over those present.
+    """`signal` and `adjustment` of every runner from its horse, jockey and pair priors, shares renormalised over those present.
 
-    The join size follows the priors, which adaptive execution broadcasts where they are small.
+    All three lookups are one join on (kind, key, context), where the priors lie as they were aggregated;
+    missing jockeys have no row in it.
     """
-    out = rows
-    for kind, key in entity_keys().items():
-        p = priors.where(F.col("entity_type") == kind).select(F.col("entity_key").alias(f"_{kind}"), *CONTEXT, *[F.col(c).alias(f"{kind}_{c}") for c in ("samples", "wins", "top3")])
-        out = out.withColumn(f"_{kind}", key).join(p, [f"_{kind}", *CONTEXT], "left")
-    out = out.crossJoin(F.broadcast(rates_row.select("win_rate", "top3_rate")))  # one row
-    signals = {k: learned_signal(F.col(f"{k}_samples"), F.col(f"{k}_wins"), F.col(f"{k}_top3"), a, b) for k, (a, b, _) in ENTITIES.items()}
-    share = sum((F.when(s.isNotNull(), ENTITIES[k][2]).otherwise(0.0) for k, s in signals.items()), F.lit(0.0))
-    total = sum((F.coalesce(s * ENTITIES[k][2], F.lit(0.0)) for k, s in signals.items()), F.lit(0.0))
-    return out.withColumn("adjustment", F.when(share > 0, rounded(clamp(total / share * scale, -5.0, 5.0), 2)).otherwise(0.0))
+    entities = F.explode(F.array(*[F.struct(F.lit(k).alias("entity_type"), key.alias("entity_key")) for k, key in entity_keys().items()])).alias("e")
+    asked = rows.select("race_id", "horse_number", *CONTEXT, entities).select("*", "e.*").where("entity_key is not null").drop("e")
+    found = asked.join(priors.select("entity_type", "entity_key", *CONTEXT, "samples", "wins", "top3"), ["entity_type", "entity_key", *CONTEXT])
+    found = found.crossJoin(F.broadcast(rates_row.select("win_rate", "top3_rate")))  # one row
+    signals = [F.max(F.when(F.col("entity_type") == k, learned_signal(F.col("samples"), F.col("wins"), F.col("top3"), a, b))).alias(f"_{k}") for k, (a, b, _) in ENTITIES.items()]
+    out = rows.join(found.groupBy("race_id", "horse_number").agg(*signals), ["race_id", "horse_number"], "left")
+    share = sum((F.when(F.col(f"_{k}").isNotNull(), x).otherwise(0.0) for k, (_, _, x) in ENTITIES.items()), F.lit(0.0))
+    total = sum((F.coalesce(F.col(f"_{k}") * x, F.lit(0.0)) for k, (_, _, x) in ENTITIES.items()), F.lit(0.0))
+    out = out.withColumn("signal", F.when(share > 0, total / share)).drop(*[f"_{k}" for k in ENTITIES])
+    return out.withColumn("adjustment", scaled(F.col("signal"), F.lit(scale)))
+
+
+def scaled(signal: Column, scale: Column) -> Column:
+    """The adjustment that a signal gives at a scale; without a signal none."""
+    return F.coalesce(rounded(clamp(signal * scale, -5.0, 5.0), 2), F.lit(0.0))
 
 
 def winner_ranks(rows: DataFrame, scores: list[str]) -> DataFrame:

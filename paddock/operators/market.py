@@ -39,11 +39,11 @@ def features(points: DataFrame, cutoff: Column | None = None) -> DataFrame:
     )
 
 
-def movement(points: DataFrame, window_minutes: int = 90) -> DataFrame:
+def movement(points: DataFrame, window_minutes: int = 90, keys: list[str] = RUNNER) -> DataFrame:
     """Score and direction of the share's movement within the window before the start."""
     at, agf = F.col("captured_at"), F.col("agf_percent")
     inside = points.where((at >= before(F.col("starts_at"), window_minutes)) & (at <= F.col("starts_at")))
-    by = inside.groupBy(*RUNNER).agg(
+    by = inside.groupBy(*keys).agg(
         F.countDistinct(F.struct(at, agf)).alias("sample_size"), F.min_by(agf, F.struct(at, agf)).alias("first_agf"), F.max_by(agf, F.struct(at, agf)).alias("latest_agf"),
         (F.unix_micros(F.max(at)) - F.unix_micros(F.min(at))).alias("span"),
     )
@@ -52,7 +52,7 @@ def movement(points: DataFrame, window_minutes: int = 90) -> DataFrame:
     relative = delta / F.greatest(F.col("first_agf"), F.lit(5.0))
     score = 50 + 30 * clamp(delta / 10, -1.0, 1.0) + 20 * clamp(relative / 0.5, -1.0, 1.0)
     direction = F.when(~moved, "unknown").when(delta >= 5, "strong-up").when(delta >= 1.5, "up").when(delta <= -5, "strong-down").when(delta <= -1.5, "down").otherwise("flat")
-    return by.select(*RUNNER, "sample_size", F.when(moved, rounded(clamp(score, 0.0, 100.0), 1)).alias("market_score"), F.when(moved, rounded(delta, 2)).alias("delta"), direction.alias("direction"))
+    return by.select(*keys, "sample_size", F.when(moved, rounded(clamp(score, 0.0, 100.0), 1)).alias("market_score"), F.when(moved, rounded(delta, 2)).alias("delta"), direction.alias("direction"))
 
 
 def series(points: DataFrame, latest: int | None = None) -> DataFrame:

@@ -39,7 +39,7 @@ def ticket_snapshots(tickets: DataFrame, windows: DataFrame, starts: DataFrame,
     """
     legs = windows.join(starts, "race_id", "left").groupBy("card", "sixfold_number")
     open_ = legs.agg(F.count("starts_at").alias("known"), F.min("starts_at").alias("first_start")).where((F.col("known") == 6) & (F.col("first_start") > now))
-    keyed = tickets.join(open_.drop("known"), ["card", "sixfold_number"]).withColumn("snapshot_key", content_key("card", "sixfold_number", "profile"))
+    keyed = tickets.join(open_.drop("known"), ["card", "sixfold_number"]).withColumn("snapshot_key", content_key("card", "sixfold_number", *(["budget"] if "budget" in tickets.columns else []), "profile"))
     return keyed.join(stored.select("snapshot_key").distinct(), "snapshot_key", "left_anti")
 
 

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.names import lower_tr
+from ..functions.numeric import finite
+
 CARD = ["race_date", "city"]
 PROFILES = {"economic": 0.45, "balanced": 0.80, "maximum": 1.0}
 
@@ -42,49 +45,52 @@ def leg_choices(legs: DataFrame) -> DataFrame:
     return shared.select("card", "leg", F.row_number().over(order).alias("k"), F.sum("share").over(upto).alias("p"))
 
 
-def budget_rows(cards: DataFrame, budget: float, unit: Column) -> DataFrame:
-    """Each card with every profile and the combinations it can pay."""
-    profiles = F.explode(F.array(*[F.struct(F.lit(n).alias("profile"), F.lit(x).alias("fraction")) for n, x in PROFILES.items()])).alias("f")
-    rows = cards.select("card", unit.alias("unit"), profiles).select("card", "unit", "f.*")
-    pay = F.least(F.lit(budget), F.greatest(F.col("unit"), F.lit(budget) * F.col("fraction")))
+def budget_rows(cards: DataFrame, budgets: tuple[float, ...], multiplier: int = 1) -> DataFrame:
+    """cards(card, unit): each with every budget and profile and the combinations it can pay."""
+    plans = F.explode(F.array(*[F.struct(F.lit(float(b)).alias("budget"), F.lit(n).alias("profile"), F.lit(x).alias("fraction")) for b in budgets for n, x in PROFILES.items()])).alias("f")
+    price = F.col("unit") * multiplier
+    rows = cards.select("card", price.alias("unit"), plans).select("card", "unit", "f.*")
+    pay = F.least(F.col("budget"), F.greatest(F.col("unit"), F.col("budget") * F.col("fraction")))
     return rows.withColumn("most", F.floor(pay / F.col("unit") + 1e-9))
 
 
-def optimise(legs: DataFrame, budget: float, unit: Column) -> DataFrame:
-    """Best selection sizes per card and profile: (card, profile, survival, combinations, cost, sizes).
+def optimise(legs: DataFrame, cards: DataFrame, budgets: tuple[float, ...]) -> DataFrame:
+    """Best selection sizes by card, budget and profile: (card, budget, profile, survival, combinations, cost, sizes).
 
-    Meet in the middle: three legs on each side, no more than n ** 3 rows a half; the affordable partner of
-    a left half is looked up with a running maximum over the right halves in order of their combinations.
-    Halves no larger than the budget allows stay, so no product of all six legs arises.
+    legs as in `leg_choices`, cards(card, unit). Meet in the middle: three legs on each side, no more than
+    n ** 3 rows a half; the affordable partner of a left half is looked up with a running maximum over the
+    right halves in order of their combinations. Halves no larger than the budget allows stay, so no
+    product of all six legs arises. The choices of a card are one row of six short arrays, so the legs are
+    read once and halves grow by explosion, not by joins.
     """
-    choices = leg_choices(legs)
-    six = choices.groupBy("card").agg(F.countDistinct("leg").alias("n")).where("n = 6").select("card")
-    choices = choices.join(six, "card", "left_semi")
-    cards = budget_rows(six, budget, unit)
-    top = cards.groupBy("card").agg(F.max("most").alias("top"))
+    by_leg = leg_choices(legs).groupBy("card", "leg").agg(F.array_sort(F.collect_list(F.struct("k", "p"))).alias("c"))
+    six = by_leg.groupBy("card").agg(*[F.max(F.when(F.col("leg") == i, F.col("c"))).alias(f"l{i}") for i in range(1, 7)])
+    for i in range(1, 7):
+        six = six.where(F.col(f"l{i}").isNotNull())
+    plans = budget_rows(cards, budgets)
+    known = six.join(plans.groupBy("card").agg(F.max("most").alias("top")), "card")
 
     def half(at: int) -> DataFrame:
-        out = None
+        out = known.select("card", "top", *[f"l{at + i}" for i in range(3)], F.lit(1).alias("q"), F.lit(1.0).alias("s"))
         for i in range(3):
-            leg = choices.where(F.col("leg") == at + i).select("card", F.col("k").alias(f"k{i}"), F.col("p").alias(f"p{i}"))
-            out = leg.join(top, "card").where(F.col("k0") <= F.col("top")) if out is None else out.join(leg, "card")
-            out = out.withColumn("q", F.col("k0") if i == 0 else F.col("q") * F.col(f"k{i}")).where("q <= top").withColumn("s", F.col("p0") if i == 0 else F.col("s") * F.col(f"p{i}"))
+            out = out.withColumn("e", F.explode(f"l{at + i}")).withColumn(f"k{i}", F.col("e.k")).withColumn("q", F.col("q") * F.col("e.k")).withColumn("s", F.col("s") * F.col("e.p")).where("q <= top")
         # of equal sizes only the likeliest can be best
         return out.groupBy("card", "q").agg(F.max(F.struct("s", F.array("k0", "k1", "k2").alias("ks"))).alias("b")).select("card", F.col("q").cast("long").alias("q"), "b.*")
 
-    left = half(1).join(cards, "card").where("q <= most").select("card", "profile", "unit", F.floor(F.col("most") / F.col("q")).alias("key"), F.lit(1).alias("side"), "q", "s", "ks")
-    right = half(4).join(cards, "card").where("q <= most").select("card", "profile", "unit", F.col("q").alias("key"), F.lit(0).alias("side"), "q", "s", "ks")
-    upto = Window.partitionBy("card", "profile").orderBy("key", "side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    plan = ["card", "budget", "profile"]
+    left = half(1).join(plans, "card").where("q <= most").select(*plan, "unit", F.floor(F.col("most") / F.col("q")).alias("key"), F.lit(1).alias("side"), "q", "s", "ks")
+    right = half(4).join(plans, "card").where("q <= most").select(*plan, "unit", F.col("q").alias("key"), F.lit(0).alias("side"), "q", "s", "ks")
+    upto = Window.partitionBy(*plan).orderBy("key", "side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     best = F.max(F.when(F.col("side") == 0, F.struct("s", "q", "ks"))).over(upto)
     both = left.unionByName(right).withColumn("r", best).where("side = 1 and r is not null")
     pick = F.max(F.struct(F.round(F.col("s") * F.col("r.s"), 12).alias("survival"), (F.col("q") * F.col("r.q")).alias("combinations"), F.concat("ks", "r.ks").alias("sizes")))
-    found = both.groupBy("card", "profile").agg(pick.alias("b"), F.first("unit").alias("unit"))
-    return found.select("card", "profile", "b.survival", "b.combinations", (F.col("b.combinations") * F.col("unit")).alias("cost"), "b.sizes")
+    found = both.groupBy(*plan).agg(pick.alias("b"), F.first("unit").alias("unit"))
+    return found.select(*plan, "b.survival", "b.combinations", (F.col("b.combinations") * F.col("unit")).alias("cost"), "b.sizes")
 
 
-def unit_price(city: Column) -> Column:
-    """1.25 in the larger venues, else 1."""
-    return F.when(F.upper(F.translate(city, "ıiİ", "III")).isin("ISTANBUL", "ANKARA", "IZMIR", "ADANA", "BURSA"), 1.25).otherwise(1.0)
+def unit_price(city: Column, foreign: Column) -> Column:
+    """1 abroad and in three cities (fixed values), else 1.25."""
+    return F.when(F.coalesce(foreign, F.lit(False)) | lower_tr(F.trim(city)).isin("diyarbakır", "elazığ", "şanlıurfa"), 1.0).otherwise(1.25)
 
 
 def ticket_cost(sizes: Column, unit: Column, times: int = 1) -> Column:
@@ -112,8 +118,14 @@ def mode_metrics(selected: DataFrame, winners: DataFrame) -> DataFrame:
     )
 
 
-def invalid_inputs(legs: DataFrame, budget: float, unit: float) -> DataFrame:
-    """(card, code) of ticket inputs that can't be optimised."""
-    by = legs.groupBy("card").agg(F.countDistinct("leg").alias("n"))
-    codes = F.array_compact(F.array(F.when(F.col("n") != 6, "NOT_SIX_LEGS"), F.when(F.lit(budget <= 0), "BAD_BUDGET"), F.when(F.lit(budget < unit), "BUDGET_BELOW_UNIT")))
-    return by.select("card", F.explode(codes).alias("code"))
+def invalid_inputs(inputs: DataFrame, legs: DataFrame) -> DataFrame:
+    """(card, code) of ticket inputs that can't be optimised: inputs(card, legs, budget, multiplier, unit), legs(card, leg, horse_number) with the runners there are."""
+    by = legs.where("horse_number is not null").groupBy("card").agg(F.countDistinct("leg").alias("filled"))
+    rows = inputs.join(by, "card", "left")
+    whole = (F.col("multiplier") >= 1) & (F.col("multiplier") == F.floor("multiplier"))
+    budget = finite(F.col("budget"))
+    codes = F.array_compact(F.array(
+        F.when(F.col("legs") != 6, "SIX_FOLD_REQUIRES_6_LEGS"), F.when(~F.coalesce(budget > 0, F.lit(False)), "INVALID_COUPON_BUDGET"), F.when(F.coalesce("filled", F.lit(0)) < F.col("legs"), "EMPTY_COUPON_LEG"),
+        F.when(~F.coalesce(whole, F.lit(False)), "INVALID_MULTIPLIER"), F.when((budget > 0) & (budget < F.col("unit") * F.col("multiplier")), "BUDGET_BELOW_MINIMUM"),
+    ))
+    return rows.select("card", F.explode(codes).alias("code"))

@@ -18,14 +18,27 @@ def clamp(x: str, low: float, high: float) -> str:
 
 STRONGEST = "case " + " ".join(f"when is_{c} then {v}::double" for c, v in STRENGTH.items()) + " else 0.0::double end"
 RATES = "count(*) as samples, count(*) filter (finish_position = 1) as wins, count(*) filter (finish_position between 1 and 3) as top3"
+LEAST = "case category " + " ".join(f"when '{c}' then {n}" for c, n in LEAST_SAMPLES.items()) + " end"
+RATIO = "{w}::double * case when base_win > 0 then win_rate / base_win else 1 end + {t}::double * case when base_top3 > 0 then top3_rate / base_top3 else 1 end - 1"
+QUALITY = RATIO.format(w=0.65, t=0.35)
+BASE = "base as (select samples, wins / samples as win_rate, top3 / samples as top3_rate from (select count(*) as samples, count(*) filter (finish_position = 1) as wins, count(*) filter (finish_position between 1 and 3) as top3 from runners))"
 FIRST = f"""
-firsts as (select * from picks qualify row_number() over (partition by race_id, horse_number, source_key order by source_rank, k) = 1),
-weighted as (select *, least(1.5::double, greatest(0.1::double, base_weight)) * (0.4::double + 0.6::double * confidence) / (1 + 0.06::double * (source_rank - 1)) as w
-  from firsts join sources using (source_key) where enabled),
-summed as (select race_id, horse_number, count(*) as source_count, {", ".join(f"count(*) filter (is_{c}) as {c}_count" for c in FLAGS)}, sum(w) as weight_sum,
+firsts as (select * from picks qualify row_number() over (partition by race_id, horse_number, source_key order by source_rank, k) = 1), {BASE},
+source_hits as (select source_key, {RATES} from firsts join (select race_id, horse_number, finish_position from runners) using (race_id, horse_number) where {' or '.join(f'is_{c}' for c in POSITIVE)} group by source_key),
+source_rates as (select h.*, wins / h.samples as win_rate, top3 / h.samples as top3_rate, b.win_rate as base_win, b.top3_rate as base_top3 from source_hits h, base b),
+source_priors as (select source_key, samples, wins, top3, case when samples < 30 then 1.0::double else {r('1 + ' + clamp(f'({QUALITY}) * 0.15::double * least((samples - 29) / 121, 1.0::double)', -0.15, 0.15), 4)} end as multiplier from source_rates),
+each as (select *, unnest(list_filter([{', '.join(f"case when is_{c} then '{c}' end" for c in POSITIVE)}], lambda x: x is not null)) as category from firsts),
+category_hits as (select source_key, category, {RATES} from each join (select race_id, horse_number, finish_position from runners where finish_position >= 1) using (race_id, horse_number) group by all),
+category_rates as (select *, wins / samples as win_rate, top3 / samples as top3_rate, sum(wins) over c / sum(samples) over c as base_win, sum(top3) over c / sum(samples) over c as base_top3 from category_hits window c as (partition by category)),
+category_priors as (select source_key, category, samples, wins, top3, case when samples < {LEAST} then 1.0::double else {r('1 + ' + clamp(f'({QUALITY}) * 0.12::double * ' + clamp(f'(samples - {LEAST} + 1) / 100.0::double', 0, 1), -0.12, 0.12), 4)} end as multiplier from category_rates),
+named as (select *, coalesce({', '.join(f"case when is_{c} then '{c}' end" for c in POSITIVE)}) as category from firsts),
+calibrated as (select n.*, base_weight * coalesce(p.multiplier, 1.0::double) * coalesce(q.multiplier, 1.0::double) as calibrated_weight from named n join sources using (source_key)
+  left join source_priors p using (source_key) left join category_priors q on q.source_key = n.source_key and q.category = n.category where enabled),
+weighted as (select *, least(1.5::double, greatest(0.1::double, calibrated_weight)) * (0.4::double + 0.6::double * confidence) / (1 + 0.06::double * (source_rank - 1)) as w from calibrated),
+summed as (select race_id, horse_number, count(*) as source_count, {", ".join(f"count(*) filter (is_{c}) as {c}_count" for c in FLAGS)}, {", ".join(f"sum(case when is_{c} then w else 0.0 end) as weighted_{c}" for c in FLAGS)}, sum(w) as weight_sum,
   sum(case when is_avoid then 0.0 else w * {STRONGEST} end) as support, sum(case when is_avoid then 0.9::double * w else 0.0 end) as opposition
   from weighted group by race_id, horse_number),
-consensus as (select race_id, horse_number, source_count, {", ".join(f"{c}_count" for c in FLAGS)}, {r("support", 3)} as support, {r("opposition", 3)} as opposition,
+consensus as (select race_id, horse_number, source_count, {", ".join(f"{c}_count" for c in FLAGS)}, {", ".join(f"{r(f'weighted_{c}', 3)} as weighted_{c}" for c in FLAGS)}, {r("support", 3)} as support, {r("opposition", 3)} as opposition,
   {r(clamp("50 + 50 * (support - opposition) / weight_sum", 0, 100), 0)} as expert_score, {r("1 - exp(-source_count / 2.5::double)", 2)} as expert_confidence,
   array_to_string(list_filter([{", ".join(f"case when {c}_count > 0 then '{c}' end" for c in FLAGS)}], lambda x: x is not null), ',') as labels from summed)
 """
@@ -44,11 +57,24 @@ def scaled(x: str) -> str:
     return f"case when {x} is null then null when {high} <= {low} then 50.0::double else ({x} - {low}) / ({high} - {low})::double * 100 end"
 
 
-PARTS = {"agf_score": 25, "expert_part": 22, "form_score": 18, "hp_score": 15, "weight_score": 5}
-CARD = f"""{FIRST}, {FORM},
-parts as (select f.*, agf_bp / 100.0::double as agf_score, 50 + (expert_score - 50) * expert_confidence as expert_part,
+PARTS = {"agf_score": 25, "expert_part": 22, "form_score": 18, "hp_score": 15, "market_score": 10, "weight_score": 5, "field_score": 5}
+
+
+def moved(keys: str, points: str, minutes: int) -> str:
+    """CTEs b, m and moved: movement of the share by `keys`."""
+    d, rel = "(z - a)", "((z - a) / greatest(a, 5.0::double))"
+    return f"""b as (select {keys}, count(distinct (captured_at, agf_percent)) as sample_size, min_by(agf_percent, (captured_at, agf_percent)) as a, max_by(agf_percent, (captured_at, agf_percent)) as z, max(captured_at) - min(captured_at) as span
+  from {points} where captured_at between starts_at - interval {minutes} minute and starts_at group by {keys}),
+moved as (select {keys}, case when sample_size >= 2 and span >= interval 4 minute then {r(clamp('50 + 30 * ' + clamp(f'{d} / 10', -1, 1) + ' + 20 * ' + clamp(f'{rel} / 0.5::double', -1, 1), 0, 100), 1)} end as market_score from b)"""
+
+
+AGES = "[1.0::double, 0.85, 0.7, 0.55, 0.4]"
+FIELD_PLACES = ", ".join(f"{x}::double" for x in (100, 86, 74, 63, 53, 44, 36, 29, 23, 15))
+FIELD = f"""fields as (select race_id, horse_number, case when len(places) > 0 then {r(f"50 + (list_sum(list_transform(generate_series(1, len(places)), lambda i: (case when places[i] between 1 and 10 then [{FIELD_PLACES}][places[i]] else 15.0::double end) * {AGES}[i])) / list_sum({AGES}[1:len(places)]) - 50) * least(len(places) / 3.0::double, 1.0::double)", 1)} end as field_score from past)"""
+CARD = f"""{FIRST}, {FORM}, {moved("race_id, horse_number", "share_points", 90)}, {FIELD},
+parts as (select f.*, agf_bp / 100.0::double as agf_score, 50 + (expert_score - 50) * expert_confidence as expert_part, market_score, field_score,
   {scaled("hp::double")} as hp_score, 100 - ({scaled("weight")}) as weight_score
-  from formed f left join (select race_id, horse_number, expert_score, expert_confidence from consensus) using (race_id, horse_number)),
+  from formed f left join (select race_id, horse_number, expert_score, expert_confidence from consensus) using (race_id, horse_number) left join moved using (race_id, horse_number) left join fields using (race_id, horse_number)),
 card as (select *, {r("(" + " + ".join(f"coalesce({c} * {w}, 0.0::double)" for c, w in PARTS.items()) + ") / (" + " + ".join(f"case when {c} is null then 0 else {w} end" for c, w in PARTS.items()) + ")", 2)} as score,
   {r("(" + " + ".join(f"case when {c} is null then 0 else {w} end" for c, w in PARTS.items()) + ") / 100.0::double", 3)} as model_confidence from parts)
 """
@@ -60,9 +86,6 @@ priors as (select e.t as entity_type, e.k as entity_key, city, track_key, band,
   count(*) filter (finish_position between 1 and 3) as top3, floor(avg(case when finish_position > 0 then finish_position end) * 1e4 + 0.5) / 1e4 as avg_finish
   from entities where e.k is not null group by all)
 """
-BASE = "base as (select samples, wins / samples as win_rate, top3 / samples as top3_rate from (select count(*) as samples, count(*) filter (finish_position = 1) as wins, count(*) filter (finish_position between 1 and 3) as top3 from runners))"
-
-
 def signal(kind: str, least: int, full: int) -> str:
     quality = f"(0.6::double * ({kind}.wins / {kind}.samples / win_rate) + 0.4::double * ({kind}.top3 / {kind}.samples / top3_rate) - 1) * 20"
     return f"case when {kind}.samples >= {least} then {clamp(quality, -12, 12)} * {clamp(f'({kind}.samples - {least} + 1) / {full - least + 1}.0::double', 0, 1)} end"
@@ -72,12 +95,12 @@ def prior_join(kind: str, key: str) -> str:
     return f"left join priors {kind} on {kind}.entity_type = '{kind}' and {kind}.entity_key = {key} and {kind}.city = c.city and {kind}.track_key = c.track_key and {kind}.band = c.band"
 
 
-ADJUSTED = f"""{CARD}, {CONTEXT}, {BASE},
+ADJUSTED = f"""{CARD}, {CONTEXT},
 signals as (select c.race_id, c.horse_number, c.finish_position, {signal("horse", 6, 20)} as h, {signal("jockey", 20, 80)} as j, {signal("pair", 5, 15)} as p
   from ctx c {prior_join("horse", "c.horse_id::varchar")} {prior_join("jockey", "c.jockey_id::varchar")} {prior_join("pair", "c.horse_id::varchar || '|' || c.jockey_id::varchar")}, base),
 shares as (select *, (case when h is null then 0.0 else 0.5 end + case when j is null then 0.0 else 0.3 end + case when p is null then 0.0 else 0.2 end)::double as share,
   coalesce(h * 0.5::double, 0) + coalesce(j * 0.3::double, 0) + coalesce(p * 0.2::double, 0) as total from signals),
-adjusted as (select s.race_id, s.horse_number, s.finish_position, case when share > 0 then {r(clamp("total / share", -5, 5), 2)} else 0.0::double end as adjustment, score as base_score,
+adjusted as (select s.race_id, s.horse_number, s.finish_position, case when share > 0 then {r(clamp("total / share", -5, 5), 2)} else 0.0::double end as adjustment, case when share > 0 then total / share end as signal, score as base_score,
   {r("score + case when share > 0 then " + r(clamp("total / share", -5, 5), 2) + " else 0.0::double end", 2)} as shadow_score
   from shares s join card c on s.race_id = c.race_id and s.horse_number = c.horse_number)
 """
@@ -103,18 +126,20 @@ WINDOWS = """
 placed as (select *, row_number() over (partition by race_date, city order by race_number) as position, count(*) over (partition by race_date, city) as n from races),
 windows as (select race_date, city, w.i as sixfold_number, position - case w.i when 1 then 0 else n - 6 end as place, race_number, race_id from placed, (values (1::bigint), (2)) w(i)
   where n >= 6 and (w.i = 1 and position <= 6 or w.i = 2 and n > 6 and position > n - 6)),
-legs as (select race_date::varchar || '|' || city as card, place as leg, race_id, horse_number, coalesce(agf_bp / 100.0::double, 0.0) as score from windows join runners using (race_id) where sixfold_number = 1)
+legs as (select race_date::varchar || '|' || city || '|' || sixfold_number as card, city, place as leg, race_id, horse_number, coalesce(agf_bp / 100.0::double, 0.0) as score, (1 + horse_id % 10) / 10.0::double as confidence from windows join runners using (race_id)),
+units as (select distinct race_date::varchar || '|' || city || '|' || sixfold_number as card, case when contains(city, ' ') or city in ('diyarbakır', 'elazığ', 'şanlıurfa') then 1.0 else 1.25 end::double as unit from windows)
 """
 # every combination of three legs on each side and every affordable pair of sizes: brute force over sizes, not over runners
 TICKETS = f"""{WINDOWS},
-ws as (select *, exp((score - max(score) over (partition by card, leg)) / 14) as w from legs),
+ws as (select *, exp((score - max(score) over (partition by card, leg)) / 14) * (0.6::double + 0.4::double * greatest(0.2::double, least(1.0::double, confidence))) as w from legs),
 ch as (select card, leg, row_number() over o as k, sum(w) over o / sum(w) over (partition by card, leg) as p from ws window o as (partition by card, leg order by score desc, horse_number rows unbounded preceding)),
 full_cards as (select card from ch group by card having count(distinct leg) = 6),
 halves as (select a.card, a.leg as half, a.k * b.k * c.k as q, max(a.p * b.p * c.p) as s from ch a join ch b on a.card = b.card and b.leg = a.leg + 1 join ch c on a.card = c.card and c.leg = a.leg + 2
   where a.leg in (1, 4) and a.card in (select card from full_cards) group by all),
-pays as (select * from (values ('economic', 1080), ('balanced', 1920), ('maximum', 2400)) t(profile, most)),
-pairs as (select l.card, profile, round(l.s * h.s, 12) as survival, l.q * h.q as combinations from halves l join halves h on l.card = h.card and l.half = 1 and h.half = 4 join pays on l.q * h.q <= most)
-select card, profile, {r("max(survival)", 6)} as survival, max_by(combinations, (survival, combinations)) as combinations, max_by(combinations, (survival, combinations)) * 1.25::double as cost from pairs group by card, profile
+pays as (select card, unit, budget::double as budget, profile, floor(least(budget, greatest(unit, budget * f)) / unit + 1e-9)::bigint as most
+  from units, (values (300), (1000), (3000)) t(budget), (values ('economic', 0.45::double), ('balanced', 0.80::double), ('maximum', 1.0::double)) u(profile, f)),
+pairs as (select l.card, budget, profile, unit, round(l.s * h.s, 12) as survival, l.q * h.q as combinations from halves l join halves h on l.card = h.card and l.half = 1 and h.half = 4 join pays on pays.card = l.card and l.q * h.q <= most)
+select card, budget, profile, {r("max(survival)", 6)} as survival, max_by(combinations, (survival, combinations)) as combinations, max_by(combinations, (survival, combinations)) * any_value(unit) as cost from pairs group by card, budget, profile
 """
 
 
@@ -134,9 +159,6 @@ select *, case status when 'insufficient-data' then 0.0 when 'learning-degraded'
 """
 RK = "race_date, city, race_number"
 HK = f"{RK}, horse_number"
-LEAST = "case category " + " ".join(f"when '{c}' then {n}" for c, n in LEAST_SAMPLES.items()) + " end"
-RATIO = "{w}::double * case when base_win > 0 then win_rate / base_win else 1 end + {t}::double * case when base_top3 > 0 then top3_rate / base_top3 else 1 end - 1"
-QUALITY = RATIO.format(w=0.65, t=0.35)
 BEFORE = "starts_at - interval {} minute"
 ASOF = "max_by(agf_percent, captured_at) filter (captured_at <= {})"
 
@@ -155,13 +177,8 @@ def all_sql() -> dict[str, str]:
         "form_scores": (FORM, "select race_id, horse_number, form_score, trend from formed"),
         "expert_consensus": (FIRST, "select * from consensus"),
         "global_rates": (BASE, f"select samples, {r('win_rate', 6)} as win_rate, {r('top3_rate', 6)} as top3_rate from base"),
-        "source_priors": (f"{FIRST}, {BASE}, hits as (select source_key, {RATES} from firsts join (select race_id, horse_number, finish_position from runners) using (race_id, horse_number) where {' or '.join(f'is_{c}' for c in POSITIVE)} group by source_key), "
-            "x as (select h.*, wins / h.samples as win_rate, top3 / h.samples as top3_rate, b.win_rate as base_win, b.top3_rate as base_top3 from hits h, base b)",
-            f"select source_key, samples, wins, top3, case when samples < 30 then 1.0::double else {r('1 + ' + clamp(f'({QUALITY}) * 0.15::double * least((samples - 29) / 121, 1.0::double)', -0.15, 0.15), 4)} end as multiplier from x"),
-        "category_priors": (f"{FIRST}, each as (select *, unnest(list_filter([{', '.join(f'''case when is_{c} then '{c}' end''' for c in POSITIVE)}], lambda x: x is not null)) as category from firsts), "
-            f"hits as (select source_key, category, {RATES} from each join (select race_id, horse_number, finish_position from runners where finish_position >= 1) using (race_id, horse_number) group by all), "
-            "x as (select *, wins / samples as win_rate, top3 / samples as top3_rate, sum(wins) over c / sum(samples) over c as base_win, sum(top3) over c / sum(samples) over c as base_top3 from hits window c as (partition by category))",
-            f"select source_key, category, samples, wins, top3, case when samples < {LEAST} then 1.0::double else {r('1 + ' + clamp(f'({QUALITY}) * 0.12::double * ' + clamp(f'(samples - {LEAST} + 1) / 100.0::double', 0, 1), -0.12, 0.12), 4)} end as multiplier from x"),
+        "source_priors": (FIRST, "select * from source_priors"),
+        "category_priors": (FIRST, "select * from category_priors"),
         "context_priors": (CONTEXT, "select * from priors"),
         "prior_summary": (CONTEXT, "select entity_type, count(*) as priors, sum(samples)::bigint as samples, max(samples) as most from priors group by entity_type"),
         "learned_adjustment": (ADJUSTED, "select race_id, horse_number, adjustment, base_score, shadow_score from adjusted"),
@@ -247,8 +264,10 @@ def all_sql() -> dict[str, str]:
     labelled = f"(select count(distinct race_id) from ({out['strict_labels']}))"
     stages = ("strict_labels", "context_priors", "ranking_evaluation", "category_priors", "selection_metrics")
     out["rebuild"] = " union all ".join(f"select {i}::bigint as place, '{n}' as stage, 'ok' as status, count(*) as rows from ({out[n]})" for i, n in enumerate(stages))
-    ahead = f"(with {TABLES.strip()}, {WINDOWS.strip()} select w.race_date::varchar || '|' || w.city as card, min(starts_at) as first_start from windows w join races using (race_id) where sixfold_number = 1 group by all having min(starts_at) > timestamp '1995-06-15 12:00:00')"
-    out["ticket_snapshots"] = f"select sha256(card || '|1|' || profile) as snapshot_key, card, profile, first_start, combinations, cost from ({out['ticket_backtest']}) join {ahead} using (card) where profile <> 'economic'"
+    ahead = f"(with {TABLES.strip()}, {WINDOWS.strip()} select w.race_date::varchar || '|' || w.city || '|' || sixfold_number as card, sixfold_number, min(starts_at) as first_start from windows w join races using (race_id) group by all having min(starts_at) > timestamp '1995-06-15 12:00:00')"
+    out["ticket_snapshots"] = f"select sha256(card || '|' || sixfold_number || '|' || budget || '|' || profile) as snapshot_key, card, budget, profile, first_start, combinations, cost from ({out['ticket_backtest']}) join {ahead} using (card) where profile <> 'economic'"
+    allowed = f"(select scale from ({out['ranking_evaluation']}))"
+    out["production_scores"] = f"with {TABLES.strip()}, {ADJUSTED.strip()} select race_id, horse_number, base_score, shadow_score, {r('base_score + coalesce(' + r(clamp(f'signal * {allowed}', -5, 5), 2) + ', 0.0)', 2)} as production_score from adjusted"
     out["applied_repair"] = (f"with {TABLES.strip()} select race_id as mapping, case classification when 'MOVE_SOURCE_TO_TARGET' then race_date + 1 else race_date end as race_date, city "
         f"from races left join ({out['date_repair']}) c on race_id = mapping where coalesce(classification, '') <> 'DELETE_DUPLICATE_SOURCE'")
     return out | {"model_report": f"select races, status, scale, {gains}, {labelled} as labelled_races from ({out['ranking_evaluation']})"}

@@ -12,16 +12,25 @@ from ..sources import cards, pages, racing
 from . import oracles
 
 
+def experts(s: SparkSession, d: str) -> DataFrame:
+    """Consensus of the picks, each source calibrated by what it has earned, in all and by category."""
+    picks, runners = racing.picks(s, d), racing.runners(s, d)
+    return expert.consensus(picks, racing.sources(s), expert.source_priors(picks, runners), expert.category_priors(picks, runners))
+
+
 def card(s: SparkSession, d: str) -> DataFrame:
     """Runners with all component scores and the model score."""
-    c = expert.consensus(racing.picks(s, d), racing.sources(s)).select("race_id", "horse_number", "expert_score", "expert_confidence", "source_count")
+    c = experts(s, d).select("race_id", "horse_number", "expert_score", "expert_confidence", "source_count")
     rows = racing.runners(s, d).join(c, ["race_id", "horse_number"], "left").withColumn("agf_percent", F.col("agf_bp") / 100.0)
-    rows = rows.withColumn("market_score", F.lit(None).cast("double")).withColumn("field_score", F.lit(None).cast("double"))
+    key = ["race_id", "horse_number"]
+    moved = market.movement(market.pre_race(racing.share_points(s, d)), 90, key).select(*key, "market_score")
+    field = racing.past_places(s, d).select(*key, scoring.field_score(F.col("places")).alias("field_score"))
+    rows = rows.join(moved, key, "left").join(field, key, "left")
     return scoring.model_score(scoring.components(rows))
 
 
 def scored_card(s: SparkSession, d: str) -> DataFrame:
-    parts = ["agf_score", "expert_part", "form_score", "hp_score", "weight_score"]
+    parts = ["agf_score", "expert_part", "form_score", "hp_score", "market_score", "weight_score", "field_score"]
     return card(s, d).select("race_id", "horse_number", *[rounded(F.col(c), 4).alias(c) for c in parts], "score", "model_confidence")
 
 
@@ -32,6 +41,13 @@ def adjusted(s: SparkSession, d: str) -> DataFrame:
     return out.withColumn("shadow_score", rounded(F.col("base_score") + F.col("adjustment"), 2))
 
 
+def production(s: SparkSession, d: str) -> DataFrame:
+    """Base, shadow and production score; production takes the learned signal at the scale the gate allows."""
+    rows = adjusted(s, d).crossJoin(F.broadcast(evaluation(s, d).select("scale")))  # one row
+    served = rounded(F.col("base_score") + learning.scaled(F.col("signal"), F.col("scale")), 2)
+    return rows.select("race_id", "horse_number", "base_score", "shadow_score", served.alias("production_score"))
+
+
 def evaluation(s: SparkSession, d: str) -> DataFrame:
     scores = ["base_score", "shadow_score"]
     return learning.gate(learning.ranking_metrics(learning.winner_ranks(adjusted(s, d), scores), scores), *scores)
@@ -46,15 +62,27 @@ def audit(s: SparkSession, d: str) -> DataFrame:
 
 
 def ticket_legs(s: SparkSession, d: str) -> DataFrame:
-    """Legs of the first window of every card, scored by share."""
-    w = tickets.windows(racing.races(s, d)).where("sixfold_number = 1")
-    scored = racing.runners(s, d).select("race_id", "horse_number", F.coalesce(F.col("agf_bp") / 100.0, F.lit(0.0)).alias("score"), F.lit(0.8).alias("confidence"))
-    return w.join(scored, "race_id").select(F.concat_ws("|", F.col("race_date").cast("string"), "city").alias("card"), F.col("place").alias("leg"), "race_id", "horse_number", "score", "confidence")
+    """Legs of both windows of every card, scored by share."""
+    w = six_windows(s, d)
+    scored = racing.runners(s, d).select("race_id", "horse_number", F.coalesce(F.col("agf_bp") / 100.0, F.lit(0.0)).alias("score"), ((1 + F.col("horse_id") % 10) / 10.0).alias("confidence"))
+    return w.join(scored, "race_id").select(card_key(), "city", F.col("place").alias("leg"), "race_id", "horse_number", "score", "confidence")
+
+
+def card_key() -> Column:
+    return F.concat_ws("|", F.col("race_date").cast("string"), "city", F.col("sixfold_number").cast("string")).alias("card")
+
+
+def priced(s: SparkSession, d: str) -> DataFrame:
+    """Cards with their unit price; those of nations of two words are abroad."""
+    return six_windows(s, d).select(card_key(), tickets.unit_price(F.col("city"), F.contains("city", F.lit(" "))).alias("unit")).distinct()
+
+
+BUDGETS = (300.0, 1000.0, 3000.0)
 
 
 def best_tickets(s: SparkSession, d: str) -> DataFrame:
-    found = tickets.optimise(ticket_legs(s, d), 3000.0, F.lit(1.25))
-    return found.select("card", "profile", rounded(F.col("survival"), 6).alias("survival"), "combinations", "cost")
+    found = tickets.optimise(ticket_legs(s, d), priced(s, d), BUDGETS)
+    return found.select("card", "budget", "profile", rounded(F.col("survival"), 6).alias("survival"), "combinations", "cost")
 
 
 def settled(s: SparkSession, d: str) -> DataFrame:
@@ -247,11 +275,11 @@ def training(s: SparkSession, d: str) -> DataFrame:
 
 
 def new_tickets(s: SparkSession, d: str) -> DataFrame:
-    """Tickets of the first windows ahead; the economic ones are stored already."""
-    made = best_tickets(s, d).withColumn("sixfold_number", F.lit(1).cast("long"))
-    w = six_windows(s, d).select(F.concat_ws("|", F.col("race_date").cast("string"), "city").alias("card"), "sixfold_number", "race_id")
-    stored = made.where("profile = 'economic'").select(sinks.content_key("card", "sixfold_number", "profile").alias("snapshot_key"))
-    return snapshots.ticket_snapshots(made, w, racing.races(s, d).select("race_id", "starts_at"), stored, instant()).select("snapshot_key", "card", "profile", "first_start", "combinations", "cost")
+    """Tickets of the windows ahead; the economic ones are stored already."""
+    made = best_tickets(s, d).withColumn("sixfold_number", F.substring_index("card", "|", -1).cast("long"))
+    w = six_windows(s, d).select(card_key(), "sixfold_number", "race_id")
+    stored = made.where("profile = 'economic'").select(sinks.content_key("card", "sixfold_number", "budget", "profile").alias("snapshot_key"))
+    return snapshots.ticket_snapshots(made, w, racing.races(s, d).select("race_id", "starts_at"), stored, instant()).select("snapshot_key", "card", "budget", "profile", "first_start", "combinations", "cost")
 
 
 def result_runs(s: SparkSession, d: str) -> DataFrame:
@@ -291,7 +319,8 @@ def queries() -> dict:
         "date_scan": lambda s, d: r.races(s, d).where("race_date between date'1995-01-01' and date'1996-06-30'").select("race_id", "race_date", "city", "race_number"),
         "distance_bands": lambda s, d: r.races(s, d).groupBy(distance_band(F.col("distance_meters")).alias("band"), "track").agg(F.count("*").alias("races")),
         "form_scores": lambda s, d: scoring.with_recent_form(r.runners(s, d)).select("race_id", "horse_number", "form_score", "trend"),
-        "expert_consensus": lambda s, d: expert.consensus(r.picks(s, d), r.sources(s)),
+        "expert_consensus": experts,
+        "production_scores": production,
         "global_rates": lambda s, d: expert.global_rates(r.runners(s, d)).select("samples", rounded(F.col("win_rate"), 6).alias("win_rate"), rounded(F.col("top3_rate"), 6).alias("top3_rate")),
         "source_priors": lambda s, d: expert.source_priors(r.picks(s, d), r.runners(s, d)),
         "category_priors": lambda s, d: expert.category_priors(r.picks(s, d), r.runners(s, d)),

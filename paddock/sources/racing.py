@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.names import distance_band
+
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -72,6 +74,23 @@ def market_points(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def share_points(spark: SparkSession, d: str) -> DataFrame:
+    """(race_id, horse_number, captured_at, starts_at, agf_percent): three shares of every runner in its last hour before the start."""
+    k = F.explode(F.array(*[F.lit(i).cast("long") for i in range(3)])).alias("k")
+    rows = runners(spark, d).where("agf_bp is not null").select("race_id", "horse_number", "horse_id", "agf_bp", k).join(races(spark, d).select("race_id", "starts_at"), "race_id")
+    moved = F.col("agf_bp") + F.col("k") * ((F.col("horse_id") * 7 + F.col("race_id") * 131) % 1201 - 600)
+    at = F.timestamp_seconds(F.unix_seconds("starts_at") - 60 * (60 - 27 * F.col("k")))
+    return rows.select("race_id", "horse_number", at.alias("captured_at"), "starts_at", (F.greatest(F.lit(0), F.least(F.lit(10000), moved)) / 100.0).alias("agf_percent"))
+
+
+def past_places(spark: SparkSession, d: str) -> DataFrame:
+    """(race_id, horse_number, places): up to five finishes of the horse on the same track and band in earlier rows, newest first."""
+    context = races(spark, d).select("race_id", "race_date", "track", distance_band(F.col("distance_meters")).alias("band"))
+    before = Window.partitionBy("horse_id", "track", "band").orderBy("race_date", "race_id", "horse_number").rowsBetween(-5, -1)
+    rows = runners(spark, d).select("race_id", "horse_number", "horse_id", "finish_position").join(context, "race_id")
+    return rows.select("race_id", "horse_number", F.reverse(F.collect_list("finish_position").over(before)).cast("array<int>").alias("places"))
+
+
 def results(spark: SparkSession, d: str) -> DataFrame:
     """(race_id, horse_number, name, finish_position): official results, with races, runners and names that don't match."""
     r = runners(spark, d).where("race_id % 9 <> 0").where("(race_id + horse_id) % 19 <> 0")
@@ -105,6 +124,13 @@ points as (
   select ts::date as race_date, 'C' || (user_id % 5) as city, user_id // 5 + 1 as race_number, horse_number, ts as captured_at,
     least(value, 100.0) as agf_percent, (ts::date + 1)::timestamp as starts_at
   from events join (select event_type, row_number() over (order by event_type) as horse_number from (select distinct event_type from events)) using (event_type)),
+share_points as (
+  select race_id, horse_number, starts_at - to_minutes((60 - 27 * k)::int) as captured_at, starts_at, greatest(0, least(10000, agf_bp + k * ((horse_id * 7 + race_id * 131) % 1201 - 600))) / 100.0::double as agf_percent
+  from runners join races using (race_id), (values (0), (1), (2)) t(k) where agf_bp is not null),
+past as (
+  select race_id, horse_number, coalesce(list_reverse(list(finish_position) over (partition by horse_id, track, case when distance_meters < 1300 then 1 when distance_meters <= 1700 then 2 else 3 end
+    order by race_date, race_id, horse_number rows between 5 preceding and 1 preceding)), []) as places
+  from runners join races using (race_id)),
 results as (
   select race_id, horse_number, 'HORSE ' || horse_id || case when (race_id + horse_id) % 17 = 0 then ' X' else '' end as name, finish_position
   from runners where race_id % 9 <> 0 and (race_id + horse_id) % 19 <> 0)

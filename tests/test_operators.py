@@ -87,12 +87,12 @@ def legs(spark, sizes):
 
 
 def test_tickets(spark):
-    got = {r.profile: (round(r.survival, 6), r.cost) for r in tickets.optimise(legs(spark, [5] * 6), 3000.0, F.lit(1.25)).collect()}
+    got = {r.profile: (round(r.survival, 6), r.cost) for r in tickets.optimise(legs(spark, [5] * 6), spark.createDataFrame([("x", 1.25)], "card string, unit double"), (3000.0,)).collect()}
     assert got == {"economic": (0.474647, 1215.0), "balanced": (0.569748, 2160.0), "maximum": (0.624221, 2880.0)}
 
 
 def test_large_leg(spark):
-    rows = tickets.optimise(legs(spark, [14, 3, 3, 3, 3, 3]), 20000.0, F.lit(1.0)).collect()
+    rows = tickets.optimise(legs(spark, [14, 3, 3, 3, 3, 3]), spark.createDataFrame([("x", 1.0)], "card string, unit double"), (20000.0,)).collect()
     assert max(max(r.sizes) for r in rows if r.profile == "maximum") > 5
     assert all(r.cost <= 20000 for r in rows)
 
