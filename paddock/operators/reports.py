@@ -114,3 +114,71 @@ def result_violations(results: DataFrame) -> DataFrame:
     )
     codes = [code(F.col("n") < 2, "TOO_FEW_RUNNERS"), code(F.col("n") != F.col("different"), "DUPLICATE_RUNNER"), code(F.col("bad") > 0, "BAD_PLACE"), code(F.col("winners") == 0, "NO_WINNER")]
     return by.select("race_id", F.explode(F.array_compact(F.array(*codes))).alias("code"))
+
+
+def field_coverage(races: DataFrame, signals: DataFrame, state: DataFrame) -> DataFrame:
+    """Per race: field signals, those with a score, and the state of the last refresh; the state joins after the count, so rows don't multiply."""
+    by = signals.groupBy("race_id").agg(F.count("horse_number").alias("signal_rows"), F.count("score").alias("scored_rows"))
+    rows = races.select("race_id", "race_date", "city", "race_number").join(by, "race_id", "left").join(state, "race_id", "left")
+    return rows.select("race_id", "race_date", "city", "race_number", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("signal_rows", "scored_rows")], "status", "last_attempt_at", "last_success_at")
+
+
+def totals(races: DataFrame, runners: DataFrame) -> DataFrame:
+    """Per day: runners, with share, with form."""
+    return runners.join(races.select("race_id", "race_date"), "race_id").groupBy("race_date").agg(
+        F.count("*").alias("runners"), F.count("agf_bp").alias("with_share"), F.count_if(F.coalesce(F.trim("recent_form_raw"), F.lit("")) != "").alias("with_form")
+    )
+
+
+def overview(races: DataFrame, runners: DataFrame, sources: DataFrame, candidates: DataFrame) -> DataFrame:
+    """One row: races, runners, enabled and degraded sources, late captures, and whether all is well."""
+    parts = [
+        races.agg(F.count("*").alias("races")), runners.agg(F.count("*").alias("runners")),
+        sources.agg(F.count_if("enabled").alias("sources"), F.count_if(F.col("enabled") & (F.coalesce("status", F.lit("")) != "healthy")).alias("degraded")), candidates.agg(F.count_if(F.col("captured_at") >= F.col("starts_at")).alias("late_captures")),
+    ]
+    one = reduce(lambda a, b: a.crossJoin(F.broadcast(b)), parts)  # one row each
+    return one.withColumn("status", F.when((F.col("degraded") == 0) & (F.col("late_captures") == 0), "healthy").otherwise("degraded"))
+
+
+def ticket_ledger(snapshots: DataFrame) -> DataFrame:
+    """Per profile: tickets, those not evaluated yet, hits, last generation and evaluation."""
+    return snapshots.groupBy("profile").agg(
+        F.count("*").alias("tickets"), F.count_if(F.col("evaluated_at").isNull()).alias("pending"), F.count_if("six_of_six").alias("six_of_six"), F.count_if("five_of_six").alias("five_of_six"),
+        F.max("generated_at").alias("latest_generation"), F.max("evaluated_at").alias("latest_evaluation"),
+    )
+
+
+def dossiers(runners: DataFrame, picks: DataFrame, latest: DataFrame, signals: DataFrame, keys: list[str]) -> DataFrame:
+    """Every runner with its picks, latest market points (newest first) and field score nested."""
+    said = picks.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("source_key", "source_rank", "confidence"))).alias("picks"))
+    seen = latest.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("place", "captured_at", "agf_percent"))).alias("points"))
+    rows = runners.join(said, keys, "left").join(seen, keys, "left").join(signals.select(*keys, F.col("score").alias("field_score")), keys, "left")
+    return rows.withColumns({c: F.coalesce(c, F.array()) for c in ("picks", "points")})
+
+
+def history_outcomes(documents: DataFrame, results: DataFrame) -> DataFrame:
+    """documents(race_id, horse_number) of an archive with the finish of each runner and whether its race has results."""
+    finish = results.select("race_id", "horse_number", F.col("finish_position").alias("finish"))
+    known = results.where("finish_position is not null").select("race_id").distinct().withColumn("_known", F.lit(True))
+    rows = documents.join(finish, ["race_id", "horse_number"], "left").join(known, "race_id", "left")
+    return rows.withColumn("result_available", F.coalesce("_known", F.lit(False))).drop("_known")
+
+
+def date_chain(layers: dict[str, DataFrame], captured: str = "candidates") -> DataFrame:
+    """Meetings over all layers, each layer with race_date, city and (but for meetings) starts_at: rows by layer, and what contradicts the meeting's date.
+
+    The layer `captured` has captured_at as well. Starts are compared by their local day, three hours ahead of UTC.
+    """
+    keys, parts, labels = ["race_date", "city"], [], []
+    for name, df in layers.items():
+        counts = [F.count("*").alias(name)]
+        if "starts_at" in df.columns:
+            counts.append(F.count_if(F.to_date(F.col("starts_at") + F.expr("interval 3 hours")) != F.col("race_date")).alias(f"_{name}_day"))
+            labels.append((f"_{name}_day", f"{name.upper().removesuffix('S')}_DATE_STARTS_AT_MISMATCH"))
+        if name == captured:
+            counts.append(F.count_if(F.col("captured_at") >= F.col("starts_at")).alias(f"_{name}_late"))
+            labels.append((f"_{name}_late", f"{name.upper().removesuffix('S')}_CAPTURE_AFTER_START"))
+        parts.append(df.groupBy(*keys).agg(*counts))
+    both = reduce(lambda a, b: a.join(b, keys, "full"), parts)
+    wrong = F.array_join(F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(0)) > 0, label) for c, label in labels])), ",")
+    return both.select(*keys, *[F.coalesce(n, F.lit(0)).alias(n) for n in layers], wrong.alias("anomalies"))

@@ -194,8 +194,8 @@ def all_sql() -> dict[str, str]:
             f"from points where captured_at between {BEFORE.format(1440)} and starts_at group by {HK}), m as (select *, sample_size >= 2 and span >= interval 4 minute as moved, z - a as d, (z - a) / greatest(a, 5.0::double) as rel from b)",
             f"select {HK}, sample_size, case when moved then {r(clamp('50 + 30 * ' + clamp('d / 10', -1, 1) + ' + 20 * ' + clamp('rel / 0.5::double', -1, 1), 0, 100), 1)} end as market_score, case when moved then {r('d', 2)} end as delta, "
             "case when not moved then 'unknown' when d >= 5 then 'strong-up' when d >= 1.5 then 'up' when d <= -5 then 'strong-down' when d <= -1.5 then 'down' else 'flat' end as direction from m"),
-        "market_series": ("", f"select {HK}, count(*) as points, min(captured_at) as first_at, max(captured_at) as last_at from points group by {HK}"),
-        "market_latest": ("", f"select {HK}, captured_at, agf_percent, row_number() over (partition by {HK} order by captured_at desc, agf_percent) as place from points qualify place <= 3"),
+        "market_series": ("", f"select {HK}, count(*) as points, min(captured_at) as first_at, max(captured_at) as last_at, md5(array_to_string(list(epoch_us(captured_at) || '=' || floor(agf_percent * 100 + 0.5)::bigint order by captured_at, agf_percent), ',')) as series_md5 from points group by {HK}"),
+        "market_latest": ("", f"select {HK}, captured_at, agf_percent, row_number() over (partition by {HK} order by captured_at desc, agf_percent) as place from points qualify place <= 30"),
         "market_coverage": ("", f"select {RK}, count(*) as points, count(distinct horse_number) as horses, count(distinct captured_at) as captures, min(captured_at) as first_capture, max(captured_at) as last_capture from points group by {RK}"),
         "minutes_to_start": ("obs as (select distinct race_date, captured_at from points), st as (select distinct race_date, date_trunc('hour', captured_at) as begins from points)",
             "select o.race_date, captured_at, floor(min(epoch_us(s.begins) - epoch_us(captured_at)) / 60000000.0)::bigint as minutes from obs o left join st s on s.race_date = o.race_date and s.begins >= o.captured_at group by all"),
@@ -218,9 +218,17 @@ def all_sql() -> dict[str, str]:
         "result_violations": ("by_race as (select race_id, count(*) as n, count(*) filter (finish_position = 1) as winners from results group by race_id)", "select race_id, unnest(list_filter([case when n < 2 then 'TOO_FEW_RUNNERS' end, case when winners = 0 then 'NO_WINNER' end], lambda x: x is not null)) as code from by_race"),
         "invariants": ("", "select 'late_captures' as \"check\", count(*) as violations from points where captured_at >= starts_at union all select 'orphan_runners', count(*) from runners where race_id % 7 = 0 "
             "union all select 'repeated_runners', count(*) from (select 1 from runners group by race_id, horse_number having count(*) > 1) union all select 'repeated_races', count(*) from (select 1 from races group by race_date, city, race_number having count(*) > 1)"),
-        "date_layers": ("a as (select race_date, city, count(*) as n from races where race_id % 3 <> 0 group by all), b as (select race_date, city, count(*) as n from results join races using (race_id) group by all)",
-            "select race_date, city, coalesce(a.n, 0) as races, coalesce(b.n, 0) as results, array_to_string(list_filter([case when a.n is null then 'races' end, case when b.n is null then 'results' end], lambda x: x is not null), ',') as missing from a full join b using (race_date, city)"),
-        "upsert": ("", "select race_id, horse_number, coalesce(agf_bp, 0) + (race_id % 3 = 0)::int as value, case when race_id % 3 = 0 then 2 else 1 end::bigint as version from runners where race_id % 2 = 0 or race_id % 3 = 0"),
+        "date_layers": (f"{AUDIT}, a as (select race_date, city, count(*) as n from races group by all), b as (select race_date, city, count(*) as n from results join races using (race_id) group by all), "
+            "c as (select race_date, city, count(*) as n from picks join races using (race_id) group by all), d as (select race_date, city, count(*) as n from results join races using (race_id) where race_id in (select race_id from audit where reason = 'LABELLED') group by all)",
+            "select race_date, city, coalesce(a.n, 0) as races, coalesce(b.n, 0) as results, coalesce(c.n, 0) as picks, coalesce(d.n, 0) as labels, array_to_string(list_filter([case when a.n is null then 'races' end, case when b.n is null then 'results' end, case when c.n is null then 'picks' end, case when d.n is null then 'labels' end], lambda x: x is not null), ',') as missing "
+            "from a full join b using (race_date, city) full join c using (race_date, city) full join d using (race_date, city)"),
+        "upsert": ("", "select race_id, horse_number, coalesce(agf_bp, 0) + (race_id % 3 = 0 or race_id % 2 = 0)::int as value, case when race_id % 3 = 0 then 2 else 1 end::bigint as version from runners"),
+        "field_signals": (f"own as (select race_id, horse_id from runners), hist as (select horse_id, race_id as past, finish_position, race_date from runners join races using (race_id)), "
+            "one as (select distinct o.race_id, o.horse_id, race_date, finish_position from own o join hist h on o.horse_id = h.horse_id and past <> o.race_id), "
+            "best as (select race_id, horse_id, finish_position, row_number() over (partition by race_id, horse_id order by race_date desc, finish_position) as k from one), "
+            "past5 as (select race_id, horse_id, list(finish_position order by k) filter (k <= 5) as places from best group by all), "
+            "paired as (select u.race_id, u.horse_number, coalesce(places, []) as places from runners u left join past5 using (race_id, horse_id)), " + FIELD.replace("from past)", "from paired)").replace("case when len(places) > 0 then", "len(places) as n, case when len(places) > 0 then"),
+            "select race_id, horse_number, field_score as score, n as sample_size, case when max(field_score) over (partition by race_id) is not null then 'healthy' else 'no-data' end as state from fields"),
         "insert_only": ("", "select race_id, city from races where race_id % 2 <> 0"),
         "newest_candidate": ("", f"select {HK}, max(captured_at) as captured_at, max_by(agf_percent, captured_at) as agf_percent, max_by(starts_at, captured_at) as starts_at from points where captured_at < starts_at group by {HK}"),
         "archive_documents": ("", "select race_id, count(*) as n_runners, (14 + sum(len('{\"horse_number\":,\"horse_id\":,\"finish_position\":},' || horse_number || horse_id || finish_position)) - 1)::bigint as size from runners join races using (race_id) group by race_id"),
@@ -259,6 +267,9 @@ def all_sql() -> dict[str, str]:
             "select race_date, city, stage, 'timeout' as error from u, (values ('labels', 4), ('priors', 8)) s(stage, n) where k % n = 0 and k % 12 <> 0"),
         "page_fingerprints": ("", "select page_id, sha256(coalesce(url, '') || '|' || coalesce(html, '')) as fingerprint from pages"),
     }
+    from . import more
+
+    bodies |= more.bodies()
     out = {name: f"with {TABLES.strip()}{', ' + extra.strip() if extra.strip() else ''}\n{body}" for name, (extra, body) in bodies.items()}
     gains = ", ".join(f"{r(f'{sign} * (shadow_score_{m} - base_score_{m})', 5)} as gain_{m}" for m, sign in (("top1", 1), ("top3", 1), ("mean_rank", -1)))
     labelled = f"(select count(distinct race_id) from ({out['strict_labels']}))"

@@ -116,15 +116,16 @@ def repair(s: SparkSession, d: str) -> DataFrame:
 
 
 def upserted(s: SparkSession, d: str) -> DataFrame:
-    """Even runners stored, every third one refreshed."""
-    rows = racing.runners(s, d).select("race_id", "horse_number", F.coalesce("agf_bp", F.lit(0)).alias("value"))
-    old, new = rows.where("race_id % 2 = 0").withColumn("version", F.lit(1)), rows.where("race_id % 3 = 0").withColumn("value", F.col("value") + 1).withColumn("version", F.lit(2))
+    """All runners stored and all refreshed; every third refresh is the newer one, of the others every second is of equal age."""
+    k, rows = F.col("race_id"), racing.runners(s, d).select("race_id", "horse_number", F.coalesce("agf_bp", F.lit(0)).alias("value"))
+    old = rows.withColumn("version", F.lit(1))
+    new = rows.withColumn("value", F.col("value") + 1).withColumn("version", F.when(k % 3 == 0, 2).when(k % 2 == 0, 1).otherwise(0))
     return sinks.upsert(old, new, ["race_id", "horse_number"], "version").select("race_id", "horse_number", "value", F.col("version").cast("long").alias("version"))
 
 
 def series(s: SparkSession, d: str) -> DataFrame:
     long = market.series(racing.market_points(s, d))
-    return long.select(*market.RUNNER, F.size("series").cast("long").alias("points"), F.element_at("series", 1)["captured_at"].alias("first_at"), F.element_at("series", -1)["captured_at"].alias("last_at"))
+    return long.select(*market.RUNNER, F.size("series").cast("long").alias("points"), F.element_at("series", 1)["captured_at"].alias("first_at"), F.element_at("series", -1)["captured_at"].alias("last_at"), F.md5(F.array_join(F.transform("series", lambda x: F.concat_ws("=", F.unix_micros(x["captured_at"]), F.floor(x["agf_percent"] * 100 + 0.5))), ",")).alias("series_md5"))
 
 
 def page_candidates(s: SparkSession, d: str) -> DataFrame:
@@ -205,7 +206,7 @@ def signals(s: SparkSession, d: str) -> DataFrame:
     runners = frozen(s, d)
     history = racing.runners(s, d).select("horse_id", "race_id", "finish_position").join(racing.races(s, d).select("race_id", "race_date"), "race_id")
     own = racing.runners(s, d).select("race_id", "horse_id")
-    past = own.join(history.withColumnRenamed("race_id", "past").where("past % 4 = 0"), "horse_id").where("past <> race_id")
+    past = own.join(history.withColumnRenamed("race_id", "past"), "horse_id").where("past <> race_id")
     rows = past.select("race_id", F.concat(F.lit("Horse  "), F.col("horse_id").cast("string"), F.lit(" (1)")).alias("name"), "race_date", "finish_position").distinct()
     return gaps.field_signals(runners, rows)
 
@@ -311,8 +312,10 @@ def repaired(s: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
+    from . import more
+
     r = racing
-    return {
+    return more.queries() | {
         "scored_card": scored_card,
         "races_projection": r.races,
         "runners_projection": lambda s, d: r.runners(s, d).drop("line", "l_suppkey"),
@@ -334,7 +337,7 @@ def queries() -> dict:
         "market_features": lambda s, d: market.features(market.pre_race(r.market_points(s, d))),
         "market_movement": lambda s, d: market.movement(r.market_points(s, d), 1440),
         "market_series": series,
-        "market_latest": lambda s, d: market.series(r.market_points(s, d), 3).select(*market.RUNNER, "captured_at", "agf_percent", F.col("place").cast("long").alias("place")),
+        "market_latest": lambda s, d: market.series(r.market_points(s, d), 30).select(*market.RUNNER, "captured_at", "agf_percent", F.col("place").cast("long").alias("place")),
         "market_coverage": lambda s, d: reports.market_coverage(r.market_points(s, d)),
         "minutes_to_start": lambda s, d: market.minutes_to_next_start(r.market_points(s, d).select("race_date", "captured_at").distinct(), r.market_points(s, d).select("race_date", F.date_trunc("hour", "captured_at").alias("starts_at")).distinct()),
         "label_audit": audit,
@@ -352,7 +355,7 @@ def queries() -> dict:
         "card_violations": lambda s, d: reports.card_violations(r.races(s, d), r.runners(s, d)),
         "result_violations": lambda s, d: reports.result_violations(r.results(s, d)),
         "invariants": invariants,
-        "date_layers": lambda s, d: reports.layers({"races": r.races(s, d).where("race_id % 3 <> 0"), "results": r.results(s, d).join(r.races(s, d), "race_id")}, ["race_date", "city"]),
+        "date_layers": lambda s, d: reports.layers({"races": r.races(s, d), "results": r.results(s, d).join(r.races(s, d), "race_id"), "picks": r.picks(s, d).join(r.races(s, d), "race_id"), "labels": learning.labels(frozen(s, d), r.results(s, d)).join(r.races(s, d), "race_id")}, ["race_date", "city"]),
         "upsert": upserted,
         "insert_only": lambda s, d: sinks.insert_only(r.races(s, d).where("race_id % 2 = 0").select("race_id"), r.races(s, d).select("race_id", "city"), ["race_id"], "city"),
         "newest_candidate": lambda s, d: sinks.newest_candidate(r.market_points(s, d), market.RUNNER),

@@ -89,7 +89,7 @@ HISTORY_HEADERS = {
 
 
 def history_rows(pages: DataFrame) -> DataFrame:
-    """Past races of a horse from the largest table of its page, newest first."""
+    """Past races of a horse from the largest table of its page; who needs them newest first orders by `race_date`."""
     found = cells(pages)
     size = found.groupBy("page_id", "table_no").agg(F.countDistinct("row_no").alias("n"))
     largest = size.groupBy("page_id").agg(F.max_by("table_no", F.struct("n", -F.col("table_no"))).alias("table_no"))
@@ -98,7 +98,7 @@ def history_rows(pages: DataFrame) -> DataFrame:
     return rows.select(
         "page_id", F.try_to_date("date", "dd.MM.yyyy").alias("race_date"), "city", number("distance").alias("distance_meters"), "track", number("place").alias("finish_position"),
         decimal_comma(F.col("carried")).alias("weight"), "jockey", decimal_comma(F.col("odds")).alias("odds"), number("hp").alias("hp"),
-    ).where("race_date is not null").orderBy("page_id", F.col("race_date").desc())
+    ).where("race_date is not null")
 
 
 def result_rows(found: DataFrame) -> DataFrame:
