@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import RangeHash, flat, mix, runs, text_slices
+from .common import RangeHash, flat, mix, runs, shared, text_slices
 from .decontam import LOWERED
 from .quality import IS_SPACE
 
@@ -110,21 +110,20 @@ class Network:
             out[at : at + 4096] = own - np.log(logits.sum(axis=1))
         return out
 
-    def learn(self, rows: np.ndarray, squares: np.ndarray, rate: float = 0.05, batch: int = 512) -> None:
+    def learn(self, rows: np.ndarray, squares: np.ndarray, rate: float = 0.05, batch: int = 1024) -> None:
         """One pass of AdaGrad."""
         kept = Network(squares)
         for at in range(0, len(rows), batch):
             near, middle = rows[at : at + batch, :-1], rows[at : at + batch, -1]
             h = self.hidden(near)
-            error = h @ self.parts[2] + self.parts[3]
-            error = np.exp(error - error.max(axis=1, keepdims=True))
-            error /= error.sum(axis=1, keepdims=True)
-            error[np.arange(len(middle)), middle] -= 1
-            error /= len(middle)
+            error = h @ self.parts[2]
+            error += self.parts[3]
+            np.exp(error, out=error)
+            error *= (1 / (len(middle) * error.sum(axis=1)))[:, None].astype(np.float32)
+            error[np.arange(len(middle)), middle] -= np.float32(1 / len(middle))
             back = (error @ self.parts[2].T) * (1 - h * h)
-            table = np.zeros(self.SHAPES[0], np.float32)
-            for k in range(2 * SIDE):
-                np.add.at(table, near[:, k] + k * (CLASSES + 1), back)
+            places = (near + np.arange(2 * SIDE) * (CLASSES + 1)).T.reshape(-1)
+            table = np.stack([np.bincount(places, np.tile(column, 2 * SIDE), self.SHAPES[0][0]) for column in back.T], axis=1).astype(np.float32)
             for mine, seen, g in zip(self.parts, kept.parts, (table, back.sum(0), h.T @ error, error.sum(0)), strict=True):
                 seen += g * g
                 mine -= rate * g / (np.sqrt(seen) + 1e-6)
@@ -136,7 +135,7 @@ def train_batches(start, vocabulary, rate: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flat, squares = start.value
         net, squares, seen = Network(flat.copy()), squares.copy(), 0
-        for part in text_slices(batches):
+        for part in text_slices(batches):  # a slice of 256 KB, or one longer text
             rows = training_rows(part, vocabulary.value, rate)
             net.learn(rows, squares)
             seen += len(rows)
@@ -168,25 +167,30 @@ def vocabulary_of(docs: DataFrame) -> Vocabulary:
     return Vocabulary(counts)
 
 
-def train(docs: DataFrame, vocabulary: Vocabulary, rate: int = 1, rounds: int = 2, workers: int = 12, seen: list | None = None) -> np.ndarray:
+def train(docs: DataFrame, vocabulary: Vocabulary, rate: int = 1, rounds: int = 2, workers: int | None = None, seen: list | None = None) -> np.ndarray:
     """Parameters after `rounds` passes of `workers` copies, averaged by windows seen after each.
 
     Every word of all documents is a training window in each round (with a `rate` over 1, one in `rate`);
-    the windows are made as the texts pass and never stored. What reaches the driver is `workers`
-    parameter vectors of about 130 KB. `seen` gets the number of windows of each round.
+    the windows are made as the texts pass and never stored. There are as many copies as the cluster has
+    cores by default. Each copy's texts come in an order by hash, so that a rerun, also of a lost task,
+    gives the same sums. What reaches the driver is `workers` parameter vectors of about 130 KB. `seen`
+    gets the number of windows of each round.
     """
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(vocabulary)
-    texts = docs.select("text").repartition(workers, F.xxhash64("text", F.monotonically_increasing_id()))
+    known = shared(spark, vocabulary)
+    h = F.xxhash64("text", F.monotonically_increasing_id())
+    texts = docs.select("text", h.alias("h")).repartition(workers or spark.sparkContext.defaultParallelism, "h").sortWithinPartitions("h").select("text")
     flat = Network.start(vocabulary.log_class).flat
     squares = np.zeros_like(flat)
     for _ in range(rounds):
-        start = spark.sparkContext.broadcast((flat, squares))
-        got = texts.mapInArrow(train_batches(start, shared, rate), "n bigint, flat binary, squares binary").collect()
+        start = shared(spark, (flat, squares))
+        got = texts.mapInArrow(train_batches(start, known, rate), "n bigint, flat binary, squares binary").collect()
+        start.unpersist()
         if seen is not None:
             seen.append(sum(r["n"] for r in got))
         if not got:
             return flat
+        got.sort(key=lambda r: (r["n"], r["flat"]))
         n = np.array([r["n"] for r in got], np.float64)
         mean = lambda c: (np.stack([np.frombuffer(r[c], np.float32) for r in got]) * (n / n.sum())[:, None]).sum(0).astype(np.float32)  # noqa: E731,B023
         flat, squares = mean("flat"), mean("squares")
@@ -203,7 +207,7 @@ def pseudo_likelihood(docs: DataFrame, **how) -> DataFrame:
     columns are ignored.
     """
     vocabulary = vocabulary_of(docs)
-    model = docs.sparkSession.sparkContext.broadcast((vocabulary, train(docs, vocabulary, **how)))
+    model = shared(docs.sparkSession, (vocabulary, train(docs, vocabulary, **how)))
     kind = docs.schema["doc_id"].dataType.simpleString()
     scored = docs.select("doc_id", "text").mapInArrow(score_batches(model), f"doc_id {kind}, n_words bigint, log_likelihood double")
     mean = F.try_divide(F.col("log_likelihood"), F.col("n_words"))
