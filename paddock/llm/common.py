@@ -119,9 +119,9 @@ def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-@lru_cache(1)
-def byte_codes() -> np.ndarray:
-    return np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
+@lru_cache(4)
+def byte_codes(seed: int = 20240229) -> np.ndarray:
+    return np.random.default_rng(seed).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -173,14 +173,14 @@ class RangeHash:
     The sums are made block by block, and of long data only those at the asked places are ever held.
     """
 
-    def __init__(self, data: np.ndarray):
-        self.data = data
+    def __init__(self, data: np.ndarray, seed: int = 20240229):
+        self.data, self.codes = data, byte_codes(seed)
         self.sums = self.block(0) if len(data) <= BLOCK else None
 
     def block(self, at: int) -> np.ndarray:
         data = self.data[at : at + BLOCK]
         sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(byte_codes()[data] * base_powers()[1][: len(data)], dtype=np.uint64, out=sums[1:])
+        np.cumsum(self.codes[data] * base_powers()[1][: len(data)], dtype=np.uint64, out=sums[1:])
         return sums
 
     def at(self, places: np.ndarray) -> np.ndarray:
