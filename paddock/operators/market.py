@@ -47,12 +47,17 @@ def movement(points: DataFrame, window_minutes: int = 90, keys: list[str] = RUNN
         F.countDistinct(F.struct(at, agf)).alias("sample_size"), F.min_by(agf, F.struct(at, agf)).alias("first_agf"), F.max_by(agf, F.struct(at, agf)).alias("latest_agf"),
         (F.unix_micros(F.max(at)) - F.unix_micros(F.min(at))).alias("span"),
     )
+    return by.select(*keys, "sample_size", *movement_columns())
+
+
+def movement_columns() -> list[Column]:
+    """market_score, delta and direction from sample_size, first_agf, latest_agf and span (microseconds)."""
     moved = (F.col("sample_size") >= 2) & (F.col("span") >= 4 * 60 * 1_000_000)
     delta = F.col("latest_agf") - F.col("first_agf")
     relative = delta / F.greatest(F.col("first_agf"), F.lit(5.0))
     score = 50 + 30 * clamp(delta / 10, -1.0, 1.0) + 20 * clamp(relative / 0.5, -1.0, 1.0)
     direction = F.when(~moved, "unknown").when(delta >= 5, "strong-up").when(delta >= 1.5, "up").when(delta <= -5, "strong-down").when(delta <= -1.5, "down").otherwise("flat")
-    return by.select(*keys, "sample_size", F.when(moved, rounded(clamp(score, 0.0, 100.0), 1)).alias("market_score"), F.when(moved, rounded(delta, 2)).alias("delta"), direction.alias("direction"))
+    return [F.when(moved, rounded(clamp(score, 0.0, 100.0), 1)).alias("market_score"), F.when(moved, rounded(delta, 2)).alias("delta"), direction.alias("direction")]
 
 
 def series(points: DataFrame, latest: int | None = None) -> DataFrame:

@@ -5,14 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.names import city_fold, decimal_comma
+from ..functions.names import city_fold, decimal_comma, lower_tr
 from .pages import cells, links, named_columns, plain
 
 # Spellings of the programme pages.
 CARD_HEADERS = {"number": ["N", "No"], "name": ["At İsmi"], "weight": ["Sıklet", "Kilo"], "jockey": ["Jokey"], "share": ["AGF"], "hp": ["HP"]}
-RACE_HEADING = r"(?iu)^\s*(\d{1,2})\s*\.\s*Koşu\D*?(\d{1,2})[.:](\d{2})"
-SURFACE = r"(?iu)\b(\d{3,4})\s*(Kum|Çim|Cim|Sentetik)\b"
-MARKER = r"(?iu)\b([12])\s*\.\s*6\s*['’]?\s*LI\s+GANYAN\b.*\bbu\s+koşudan\s+başlar\b"
+RACE_WORD, POOL, STARTS_HERE = "koşu", "6 lı ganyan", "bu koşudan başlar"
+TRACKS = {"kum": "Kum", "çim": "Çim", "cim": "Çim", "sentetik": "Sentetik"}
 PROGRAMME_PATH = r"/GunlukYarisProgrami\b"
 CITY_KEY = "SehirAdi"
 FOREIGN = "(YD"
@@ -20,6 +19,38 @@ FOREIGN = "(YD"
 BLOCK = r"(?is)<h3[^>]*>.*?</h3>|<table[^>]*>.*?</table>|>[^<]*[^<\s][^<]*(?=<)"
 
 
+def tokens(text: Column) -> Column:
+    """Runs of letters and runs of digits, lower case; what stands between them only parts them."""
+    apart = F.regexp_replace(F.regexp_replace(lower_tr(F.coalesce(text, F.lit(""))), r"(?<=\p{L})(?=\p{N})|(?<=\p{N})(?=\p{L})", " "), r"[^\p{L}\p{N}]+", " ")
+    return F.filter(F.split(apart, " "), lambda t: t != "")
+
+
+def race_mark(words: Column) -> Column:
+    """struct(race_no, time) of a heading like "3. Koşu 14.30"; NULL for others."""
+    digits = lambda k: F.coalesce(F.try_element_at(words, F.lit(k)).rlike("^[0-9]{1,2}$"), F.lit(False))
+    later = F.filter(F.slice(words, F.lit(3), F.greatest(F.size(words) - 2, F.lit(0))), lambda t: t.rlike("^[0-9]+$"))
+    hour, minute = F.try_element_at(later, F.lit(1)), F.try_element_at(later, F.lit(2))
+    whole = digits(1) & (F.try_element_at(words, F.lit(2)) == RACE_WORD) & (F.length(hour) <= 2) & (F.length(minute) == 2)
+    return F.when(F.coalesce(whole, F.lit(False)), F.struct(F.try_element_at(words, F.lit(1)).cast("long").alias("race_no"), F.concat(F.lpad(hour, 2, "0"), F.lit(":"), minute).alias("time")))
+
+
+def surface_named(words: Column) -> Column:
+    """struct(distance_meters, track) where three or four digits stand before the name of a track."""
+    names = F.create_map(*[F.lit(x) for pair in TRACKS.items() for x in pair])
+    before = F.slice(F.concat(F.array(F.lit("")), words), F.lit(1), F.size(words))
+    pairs = F.zip_with(before, words, lambda n, t: F.struct(n.alias("n"), F.try_element_at(names, t).alias("track")))
+    first = F.try_element_at(F.filter(pairs, lambda p: p["track"].isNotNull() & p["n"].rlike("^[0-9]{3,4}$")), F.lit(1))
+    return F.when(first.isNotNull(), F.struct(first["n"].cast("long").alias("distance_meters"), first["track"].alias("track")))
+
+
+def start_mark(words: Column) -> Column:
+    """1 or 2 where a text says that this pool starts with this race."""
+    line = F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" "))
+    number = F.substring_index(F.substring_index(line, f" {POOL} ", 1), " ", -1)
+    after = F.substring(line, F.locate(f" {POOL} ", line).cast("int") + len(POOL), F.length(line))
+    return F.when(F.contains(line, F.lit(f" {POOL} ")) & number.isin("1", "2") & F.contains(after, F.lit(f" {STARTS_HERE} ")), number.cast("long"))
+
+
 def blocks(pages: DataFrame) -> DataFrame:
     """(page_id, position, block, text, kind, race_no, time, distance_meters, track): headings, tables and other texts of a page in order.
 
@@ -30,15 +61,12 @@ def blocks(pages: DataFrame) -> DataFrame:
     text, heading = F.col("text"), F.col("kind") == "h3"
     each = each.withColumn("kind", F.when(F.lower(F.col("block")).startswith("<h3"), "h3").when(F.lower(F.col("block")).startswith("<table"), "table").otherwise("text"))
     each = each.withColumn("text", plain(F.when(F.col("kind") == "text", F.substr("block", F.lit(2))).otherwise(F.col("block"))))
-    is_race, names_surface = heading & text.rlike(RACE_HEADING), heading & text.rlike(SURFACE)
-    part = lambda n: F.regexp_extract(text, RACE_HEADING, n)
-    kind = F.lower(F.regexp_extract(text, SURFACE, 2))
-    track = F.when(kind == "kum", "Kum").when(kind == "sentetik", "Sentetik").otherwise("Çim")
-    marked = each.withColumn("surface", F.when(names_surface & ~is_race, F.struct(F.regexp_extract(text, SURFACE, 1).cast("long").alias("distance_meters"), track.alias("track"))))
+    each = each.withColumn("words", F.when(heading, tokens(text))).withColumn("mark", race_mark(F.col("words")))
+    marked = each.withColumn("surface", F.when(F.col("mark").isNull(), surface_named(F.col("words"))))
     order = Window.partitionBy("page_id").orderBy("position")
     later = F.first("surface", ignorenulls=True).over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing))
-    race = F.struct(part(1).cast("long").alias("race_no"), F.concat(F.lpad(part(2), 2, "0"), F.lit(":"), part(3)).alias("time"), later.alias("surface"))
-    known = marked.withColumn("race", F.when(is_race, race)).withColumn("race", F.last("race", ignorenulls=True).over(order))
+    race = F.struct("mark.race_no", "mark.time", later.alias("surface"))
+    known = marked.withColumn("race", F.when(F.col("mark").isNotNull(), race)).withColumn("race", F.last("race", ignorenulls=True).over(order))
     return known.select("page_id", "position", "block", "text", "kind", "race.race_no", "race.time", "race.surface.distance_meters", "race.surface.track")
 
 
@@ -57,7 +85,7 @@ def card_rows(pages: DataFrame) -> DataFrame:
 
 def sixfold_starts(pages: DataFrame) -> DataFrame:
     """(page_id, race_no, sixfold_numbers): start markers outside tables, carried by the nearest race heading before them."""
-    hits = blocks(pages).where((F.col("kind") == "text") & F.col("race_no").isNotNull()).withColumn("n", F.regexp_extract("text", MARKER, 1).try_cast("long"))
+    hits = blocks(pages).where((F.col("kind") == "text") & F.col("race_no").isNotNull()).withColumn("n", start_mark(tokens(F.col("text"))))
     return hits.where("n is not null").groupBy("page_id", "race_no").agg(F.array_sort(F.collect_set("n")).alias("sixfold_numbers"))
 
 

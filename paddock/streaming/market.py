@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.market import RUNNER, movement
+from ..operators.market import RUNNER, movement_columns
+from ..operators.sinks import upsert
 
 KEY = [*RUNNER, "captured_at"]
 
@@ -29,26 +30,55 @@ def capture_rate(stream: DataFrame, width: str = "5 minutes", delay: str = "10 m
 
 
 def running_movement(stream: DataFrame, window_minutes: int = 90) -> DataFrame:
-    """Movement features that update as points arrive: extremes by time without the exact count of distinct points."""
+    """Score and direction of every runner's movement, updated as points arrive.
+
+    Needs points without repeats (`deduplicated`). A point at or after the start, or from before the window,
+    changes nothing, however late it comes: the filter decides, not the watermark.
+    """
     at = F.col("captured_at")
     inside = pre_race(stream).where(at >= F.timestamp_seconds(F.unix_micros("starts_at") / 1e6 - 60 * window_minutes))
-    return inside.groupBy(*RUNNER).agg(F.min_by("agf_percent", at).alias("first_agf"), F.max_by("agf_percent", at).alias("latest_agf"), F.min(at).alias("first_at"), F.max(at).alias("latest_at"))
+    by = inside.groupBy(*RUNNER).agg(
+        F.count("*").alias("sample_size"), F.min_by("agf_percent", F.struct(at, "agf_percent")).alias("first_agf"), F.max_by("agf_percent", F.struct(at, "agf_percent")).alias("latest_agf"),
+        (F.unix_micros(F.max(at)) - F.unix_micros(F.min(at))).alias("span"),
+    )
+    return by.select(*RUNNER, "sample_size", *movement_columns())
+
+
+def stored_days(spark: SparkSession, path: str, batch: DataFrame) -> DataFrame | None:
+    """The rows of the table at `path`, partitioned by race_date, of the days in the batch; None before the table exists."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        return None
+    days = [r[0] for r in batch.select("race_date").distinct().collect()]  # the days of one micro-batch
+    return spark.read.schema(batch.schema).parquet(path).where(F.col("race_date").isin(days))
 
 
 def insert_new(path: str):
-    """A foreachBatch sink that appends the rows whose key the table at `path` lacks."""
+    """A foreachBatch sink that appends the rows whose key the table at `path` lacks; only the batch's days are read."""
 
     def write(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
         fresh = batch.dropDuplicates(KEY)
-        try:
-            fresh = fresh.join(spark.read.parquet(path).select(*KEY), KEY, "left_anti")
-        except Exception as e:  # the table doesn't exist before the first batch
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
-        fresh.write.mode("append").parquet(path)
+        if (known := stored_days(batch.sparkSession, path, batch)) is not None:
+            fresh = fresh.join(known.select(*KEY), KEY, "left_anti")
+        fresh.write.mode("append").partitionBy("race_date").parquet(path)
+
+    return write
+
+
+def upsert_into(path: str, keys: list[str], version: str):
+    """A foreachBatch sink that keeps the newest version of each key; of the table at `path` only the batch's days are read and written.
+
+    The merged days are checkpointed before they replace the old ones, as a table can't be read while it is overwritten.
+    """
+
+    def write(batch: DataFrame, _: int) -> None:
+        if batch.isEmpty():
+            return
+        known = stored_days(batch.sparkSession, path, batch)
+        merged = upsert(batch.limit(0) if known is None else known, batch, keys, version).checkpoint()
+        merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("race_date").parquet(path)
 
     return write
 
 
-__all__ = ["capture_rate", "deduplicated", "insert_new", "movement", "newest_candidates", "pre_race", "running_movement"]
+__all__ = ["capture_rate", "deduplicated", "insert_new", "newest_candidates", "pre_race", "running_movement", "upsert_into"]

@@ -219,3 +219,16 @@ def test_repair_is_applied(spark):
     kinds = spark.createDataFrame([(0, "MOVE_SOURCE_TO_TARGET"), (1, "DELETE_DUPLICATE_SOURCE"), (2, "MANUAL_REVIEW")], "mapping int, classification string")
     out = {r["mapping"]: r["race_date"].day for r in snapshots.restated(rows, kinds, F.date_add("race_date", 1)).collect()}
     assert out == {0: 2, 2: 1, 3: 1}
+
+
+def test_hand_written_pages(spark):
+    """Wrapped, nested and missing markup."""
+    html = (
+        "<h3 class=x>\n 1 .  KOŞU\n<b>9:05</b></h3><h3>Şartlı 1<i>400</i>sentetik</h3><p>2. 6’lı\n Ganyan - bu  koşudan\nbaşlar</p><p>1. 6'LI GANYAN sonra</p>"
+        "<table><tr><th>No</th><th><b>At İsmi</b></th><th>Jokey</th></tr><tr><td>4</td><td>AY<br>IŞIĞI</td><td>C. D.</td></tr><tr><td></td><td>X</td><td>Y</td></tr></table>"
+        "<h3>2. Koşu</h3><table><tr><td>no head</td></tr></table><h3>Handikap</h3>"
+    )
+    page = spark.createDataFrame([(1, html), (2, "<table><tr>"), (3, None)], "page_id int, html string")
+    rows = cards.card_rows(page).collect()
+    assert [(r.race_no, r.time, r.distance_meters, r.track, r.horse_number, r.jockey) for r in rows] == [(1, "09:05", 400, "Sentetik", 4, "C. D.")]
+    assert [tuple(r) for r in cards.sixfold_starts(page).collect()] == [(1, 1, [2])]
