@@ -15,7 +15,7 @@ from .components import LocalSets, components
 from .decontam import LOWERED
 from .quality import IS_SPACE
 
-SHINGLE, BANDS, ROWS, SIMILAR, CHUNK = 6, 9, 4, 0.8, 1024
+SHINGLE, BANDS, ROWS, SIMILAR, CHUNK = 8, 9, 4, 0.8, 1024
 IS_INK = ~IS_SPACE
 AHEAD = 4 * SHINGLE + 1  # bytes that hold the code points of one shingle and the next
 MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)  # of the first bytes of a machine word
@@ -38,9 +38,9 @@ def line_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def longer_hash(words: np.ndarray, begin: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Hashes of strings of up to 24 bytes from the machine words at every byte."""
+    """Hashes of strings of up to 32 bytes from the machine words at every byte."""
     out = mix((words[begin] & MASKS[np.minimum(sizes, 8)]) + sizes.astype(np.uint64))
-    for k in (8, 16):
+    for k in (8, 16, 24):
         more = np.flatnonzero(sizes > k)
         out[more] = mix(out[more] + (words[begin[more] + k] & MASKS[np.minimum(sizes[more] - k, 8)]))
     return out
@@ -49,15 +49,15 @@ def longer_hash(words: np.ndarray, begin: np.ndarray, sizes: np.ndarray) -> np.n
 def shingle_blocks(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(line, hash) of all shingles of SHINGLE code points of the lines [start, end), a block of bytes at a time.
 
-    Shingles of ASCII are read as a machine word, those with longer characters as up to three.
+    Shingles of ASCII are read as a machine word, those with longer characters as up to four.
     """
     for at in range(0, len(data), STEP):
         part = data[at : at + STEP + AHEAD]
         first, last = np.searchsorted(ends, at, "right"), np.searchsorted(starts, at + STEP)
         if first >= last:
             continue
-        padded = np.concatenate([part, np.zeros(32, np.uint8)])
-        words = np.ndarray(len(part) + 24, np.dtype("<u8"), padded, strides=(1,))
+        padded = np.concatenate([part, np.zeros(40, np.uint8)])
+        words = np.ndarray(len(part) + 32, np.dtype("<u8"), padded, strides=(1,))
         wide = np.flatnonzero((part & 0xC0) == 0x80)
         low, high = np.maximum(starts[first:last] - at, 0), np.minimum(ends[first:last] - at, len(part))
         if len(wide):
@@ -271,7 +271,7 @@ def line_verdicts(docs: DataFrame, similar: float = SIMILAR, chunk: int = CHUNK)
     """(doc_id, tid, line_no, line, component, kept): every line that holds a word, kept where it is its component's first.
 
     Lines are the \\n-split parts of the whole texts, compared with A-Z lower-cased; equal lines are one
-    (by a 64-bit hash), lines at Jaccard `similar` or more over shingles of six code points are linked
+    (by a 64-bit hash), lines at Jaccard `similar` or more over shingles of eight code points are linked
     when they share one of 9 bands of 4 (0.8: found with 99 %). The first line by (doc_id, tid, line_no)
     of a component stays, tid being a hash of the text that tells rows with one doc_id apart; NULL
     doc_ids come first. Rows equal in doc_id and text are one document. Lines without a word and NULL or

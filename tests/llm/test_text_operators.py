@@ -209,7 +209,7 @@ def test_lines(spark, chunk):
 def test_line_recall(docs):
     verdict = {(r.doc_id, r.line_no): r.component for r in linededup.line_verdicts(docs).collect()}
     text = "äbcdéfgh abc日本語の abcdefgh"
-    assert linededup.shingles(text.encode()) == {text[i : i + 6] for i in range(len(text) - 5)}
+    assert linededup.shingles(text.encode()) == {text[i : i + 8] for i in range(len(text) - 7)}
     assert len(linededup.hashed_shingles(text.encode())) == len(linededup.shingles(text.encode()))
     assert set(linededup.hashed_shingles(b"abcdefgh")) < set(linededup.hashed_shingles(text.encode()))
     lines = {(d.doc_id, k): line.translate(LOWER).encode() for d in docs.collect() for k, line in enumerate((d.text or "").split("\n")) if line.encode().split()}
@@ -273,8 +273,8 @@ def test_texts_over_many_blocks(kind):
     assert counts["n_words"] == len(text.split()) and counts["n_dup_lines"] == len(lines) - len(set(lines)) and counts["word_chars"] == sum(map(len, text.split()))
     starts, ends, _, _ = linededup.line_spans(data, np.array([0, len(data)]))
     got = [(int(k), int(h)) for lines_, hashes in linededup.shingle_blocks(data, starts, ends) for k, h in zip(lines_, hashes, strict=True)]
-    assert len(got) == sum(max(0, len(x) - 5) for x in lines)
-    assert len({h for _, h in got}) == len({x[i : i + 6] for x in lines for i in range(len(x) - 5)})
+    assert len(got) == sum(max(0, len(x) - 7) for x in lines)
+    assert len({h for _, h in got}) == len({x[i : i + 8] for x in lines for i in range(len(x) - 7)})
 
 
 def test_memory_of_a_long_text():
