@@ -16,6 +16,8 @@ from .quality import IS_SPACE
 OWN, ENDINGS, WITHIN = 96, 96, 2048
 CLASSES, BUCKETS, HIDDEN, SIDE = OWN + ENDINGS, ENDINGS * WITHIN, 32, 2
 PAD = CLASSES
+BATCH = 1024
+ONES = np.ones(CLASSES, np.float32)
 
 
 def buckets(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -95,22 +97,22 @@ class Network:
 
     def hidden(self, near: np.ndarray) -> np.ndarray:
         table, bias = self.parts[0], self.parts[1]
-        total = bias + table[near[:, 0]]
+        total = bias + table.take(near[:, 0], axis=0)
         for k in range(1, 2 * SIDE):
-            total += table[near[:, k] + k * (CLASSES + 1)]
-        return np.tanh(total)
+            total += table.take(near[:, k] + k * (CLASSES + 1), axis=0)
+        return np.tanh(total, out=total)
 
     def log_probability(self, near: np.ndarray, middle: np.ndarray) -> np.ndarray:
         out = np.empty(len(middle), np.float32)
-        for at in range(0, len(middle), 4096):
-            logits = self.hidden(near[at : at + 4096]) @ self.parts[2]
+        for at in range(0, len(middle), BATCH):
+            logits = self.hidden(near[at : at + BATCH]) @ self.parts[2]
             logits += self.parts[3]
-            own = logits[np.arange(len(logits)), middle[at : at + 4096]]
+            own = logits[np.arange(len(logits)), middle[at : at + BATCH]]
             np.exp(logits, out=logits)
-            out[at : at + 4096] = own - np.log(logits.sum(axis=1))
+            out[at : at + BATCH] = own - np.log(logits @ ONES)
         return out
 
-    def learn(self, rows: np.ndarray, squares: np.ndarray, rate: float = 0.05, batch: int = 1024) -> None:
+    def learn(self, rows: np.ndarray, squares: np.ndarray, rate: float = 0.05, batch: int = BATCH) -> None:
         """One pass of AdaGrad."""
         kept = Network(squares)
         for at in range(0, len(rows), batch):
@@ -119,11 +121,12 @@ class Network:
             error = h @ self.parts[2]
             error += self.parts[3]
             np.exp(error, out=error)
-            error *= (1 / (len(middle) * error.sum(axis=1)))[:, None].astype(np.float32)
+            error *= (1 / (len(middle) * (error @ ONES)))[:, None]
             error[np.arange(len(middle)), middle] -= np.float32(1 / len(middle))
             back = (error @ self.parts[2].T) * (1 - h * h)
             places = (near + np.arange(2 * SIDE) * (CLASSES + 1)).T.reshape(-1)
-            table = np.stack([np.bincount(places, np.tile(column, 2 * SIDE), self.SHAPES[0][0]) for column in back.T], axis=1).astype(np.float32)
+            columns = np.concatenate([back.T.astype(np.float64, order="C")] * (2 * SIDE), axis=1)
+            table = np.stack([np.bincount(places, column, self.SHAPES[0][0]) for column in columns]).T.astype(np.float32, order="C")
             for mine, seen, g in zip(self.parts, kept.parts, (table, back.sum(0), h.T @ error, error.sum(0)), strict=True):
                 seen += g * g
                 mine -= rate * g / (np.sqrt(seen) + 1e-6)
