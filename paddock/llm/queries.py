@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, licenses, linededup, lmscore, mixing, pii, quality, secrets, simhash, suffixdedup
+from . import decontam, fim, licenses, linededup, lmscore, mixing, pii, quality, secrets, simhash, spelling, suffixdedup
 from .common import table
 
 
@@ -19,6 +19,8 @@ def queries() -> dict:
         "op8_pii": lambda s, d: pii.pii_report(table(s, d, "documents")),
         "op9_quality_rules": lambda s, d: quality.quality_verdicts(table(s, d, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality"),
         "op10_decontamination": lambda s, d: decontam.verdicts(table(s, d, "documents"), table(s, d, "benchmark")),
+        "op11_spelling_variants": lambda s, d: spelling.spelling_variants(table(s, d, "documents")),
+        "op12_fill_in_middle": lambda s, d: fim.digests(table(s, d, "documents")),
     }
 
 
@@ -43,4 +45,5 @@ def oracle_sql() -> dict[str, str]:
         "op2_license_scan": licenses.sql(),
         "op5_source_mix": mixing.SQL.replace("{docs}", "documents"),
         "op10_decontamination": DECONTAMINATION,
+        "op12_fill_in_middle": fim.SQL,
     }
