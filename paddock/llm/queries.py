@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, fim, licenses, linededup, lmscore, mixing, pii, quality, secrets, simhash, spelling, suffixdedup
+from . import decontam, fim, htmltext, licenses, linededup, lmscore, mixing, pii, quality, secrets, simhash, spelling, suffixdedup
 from .common import table
 
 
@@ -21,6 +21,7 @@ def queries() -> dict:
         "op10_decontamination": lambda s, d: decontam.verdicts(table(s, d, "documents"), table(s, d, "benchmark")),
         "op11_spelling_variants": lambda s, d: spelling.spelling_variants(table(s, d, "documents")),
         "op12_fill_in_middle": lambda s, d: fim.digests(table(s, d, "documents")),
+        "op13_html_extraction": lambda s, d: htmltext.page_texts(table(s, d, "pages")),
     }
 
 
