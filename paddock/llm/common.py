@@ -155,57 +155,55 @@ def gram_hash(data: np.ndarray, k: int) -> np.ndarray:
     return out if k == 8 else mix(out)
 
 
-BLOCK = 1 << 18
-
-
-@lru_cache(1)
-def base_powers() -> tuple[np.ndarray, np.ndarray]:
-    """BLOCK + 1 powers of BASE and of its inverse."""
-    out = np.full((2, BLOCK + 1), BASE, np.uint64)
-    out[1] = pow(int(BASE), -1, 1 << 64)
-    out[:, 0] = 1
-    return np.cumprod(out[0], dtype=np.uint64), np.cumprod(out[1], dtype=np.uint64)
+BLOCK = 1 << 17  # machine words hashed at once
+HEADS = np.array([(1 << 8 * k) - 1 for k in range(8)] + [2**64 - 1], np.uint64)  # of the first bytes of a machine word
 
 
 class RangeHash:
-    """64-bit hashes of arbitrary byte ranges from running sums.
+    """64-bit hashes of arbitrary byte ranges.
 
-    The sums are made block by block, and of long data only those at the asked places are ever held.
+    The machine words of a range are mixed, multiplied by odd numbers that depend on their place in the range, and
+    summed. No relation between words survives the mixing, so unlike ranges of any length meet by chance only.
+    The words are taken block by block, so ranges of any length need the same memory.
     """
 
     def __init__(self, data: np.ndarray, seed: int = 20240229):
-        self.data, self.codes = data, byte_codes(seed)
-        self.sums = self.block(0) if len(data) <= BLOCK else None
-
-    def block(self, at: int) -> np.ndarray:
-        data = self.data[at : at + BLOCK]
-        sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(self.codes[data] * base_powers()[1][: len(data)], dtype=np.uint64, out=sums[1:])
-        return sums
-
-    def at(self, places: np.ndarray) -> np.ndarray:
-        """Running sums at places, which rise."""
-        if self.sums is not None:
-            return self.sums[places]
-        out, total = np.empty(len(places), np.uint64), np.zeros(1, np.uint64)
-        scale, step = np.ones(1, np.uint64), base_powers()[1][BLOCK:]
-        cuts = np.searchsorted(places, np.arange(0, len(self.data) + BLOCK + 1, BLOCK))
-        for k, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
-            sums = self.block(k * BLOCK)
-            out[a:b] = total + scale * sums[places[a:b] - k * BLOCK]
-            total, scale = total + scale * sums[-1:], scale * step
-        return out
+        self.padded, self.seed = np.concatenate([data, np.zeros(8, np.uint8)]), mix(np.array([seed], np.uint64))
+        self.words = np.ndarray(len(data) + 1, np.dtype("<u8"), self.padded, strides=(1,))
 
-    def power(self, places: np.ndarray) -> np.ndarray:
-        powers = base_powers()[0]
-        if self.sums is not None:
-            return powers[places]
-        high = np.cumprod(np.concatenate([[np.uint64(1)], np.full(len(self.data) // BLOCK + 1, powers[BLOCK])]), dtype=np.uint64)
-        return high[places // BLOCK] * powers[places % BLOCK]
+    def mixed(self, places: np.ndarray, sizes: np.ndarray, steps: np.ndarray | int) -> np.ndarray:
+        """The first `sizes` (8 at most) bytes at places, as the words number `steps` of their ranges."""
+        odd = mix(np.atleast_1d(np.asarray(steps, np.uint64)) + self.seed) | np.uint64(1)
+        return mix((self.words[places] & HEADS[sizes]) ^ (self.seed + sizes.astype(np.uint64))) * odd
 
     def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Hashes of [start, end); both rise."""
-        return mix((self.at(ends) - self.at(starts)) * self.power(starts) + (ends - starts).astype(np.uint64))
+        """Hashes of [start, end), which may overlap and stand in any order."""
+        sizes = np.asarray(ends - starts, np.int64)
+        long = np.flatnonzero(sizes > 8)
+        if not len(long):
+            return mix(self.mixed(starts, sizes, 0) ^ self.seed)
+        out = np.empty(len(sizes), np.uint64)
+        short = np.flatnonzero(sizes <= 8)
+        out[short] = self.mixed(starts[short], sizes[short], 0)
+        out[long] = self.summed(starts[long], sizes[long])
+        return mix(out ^ self.seed)
+
+    def summed(self, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        out, words = np.zeros(len(sizes), np.uint64), (sizes + 7) >> 3
+        upto = np.cumsum(words)
+        first, total = 0, int(upto[-1])
+        for at in range(0, total, BLOCK):
+            stop = min(at + BLOCK, total)
+            last = int(np.searchsorted(upto, stop))
+            begin = upto[first : last + 1] - words[first : last + 1]
+            counts = np.minimum(upto[first : last + 1], stop) - np.maximum(begin, at)
+            some = np.flatnonzero(counts > 0)
+            of, counts = first + some, counts[some]
+            step = np.arange(at, stop) - np.repeat(upto[of] - words[of], counts)
+            of = np.repeat(of, counts)
+            out[first + some] += np.add.reduceat(self.mixed(starts[of] + 8 * step, np.minimum(sizes[of] - 8 * step, 8), step), np.cumsum(counts) - counts)
+            first = last
+        return out
 
 
 def runs(mask: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
