@@ -25,18 +25,22 @@ def features(points: DataFrame, cutoff: Column | None = None) -> DataFrame:
 
     The cutoff (default: the last moment before the start) must be a function of the race. Bounds after it give NULL.
     """
-    start, at = F.col("starts_at"), F.col("captured_at")
-    stop = F.col("cutoff")
     rows = points.withColumn("cutoff", cutoff if cutoff is not None else F.col("starts_at"))
-    asof = lambda bound: F.max_by(F.when(at <= bound, F.col("agf_percent")), F.when(at <= bound, at))
+    return rows.groupBy(*RUNNER).agg(*feature_columns())
+
+
+def feature_columns() -> list[Column]:
+    """The aggregates of `features` over rows with starts_at, captured_at, agf_percent (NULL: no share point) and cutoff."""
+    start, agf, stop = F.col("starts_at"), F.col("agf_percent"), F.col("cutoff")
+    at = F.when(agf.isNotNull(), F.col("captured_at"))
+    asof = lambda bound: F.max_by(F.when(at <= bound, agf), F.when(at <= bound, at))
     late = lambda minutes: F.when(F.max(stop >= before(start, minutes)), asof(before(start, minutes)))
     inside = (at >= before(start, 90)) & (at <= stop)
-    first = F.min_by(F.when(inside, F.col("agf_percent")), F.when(inside, at))
-    inner = F.when(inside, F.col("agf_percent"))
-    return rows.groupBy(*RUNNER).agg(
+    first, inner = F.min_by(F.when(inside, agf), F.when(inside, at)), F.when(inside, agf)
+    return [
         asof(F.least(stop, before(start, 90))).alias("t90"), late(30).alias("t30"), late(5).alias("t5"), asof(stop).alias("final"),
         (F.max(inner) - first).alias("max_rise"), (F.min(inner) - first).alias("max_fall"),
-    )
+    ]
 
 
 def movement(points: DataFrame, window_minutes: int = 90, keys: list[str] = RUNNER) -> DataFrame:

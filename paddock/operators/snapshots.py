@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.numeric import rounded
 from ..sources.cards import snapshot_rows
+from .market import feature_columns
 from .sinks import content_key, newest_candidate
 
 RACE = ["race_date", "city", "race_number"]
@@ -32,6 +34,26 @@ def training_rows(chosen: DataFrame, points: DataFrame) -> DataFrame:
     return rows.join(last, runner, "left").withColumn("points", F.coalesce("points", F.lit(0)).cast("long"))
 
 
+def training_set(chosen: DataFrame, runners: DataFrame, points: DataFrame, picks: DataFrame) -> DataFrame:
+    """The whole feature vector of every runner of the chosen races, as of each race's own cut; one aggregate over all observations.
+
+    chosen(race_id, starts_at, captured_at): promoted candidates, whose `captured_at` is the cut. runners(race_id,
+    horse_number, form_score, field_score) and observations of later than the cut change nothing: they are left out
+    before the aggregate. points(race_id, horse_number, captured_at, agf_percent), picks(race_id, horse_number,
+    captured_at, source_key, source_rank, is_banko). A runner without observations has NULL shares and no picks.
+    """
+    key = ["race_id", "horse_number"]
+    static = runners.select(*key, "form_score", "field_score", F.lit(True).alias("listed"))
+    seen = static.unionByName(points.select(*key, "captured_at", "agf_percent"), allowMissingColumns=True).unionByName(picks.select(*key, "captured_at", "source_key", "source_rank", "is_banko"), allowMissingColumns=True)
+    cuts = chosen.select("race_id", "starts_at", F.col("captured_at").alias("cutoff"))
+    known = seen.join(cuts, "race_id").where(F.col("listed") | (F.col("captured_at") <= F.col("cutoff")))
+    vector = known.groupBy(*key).agg(
+        F.max("cutoff").alias("cut"), F.bool_or("listed").alias("listed"), *feature_columns(), F.count("agf_percent").alias("points"), F.count("source_key").alias("picks"), F.countDistinct("source_key").alias("sources"),
+        F.count_if(F.col("is_banko")).alias("bankos"), rounded(F.avg("source_rank"), 4).alias("mean_rank"), F.max("form_score").alias("form_score"), F.max("field_score").alias("field_score"),
+    )
+    return vector.where("listed").drop("listed")
+
+
 def ticket_snapshots(tickets: DataFrame, windows: DataFrame, starts: DataFrame, stored: DataFrame, now: Column) -> DataFrame:
     """Tickets of windows whose six starts are known and ahead, with a key; those stored already are left out.
 

@@ -267,9 +267,9 @@ def all_sql() -> dict[str, str]:
             "select race_date, city, stage, 'timeout' as error from u, (values ('labels', 4), ('priors', 8)) s(stage, n) where k % n = 0 and k % 12 <> 0"),
         "page_fingerprints": ("", "select page_id, sha256(coalesce(url, '') || '|' || coalesce(html, '')) as fingerprint from pages"),
     }
-    from . import more
+    from . import archive, more
 
-    bodies |= more.bodies()
+    bodies |= more.bodies() | archive.bodies()
     out = {name: f"with {TABLES.strip()}{', ' + extra.strip() if extra.strip() else ''}\n{body}" for name, (extra, body) in bodies.items()}
     gains = ", ".join(f"{r(f'{sign} * (shadow_score_{m} - base_score_{m})', 5)} as gain_{m}" for m, sign in (("top1", 1), ("top3", 1), ("mean_rank", -1)))
     labelled = f"(select count(distinct race_id) from ({out['strict_labels']}))"

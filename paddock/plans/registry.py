@@ -128,11 +128,6 @@ def series(s: SparkSession, d: str) -> DataFrame:
     return long.select(*market.RUNNER, F.size("series").cast("long").alias("points"), F.element_at("series", 1)["captured_at"].alias("first_at"), F.element_at("series", -1)["captured_at"].alias("last_at"), F.md5(F.array_join(F.transform("series", lambda x: F.concat_ws("=", F.unix_micros(x["captured_at"]), F.floor(x["agf_percent"] * 100 + 0.5))), ",")).alias("series_md5"))
 
 
-def page_candidates(s: SparkSession, d: str) -> DataFrame:
-    found = pages.links(racing.read(s, d, "pages"))
-    return pages.ranked_candidates(found, ["istanbul", "ankara"], ["the", "of", "and"], ["2024"], least=1).select("page_id", "url", "score", "place")
-
-
 def document(s: SparkSession, d: str) -> DataFrame:
     return sinks.archive_documents(racing.races(s, d), racing.runners(s, d), F.lit("2100-01-01").cast("timestamp")).select("race_id", "n_runners", F.length("document").cast("long").alias("size"))
 
@@ -312,10 +307,10 @@ def repaired(s: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    from . import more
+    from . import archive, more
 
     r = racing
-    return more.queries() | {
+    return more.queries() | archive.queries() | {
         "scored_card": scored_card,
         "races_projection": r.races,
         "runners_projection": lambda s, d: r.runners(s, d).drop("line", "l_suppkey"),
@@ -383,8 +378,6 @@ def queries() -> dict:
         "stage_errors": lambda s, d: snapshots.stage_errors(result_runs(s, d)),
         "rebuild": rebuilt,
         "applied_repair": repaired,
-        "page_links": lambda s, d: pages.links(r.read(s, d, "pages")),
-        "page_candidates": page_candidates,
         "page_fingerprints": lambda s, d: pages.fingerprint(r.read(s, d, "pages"), "page_id", "url", "html"),
     }
 

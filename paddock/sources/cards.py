@@ -18,6 +18,8 @@ FOREIGN = "(YD"
 
 BLOCK = r"(?is)<h3[^>]*>.*?</h3>|<table[^>]*>.*?</table>|>[^<]*[^<\s][^<]*(?=<)"
 
+INNER = r">[^<]*[^<\s][^<]*(?=<)"
+
 
 def tokens(text: Column) -> Column:
     """Runs of letters and runs of digits, lower case; what stands between them only parts them."""
@@ -84,8 +86,11 @@ def card_rows(pages: DataFrame) -> DataFrame:
 
 
 def sixfold_starts(pages: DataFrame) -> DataFrame:
-    """(page_id, race_no, sixfold_numbers): start markers outside tables, carried by the nearest race heading before them."""
-    hits = blocks(pages).where((F.col("kind") == "text") & F.col("race_no").isNotNull()).withColumn("n", start_mark(tokens(F.col("text"))))
+    """(page_id, race_no, sixfold_numbers): start markers anywhere in a page, in tables and headings too, carried by the nearest race heading at or before them."""
+    inner = F.transform(F.regexp_extract_all("block", F.lit(INNER), F.lit(0)), lambda t: plain(F.substr(t, F.lit(2))))
+    texts = F.when(F.col("kind") == "text", F.array("text")).otherwise(F.concat(inner, F.array("text")))  # a marker may be cut by tags within a heading
+    each = blocks(pages).where("race_no is not null").select("page_id", "race_no", F.explode(F.when(F.col("kind") == "table", inner).otherwise(texts)).alias("text"))
+    hits = each.withColumn("n", start_mark(tokens(F.col("text"))))
     return hits.where("n is not null").groupBy("page_id", "race_no").agg(F.array_sort(F.collect_set("n")).alias("sixfold_numbers"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.names import ascii_fold, decimal_comma
+from .tables import grid
 
 ANCHOR = r"""(?is)<a\s[^>]*?href\s*=\s*["']([^"']*)["'][^>]*>(.*?)</a>"""
 
@@ -41,30 +42,52 @@ def links(pages: DataFrame) -> DataFrame:
     return each.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
 
 
-def ranked_candidates(found: DataFrame, cities: list[str], vocabulary: list[str], dates: list[str], top: int = 12, least: int = 5) -> DataFrame:
-    """Article candidates of each landing page by a score of city, vocabulary, date and path signals."""
+def ranked_candidates(found: DataFrame, cities: list[str], vocabulary: list[str], days: DataFrame, top: int = 12, least: int = 5) -> DataFrame:
+    """Article candidates of each landing page by a score of city, vocabulary, date and path signals; days(page_id, day)."""
     both = F.concat_ws(" ", ascii_fold(F.col("text")), ascii_fold(F.col("url")))
     hits = lambda terms: F.size(F.filter(F.array(*[F.lit(t) for t in terms]), lambda t: F.contains(both, t)))
     some = lambda n, first: F.when(n > 0, first + F.least(n - 1, F.lit(2))).otherwise(0)
     path = F.regexp_extract("url", r"^[a-zA-Z]+://[^/]+([^?#]*)", 1)
     score = (
-        some(hits(cities), 4) + some(hits(vocabulary), 3) + F.when(hits(dates) > 0, 4).otherwise(0) + F.when(path.rlike("(?i)/(haber|yazi|article|news|post)"), 2).otherwise(0)
+        some(hits(cities), 4) + some(hits(vocabulary), 3) + F.when(F.col("dated"), 4).otherwise(0) + F.when(path.rlike("(?i)/(haber|yazi|article|news|post)"), 2).otherwise(0)
         + F.when(path.rlike(r"[a-z0-9]+-[a-z0-9]+-[a-z0-9]+"), 1).otherwise(0) - F.when(path.rlike("(?i)/(login|about|contact|privacy|tag)"), 4).otherwise(0)
         - F.when(path.rlike(r"(?i)\.(jpg|png|gif|css|js|pdf)$") | (F.col("url") == F.col("base")), 100).otherwise(0)
     )
     order = Window.partitionBy("page_id").orderBy(F.col("score").desc(), "position")
-    return found.withColumn("score", score.cast("long")).where(F.col("score") >= least).withColumn("place", F.row_number().over(order).cast("long")).where(F.col("place") <= top)
+    return dated_links(found, days).withColumn("score", score.cast("long")).where(F.col("score") >= least).withColumn("place", F.row_number().over(order).cast("long")).where(F.col("place") <= top).drop("dated")
 
 
 def cells(pages: DataFrame) -> DataFrame:
-    """(page_id, table_no, row_no, col_no, cell, head): every cell of every HTML table."""
-    take = lambda c, tag: F.regexp_extract_all(c, F.lit(rf"(?is)<{tag}[^>]*>(.*?)</{tag}>"), F.lit(1))
-    tables = pages.select("page_id", F.posexplode(take(F.col("html"), "table")).alias("table_no", "t"))
-    rows = tables.select("page_id", "table_no", F.posexplode(take(F.col("t"), "tr")).alias("row_no", "r"))
-    pattern = F.lit(r"(?is)<(t[dh])[^>]*>(.*?)</t[dh]>")
-    pairs = F.arrays_zip(F.regexp_extract_all("r", pattern, F.lit(1)).alias("tag"), F.regexp_extract_all("r", pattern, F.lit(2)).alias("body"))
-    out = rows.select("page_id", "table_no", "row_no", F.posexplode(pairs).alias("col_no", "c"))
-    return out.select("page_id", "table_no", "row_no", "col_no", plain(F.col("c.body")).alias("cell"), (F.lower("c.tag") == "th").alias("head"))
+    """(page_id, table_no, depth, row_no, col_no, cell, head, origin): every place of every HTML table, nested ones too.
+
+    A cell that spans columns or rows stands at every place it covers, `origin` at the first; its text is that of no inner table.
+    """
+    return grid(pages).select("page_id", "table_no", "depth", "row_no", "col_no", plain(F.col("body")).alias("cell"), "head", "origin")
+
+
+def date_spellings(days: DataFrame) -> DataFrame:
+    """(day, spelling): the spellings of each different `day`, folded as link texts are; five are different after folding."""
+    d = F.col("day")
+    patterns = ["yyyy-MM-dd", "dd-MM-yyyy", "dd.MM.yyyy", "dd/MM/yyyy", "ddMMyyyy", "yyyyMMdd", "d-M-yyyy", "d.M.yyyy", "d/M/yyyy"]  # fixed values
+    each = days.select("day").where("day is not null").distinct().select("day", F.explode(F.array(*[F.date_format(d, p) for p in patterns])).alias("spelling"))
+    return each.select("day", ascii_fold(F.col("spelling")).alias("spelling")).distinct()
+
+
+# What may be a spelling in a folded text: every place at which one can begin, so that longer numbers hold shorter ones.
+DATE_FORMS = [r"(?=(\d{4} \d\d \d\d))", r"(?=(\d\d \d\d \d{4}))", r"(?=(\d{8}))", r"(?=(\d \d \d{4}))", r"(?=(\d\d \d \d{4}))", r"(?=(\d \d\d \d{4}))"]
+
+
+def dated_links(found: DataFrame, days: DataFrame) -> DataFrame:
+    """`found` links with `dated`: whether text or URL holds a spelling of the page's day; days(page_id, day).
+
+    The spellings are a table of their own, met by equality with what looks like a date in the link, so no link is
+    compared with a list.
+    """
+    both = F.concat_ws(" ", ascii_fold(F.col("text")), ascii_fold(F.col("url")))
+    forms = F.array_distinct(F.flatten(F.array(*[F.regexp_extract_all(both, F.lit(p), F.lit(1)) for p in DATE_FORMS])))
+    each = found.select("page_id", "url", F.explode(forms).alias("spelling")).join(days.select("page_id", "day"), "page_id")
+    hits = each.join(date_spellings(days), ["day", "spelling"]).select("page_id", "url").distinct().withColumn("dated", F.lit(True))
+    return found.join(hits, ["page_id", "url"], "left").withColumn("dated", F.coalesce("dated", F.lit(False)))
 
 
 def named_columns(found: DataFrame, aliases: dict[str, list[str]], header_rows: int = 4) -> DataFrame:

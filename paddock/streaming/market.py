@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators.market import RUNNER, movement_columns
 from ..operators.sinks import upsert
+from ..sources.versioned import Versions
 
 KEY = [*RUNNER, "captured_at"]
 
@@ -66,19 +67,26 @@ def insert_new(path: str):
 
 
 def upsert_into(path: str, keys: list[str], version: str):
-    """A foreachBatch sink that keeps the newest version of each key; of the table at `path` only the batch's days are read and written.
+    """A foreachBatch sink that keeps the newest version of each key in the versioned table `rows` under `path`, by race_date.
 
-    The merged days are checkpointed before they replace the old ones, as a table can't be read while it is overwritten.
+    Every batch is one commit, numbered by its id: a replayed batch finds its commit and does nothing, and one that fails
+    before its commit leaves the table as it was. Only the batch's days are read and written. `current` reads the table.
     """
 
-    def write(batch: DataFrame, _: int) -> None:
-        if batch.isEmpty():
+    def write(batch: DataFrame, batch_id: int) -> None:
+        table = Versions(batch.sparkSession, path)
+        if table.version() >= batch_id or batch.isEmpty():
             return
-        known = stored_days(batch.sparkSession, path, batch)
-        merged = upsert(batch.limit(0) if known is None else known, batch, keys, version).checkpoint()
-        merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("race_date").parquet(path)
+        days = [str(r[0]) for r in batch.select("race_date").distinct().collect()]  # the days of one micro-batch
+        known = table.read("rows", days)
+        merged = upsert(batch.limit(0) if known is None else known, batch, keys, version)
+        table.commit(batch_id, {"rows": merged}, {"rows": "race_date"}, {"rows": days})
 
     return write
 
 
-__all__ = ["capture_rate", "deduplicated", "insert_new", "newest_candidates", "pre_race", "running_movement", "upsert_into"]
+def current(spark: SparkSession, path: str) -> DataFrame | None:
+    return Versions(spark, path).read("rows")
+
+
+__all__ = ["capture_rate", "current", "deduplicated", "insert_new", "newest_candidates", "pre_race", "running_movement", "upsert_into"]
