@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import scoring, snapshots
 from ..sources import documents, pages, racing
-from ..sources.stored import shared_folder
+from ..sources.stored import on, once, shared_folder
 from ..sources.versioned import Versions, rewrite
 from .oracles import FIELD, FORM, r
 
@@ -118,6 +118,20 @@ def vectors(s: SparkSession, d: str) -> DataFrame:
     return snapshots.training_set(chosen, runners, racing.share_points(s, d), picks)
 
 
+def dated_cards(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Races and runners stored by date and in buckets by race."""
+    races, day = racing.races(s, d), racing.races(s, d).select("race_id", "race_date")
+    known = once(s, d, "dated_races", ["nation", "customer", "orders"], lambda: races)
+    return known, once(s, d, "dated_runners", ["nation", "customer", "orders", "lineitem"], lambda: racing.runners(s, d).join(day, "race_id"))
+
+
+def stored_cards(s: SparkSession, d: str) -> DataFrame:
+    """Cards of some days from the stored tables: a count and the shares of each race."""
+    races, runners = (on(t, "1995-01-01", "1996-06-30") for t in dated_cards(s, d))
+    both = races.select("race_id", "city", "race_number").join(runners.select("race_id", "horse_number", "agf_bp"), "race_id")
+    return both.groupBy("race_id").agg(F.max("city").alias("city"), F.max("race_number").alias("race_number"), F.count("*").alias("runners"), F.sum("agf_bp").alias("share_bp"))
+
+
 def queries() -> dict:
     return {
         "nested_cells": nested_cells,
@@ -130,6 +144,7 @@ def queries() -> dict:
         "corrupt_documents": lambda s, d: documents.corrupt(extracted(s, d)).select("doc_key", "kind", "reason"),
         "typed_violations": lambda s, d: documents.typed_violations(result_documents(s, d), ["race_date", "city", "race_number", "horse_number"]),
         "training_set": vectors,
+        "stored_cards": stored_cards,
     }
 
 
@@ -183,6 +198,7 @@ def bodies() -> dict[str, tuple[str, str]]:
         "corrupt_documents": (docs, "select distinct horse_id as doc_key, 'form' as kind, 'UNREADABLE' as reason from u where horse_id % 13 = 0 union all select distinct race_id, 'field', 'UNREADABLE' from u where race_id % 13 = 0 "
             "union all select k, case when k % 101 = 0 then 'odd' else 'result' end, case when k % 101 = 0 then 'UNKNOWN_KIND' else 'UNREADABLE' end from meet where k % 13 = 0 or k % 101 = 0"),
         "typed_violations": (docs, f"select race_date, city, race_number, horse_number, unnest(list_filter([case when name is null then 'EMPTY_RUNNER_NAME' end, case when relabelled then 'MEETING_RELABELLED' end], lambda x: x is not null)) as code from ({result})"),
+        "stored_cards": ("", "select race_id, city, race_number, count(*) as runners, sum(agf_bp)::bigint as share_bp from races join runners using (race_id) where race_date between date '1995-01-01' and date '1996-06-30' group by all"),
         "training_set": (
             f"{FORM.strip()}, {FIELD.strip()}, cuts as (select race_id, starts_at, starts_at - to_minutes(case race_id % 4 when 0 then 50 when 1 then 20 else 3 end) as cut from races where race_id % 6 <> 0), "
             f"shares as (select race_id, horse_number, {asof('least(cut, s.starts_at - interval 90 minute)')} as t90, case when max(cut) >= max(s.starts_at) - interval 30 minute then {asof('s.starts_at - interval 30 minute')} end as t30, "

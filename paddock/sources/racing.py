@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.names import distance_band
+from .stored import once
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -14,6 +15,16 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def races(spark: SparkSession, d: str) -> DataFrame:
+    """One row a race, stored once a session in buckets by race_id."""
+    return once(spark, d, "races", ["nation", "customer", "orders"], lambda: race_rows(spark, d), by=None)
+
+
+def runners(spark: SparkSession, d: str) -> DataFrame:
+    """One row a runner, stored once a session in buckets by race_id: the windows over a race are worked out by that one job."""
+    return once(spark, d, "runners", ["lineitem"], lambda: runner_rows(spark, d), by=None, sort=["race_id", "horse_number"])
+
+
+def race_rows(spark: SparkSession, d: str) -> DataFrame:
     nation = F.broadcast(read(spark, d, "nation").select("n_nationkey", F.col("n_name").alias("city")))  # 25 rows in any table
     customer = read(spark, d, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "city")
     orders = read(spark, d, "orders").join(customer, F.col("o_custkey") == F.col("c_custkey"))
@@ -28,7 +39,7 @@ def races(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def runners(spark: SparkSession, d: str) -> DataFrame:
+def runner_rows(spark: SparkSession, d: str) -> DataFrame:
     li = read(spark, d, "lineitem")
     order, price = Window.partitionBy("race_id"), F.floor("l_extendedprice")
     rows = li.select(

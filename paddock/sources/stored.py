@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,13 +21,15 @@ def shared_folder(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
-def store(rows: DataFrame, name: str, key: str = "race_id", buckets: int = 8, by: str | None = "race_date", sort: list[str] | None = None) -> DataFrame:
+def store(rows: DataFrame, name: str, key: str = "race_id", buckets: int | None = None, by: str | None = "race_date", sort: list[str] | None = None) -> DataFrame:
     """Write `rows` as the table `name`, in `buckets` by `key` and, with `by`, in folders by that column; returns the stored table.
 
-    The rows are dealt out by the key first, so that a bucket of a date is one file. The files are in the shared folder.
+    The rows are dealt out by the key first, so that a bucket of a date is one file. There are as many buckets as shuffle
+    partitions unless given. The files are in the shared folder.
     """
     spark = rows.sparkSession
-    writer = rows.repartition(buckets, key).write.format("parquet").mode("overwrite").bucketBy(buckets, key).sortBy(*(sort or [key])).option("path", f"{shared_folder(spark)}/{name}")
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    writer = rows.repartition(buckets, key).write.format("parquet").mode("overwrite").bucketBy(buckets, key).sortBy(*(sort or [key])).option("path", f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}")
     (writer.partitionBy(by) if by else writer).saveAsTable(name)
     return spark.table(name)
 
