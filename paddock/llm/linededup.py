@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import RangeHash, bloom, flat, may_hold, mix, partitions, text_slices, unused, written
-from .components import LocalSets, components
+from .components import components
 from .decontam import LOWERED
 from .quality import IS_SPACE
 
@@ -184,17 +184,27 @@ def verify_batches(similar: float):
 
     def links(bucket: int, rows: list[tuple]) -> Iterator[tuple[int, int]]:
         lines, chunks, labels, bodies, shared = zip(*rows, strict=True)
-        sets, bag = LocalSets(len(rows)), cache(shingles)
+        bag = cache(shingles)
         lower = [{x for x in r if x < bucket} for r in shared]
         split = len(set(chunks)) > 1  # two chunks of a large bucket: pairs within one are compared elsewhere
+        group, members = list(range(len(rows))), [[i] for i in range(len(rows))]
+        by_label: dict[int, int] = {}
+        for i, label in enumerate(labels):  # what is connected already is one group from the start
+            if (first := by_label.setdefault(label, i)) != i:
+                group[i] = first
+                members[first].append(i)
+                members[i] = []
         for i in range(len(rows)):
-            mine = sets.root(i)
+            mine = group[i]
             for j in range(i):
-                if labels[i] == labels[j] or split and chunks[i] == chunks[j] or sets.root(j) == mine or not lower[i].isdisjoint(lower[j]):
+                if group[j] == mine or split and chunks[i] == chunks[j] or not lower[i].isdisjoint(lower[j]):
                     continue
                 if similar_lines(bodies[i], bodies[j], bag, similar):
-                    sets.join(i, j)
-                    mine = sets.root(i)
+                    small, mine = sorted((group[j], mine), key=lambda g: len(members[g]))
+                    for k in members[small]:
+                        group[k] = mine
+                    members[mine] += members[small]
+                    members[small] = []
                     yield lines[i], lines[j]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
