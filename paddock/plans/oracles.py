@@ -267,9 +267,9 @@ def all_sql() -> dict[str, str]:
             "select race_date, city, stage, 'timeout' as error from u, (values ('labels', 4), ('priors', 8)) s(stage, n) where k % n = 0 and k % 12 <> 0"),
         "page_fingerprints": ("", "select page_id, sha256(coalesce(url, '') || '|' || coalesce(html, '')) as fingerprint from pages"),
     }
-    from . import archive, more
+    from . import archive, more, reporting
 
-    bodies |= more.bodies() | archive.bodies()
+    bodies |= more.bodies() | archive.bodies() | reporting.bodies()
     out = {name: f"with {TABLES.strip()}{', ' + extra.strip() if extra.strip() else ''}\n{body}" for name, (extra, body) in bodies.items()}
     gains = ", ".join(f"{r(f'{sign} * (shadow_score_{m} - base_score_{m})', 5)} as gain_{m}" for m, sign in (("top1", 1), ("top3", 1), ("mean_rank", -1)))
     labelled = f"(select count(distinct race_id) from ({out['strict_labels']}))"
@@ -281,4 +281,5 @@ def all_sql() -> dict[str, str]:
     out["production_scores"] = f"with {TABLES.strip()}, {ADJUSTED.strip()} select race_id, horse_number, base_score, shadow_score, {r('base_score + coalesce(' + r(clamp(f'signal * {allowed}', -5, 5), 2) + ', 0.0)', 2)} as production_score from adjusted"
     out["applied_repair"] = (f"with {TABLES.strip()} select race_id as mapping, case classification when 'MOVE_SOURCE_TO_TARGET' then race_date + 1 else race_date end as race_date, city "
         f"from races left join ({out['date_repair']}) c on race_id = mapping where coalesce(classification, '') <> 'DELETE_DUPLICATE_SOURCE'")
+    out |= reporting.after(out, TABLES.strip())
     return out | {"model_report": f"select races, status, scale, {gains}, {labelled} as labelled_races from ({out['ranking_evaluation']})"}

@@ -307,10 +307,10 @@ def repaired(s: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    from . import archive, more
+    from . import archive, more, reporting
 
     r = racing
-    return more.queries() | archive.queries() | {
+    return more.queries() | archive.queries() | reporting.queries() | {
         "scored_card": scored_card,
         "races_projection": r.races,
         "runners_projection": lambda s, d: r.runners(s, d).drop("line", "l_suppkey"),
