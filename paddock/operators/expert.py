@@ -17,13 +17,19 @@ def first_per_source(picks: DataFrame) -> DataFrame:
     return picks.where("source_key is not null").withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
 
 
+def settled_picks(picks: DataFrame, labelled: DataFrame) -> DataFrame:
+    """First picks with the finish of their runner, one row each; picks that have a `finish_position` column are such rows already."""
+    return picks if "finish_position" in picks.columns else first_per_source(picks).join(labelled.select(*RUNNER, "finish_position"), RUNNER)
+
+
 def weighted_picks(picks: DataFrame, sources: DataFrame, by_source: DataFrame | None = None, by_category: DataFrame | None = None) -> DataFrame:
     """Picks of enabled sources with their effective weight.
 
     The base weight is calibrated by the multipliers that a source has earned, in all and in the pick's
     category: by_source(source_key, multiplier), by_category(source_key, category, multiplier); 1 where there is none.
     """
-    rows = first_per_source(picks).join(sources.where("enabled"), "source_key")
+    first = picks if "finish_position" in picks.columns else first_per_source(picks)
+    rows = first.join(sources.where("enabled"), "source_key")
     base = F.col("base_weight")
     if by_source is not None:
         rows = rows.join(by_source.select("source_key", F.col("multiplier").alias("_general")), "source_key", "left")
@@ -68,7 +74,7 @@ def ratio(a: str, b: str):
 
 def source_priors(picks: DataFrame, labelled: DataFrame) -> DataFrame:
     """Hit rates of positive picks by source and the multiplier they earn after 30 samples."""
-    hits = first_per_source(picks).where(is_positive()).join(labelled.select(*RUNNER, "finish_position").where("finish_position is not null"), RUNNER)
+    hits = settled_picks(picks, labelled).where(is_positive()).where("finish_position is not null")
     base = global_rates(labelled).select(F.col("win_rate").alias("base_win"), F.col("top3_rate").alias("base_top3"))
     by = hits.groupBy("source_key").agg(*rates()).crossJoin(F.broadcast(base))  # one row
     by = by.withColumn("win_rate", F.col("wins") / F.col("samples")).withColumn("top3_rate", F.col("top3") / F.col("samples"))
@@ -80,8 +86,8 @@ def source_priors(picks: DataFrame, labelled: DataFrame) -> DataFrame:
 def category_priors(picks: DataFrame, labelled: DataFrame) -> DataFrame:
     """Hit rates by source and category against the category over all sources; placed runners only."""
     kinds = F.explode(F.array_compact(F.array(*[F.when(flag(F.col(f"is_{c}")), c) for c in POSITIVE])))
-    placed = labelled.where("finish_position >= 1").select(*RUNNER, "finish_position")
-    by = first_per_source(picks).select(*RUNNER, "source_key", kinds.alias("category")).join(placed, RUNNER).groupBy("source_key", "category").agg(*rates())
+    placed = settled_picks(picks, labelled).where("finish_position >= 1")
+    by = placed.select("finish_position", "source_key", kinds.alias("category")).groupBy("source_key", "category").agg(*rates())
     whole = Window.partitionBy("category")
     total = {c: F.sum(c).over(whole) for c in ("samples", "wins", "top3")}
     by = by.withColumns({"win_rate": F.col("wins") / F.col("samples"), "top3_rate": F.col("top3") / F.col("samples"), "base_win": total["wins"] / total["samples"], "base_top3": total["top3"] / total["samples"]})

@@ -9,17 +9,31 @@ from ..functions.names import distance_band
 from ..functions.numeric import rounded
 from ..operators import expert, gaps, learning, market, reports, scoring, sinks, snapshots, tickets
 from ..sources import cards, pages, racing
+from ..sources.stored import once
 from . import oracles
 
 
+CARDS = ["nation", "customer", "orders", "lineitem"]  # the tables that cards are made of
+
+
+def first_picks(s: SparkSession, d: str) -> DataFrame:
+    """The first pick of each source for a runner with the runner's finish, stored once a session in buckets by race."""
+    made = lambda: expert.settled_picks(racing.picks(s, d), racing.runners(s, d))
+    return once(s, d, "first_picks", ["lineitem"], made, by=None, sort=["race_id", "horse_number"])
+
+
 def experts(s: SparkSession, d: str) -> DataFrame:
     """Consensus of the picks, each source calibrated by what it has earned, in all and by category."""
-    picks, runners = racing.picks(s, d), racing.runners(s, d)
+    picks, runners = first_picks(s, d), racing.runners(s, d)
     return expert.consensus(picks, racing.sources(s), expert.source_priors(picks, runners), expert.category_priors(picks, runners))
 
 
 def card(s: SparkSession, d: str) -> DataFrame:
-    """Runners with all component scores and the model score."""
+    """Runners with all component scores and the model score, stored once a session in buckets by race."""
+    return once(s, d, "card", CARDS, lambda: scored(s, d), by=None, sort=["race_id", "horse_number"])
+
+
+def scored(s: SparkSession, d: str) -> DataFrame:
     c = experts(s, d).select("race_id", "horse_number", "expert_score", "expert_confidence", "source_count")
     rows = racing.runners(s, d).join(c, ["race_id", "horse_number"], "left").withColumn("agf_percent", F.col("agf_bp") / 100.0)
     key = ["race_id", "horse_number"]
@@ -320,8 +334,8 @@ def queries() -> dict:
         "expert_consensus": experts,
         "production_scores": production,
         "global_rates": lambda s, d: expert.global_rates(r.runners(s, d)).select("samples", rounded(F.col("win_rate"), 6).alias("win_rate"), rounded(F.col("top3_rate"), 6).alias("top3_rate")),
-        "source_priors": lambda s, d: expert.source_priors(r.picks(s, d), r.runners(s, d)),
-        "category_priors": lambda s, d: expert.category_priors(r.picks(s, d), r.runners(s, d)),
+        "source_priors": lambda s, d: expert.source_priors(first_picks(s, d), r.runners(s, d)),
+        "category_priors": lambda s, d: expert.category_priors(first_picks(s, d), r.runners(s, d)),
         "context_priors": lambda s, d: learning.context_priors(learning.with_context(r.runners(s, d), r.races(s, d))),
         "prior_summary": lambda s, d: reports.prior_summary(learning.context_priors(learning.with_context(r.runners(s, d), r.races(s, d)))),
         "learned_adjustment": lambda s, d: adjusted(s, d).select("race_id", "horse_number", "adjustment", "base_score", "shadow_score"),
