@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
-from functools import lru_cache
+from functools import lru_cache, wraps
 
 import numpy as np
 import pyarrow as pa
@@ -88,6 +88,21 @@ def unused(name: str, columns: list[str]) -> str:
     return name
 
 
+def any_names(stage):
+    """A function of documents that also takes columns whose names have dots or backticks, which Arrow tasks can't be given."""
+
+    @wraps(stage)
+    def run(docs: DataFrame, *args, **how) -> DataFrame:
+        spare: dict[str, str] = {}
+        for c in docs.columns:
+            if "." in c or "`" in c:
+                spare[c] = unused("column", [*docs.columns, *spare.values()])
+        made = stage(docs.withColumnsRenamed(spare) if spare else docs, *args, **how)
+        return made.withColumnsRenamed({v: c for c, v in spare.items()}) if spare else made
+
+    return run
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

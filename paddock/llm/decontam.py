@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import RangeHash, flat, marked, runs, shared, text_slices, unused, written
+from .common import RangeHash, any_names, flat, marked, runs, shared, text_slices, unused, written
 
 IS_WORD = np.isin(np.arange(256), [*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)])
 LOWERED = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
@@ -221,6 +221,7 @@ def benchmark_blocks(benchmark: DataFrame, block_bytes: int) -> tuple[DataFrame,
         count *= 2
 
 
+@any_names
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes: int = 4 << 20) -> DataFrame:
     """All columns of `docs` but clashing ones, with n_words, n_hit, items, spans (byte ranges) for every row.
 
@@ -268,6 +269,7 @@ def cut_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield part.set_column(part.schema.get_field_index("text"), pa.field("text", pa.string()), pa.array(out, pa.string()))
 
 
+@any_names
 def remove_hits(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
     """`docs` with hit words, and what stands between them, cut out of the texts; n_chars follows where it exists.
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import RangeHash, bloom, flat, may_hold, mix, partitions, text_slices, unused, written
+from .common import RangeHash, any_names, bloom, flat, may_hold, mix, partitions, text_slices, unused, written
 from .components import components
 from .decontam import LOWERED
 from .quality import IS_SPACE
@@ -329,6 +329,7 @@ def cut_batches(removed: str):
     return run
 
 
+@any_names
 def drop_lines(docs: DataFrame, **how) -> DataFrame:
     """`docs` with duplicate lines cut out; a document that loses all its lines goes; n_chars follows where it exists.
 

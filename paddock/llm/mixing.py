@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, partitions, unused, written
+from .common import WORD, any_names, partitions, unused, written
 
 BITS, LEVELS = 12, 5
 
@@ -77,6 +77,7 @@ def sizes(docs: DataFrame, names: tuple[str, str, str] = ("key", "size", "hash")
     return docs.withColumns(dict(zip(names, made, strict=True)))
 
 
+@any_names
 def mix_sources(docs: DataFrame, most: int = 3, with_documents: bool = False) -> DataFrame:
     """doc_id, size, source_size, target, taken for every row of `docs`.
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import RangeHash, any_in, counts_between, flat, marked, mix, runs, text_slices, unused, written
+from .common import RangeHash, any_in, any_names, counts_between, flat, marked, mix, runs, text_slices, unused, written
 
 IS_SPACE = np.isin(np.arange(256), [32, *range(9, 14)])
 IS_SYMBOL = np.isin(np.arange(256), list(b"#*$%&|<>"))
@@ -165,6 +165,7 @@ def quality_verdicts(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     return judged(text_counts(docs.select("doc_id", "text")), names, threshold).select("doc_id", *names)
 
 
+@any_names
 def keep_good(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     """The rows of `docs` that are kept, each judged by its own text, with all their columns.
 
