@@ -21,6 +21,8 @@ from .common import text_slices, written
 TAG = re.compile(r"""<!--(?:>|->|.*?(?:--!?>|\Z))|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+|[^>]*+)(?:>|\Z)""", re.S)
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*+"|'[^']*+'|[^\s"'>]+))?""")
 
+WORD, HUMP = re.compile(r"[^\W_]+"), re.compile(r"(?<=[a-z])(?=[A-Z])")
+
 # Elements of HTML.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("iframe noembed noframes script style textarea title xmp".split())  # their content has no tags
@@ -33,9 +35,9 @@ OUTSIDE = set("aside button canvas dialog footer form frameset head iframe input
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"table", "tr"}), "th": ({"td", "th"}, {"table", "tr"}), "option": ({"option"}, {"select"})}
 # Words of classes, ids and roles.
 BOILERPLATE = set(
-    "ad ads advert adverts advertisement advertising adsense adslot banner breadcrumb breadcrumbs byline-share comment comments complementary consent contentinfo cookie cookies disqus footer gdpr masthead menu nav navbar navigation newsletter notice notification outbrain pager pagination popup promo promoted promotion related replies respond share sharing sidebar skip social sponsor sponsored subscribe taboola toolbar widget alert disclaimer teaser".split()
+    "ad ads advert adverts advertisement advertising adsense adslot banner breadcrumb breadcrumbs byline-share comment comments complementary consent contentinfo cookie cookies disqus footer gdpr masthead menu nav navbar navigation newsletter notice notification outbrain pager pagination popup promo promoted promotion recommendations recommended related replies respond search share sharing sidebar signup skip social sponsor sponsored subscribe taboola toolbar topbar trending widget alert disclaimer teaser".split()
 )
-CONTENT = set("article articlebody body content entry main page post story text".split())
+CONTENT = set("article articlebody body content entry main post story text".split())
 NEGATION = set("has no with without".split())
 LOSS, HEADED, NAMED = 0.8, 1.3, 1.5  # score left one container further up; of one that holds a first heading; of articles
 
@@ -56,14 +58,26 @@ def described(tag: str, rest: str) -> tuple[bool, str]:
 
 
 def boilerplate(tag: str, found: dict[str, str]) -> bool:
-    """Whether a word of an element's class, id or role keeps it out of the article."""
+    """Whether a name of an element (its classes, id and role) keeps it out of the article.
+
+    A name of words of content only ("main-content") keeps the element in, whatever its other names; else one word of
+    boilerplate is enough ("article-comments"), unless a negation stands before it ("no-sidebar"). "header" alone counts
+    where no word of content is with it ("site-header", but not "entry-header").
+    """
     if "hidden" in found:
         return True
-    if tag in ("html", "body", "article", "main"):
-        return tag == "article" and bool(set(re.split(r"[\W_]+", found.get("class", "").lower())) & {"comment", "comments", "teaser"})
-    names = [re.split(r"[\W_]+", x) for x in f"{found.get('class', '')} {found.get('id', '')} {found.get('role', '')}".lower().split()]
-    named = {w for words in names for k, w in enumerate(words) if not (k and words[k - 1] in NEGATION)}
-    return bool(named & BOILERPLATE) and not named & CONTENT
+    names = f"{found.get('class', '')} {found.get('id', '')} {found.get('role', '')}".split()
+    if tag in ("html", "body", "main"):
+        return False
+    if tag == "article":
+        return any(set(WORD.findall(n.lower())) & {"comment", "comments", "teaser"} for n in names)
+    out = False
+    for name in names:
+        words = WORD.findall(HUMP.sub("-", name).lower())
+        if words and CONTENT.issuperset(words):
+            return False
+        out |= any(w in BOILERPLATE and not (k and words[k - 1] in NEGATION) for k, w in enumerate(words)) or "header" in words and CONTENT.isdisjoint(words)
+    return out
 
 
 class Page:

@@ -62,6 +62,17 @@ def test_broken_pages(spark, same_host):
     assert htmltext.page_texts(pages(spark, rows).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(
+    ("names", "out"),
+    [
+        ("class='article-comments'", True), ("class='post-footer'", True), ("id=main-nav", True), ("class=siteHeader", True), ("class='page_header'", True), ("class='entry-header'", False), ("class='content sidebar-right'", False),
+        ("class='no-sidebar wide'", False), ("class='main-content' id=ad-1", False), ("class='ad ad--top'", True), ("class='shadow gradient'", False), ("role=complementary", True), ("class='cookie-notice'", True), ("class=readerComments", True), ("class='' id=''", False),
+    ],
+)
+def test_names_of_boilerplate(names, out):
+    assert htmltext.described("div", " " + names)[0] == out
+
+
 def test_long_and_deep_pages():
     """Time and memory in proportion to the page."""
     deep = htmltext.Page("<div>" * 50_000 + "<p>end" + "</div>" * 50_000)
