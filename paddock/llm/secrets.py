@@ -95,20 +95,37 @@ def trigram_query(regex: str) -> list[list[frozenset[str]]]:
     return clauses
 
 
-def found_spans(text: Column, rule: Rule) -> Column:
-    """array<struct<start, end>> in code points of the rule's leftmost, non-overlapping matches."""
+def found_spans(text: Column, rule: Rule, chunk: int = 512) -> Column:
+    """array<struct<start, end>> in code points of the rule's leftmost, non-overlapping matches.
+
+    Matches are placed within chunks of `chunk`, and chunks by their lengths, so the time is in proportion to the
+    matches of a text: a fold that appends to an array copies a chunk at most.
+    """
     hits, gaps = F.regexp_extract_all(text, F.lit(rule.regex), F.lit(0)), F.split(text, rule.regex, -1)
     zero = F.lit(0).cast("long")
     start = F.struct(zero.alias("at"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("out"))
 
     def add(state: Column, pair: Column) -> Column:
-        begin = state["at"] + F.length(pair["gap"])
-        end = begin + F.length(pair["hit"])
-        counted = F.regexp_extract(pair["hit"], rule.regex, rule.group) if rule.group else pair["hit"]
-        return F.struct(end.alias("at"), F.when(F.length(counted) >= rule.least, F.array_append(state["out"], F.struct(begin.alias("start"), end.alias("end")))).otherwise(state["out"]).alias("out"))
-
-    pairs = F.zip_with(hits, F.slice(gaps, F.lit(1), F.size(hits)), lambda h, g: F.struct(h.alias("hit"), g.alias("gap")))
-    return F.aggregate(pairs, start, add)["out"]
+        begin = state["at"] + pair["gap"]
+        end = begin + pair["hit"]
+        return F.struct(end.alias("at"), F.when(pair["counted"] >= rule.least, F.array_append(state["out"], F.struct(begin.alias("start"), end.alias("end")))).otherwise(state["out"]).alias("out"))
+
+    def sizes(hit: Column, gap: Column) -> Column:
+        counted = F.length(F.regexp_extract(hit, rule.regex, rule.group) if rule.group else hit)
+        return F.struct(F.length(hit).cast("long").alias("hit"), F.length(gap).cast("long").alias("gap"), counted.alias("counted"))
+
+    pairs = F.zip_with(hits, F.slice(gaps, F.lit(1), F.size(hits)), sizes)
+    cut = lambda all_: F.transform(F.sequence(F.lit(1), F.greatest(F.size(all_), F.lit(1)), F.lit(chunk)), lambda i: F.slice(all_, i, F.lit(chunk)))
+    placed = lambda all_: F.transform(cut(all_), lambda part: F.aggregate(part, start, add))
+
+    def shifted(parts: Column) -> Column:
+        first = F.struct(zero.alias("at"), F.array().cast("array<bigint>").alias("starts"))
+        starts = F.aggregate(parts, first, lambda s, p: F.struct((s["at"] + p["at"]).alias("at"), F.array_append(s["starts"], s["at"]).alias("starts")))["starts"]
+        return F.flatten(F.zip_with(parts, starts, lambda p, at: F.transform(p["out"], lambda x: F.struct((x["start"] + at).alias("start"), (x["end"] + at).alias("end")))))
+
+    # `transform` over an array of one element names a value, which a lambda's body may then use several times
+    once = lambda value, use: F.element_at(F.transform(F.array(value), use), 1)
+    return once(pairs, lambda all_: once(placed(all_), shifted))
 
 
 def kinded(spans: Column, place: int, rule: Rule) -> Column:
