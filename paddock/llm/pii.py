@@ -285,8 +285,8 @@ def find_pii(docs: DataFrame, sample_rows: int = 20_000, recall: float = 0.97) -
 
     The trees learn from made-up data in obfuscated forms, which the base rules miss, planted in a sample
     of the texts by hash: those are the positive labels, and what the generators propose elsewhere in the
-    sample the negative ones. Of both some `sample_rows` at most are expected; the draw depends on the
-    texts alone, so every run has the same. All candidates of all texts are scored. Thresholds by kind keep
+    sample the negative ones. Of both some `sample_rows` at most are expected, as the sample is of different
+    texts; the draw depends on the texts alone, so every run has the same. All candidates of all texts are scored. Thresholds by kind keep
     `recall` of held-out plants. NULL and empty texts have no spans; repeated rows are judged each;
     too few labels to fit: base spans only. An empty table gives an empty result. Other columns are
     ignored. A text of any length is taken whole.
@@ -296,7 +296,8 @@ def find_pii(docs: DataFrame, sample_rows: int = 20_000, recall: float = 0.97) -
     rows, proposed = found.agg(F.count("*"), F.coalesce(F.sum(F.size("candidates")), F.lit(0))).first()
     half = sample_rows // 2
     share = min(1.0, half / max(1, rows * len(KINDS)))
-    chosen = docs.select("text").where(F.abs(F.xxhash64("text", F.lit("plants")) % 1_000_000_007) < int(1_000_000_007 * share) + (share == 1))
+    drawn = docs.select("text").where(F.abs(F.xxhash64("text", F.lit("plants")) % 1_000_000_007) < int(1_000_000_007 * share) + (share == 1))
+    chosen = drawn.dropDuplicates(["text"])  # copies are drawn together, and would all be labelled
     bound = int(min(1.0, half / max(1, proposed * share)) * (1 << 62))
     labelled = chosen.mapInArrow(example_batches(bound), "truth boolean, x array<float>").collect()
     labelled.sort(key=lambda r: (r["x"], r["truth"]))
