@@ -209,14 +209,18 @@ def search_shard(block: dict, hashes: np.ndarray, cuts: np.ndarray, hit: np.ndar
 
 
 def benchmark_blocks(benchmark: DataFrame, block_bytes: int) -> tuple[DataFrame, list[int]]:
-    """(table of item_id, text, block; the blocks): items dealt by hash, so that no block of several items is over `block_bytes`."""
+    """(table of item_id, text, block; the blocks): items dealt by hash, so that no block of several items is over `block_bytes`.
+
+    An item of more than half a block has a block of its own, so it adds one and doesn't change how the others are dealt.
+    """
     asked = benchmark.select("item_id", "text").where("text is not null").distinct()
     asked = asked.select("*", F.octet_length("text").cast("long").alias("bytes"), F.xxhash64("item_id", "text").alias("h"))
-    count = max(1, -(-(asked.agg(F.sum("bytes")).first()[0] or 0) // block_bytes))
+    long = F.col("bytes") * 2 > block_bytes
+    count = max(1, -(-(asked.agg(F.sum(F.when(~long, F.col("bytes")))).first()[0] or 0) // block_bytes))
     while True:
-        dealt = asked.withColumn("block", F.pmod("h", F.lit(count)))
-        found = dealt.groupBy("block").agg(F.sum("bytes").alias("bytes"), F.count("*").alias("n"))
-        if found.where((F.col("bytes") > block_bytes) & (F.col("n") > 1)).isEmpty():
+        dealt = asked.withColumn("block", F.when(long, F.least(F.col("h"), -1 - F.col("h"))).otherwise(F.pmod("h", F.lit(count))))  # below 0 for long ones
+        found = dealt.groupBy("block").agg(F.sum("bytes").alias("bytes"))
+        if found.where((F.col("bytes") > block_bytes) & (F.col("block") >= 0)).isEmpty():
             return written(dealt.select("item_id", "text", "block"), "benchmark"), [r[0] for r in found.select("block").orderBy("block").collect()]
         count *= 2
 
