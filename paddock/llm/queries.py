@@ -11,6 +11,7 @@ def queries() -> dict:
         "op1_simhash_dedup": lambda s, d: simhash.simhash_components(table(s, d, "documents")),
         "op2_license_scan": lambda s, d: licenses.license_scan(table(s, d, "documents")).drop("text_licenses"),
         "op2_license_texts": lambda s, d: licenses.license_scan(table(s, d, "documents")).select("doc_id", "text_licenses"),
+        "op2_license_rules": lambda s, d: licenses.license_rules(table(s, d, "documents")),
         "op3_lm_scoring": lambda s, d: lmscore.pseudo_likelihood(table(s, d, "documents")),
         "op4_suffix_dedup": lambda s, d: suffixdedup.dedup_substrings(table(s, d, "documents")).drop("spans"),
         "op5_source_mix": lambda s, d: mixing.mix_sources(table(s, d, "documents")),
@@ -44,6 +45,7 @@ from d left join covered using (doc_id) left join named using (doc_id)
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_license_scan": licenses.sql(),
+        "op2_license_rules": licenses.rules_sql(),
         "op5_source_mix": mixing.SQL.replace("{docs}", "documents"),
         "op10_decontamination": DECONTAMINATION,
         "op12_fill_in_middle": fim.SQL,
