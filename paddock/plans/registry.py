@@ -49,6 +49,11 @@ def scored_card(s: SparkSession, d: str) -> DataFrame:
 
 
 def adjusted(s: SparkSession, d: str) -> DataFrame:
+    """Runners with what their priors add to the score, stored once a session in buckets by race; the gate and the served scores read it."""
+    return once(s, d, "adjusted", CARDS, lambda: learned(s, d), by=None, sort=["race_id", "horse_number"])
+
+
+def learned(s: SparkSession, d: str) -> DataFrame:
     rows = learning.with_context(racing.runners(s, d), racing.races(s, d))
     scored = card(s, d).select("race_id", "horse_number", F.col("score").alias("base_score"))
     out = learning.adjustment(rows, learning.context_priors(rows), expert.global_rates(rows)).join(scored, ["race_id", "horse_number"])
