@@ -73,10 +73,13 @@ def series(points: DataFrame, latest: int | None = None) -> DataFrame:
 
 
 def minutes_to_next_start(observations: DataFrame, starts: DataFrame) -> DataFrame:
-    """Forward as-of join by day: (race_date, captured_at) with the minutes to the first start at or after it."""
+    """Forward as-of join by day: (race_date, captured_at) with the minutes to the first start at or after it.
+
+    Walked from the last row back, so that a row looks at its predecessor only; a frame that reaches to the end is read anew by every row.
+    """
     both = observations.select("race_date", "captured_at", F.lit(None).cast("timestamp").alias("starts_at"), F.lit(0).alias("side")).unionByName(
         starts.select("race_date", F.col("starts_at").alias("captured_at"), "starts_at", F.lit(1).alias("side"))
     )
-    ahead = Window.partitionBy("race_date").orderBy("captured_at", "side").rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    found = both.withColumn("next", F.first("starts_at", ignorenulls=True).over(ahead)).where("side = 0")
+    ahead = Window.partitionBy("race_date").orderBy(F.col("captured_at").desc(), F.col("side").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = both.withColumn("next", F.last("starts_at", ignorenulls=True).over(ahead)).where("side = 0")
     return found.select("race_date", "captured_at", F.floor((F.unix_micros("next") - F.unix_micros("captured_at")) / 60_000_000).alias("minutes"))
