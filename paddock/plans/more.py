@@ -240,7 +240,7 @@ def bodies() -> dict[str, tuple[str, str]]:
         "reconcile": ("", "select race_id, horse_number from runners where race_id in (select race_id from results)"),
         "without_composite": ("", "select race_id, city from races where race_id % 7 <> 0"),
         "retention": ("", "select race_id, race_date from races where race_date >= date '1995-05-16' or race_id not in (select race_id from results)"),
-        "local_instants": ("", "select race_id, case when race_id % 9 <> 0 then starts_at - interval 3 hour end as at, case when race_id % 9 <> 0 then race_date + 1 + (starts_at - interval 3 hour)::time end as moved from races"),
+        "local_instants": ("", "select race_id, case when race_id % 9 <> 0 then race_date + starts_at::time - interval 3 hour end as at, case when race_id % 9 <> 0 then race_date + 1 + (starts_at - interval 3 hour)::time end as moved from races"),
         "entity_names": ("", f"select race_id, horse_number, case when horse_id % 3 <> 0 then 'tjk-horse:' || horse_id else 'horse-name:KIR İSİ ' || horse_id || ' (7)' end as horse_key, "
             f"case when jockey_id % 2 = 0 then 'tjk-jockey:' || jockey_id when jockey_id is not null then 'jockey-name:JOKEY ' || jockey_id end as jockey_key, {named} as display, 'KIR İSİ ' || horse_id || ' (7)' as label, 'KIRİSİ' || horse_id as repair from runners"),
         "pick_categories": ("", "select source_key, case when is_banko then 'banko' when is_favorite then 'favorite' when is_strong then 'strong' when is_star then 'star' when is_rival then 'rival' when is_surprise then 'surprise' else 'none' end as category, count(*) as picks from picks group by all"),
