@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.names import city_fold, decimal_comma, lower_tr
-from .pages import cells, links, named_columns, plain
+from .pages import links, named_columns, plain, tables
 
 # Spellings of the programme pages.
 CARD_HEADERS = {"number": ["N", "No"], "name": ["At İsmi"], "weight": ["Sıklet", "Kilo"], "jockey": ["Jokey"], "share": ["AGF"], "hp": ["HP"]}
@@ -29,11 +29,11 @@ def tokens(text: Column) -> Column:
 
 def race_mark(words: Column) -> Column:
     """struct(race_no, time) of a heading like "3. Koşu 14.30"; NULL for others."""
-    digits = lambda k: F.coalesce(F.try_element_at(words, F.lit(k)).rlike("^[0-9]{1,2}$"), F.lit(False))
+    number = F.try_element_at(words, F.lit(1))
     later = F.filter(F.slice(words, F.lit(3), F.greatest(F.size(words) - 2, F.lit(0))), lambda t: t.rlike("^[0-9]+$"))
     hour, minute = F.try_element_at(later, F.lit(1)), F.try_element_at(later, F.lit(2))
-    whole = digits(1) & (F.try_element_at(words, F.lit(2)) == RACE_WORD) & (F.length(hour) <= 2) & (F.length(minute) == 2)
-    return F.when(F.coalesce(whole, F.lit(False)), F.struct(F.try_element_at(words, F.lit(1)).cast("long").alias("race_no"), F.concat(F.lpad(hour, 2, "0"), F.lit(":"), minute).alias("time")))
+    whole = F.coalesce(number.rlike("^[0-9]+$"), F.lit(False)) & (F.try_element_at(words, F.lit(2)) == RACE_WORD) & (F.length(hour) <= 2) & (F.length(minute) == 2)
+    return F.when(F.coalesce(whole, F.lit(False)), F.struct(number.try_cast("long").alias("race_no"), F.concat(F.lpad(hour, 2, "0"), F.lit(":"), minute).alias("time")))
 
 
 def surface_named(words: Column) -> Column:
@@ -53,45 +53,56 @@ def start_mark(words: Column) -> Column:
     return F.when(F.contains(line, F.lit(f" {POOL} ")) & number.isin("1", "2") & F.contains(after, F.lit(f" {STARTS_HERE} ")), number.cast("long"))
 
 
-def blocks(pages: DataFrame) -> DataFrame:
-    """(page_id, position, block, text, kind, race_no, time, distance_meters, track): headings, tables and other texts of a page in order.
-
-    race_no and time are those of the nearest race heading at or before a block; the surface is that of the
-    first heading after the race heading that names one, as far down the page as need be.
-    """
+def pieces(pages: DataFrame) -> DataFrame:
+    """(page_id, position, block, text, kind, words, mark): headings, tables and other texts of a page in order; a race heading has a mark."""
     each = pages.select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit(BLOCK), F.lit(0))).alias("position", "block"))
-    text, heading = F.col("text"), F.col("kind") == "h3"
+    heading = F.col("kind") == "h3"
     each = each.withColumn("kind", F.when(F.lower(F.col("block")).startswith("<h3"), "h3").when(F.lower(F.col("block")).startswith("<table"), "table").otherwise("text"))
     each = each.withColumn("text", plain(F.when(F.col("kind") == "text", F.substr("block", F.lit(2))).otherwise(F.col("block"))))
-    each = each.withColumn("words", F.when(heading, tokens(text))).withColumn("mark", race_mark(F.col("words")))
-    marked = each.withColumn("surface", F.when(F.col("mark").isNull(), surface_named(F.col("words"))))
-    order = Window.partitionBy("page_id").orderBy("position")
-    later = F.first("surface", ignorenulls=True).over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing))
-    race = F.struct("mark.race_no", "mark.time", later.alias("surface"))
-    known = marked.withColumn("race", F.when(F.col("mark").isNotNull(), race)).withColumn("race", F.last("race", ignorenulls=True).over(order))
-    return known.select("page_id", "position", "block", "text", "kind", "race.race_no", "race.time", "race.surface.distance_meters", "race.surface.track")
+    return each.withColumn("words", F.when(heading, tokens(F.col("text")))).withColumn("mark", race_mark(F.col("words")))
+
+
+def tables_of_races(pages: DataFrame) -> DataFrame:
+    """(page_id, table_no, race_no, time, distance_meters, track): the tables at or after a race heading, each of the nearest one before it.
+
+    The surface is that of the first heading after the race heading that names one, as far down the page as need be: it is
+    found from the page's end, so that both walks look one row back. The texts stay out of the walks.
+    """
+    each = pieces(pages).where("kind <> 'text'").select("page_id", "position", "kind", "mark", F.when(F.col("mark").isNull(), surface_named(F.col("words"))).alias("surface"))
+    page = Window.partitionBy("page_id")
+    up, down = page.orderBy(F.col("position").desc()), page.orderBy("position")
+    later = F.last("surface", ignorenulls=True).over(up.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    marked = each.withColumn("later", later).withColumn("race", F.when(F.col("mark").isNotNull(), F.struct("mark.race_no", "mark.time", F.col("later").alias("surface"))))
+    known = marked.where("kind = 'table' or race is not null").withColumn("race", F.last("race", ignorenulls=True).over(down.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    tables = known.withColumn("table_no", F.count_if(F.col("kind") == "table").over(down.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - 1).where("kind = 'table' and race is not null")
+    return tables.select("page_id", F.col("table_no").cast("int").alias("table_no"), "race.race_no", "race.time", "race.surface.distance_meters", "race.surface.track")
 
 
 def card_rows(pages: DataFrame) -> DataFrame:
     """A row a runner: tables with a name and a jockey column, paired with the nearest race heading before them; a table without one has no rows."""
-    order = Window.partitionBy("page_id").orderBy("position")
-    races = blocks(pages).where("kind = 'table'").withColumn("table_no", F.row_number().over(order) - 1).where("race_no is not null")
-    rows = named_columns(cells(pages), CARD_HEADERS).where("name is not null and jockey is not null")
+    rows = named_columns(tables(pages), CARD_HEADERS).where("name is not null and jockey is not null")
     number = lambda c: decimal_comma(F.col(c)).cast("long")
     share = F.coalesce(*[F.nullif(F.regexp_extract("share", p, 1), F.lit("")) for p in (r"%\s*(\d+(?:[,.]\d+)?)", r"(\d+(?:[,.]\d+)?)\s*%")])
-    return rows.join(races, ["page_id", "table_no"]).select(
+    return rows.join(tables_of_races(pages), ["page_id", "table_no"]).select(
         "page_id", "race_no", "time", "distance_meters", "track", number("number").alias("horse_number"), F.nullif("name", F.lit("")).alias("name"), decimal_comma(F.col("weight")).alias("weight"),
         F.nullif("jockey", F.lit("")).alias("jockey"), number("hp").alias("hp"), decimal_comma(share).alias("agf_percent"),
     ).where("horse_number is not null and name is not null")
 
 
 def sixfold_starts(pages: DataFrame) -> DataFrame:
-    """(page_id, race_no, sixfold_numbers): start markers anywhere in a page, in tables and headings too, carried by the nearest race heading at or before them."""
+    """(page_id, race_no, sixfold_numbers): start markers anywhere in a page, in tables and headings too, carried by the nearest race heading at or before them.
+
+    A block's markers are read before the walk down the page, which then takes race headings and blocks with markers only;
+    blocks without the pool's last word have none.
+    """
     inner = F.transform(F.regexp_extract_all("block", F.lit(INNER), F.lit(0)), lambda t: plain(F.substr(t, F.lit(2))))
-    texts = F.when(F.col("kind") == "text", F.array("text")).otherwise(F.concat(inner, F.array("text")))  # a marker may be cut by tags within a heading
-    each = blocks(pages).where("race_no is not null").select("page_id", "race_no", F.explode(F.when(F.col("kind") == "table", inner).otherwise(texts)).alias("text"))
-    hits = each.withColumn("n", start_mark(tokens(F.col("text"))))
-    return hits.where("n is not null").groupBy("page_id", "race_no").agg(F.array_sort(F.collect_set("n")).alias("sixfold_numbers"))
+    texts = F.when(F.col("kind") == "table", inner).when(F.col("kind") == "text", F.array("text")).otherwise(F.concat(inner, F.array("text")))  # a marker may be cut by tags within a heading
+    numbers = F.array_compact(F.transform(texts, lambda t: start_mark(tokens(t))))
+    found = F.when(F.contains(lower_tr(F.col("block")), F.lit(POOL.split()[-1])), numbers).otherwise(F.array().cast("array<bigint>"))
+    each = pieces(pages).select("page_id", "position", F.col("mark.race_no").alias("race_no"), found.alias("numbers")).where("race_no is not null or size(numbers) > 0")
+    down = Window.partitionBy("page_id").orderBy("position").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    hits = each.withColumn("race_no", F.last("race_no", ignorenulls=True).over(down)).where("race_no is not null").select("page_id", "race_no", F.explode("numbers").alias("n"))
+    return hits.groupBy("page_id", "race_no").agg(F.array_sort(F.collect_set("n")).alias("sixfold_numbers"))
 
 
 def meeting_links(pages: DataFrame, path: str = PROGRAMME_PATH, key: str = CITY_KEY) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.names import ascii_fold, decimal_comma
-from .tables import grid
+from .tables import grid, page_tables
 
 ANCHOR = r"""(?is)<a\s[^>]*?href\s*=\s*["']([^"']*)["'][^>]*>(.*?)</a>"""
 
@@ -90,14 +90,28 @@ def dated_links(found: DataFrame, days: DataFrame) -> DataFrame:
     return found.join(hits, ["page_id", "url"], "left").withColumn("dated", F.coalesce("dated", F.lit(False)))
 
 
+def tables(pages: DataFrame) -> DataFrame:
+    """(page_id, table_no, depth, lines): every table of a page in one row; `lines` are its rows with their cells' HTML."""
+    return page_tables(pages).select("page_id", F.explode("tables").alias("t")).select("page_id", "t.table_no", "t.depth", "t.lines")
+
+
 def named_columns(found: DataFrame, aliases: dict[str, list[str]], header_rows: int = 4) -> DataFrame:
-    """Rows of tables with logical columns, resolved by header text in the first rows."""
-    table = found.sparkSession.createDataFrame([(ascii_fold_text(a), name) for name, all_ in aliases.items() for a in all_], "folded string, logical string")
-    heads = found.where(F.col("row_no") < header_rows).withColumn("folded", ascii_fold(F.col("cell"))).join(F.broadcast(table), "folded")  # a constant table
-    first = heads.groupBy("page_id", "table_no", "logical").agg(F.min_by(F.struct("row_no", "col_no"), F.struct("row_no", "col_no")).alias("h"))
-    last = first.groupBy("page_id", "table_no").agg(F.max("h.row_no").alias("head_row"))
-    body = found.join(first.select("page_id", "table_no", "logical", F.col("h.col_no").alias("col_no")), ["page_id", "table_no", "col_no"]).join(last, ["page_id", "table_no"]).where("row_no > head_row")
-    return body.groupBy("page_id", "table_no", "row_no").pivot("logical", sorted(aliases)).agg(F.first("cell"))
+    """(page_id, table_no, row_no, logical columns by name): rows of `tables`, the columns told by header text in the first rows.
+
+    A logical column is the first place of one of its spellings; rows after the last of these places that have a cell in
+    any of the columns are returned. A table is one row, so nothing is exchanged.
+    """
+    spellings = {name: sorted({ascii_fold_text(a) for a in all_}) for name, all_ in aliases.items()}
+    cells = lambda l: F.transform(l["cells"], lambda c, i: F.struct(l["row_no"].alias("row_no"), i.alias("col_no"), ascii_fold(plain(c)).alias("folded")))
+    heads = F.flatten(F.transform(F.filter("lines", lambda l: l["row_no"] < header_rows), cells))
+    known = F.filter(heads, lambda h: h["folded"].isin(sorted({x for all_ in spellings.values() for x in all_})))
+    first = lambda name: F.array_min(F.transform(F.filter("heads", lambda h: h["folded"].isin(spellings[name])), lambda h: F.struct(h["row_no"].alias("row_no"), h["col_no"].alias("col_no"))))
+    names = sorted(aliases)
+    placed = found.withColumn("heads", known).where(F.size("heads") > 0).select("page_id", "table_no", "lines", *[first(n).alias(f"_{n}") for n in names])
+    placed = placed.withColumn("_last", F.array_max(F.array(*[F.col(f"_{n}")["row_no"] for n in names])))
+    lines = placed.select("page_id", "table_no", "_last", *[F.col(f"_{n}")["col_no"].alias(f"_{n}") for n in names], F.explode("lines").alias("l")).where("l.row_no > _last")
+    bodies = lines.select("page_id", "table_no", "l.row_no", *[F.try_element_at("l.cells", F.col(f"_{n}") + 1).alias(n) for n in names]).where(F.coalesce(*[F.col(n) for n in names]).isNotNull())
+    return bodies.select("page_id", "table_no", "row_no", *[plain(F.col(n)).alias(n) for n in names])
 
 
 def ascii_fold_text(text: str) -> str:
@@ -113,10 +127,9 @@ HISTORY_HEADERS = {
 
 def history_rows(pages: DataFrame) -> DataFrame:
     """Past races of a horse from the largest table of its page; who needs them newest first orders by `race_date`."""
-    found = cells(pages)
-    size = found.groupBy("page_id", "table_no").agg(F.countDistinct("row_no").alias("n"))
-    largest = size.groupBy("page_id").agg(F.max_by("table_no", F.struct("n", -F.col("table_no"))).alias("table_no"))
-    rows = named_columns(found.join(largest, ["page_id", "table_no"], "left_semi"), HISTORY_HEADERS)
+    size = F.transform("tables", lambda t: F.struct(F.size(t["lines"]).alias("n"), (-t["table_no"]).alias("k")))
+    largest = page_tables(pages).withColumn("_best", -F.array_max(size)["k"]).select("page_id", F.explode(F.filter("tables", lambda t: t["table_no"] == F.col("_best"))).alias("t"))
+    rows = named_columns(largest.select("page_id", "t.table_no", "t.lines"), HISTORY_HEADERS)
     number = lambda c: F.regexp_extract(c, r"\d+", 0).try_cast("int")
     return rows.select(
         "page_id", F.try_to_date("date", "dd.MM.yyyy").alias("race_date"), "city", number("distance").alias("distance_meters"), "track", number("place").alias("finish_position"),
