@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.names import distance_band
-from .stored import once
+from .stored import dealt, once
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,7 +21,7 @@ def races(spark: SparkSession, d: str) -> DataFrame:
 
 def runners(spark: SparkSession, d: str) -> DataFrame:
     """One row a runner, stored once a session in buckets by race_id: the windows over a race are worked out by that one job."""
-    return once(spark, d, "runners", ["lineitem"], lambda: runner_rows(spark, d), by=None, sort=["race_id", "horse_number"])
+    return once(spark, d, "runners", ["lineitem"], lambda: runner_rows(spark, d), by=None, sort=["race_id", "horse_number"], deal=False)
 
 
 def race_rows(spark: SparkSession, d: str) -> DataFrame:
@@ -40,20 +40,24 @@ def race_rows(spark: SparkSession, d: str) -> DataFrame:
 
 
 def runner_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Dealt out by race once and sorted once: places come from the efforts of the race's own few runners."""
     li = read(spark, d, "lineitem")
-    order, price = Window.partitionBy("race_id"), F.floor("l_extendedprice")
-    rows = li.select(
-        F.col("l_orderkey").alias("race_id"), F.col("l_partkey").alias("horse_id"), "l_suppkey", F.col("l_linenumber").cast("long").alias("line"), price.alias("price"), "l_quantity", "l_extendedprice",
+    order, rank = Window.partitionBy("race_id"), F.coalesce("effort", F.lit(-1000))  # no effort comes first
+    rows = dealt(li.select(
+        F.col("l_orderkey").alias("race_id"), F.col("l_partkey").alias("horse_id"), "l_suppkey", F.col("l_linenumber").cast("long").alias("line"), "l_quantity", "l_extendedprice",
         ((F.col("l_returnflag") == "R") & (F.col("l_linenumber") == 7)).alias("scratched"),
-    )
+    )).withColumn("price", F.floor("l_extendedprice"))
     effort = (F.col("horse_id") * 31 + F.col("l_suppkey") * 17 + F.col("line") * 101) % 97
     form = F.lpad(((F.col("horse_id") * 7919 + F.col("l_suppkey") * 104729) % 1000000).cast("string"), 6, "0")
+    rows = rows.withColumn("effort", effort).withColumn("horse_number", F.row_number().over(order.orderBy("horse_id", "l_suppkey", "line", "l_extendedprice")).cast("long"))
+    rows = rows.withColumn("total", F.sum("price").over(order)).withColumn("field", F.collect_list(F.struct("scratched", rank.alias("effort"))).over(order))
+    ahead = F.size(F.filter("field", lambda x: x["scratched"].eqNullSafe(F.col("scratched")) & (x["effort"] < rank)))
     return rows.select(
-        "race_id", F.row_number().over(order.orderBy("horse_id", "l_suppkey", "line", "l_extendedprice")).cast("long").alias("horse_number"), "horse_id",
-        F.when(F.col("l_suppkey") % 20 != 0, F.col("l_suppkey")).alias("jockey_id"), F.when(F.col("line") != 7, F.expr("price * 10000 div sum(price) over (partition by race_id)")).alias("agf_bp"),
+        "race_id", "horse_number", "horse_id",
+        F.when(F.col("l_suppkey") % 20 != 0, F.col("l_suppkey")).alias("jockey_id"), F.when(F.col("line") != 7, F.expr("price * 10000 div total")).alias("agf_bp"),
         F.when((F.col("race_id") + F.col("horse_id")) % 11 != 0, 50 + F.floor("l_quantity")).alias("hp"), (50 + (F.col("l_suppkey") % 21) / 2.0).alias("weight"),
         F.when(F.col("horse_id") % 13 == 0, "").otherwise(form).alias("recent_form_raw"), "scratched",
-        F.when(F.col("scratched"), 0).otherwise(F.rank().over(Window.partitionBy("race_id", "scratched").orderBy(effort))).cast("long").alias("finish_position"), "line", "l_suppkey",
+        F.when(F.col("scratched"), 0).otherwise(1 + ahead).cast("long").alias("finish_position"), "line", "l_suppkey",
     )
 
 

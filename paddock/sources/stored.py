@@ -21,15 +21,21 @@ def shared_folder(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
-def store(rows: DataFrame, name: str, key: str = "race_id", buckets: int | None = None, by: str | None = "race_date", sort: list[str] | None = None) -> DataFrame:
+def dealt(rows: DataFrame, key: str = "race_id") -> DataFrame:
+    """`rows` where the buckets of stored tables lie: joins by the key, or by it and more, exchange neither side again."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
+def store(rows: DataFrame, name: str, key: str = "race_id", buckets: int | None = None, by: str | None = "race_date", sort: list[str] | None = None, deal: bool = True) -> DataFrame:
     """Write `rows` as the table `name`, in `buckets` by `key` and, with `by`, in folders by that column; returns the stored table.
 
     The rows are dealt out by the key first, so that a bucket of a date is one file. There are as many buckets as shuffle
-    partitions unless given. The files are in the shared folder.
+    partitions unless given. The files are in the shared folder. With `deal` off the rows are written where they are: they
+    lie in buckets already (`dealt`, or joined to a stored table by the key); others would only make more files.
     """
     spark = rows.sparkSession
     buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    writer = rows.repartition(buckets, key).write.format("parquet").mode("overwrite").bucketBy(buckets, key).sortBy(*(sort or [key])).option("path", f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}")
+    writer = (rows.repartition(buckets, key) if deal else rows).write.format("parquet").mode("overwrite").bucketBy(buckets, key).sortBy(*(sort or [key])).option("path", f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}")
     (writer.partitionBy(by) if by else writer).saveAsTable(name)
     return spark.table(name)
 
