@@ -57,6 +57,27 @@ def adjustment(rows: DataFrame, priors: DataFrame, rates_row: DataFrame, scale:
     return out.withColumn("adjustment", scaled(F.col("signal"), F.lit(scale)))
 
 
+def own_adjustment(rows: DataFrame, rates_row: DataFrame, scale: float = 1.0) -> DataFrame:
+    """`adjustment` of rows by the priors of these same rows: (race_id, horse_number, finish_position, signal, adjustment).
+
+    Priors are sums over the rows that share horse, pair or jockey and context, so they are windows over narrow rows: horse
+    and pair lie together and take one exchange and one sort, jockeys another; a missing jockey meets only its own race.
+    """
+    seen = F.col("finish_position").isNotNull()
+    counted = lambda by: (F.count_if(seen).over(by), F.count_if(F.col("finish_position") == 1).over(by), F.count_if(F.col("finish_position").between(1, 3)).over(by))
+    whole = rows.select("race_id", "horse_number", "horse_id", "jockey_id", *CONTEXT, "finish_position").crossJoin(F.broadcast(rates_row.select("win_rate", "top3_rate")))  # one row
+    earned = lambda kind, by: learned_signal(*counted(by), *ENTITIES[kind][:2])
+    horse, pair = Window.partitionBy("horse_id", *CONTEXT), Window.partitionBy("horse_id", *CONTEXT, "jockey_id")
+    jockey = Window.partitionBy("jockey_id", *CONTEXT, F.when(F.col("jockey_id").isNull(), F.col("race_id")))
+    some = lambda x, *keys: F.when(sum((F.col(k).isNull().cast("int") for k in keys), F.lit(0)) == 0, x)
+    out = whole.repartition("horse_id", *CONTEXT).withColumn("_pair", some(earned("pair", pair), "horse_id", "jockey_id", *CONTEXT)).withColumn("_horse", some(earned("horse", horse), "horse_id", *CONTEXT))
+    out = out.drop("horse_id").withColumn("_jockey", some(earned("jockey", jockey), "jockey_id", *CONTEXT))
+    share = sum((F.when(F.col(f"_{k}").isNotNull(), x).otherwise(0.0) for k, (_, _, x) in ENTITIES.items()), F.lit(0.0))
+    total = sum((F.coalesce(F.col(f"_{k}") * x, F.lit(0.0)) for k, (_, _, x) in ENTITIES.items()), F.lit(0.0))
+    out = out.withColumn("signal", F.when(share > 0, total / share))
+    return out.select("race_id", "horse_number", "finish_position", "signal", scaled(F.col("signal"), F.lit(scale)).alias("adjustment"))
+
+
 def scaled(signal: Column, scale: Column) -> Column:
     """The adjustment that a signal gives at a scale; without a signal none."""
     return F.coalesce(rounded(clamp(signal * scale, -5.0, 5.0), 2), F.lit(0.0))
