@@ -27,16 +27,17 @@ def weighted_picks(picks: DataFrame, sources: DataFrame, by_source: DataFrame |
 
     The base weight is calibrated by the multipliers that a source has earned, in all and in the pick's
     category: by_source(source_key, multiplier), by_category(source_key, category, multiplier); 1 where there is none.
+    All three have a row a source or seven, and picks stay where they are: few sources make a skewed exchange.
     """
     first = picks if "finish_position" in picks.columns else first_per_source(picks)
-    rows = first.join(sources.where("enabled"), "source_key")
+    rows = first.join(F.broadcast(sources.where("enabled")), "source_key")
     base = F.col("base_weight")
     if by_source is not None:
-        rows = rows.join(by_source.select("source_key", F.col("multiplier").alias("_general")), "source_key", "left")
+        rows = rows.join(F.broadcast(by_source.select("source_key", F.col("multiplier").alias("_general"))), "source_key", "left")
         base = base * F.coalesce("_general", F.lit(1.0))
     if by_category is not None:
         earned = by_category.select("source_key", F.col("category").alias("_category"), F.col("multiplier").alias("_special"))
-        rows = rows.withColumn("_category", category()).join(earned, ["source_key", "_category"], "left")
+        rows = rows.withColumn("_category", category()).join(F.broadcast(earned), ["source_key", "_category"], "left")
         base = base * F.coalesce("_special", F.lit(1.0))
     return rows.withColumn("w", source_weight(base, F.col("confidence"), F.col("source_rank")))
 

@@ -65,3 +65,25 @@ def test_columns_are_told_without_an_exchange(spark):
     rows = pages.named_columns(pages.tables(spark.createDataFrame([("p", html)], "page_id string, html string")), {"number": ["N"], "hp": ["Hp"], "odds": ["Gny"]})
     assert [(r.row_no, r.number, r.hp, r.odds) for r in rows.orderBy("row_no").collect()] == [(1, "1", "7", None), (2, "2", "8", None), (3, "2", "9", None)]
     assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString()
+
+
+def test_picks_are_not_dealt_out_by_their_few_sources(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = registry.experts(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "SortMergeJoin [source_key" not in plan
+
+
+def test_own_adjustment_is_that_of_its_own_priors(spark):
+    from paddock.operators import expert, learning
+    from paddock.sources import racing
+
+    d = "/root/testdata/sf0.001"
+    rows = learning.with_context(racing.runners(spark, d), racing.races(spark, d)).withColumn("horse_id", F.col("horse_id") % 20).withColumn("jockey_id", F.when(F.col("jockey_id") % 3 != 0, F.col("jockey_id") % 5))
+    rows, columns = rows.withColumn("city", F.when(F.col("race_id") % 7 != 0, F.lit("X"))), ["race_id", "horse_number", "signal", "adjustment"]
+    rates = expert.global_rates(rows)
+    found = learning.own_adjustment(rows, rates).select(columns)
+    want = sorted(map(tuple, learning.adjustment(rows, learning.context_priors(rows), rates).select(columns).collect()))
+    assert sum(w[2] is not None for w in want) > 1000 and sorted(map(tuple, found.collect()), key=lambda r: r[:2]) == want
