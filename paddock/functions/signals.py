@@ -14,8 +14,8 @@ LEAST_SAMPLES = {"banko": 15, "favorite": 25, "strong": 25, "star": 20, "rival":
 
 
 def flag(x: Column) -> Column:
-    """true, 1 and "1" are set; everything else, NULL included, is not."""
-    return F.coalesce(F.lower(x.cast("string")).isin("true", "1"), F.lit(False))
+    """true, 1 and "1" are set; everything else, NULL included, is not. A boolean is taken as it is, without a way over text."""
+    return F.coalesce(F.when(F.typeof(x) == "boolean", x.try_cast("boolean")).otherwise(F.lower(x.cast("string")).isin("true", "1")), F.lit(False))
 
 
 def is_positive() -> Column:

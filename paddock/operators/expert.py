@@ -58,6 +58,12 @@ def consensus(picks: DataFrame, sources: DataFrame, by_source: DataFrame | None
     )
 
 
+def counted(rows) -> dict:
+    """Samples, wins and top-three finishes of the rows for which a condition holds."""
+    at = F.col("finish_position")
+    return {"samples": F.count_if(rows), "wins": F.count_if(rows & (at == 1)), "top3": F.count_if(rows & at.between(1, 3))}
+
+
 def rates(alias: str = "") -> list:
     """Samples, wins and top-three finishes; 0 (not placed) counts as a sample."""
     return [F.count("*").alias(f"{alias}samples"), F.count_if(F.col("finish_position") == 1).alias(f"{alias}wins"), F.count_if(F.col("finish_position").between(1, 3)).alias(f"{alias}top3")]
@@ -86,9 +92,10 @@ def source_priors(picks: DataFrame, labelled: DataFrame) -> DataFrame:
 
 def category_priors(picks: DataFrame, labelled: DataFrame) -> DataFrame:
     """Hit rates by source and category against the category over all sources; placed runners only."""
-    kinds = F.explode(F.array_compact(F.array(*[F.when(flag(F.col(f"is_{c}")), c) for c in POSITIVE])))
     placed = settled_picks(picks, labelled).where("finish_position >= 1")
-    by = placed.select("finish_position", "source_key", kinds.alias("category")).groupBy("source_key", "category").agg(*rates())
+    sums = placed.groupBy("source_key").agg(*[c.alias(f"{k}_{n}") for k in POSITIVE for n, c in counted(flag(F.col(f"is_{k}"))).items()])
+    kinds = F.explode(F.array(*[F.struct(F.lit(k).alias("category"), *[F.col(f"{k}_{n}").alias(n) for n in ("samples", "wins", "top3")]) for k in POSITIVE])).alias("c")
+    by = sums.select("source_key", kinds).select("source_key", "c.*").where("samples > 0")
     whole = Window.partitionBy("category")
     total = {c: F.sum(c).over(whole) for c in ("samples", "wins", "top3")}
     by = by.withColumns({"win_rate": F.col("wins") / F.col("samples"), "top3_rate": F.col("top3") / F.col("samples"), "base_win": total["wins"] / total["samples"], "base_top3": total["top3"] / total["samples"]})

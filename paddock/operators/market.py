@@ -55,8 +55,8 @@ def movement(points: DataFrame, window_minutes: int = 90, keys: list[str] = RUNN
 
 
 def movement_columns() -> list[Column]:
-    """market_score, delta and direction from sample_size, first_agf, latest_agf and span (microseconds)."""
-    moved = (F.col("sample_size") >= 2) & (F.col("span") >= 4 * 60 * 1_000_000)
+    """market_score, delta and direction from first_agf, latest_agf and span (microseconds); a span above nothing has two points at least."""
+    moved = F.coalesce(F.col("span") >= 4 * 60 * 1_000_000, F.lit(False))
     delta = F.col("latest_agf") - F.col("first_agf")
     relative = delta / F.greatest(F.col("first_agf"), F.lit(5.0))
     score = 50 + 30 * clamp(delta / 10, -1.0, 1.0) + 20 * clamp(relative / 0.5, -1.0, 1.0)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,25 +16,48 @@ HISTORY = ((100, 86, 74, 62, 52, 42, 34, 27, 20), (1.0, 0.85, 0.7, 0.55, 0.4), 3
 FIELD = ((100, 86, 74, 63, 53, 44, 36, 29, 23, 15), (1.0, 0.85, 0.7, 0.55, 0.4), 99)
 
 
+def recent_digits(raw: Column) -> Column:
+    """The last six digits of the text, newest first."""
+    return F.reverse(F.right(F.regexp_replace(raw, "[^0-9]", ""), F.lit(6)))
+
+
+def places_of(digits: Column) -> Column:
+    """A place a digit, 0 standing for 10."""
+    at = lambda i: (F.ascii(F.substring(digits, i, 1)) + 1) % 10 + 1  # noqa: E731 ("0" has code 48)
+    return F.slice(F.array(*[at(i) for i in range(1, 7)]), F.lit(1), F.length(digits))
+
+
 def recent_positions(raw: Column) -> Column:
     """Newest first; the last six digits of the text, 0 standing for 10."""
-    digits = F.reverse(F.right(F.regexp_replace(raw, "[^0-9]", ""), F.lit(6)))
-    return F.transform(F.filter(F.split(digits, ""), lambda x: x != ""), lambda x: F.when(x == "0", 10).otherwise(x.cast("int")))
+    return places_of(recent_digits(raw))
 
 
 def weighted_form(positions: Column, table: tuple[int, ...], recency: tuple[float, ...]) -> Column:
-    """Mean of the table's values with weights by recency; places beyond the table, and 0, take its last."""
-    points, weights = F.array(*[F.lit(float(x)) for x in table]), F.array(*[F.lit(x) for x in recency])
-    value = lambda p: F.when((p >= 1) & (p <= len(table)), F.try_element_at(points, F.greatest(p, F.lit(1)).cast("int"))).otherwise(float(table[-1]))
-    pairs = F.zip_with(F.slice(positions, 1, len(recency)), F.slice(weights, F.lit(1), F.least(F.size(positions), F.lit(len(recency)))), lambda p, w: F.struct((value(p) * w).alias("v"), w.alias("w")))
-    total = lambda c: F.aggregate(pairs, F.lit(0.0), lambda a, x: a + x[c])
-    return F.try_divide(total("v"), total("w"))
+    """Mean of the table's values with weights by recency; places beyond the table, and 0, take its last.
+
+    Written out place by place: functions over lambdas are interpreted value by value, sums of a few columns are compiled.
+    """
+    points = F.array(*[F.lit(float(x)) for x in (table[-1], *table)])
+    value = lambda p: F.coalesce(F.get(points, p.cast("int")), F.lit(float(table[-1])))
+    total = sum((F.when(F.size(positions) > i, value(F.get(positions, F.lit(i))) * w).otherwise(0.0) for i, w in enumerate(recency)), F.lit(0.0))
+    weight = F.get(F.array(*[F.lit(x) for x in accumulate(recency)]), F.least(F.size(positions), F.lit(len(recency))) - 1)
+    return total / weight
 
 
-def trend(positions: Column, least: int) -> Column:
-    mean = lambda x: F.try_divide(F.aggregate(x, F.lit(0.0), lambda a, v: a + v), F.size(x).cast("double"))
-    recent, older = mean(F.slice(positions, 1, 2)), mean(F.slice(positions, F.lit(3), F.greatest(F.size(positions) - 2, F.lit(0))))
-    return F.when(F.size(positions) < least, "unknown").when(recent <= older - 1, "improving").when(recent >= older + 1, "declining").otherwise("stable")
+def halves(positions: Column, most: int = 6) -> tuple[Column, Column]:
+    """Mean of the newest two places and of the others; positions has `most` at most."""
+    place = lambda i: F.coalesce(F.get(positions, F.lit(i)), F.when(F.size(positions) <= i, 0)).cast("double")
+    recent = F.try_divide(place(0) + place(1), F.least(F.size(positions), F.lit(2)).cast("double"))
+    return recent, F.try_divide(sum((place(i) for i in range(3, most)), place(2)), (F.size(positions) - 2).cast("double"))
+
+
+def trend_of(recent: Column, older: Column, few: Column) -> Column:
+    return F.when(few, "unknown").when(recent <= older - 1, "improving").when(recent >= older + 1, "declining").otherwise("stable")
+
+
+def trend(positions: Column, least: int, most: int = 6) -> Column:
+    """How the newest two places compare with the others."""
+    return trend_of(*halves(positions, most), F.size(positions) < least)
 
 
 def recent_form(raw: Column) -> tuple[Column, Column]:
@@ -44,11 +69,18 @@ def recent_form(raw: Column) -> tuple[Column, Column]:
 
 
 def with_recent_form(rows: DataFrame) -> DataFrame:
-    """`form_score` and `trend`, in steps, so that positions and trend are worked out once a row."""
-    rows = rows.withColumn("_places", recent_positions(F.col("recent_form_raw")))
-    rows = rows.withColumn("trend", trend(F.col("_places"), RECENT[2])).withColumn("_mean", weighted_form(F.col("_places"), RECENT[0], RECENT[1]))
+    """`form_score` and `trend`, in steps, so that digits, positions, means and trend are worked out once a row.
+
+    Halves come a step before the weighted mean: in one piece the compiled method grows beyond what the JVM turns into
+    machine code (8,000 bytes).
+    """
+    rows = rows.withColumn("_digits", recent_digits(F.col("recent_form_raw"))).withColumn("_places", places_of(F.col("_digits"))).drop("_digits")
+    recent, older = halves(F.col("_places"))
+    rows = rows.withColumns({"_recent": recent, "_older": older})
+    rows = rows.withColumns({"trend": trend_of(F.col("_recent"), F.col("_older"), F.size("_places") < RECENT[2]), "_mean": weighted_form(F.col("_places"), RECENT[0], RECENT[1])}).drop("_recent", "_older")
     step = F.when(F.col("trend") == "improving", 5.0).when(F.col("trend") == "declining", -5.0).otherwise(0.0)
-    return rows.withColumn("form_score", F.when(F.size("_places") > 0, rounded(clamp(F.col("_mean") + step, 0.0, 100.0), 1))).drop("_places", "_mean")
+    rows = rows.withColumn("_mean", F.col("_mean") + step)
+    return rows.withColumn("form_score", F.when(F.size("_places") > 0, rounded(clamp(F.col("_mean"), 0.0, 100.0), 1))).drop("_places", "_mean")
 
 
 def history_form(positions: Column) -> tuple[Column, Column]:
@@ -61,8 +93,7 @@ def history_form(positions: Column) -> tuple[Column, Column]:
 
 def field_score(positions: Column) -> Column:
     """Same-condition finishes, newest first, shrunk to 50 below three."""
-    newest = F.slice(positions, 1, 5)
-    return F.when(F.size(newest) > 0, rounded(50 + (weighted_form(newest, FIELD[0], FIELD[1]) - 50) * F.least(F.size(newest) / 3.0, F.lit(1.0)), 1))
+    return F.when(F.size(positions) > 0, rounded(50 + (weighted_form(positions, FIELD[0], FIELD[1]) - 50) * F.least(F.size(positions) / 3.0, F.lit(1.0)), 1))
 
 
 def combined_field(measured: Column, expert: Column) -> Column:
@@ -88,7 +119,8 @@ def model_score(rows: DataFrame) -> DataFrame:
     parts = dict(zip(WEIGHTS, (F.col(c) for c in ("agf_score", "expert_part", "form_score", "hp_score", "market_score", "weight_score", "field_score")), strict=True))
     have = sum((F.when(c.isNotNull(), WEIGHTS[k]).otherwise(0) for k, c in parts.items()), F.lit(0))
     total = sum((F.coalesce(c * WEIGHTS[k], F.lit(0.0)) for k, c in parts.items()), F.lit(0.0))
-    return rows.withColumn("score", F.when(have > 0, rounded(total / have, 2)).otherwise(50.0)).withColumn("model_confidence", rounded(have / 100.0, 3))
+    rows = rows.withColumns({"_have": have, "_mean": F.try_divide(total, have)})  # a step of its own, so that neither is worked out twice
+    return rows.withColumns({"score": F.when(F.col("_have") > 0, rounded(F.col("_mean"), 2)).otherwise(50.0), "model_confidence": rounded(F.col("_have") / 100.0, 3)}).drop("_have", "_mean")
 
 
 def uncertainty(scored: DataFrame) -> DataFrame:

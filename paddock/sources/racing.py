@@ -40,24 +40,23 @@ def race_rows(spark: SparkSession, d: str) -> DataFrame:
 
 
 def runner_rows(spark: SparkSession, d: str) -> DataFrame:
-    """Dealt out by race once and sorted once: places come from the efforts of the race's own few runners."""
+    """Dealt out by race once; numbers, sums and places are windows within the race, compiled, with no array of its field in any row."""
     li = read(spark, d, "lineitem")
-    order, rank = Window.partitionBy("race_id"), F.coalesce("effort", F.lit(-1000))  # no effort comes first
+    order, effort_first = Window.partitionBy("race_id"), F.coalesce("effort", F.lit(-1000))  # no effort comes first
     rows = dealt(li.select(
         F.col("l_orderkey").alias("race_id"), F.col("l_partkey").alias("horse_id"), "l_suppkey", F.col("l_linenumber").cast("long").alias("line"), "l_quantity", "l_extendedprice",
         ((F.col("l_returnflag") == "R") & (F.col("l_linenumber") == 7)).alias("scratched"),
     )).withColumn("price", F.floor("l_extendedprice"))
     effort = (F.col("horse_id") * 31 + F.col("l_suppkey") * 17 + F.col("line") * 101) % 97
     form = F.lpad(((F.col("horse_id") * 7919 + F.col("l_suppkey") * 104729) % 1000000).cast("string"), 6, "0")
-    rows = rows.withColumn("effort", effort).withColumn("horse_number", F.row_number().over(order.orderBy("horse_id", "l_suppkey", "line", "l_extendedprice")).cast("long"))
-    rows = rows.withColumn("total", F.sum("price").over(order)).withColumn("field", F.collect_list(F.struct("scratched", rank.alias("effort"))).over(order))
-    ahead = F.size(F.filter("field", lambda x: x["scratched"].eqNullSafe(F.col("scratched")) & (x["effort"] < rank)))
+    rows = rows.withColumn("effort", effort).withColumn("place", F.rank().over(Window.partitionBy("race_id", "scratched").orderBy(effort_first))).withColumn("total", F.sum("price").over(order))
+    rows = rows.withColumn("horse_number", F.row_number().over(order.orderBy("horse_id", "l_suppkey", "line", "l_extendedprice")).cast("long"))
     return rows.select(
         "race_id", "horse_number", "horse_id",
         F.when(F.col("l_suppkey") % 20 != 0, F.col("l_suppkey")).alias("jockey_id"), F.when(F.col("line") != 7, F.expr("price * 10000 div total")).alias("agf_bp"),
         F.when((F.col("race_id") + F.col("horse_id")) % 11 != 0, 50 + F.floor("l_quantity")).alias("hp"), (50 + (F.col("l_suppkey") % 21) / 2.0).alias("weight"),
         F.when(F.col("horse_id") % 13 == 0, "").otherwise(form).alias("recent_form_raw"), "scratched",
-        F.when(F.col("scratched"), 0).otherwise(1 + ahead).cast("long").alias("finish_position"), "line", "l_suppkey",
+        F.when(F.col("scratched"), 0).otherwise(F.col("place")).cast("long").alias("finish_position"), "line", "l_suppkey",
     )
 
 
@@ -101,9 +100,11 @@ def share_points(spark: SparkSession, d: str) -> DataFrame:
 def past_places(spark: SparkSession, d: str) -> DataFrame:
     """(race_id, horse_number, places): up to five finishes of the horse on the same track and band in earlier rows, newest first."""
     context = races(spark, d).select("race_id", "race_date", "track", distance_band(F.col("distance_meters")).alias("band"))
-    before = Window.partitionBy("horse_id", "track", "band").orderBy("race_date", "race_id", "horse_number").rowsBetween(-5, -1)
+    before = Window.partitionBy("horse_id", "track", "band").orderBy("race_date", "race_id", "horse_number")
     rows = runners(spark, d).select("race_id", "horse_number", "horse_id", "finish_position").join(context, "race_id")
-    return rows.select("race_id", "horse_number", F.reverse(F.collect_list("finish_position").over(before)).cast("array<int>").alias("places"))
+    earlier = [F.lag(F.col("finish_position").cast("int"), i).over(before).alias(f"p{i}") for i in range(1, 6)]
+    rows = rows.select("race_id", "horse_number", (F.row_number().over(before) - 1).alias("n"), *earlier)
+    return rows.select("race_id", "horse_number", F.slice(F.array("p1", "p2", "p3", "p4", "p5"), F.lit(1), F.least("n", F.lit(5))).alias("places"))
 
 
 def results(spark: SparkSession, d: str) -> DataFrame:

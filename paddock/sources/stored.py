@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
 import tempfile
 import uuid
@@ -26,6 +27,18 @@ def dealt(rows: DataFrame, key: str = "race_id") -> DataFrame:
     return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
 
 
+@contextlib.contextmanager
+def side_by_side(spark: SparkSession):
+    """While a table is written, joins by race and runner take both sides where they lie, dealt out by race; by default Spark deals both out anew by all keys."""
+    name = "spark.sql.requireAllClusterKeysForCoPartition"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def store(rows: DataFrame, name: str, key: str = "race_id", buckets: int | None = None, by: str | None = "race_date", sort: list[str] | None = None, deal: bool = True) -> DataFrame:
     """Write `rows` as the table `name`, in `buckets` by `key` and, with `by`, in folders by that column; returns the stored table.
 
@@ -36,7 +49,8 @@ def store(rows: DataFrame, name: str, key: str = "race_id", buckets: int | None
     spark = rows.sparkSession
     buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     writer = (rows.repartition(buckets, key) if deal else rows).write.format("parquet").mode("overwrite").bucketBy(buckets, key).sortBy(*(sort or [key])).option("path", f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}")
-    (writer.partitionBy(by) if by else writer).saveAsTable(name)
+    with side_by_side(spark):
+        (writer.partitionBy(by) if by else writer).saveAsTable(name)
     return spark.table(name)
 
 

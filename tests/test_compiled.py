@@ -27,3 +27,17 @@ def test_form_step_is_small_enough_to_be_compiled(spark):
     debug = getattr(getattr(spark._jvm.org.apache.spark.sql.execution.debug, "package$"), "MODULE$")
     stages = debug.codegenStringSeq(rows._jdf.queryExecution().executedPlan())
     assert max(stages.apply(i)._3().maxMethodCodeSize() for i in range(stages.size())) < 8000
+
+
+def test_scored_rows_stay_with_their_race(spark):
+    """While a table is written, joins by race and runner deal neither side out anew."""
+    from paddock.plans import registry
+    from paddock.sources.stored import side_by_side
+
+    name = "spark.sql.requireAllClusterKeysForCoPartition"
+    before = spark.conf.get(name)
+    rows = registry.scored(spark, "/root/testdata/sf0.001")
+    with side_by_side(spark):
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(race_id" in plan and not [x for x in plan.splitlines() if "hashpartitioning(race_id" in x and ", horse_number" in x.split("hashpartitioning(", 1)[1]]
+    assert spark.conf.get(name) == before
