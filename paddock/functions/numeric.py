@@ -22,4 +22,5 @@ def finite(x: Column) -> Column:
 
 def min_max(x: Column, low: Column, high: Column) -> Column:
     """0 at the low end, 100 at the high one, 50 when they meet."""
-    return F.when(x.isNull(), None).when(high <= low, 50.0).otherwise(clamp((x - low) / (high - low) * 100, 0.0, 100.0))
+    known = x.isNotNull() & low.isNotNull() & high.isNotNull()  # asked of the columns: `clamp` would write the quotient out twice
+    return F.when(~known, None).when(high <= low, 50.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(100.0), (x - low) / (high - low) * 100)))

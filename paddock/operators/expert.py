@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import clamp, rounded
-from ..functions.signals import LEAST_SAMPLES, POSITIVE, category, flag, is_positive, source_weight, strength
+from ..functions.signals import LEAST_SAMPLES, POSITIVE, flag, is_positive, source_weight, strength
 
 RUNNER = ["race_id", "horse_number"]
 
@@ -27,18 +27,18 @@ def weighted_picks(picks: DataFrame, sources: DataFrame, by_source: DataFrame |
 
     The base weight is calibrated by the multipliers that a source has earned, in all and in the pick's
     category: by_source(source_key, multiplier), by_category(source_key, category, multiplier); 1 where there is none.
-    All three have a row a source or seven, and picks stay where they are: few sources make a skewed exchange.
+    All of it is one row a source, met in one join; picks stay where they are: few sources make a skewed exchange.
     """
     first = picks if "finish_position" in picks.columns else first_per_source(picks)
-    rows = first.join(F.broadcast(sources.where("enabled")), "source_key")
-    base = F.col("base_weight")
+    known, base = sources.where("enabled"), F.col("base_weight")
     if by_source is not None:
-        rows = rows.join(F.broadcast(by_source.select("source_key", F.col("multiplier").alias("_general"))), "source_key", "left")
+        known = known.join(F.broadcast(by_source.select("source_key", F.col("multiplier").alias("_general"))), "source_key", "left")
         base = base * F.coalesce("_general", F.lit(1.0))
     if by_category is not None:
-        earned = by_category.select("source_key", F.col("category").alias("_category"), F.col("multiplier").alias("_special"))
-        rows = rows.withColumn("_category", category()).join(F.broadcast(earned), ["source_key", "_category"], "left")
-        base = base * F.coalesce("_special", F.lit(1.0))
+        special = by_category.groupBy("source_key").agg(*[F.max(F.when(F.col("category") == c, F.col("multiplier"))).alias(f"_{c}") for c in POSITIVE])
+        known = known.join(F.broadcast(special), "source_key", "left")
+        base = base * F.coalesce(*[F.when(flag(F.col(f"is_{c}")), F.coalesce(f"_{c}", F.lit(1.0))) for c in POSITIVE], F.lit(1.0))
+    rows = first.join(F.broadcast(known), "source_key")
     return rows.withColumn("w", source_weight(base, F.col("confidence"), F.col("source_rank")))
 
 

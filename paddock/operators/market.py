@@ -54,6 +54,21 @@ def movement(points: DataFrame, window_minutes: int = 90, keys: list[str] = RUNN
     return by.select(*keys, "sample_size", *movement_columns())
 
 
+def with_movement(rows: DataFrame, points: list[tuple[Column, Column]], window_minutes: int = 90) -> DataFrame:
+    """`market_score` of rows that have `starts_at` and hold a runner's whole series; points: its columns (captured_at, agf_percent), in any order.
+
+    As `movement` of `pre_race` has it, without a row a point, a sort or an aggregate.
+    """
+    start = F.col("starts_at")
+    rows = rows.withColumns({f"_{c}{i}": x for i, p in enumerate(points) for c, x in zip(("at", "agf"), p, strict=True)}).withColumn("_low", before(start, window_minutes))
+    at, agf = ([F.col(f"_{c}{i}") for i in range(len(points))] for c in ("at", "agf"))
+    seen = [F.when(a.between(0, 100) & (t < start) & (t >= F.col("_low")), F.struct(t.alias("at"), a.alias("agf"))) for t, a in zip(at, agf, strict=True)]
+    rows = rows.withColumns({"_first": F.least(*seen), "_last": F.greatest(*seen)}).drop("_low", *[f"_{c}{i}" for c in ("at", "agf") for i in range(len(points))])
+    span = F.unix_micros("_last.at") - F.unix_micros("_first.at")
+    rows = rows.withColumns({"first_agf": F.col("_first.agf"), "latest_agf": F.col("_last.agf"), "span": span}).drop("_first", "_last")
+    return rows.withColumn("market_score", movement_columns()[0]).drop("first_agf", "latest_agf", "span")
+
+
 def movement_columns() -> list[Column]:
     """market_score, delta and direction from first_agf, latest_agf and span (microseconds); a span above nothing has two points at least."""
     moved = F.coalesce(F.col("span") >= 4 * 60 * 1_000_000, F.lit(False))

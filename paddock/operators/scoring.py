@@ -37,10 +37,15 @@ def weighted_form(positions: Column, table: tuple[int, ...], recency: tuple[floa
 
     Written out place by place: functions over lambdas are interpreted value by value, sums of a few columns are compiled.
     """
+    return weighted_places([F.get(positions, F.lit(i)) for i in range(len(recency))], F.size(positions), table, recency)
+
+
+def weighted_places(places: list[Column], n: Column, table: tuple[int, ...], recency: tuple[float, ...]) -> Column:
+    """`weighted_form` of the first n of some columns."""
     points = F.array(*[F.lit(float(x)) for x in (table[-1], *table)])
     value = lambda p: F.coalesce(F.get(points, p.cast("int")), F.lit(float(table[-1])))
-    total = sum((F.when(F.size(positions) > i, value(F.get(positions, F.lit(i))) * w).otherwise(0.0) for i, w in enumerate(recency)), F.lit(0.0))
-    weight = F.get(F.array(*[F.lit(x) for x in accumulate(recency)]), F.least(F.size(positions), F.lit(len(recency))) - 1)
+    total = sum((F.when(n > i, value(places[i]) * w).otherwise(0.0) for i, w in enumerate(recency)), F.lit(0.0))
+    weight = F.get(F.array(*[F.lit(x) for x in accumulate(recency)]), F.least(n, F.lit(len(recency))) - 1)
     return total / weight
 
 
@@ -69,18 +74,21 @@ def recent_form(raw: Column) -> tuple[Column, Column]:
 
 
 def with_recent_form(rows: DataFrame) -> DataFrame:
-    """`form_score` and `trend`, in steps, so that digits, positions, means and trend are worked out once a row.
+    """`form_score` and `trend` as of `recent_form`, in steps, so that digits, places, means and trend are worked out once a row.
 
-    Halves come a step before the weighted mean: in one piece the compiled method grows beyond what the JVM turns into
-    machine code (8,000 bytes).
+    The last six digits are one number, so that places are columns of numbers and no row has an array or a text of a digit.
     """
-    rows = rows.withColumn("_digits", recent_digits(F.col("recent_form_raw"))).withColumn("_places", places_of(F.col("_digits"))).drop("_digits")
-    recent, older = halves(F.col("_places"))
-    rows = rows.withColumns({"_recent": recent, "_older": older})
-    rows = rows.withColumns({"trend": trend_of(F.col("_recent"), F.col("_older"), F.size("_places") < RECENT[2]), "_mean": weighted_form(F.col("_places"), RECENT[0], RECENT[1])}).drop("_recent", "_older")
+    digits, n, at = F.col("_digits"), F.col("_n"), [F.col(f"_p{i}") for i in range(6)]
+    rows = rows.withColumn("_digits", F.substring(F.regexp_replace("recent_form_raw", "[^0-9]", ""), -6, 6))
+    rows = rows.withColumns({"_n": F.length(digits), "_v": digits.try_cast("int")}).drop("_digits")
+    place = lambda i: F.try_mod((F.col("_v") / 10**i).cast("int") + 9, F.lit(10)) + 1  # noqa: E731 (0 stands for 10)
+    rows = rows.withColumns({f"_p{i}": F.when(n > i, place(i)).when(n <= i, 0) for i in range(6)}).drop("_v")
+    older = F.try_divide(sum((p.cast("double") for p in at[3:]), at[2].cast("double")), (n - 2).cast("double"))
+    rows = rows.withColumns({"_recent": F.try_divide(at[0].cast("double") + at[1].cast("double"), F.least(n, F.lit(2)).cast("double")), "_older": older})
+    rows = rows.withColumns({"trend": trend_of(F.col("_recent"), F.col("_older"), n < RECENT[2]), "_mean": weighted_places(at, n, RECENT[0], RECENT[1])}).drop("_recent", "_older", *[f"_p{i}" for i in range(6)])
     step = F.when(F.col("trend") == "improving", 5.0).when(F.col("trend") == "declining", -5.0).otherwise(0.0)
     rows = rows.withColumn("_mean", F.col("_mean") + step)
-    return rows.withColumn("form_score", F.when(F.size("_places") > 0, rounded(clamp(F.col("_mean"), 0.0, 100.0), 1))).drop("_places", "_mean")
+    return rows.withColumn("form_score", F.when(n > 0, rounded(clamp(F.col("_mean"), 0.0, 100.0), 1))).drop("_n", "_mean")
 
 
 def history_form(positions: Column) -> tuple[Column, Column]:
@@ -101,17 +109,23 @@ def combined_field(measured: Column, expert: Column) -> Column:
 
 
 def components(runners: DataFrame) -> DataFrame:
-    """Component scores of every runner; needs agf_percent, expert_score, expert_confidence, market_score and field_score."""
+    """Component scores of every runner; needs agf_percent, expert_score, expert_confidence, market_score and field_score.
+
+    Each extreme of a race is a column of its own first: named twice in a formula, it would be worked out twice. The form
+    comes after the windows, which part the compiled methods: with what goes before them it would outgrow 8,000 bytes.
+    """
     race = Window.partitionBy("race_id")
     hp, weight = F.col("hp").cast("double"), F.col("weight")
-    return with_recent_form(runners).withColumns(
+    ends = {"_hp_low": F.min(hp), "_hp_high": F.max(hp), "_weight_low": F.min(weight), "_weight_high": F.max(weight)}
+    rows = with_recent_form(runners.withColumns({n: c.over(race) for n, c in ends.items()}))
+    return rows.withColumns(
         {
             "agf_score": clamp(F.col("agf_percent"), 0.0, 100.0),
             "expert_part": 50 + (F.col("expert_score") - 50) * F.col("expert_confidence"),
-            "hp_score": min_max(hp, F.min(hp).over(race), F.max(hp).over(race)),
-            "weight_score": 100 - min_max(weight, F.min(weight).over(race), F.max(weight).over(race)),
+            "hp_score": min_max(hp, F.col("_hp_low"), F.col("_hp_high")),
+            "weight_score": 100 - min_max(weight, F.col("_weight_low"), F.col("_weight_high")),
         }
-    )
+    ).drop(*ends)
 
 
 def model_score(rows: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.names import distance_band
@@ -88,13 +88,24 @@ def market_points(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def share(k: Column) -> tuple[Column, Column]:
+    """(captured_at, agf_percent) of a runner's share number k."""
+    moved = F.col("agf_bp") + k * ((F.col("horse_id") * 7 + F.col("race_id") * 131) % 1201 - 600)
+    at = F.timestamp_seconds(F.unix_seconds("starts_at") - 60 * (60 - 27 * k))
+    return at.alias("captured_at"), (F.when(moved.isNotNull(), F.greatest(F.lit(0), F.least(F.lit(10000), moved))) / 100.0).alias("agf_percent")
+
+
 def share_points(spark: SparkSession, d: str) -> DataFrame:
     """(race_id, horse_number, captured_at, starts_at, agf_percent): three shares of every runner in its last hour before the start."""
     k = F.explode(F.array(*[F.lit(i).cast("long") for i in range(3)])).alias("k")
     rows = runners(spark, d).where("agf_bp is not null").select("race_id", "horse_number", "horse_id", "agf_bp", k).join(races(spark, d).select("race_id", "starts_at"), "race_id")
-    moved = F.col("agf_bp") + F.col("k") * ((F.col("horse_id") * 7 + F.col("race_id") * 131) % 1201 - 600)
-    at = F.timestamp_seconds(F.unix_seconds("starts_at") - 60 * (60 - 27 * F.col("k")))
-    return rows.select("race_id", "horse_number", at.alias("captured_at"), "starts_at", (F.greatest(F.lit(0), F.least(F.lit(10000), moved)) / 100.0).alias("agf_percent"))
+    at, agf = share(F.col("k"))
+    return rows.select("race_id", "horse_number", at, "starts_at", agf)
+
+
+def share_columns() -> list[tuple[Column, Column]]:
+    """The shares of `share_points` as columns of a runner's row with `starts_at`, NULL without a share."""
+    return [share(F.lit(i).cast("long")) for i in range(3)]
 
 
 def past_places(spark: SparkSession, d: str) -> DataFrame:

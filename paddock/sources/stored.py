@@ -29,14 +29,19 @@ def dealt(rows: DataFrame, key: str = "race_id") -> DataFrame:
 
 @contextlib.contextmanager
 def side_by_side(spark: SparkSession):
-    """While a table is written, joins by race and runner take both sides where they lie, dealt out by race; by default Spark deals both out anew by all keys."""
-    name = "spark.sql.requireAllClusterKeysForCoPartition"
-    before = spark.conf.get(name)
-    spark.conf.set(name, "false")
+    """While a table is written, joins by race and runner take both sides where they lie, dealt out by race, and in the order they were written in.
+
+    By default Spark deals both sides out anew by all keys, and sorts buckets again that are one sorted file each.
+    """
+    settings = {"spark.sql.requireAllClusterKeysForCoPartition": "false", "spark.sql.legacy.bucketedTableScan.outputOrdering": "true"}
+    before = {name: spark.conf.get(name) for name in settings}
+    for name, value in settings.items():
+        spark.conf.set(name, value)
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        for name, value in before.items():
+            spark.conf.set(name, value)
 
 
 def store(rows: DataFrame, name: str, key: str = "race_id", buckets: int | None = None, by: str | None = "race_date", sort: list[str] | None = None, deal: bool = True) -> DataFrame:
