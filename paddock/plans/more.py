@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from ..functions import names, numeric, signals
 from ..operators import gaps, market, reports, scoring, sinks, tickets
 from ..sources import pages, racing
+from ..sources.stored import dealt, once
 from .oracles import AGES, WINDOWS, clamp, r
-from .registry import instant, ticket_legs
+from .registry import CARDS, instant, ticket_legs
 
 KEY = ["race_id", "horse_number"]
 SHARES = "share_points"
@@ -192,9 +193,14 @@ def progress(s: SparkSession, d: str) -> DataFrame:
 
 
 def race_coverage(s: SparkSession, d: str) -> DataFrame:
-    """Per race: runners, and how many have a share, form, a pick, a market point, a field score."""
+    """Per race: runners, and how many have a share, form, a pick, a market point, a field score; stored once a session, so that its joins by runner take all sides where they lie."""
+    return once(s, d, "race_coverage", CARDS, lambda: covered(s, d), by=None, deal=False)
+
+
+def covered(s: SparkSession, d: str) -> DataFrame:
     runners = racing.runners(s, d)
-    kinds = {"picks": racing.picks(s, d), "market": racing.share_points(s, d), "field": racing.past_places(s, d).where(F.size("places") > 0)}
+    field = dealt(racing.past_places(s, d).where(F.size("places") > 0).select(*KEY))
+    kinds = {"picks": racing.picks(s, d), "market": racing.share_points(s, d), "field": field}
     rows = runners.select(*KEY, "agf_bp", "recent_form_raw")
     for name, df in kinds.items():
         rows = rows.join(df.select(*KEY).distinct().withColumn(name, F.lit(True)), KEY, "left")

@@ -51,3 +51,16 @@ def test_scored_rows_are_compiled_and_worked_out_once(spark):
     assert not [x for x in lines if "SortAggregate" in x]
     assert [x.count("windowspecdefinition(race_id") for x in lines if "min(" in x and "Window [" in x] == [4]
     assert len(sizes) > 10 and max(sizes) < 8000
+
+
+def test_race_coverage_joins_runners_where_they_lie(spark):
+    """Of the joins by runner none deals its sides out by race and number."""
+    from paddock.plans import more
+
+    rows = more.covered(spark, "/root/testdata/sf0.001")
+    found = more.race_coverage(spark, "/root/testdata/sf0.001")
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, rows.collect()))
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    with side_by_side(spark):
+        plan = more.covered(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert not [x for x in plan.splitlines() if "hashpartitioning(race_id" in x and ", horse_number" in x.split("hashpartitioning(", 1)[1]]
