@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import RangeHash, any_names, bloom, flat, may_hold, mix, partitions, text_slices, unused, written
+from .common import SLICE_BYTES, RangeHash, any_names, bloom, flat, may_hold, mix, partitions, text_slices, unused, written
 from .components import components
 from .decontam import LOWERED
 from .quality import IS_SPACE
@@ -20,6 +20,7 @@ IS_INK = ~IS_SPACE
 AHEAD = 4 * SHINGLE + 1  # bytes that hold the code points of one shingle and the next
 MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)  # of the first bytes of a machine word
 STEP = 1 << 16
+SKETCH = 1024  # bits
 LONG = 100_000  # bytes from which a pair of lines is compared by arrays of hashes
 
 
@@ -166,6 +167,34 @@ def hashed_shingles(body: bytes) -> np.ndarray:
     return np.unique(np.concatenate([x for _, x in shingle_blocks(data, np.zeros(1, np.int64), np.array([len(data)]))]))
 
 
+def sketches(bodies: list[bytes]) -> Iterator[tuple[int, int]]:
+    """(number of shingles, a bit a shingle as one number) of each line; 0 shingles for lines under one or over LONG bytes."""
+    begin = np.cumsum([0] + [len(b) for b in bodies])
+    at = 0
+    while at < len(bodies):
+        to = max(at + 1, int(np.searchsorted(begin, begin[at] + SLICE_BYTES, "right")) - 1)
+        some = [b if len(b) <= LONG else b"" for b in bodies[at:to]]
+        ends = np.cumsum([len(b) for b in some])
+        bits, sizes = np.zeros((len(some), SKETCH), bool), np.zeros(len(some), np.int64)
+        for line, grams in shingle_blocks(np.frombuffer(b"".join(some), np.uint8), np.append(0, ends[:-1]), ends):
+            bits[line, (grams >> np.uint64(20)) % np.uint64(SKETCH)] = True
+            sizes += np.bincount(line, minlength=len(some))
+        for n, row in zip(sizes.tolist(), np.packbits(bits, axis=1), strict=True):
+            yield n, int.from_bytes(row.tobytes())
+        at = to
+
+
+def too_far(a: tuple[int, int], b: tuple[int, int], similar: float) -> bool:
+    """Whether two sketches leave no room for a Jaccard of `similar`: a bit that one line has alone is a shingle that it has alone, at least."""
+    (n, x), (m, y) = a, b
+    if not n or not m:
+        return False
+    both = x & y
+    mine, yours = (x ^ both).bit_count(), (y ^ both).bit_count()
+    most = min(n - mine, m - yours)
+    return most < similar * (most + mine + yours)
+
+
 def similar_lines(a: bytes, b: bytes, bag, similar: float) -> bool:
     """Exact Jaccard of two lines; `bag` gives the shingles of the shorter kind."""
     if min(len(a), len(b)) > LONG:
@@ -183,7 +212,7 @@ def verify_batches(similar: float):
     """Exact Jaccard within each bucket; a pair with one label, already connected here or sharing a lower bucket needs no comparison."""
 
     def links(bucket: int, rows: list[tuple]) -> Iterator[tuple[int, int]]:
-        lines, chunks, labels, bodies, shared = zip(*rows, strict=True)
+        lines, chunks, labels, bodies, shared, drawn = zip(*rows, strict=True)
         bag = cache(shingles)
         lower = [{x for x in r if x < bucket} for r in shared]
         split = len(set(chunks)) > 1  # two chunks of a large bucket: pairs within one are compared elsewhere
@@ -199,7 +228,7 @@ def verify_batches(similar: float):
             for j in range(i):
                 if group[j] == mine or split and chunks[i] == chunks[j] or not lower[i].isdisjoint(lower[j]):
                     continue
-                if similar_lines(bodies[i], bodies[j], bag, similar):
+                if not too_far(drawn[i], drawn[j], similar) and similar_lines(bodies[i], bodies[j], bag, similar):
                     small, mine = sorted((group[j], mine), key=lambda g: len(members[g]))
                     for k in members[small]:
                         group[k] = mine
@@ -217,7 +246,8 @@ def verify_batches(similar: float):
             return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in range(2)], ["a", "b"])
 
         for batch in batches:
-            for bucket, sub, *row in zip(*(batch.column(c).to_pylist() for c in ("bucket", "sub", "line", "chunk", "label", "body", "shared")), strict=True):
+            columns = [batch.column(c).to_pylist() for c in ("bucket", "sub", "line", "chunk", "label", "body", "shared")]
+            for bucket, sub, *row in zip(*columns, sketches(columns[5]), strict=True):
                 if (bucket, sub) != key:
                     if len(held) > 1:
                         yield packed()
