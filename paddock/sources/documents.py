@@ -50,6 +50,14 @@ def unreadable() -> Column:
     return F.col("document").isNull() | F.col(f"_d.{CORRUPT}").isNotNull()
 
 
+def readable(rows: str) -> Column:
+    """An array of `_d`, empty where the document can't be read.
+
+    Not a filter: Spark moves one below the projection, so that each document would be read, and written where it is derived, twice.
+    """
+    return F.slice(rows, F.lit(1), F.when(F.col(f"_d.{CORRUPT}").isNull(), F.size(rows)).otherwise(0))
+
+
 def corrupt(documents: DataFrame) -> DataFrame:
     """Documents that can't be read by the schema of their kind, and those of unknown kinds, with `reason`; their other columns stay."""
     bad = [parsed(documents, k).where(unreadable()).drop("_d").withColumn("reason", F.lit("UNREADABLE")) for k in KINDS]
@@ -61,7 +69,7 @@ def corrupt(documents: DataFrame) -> DataFrame:
 
 def form_rows(documents: DataFrame) -> DataFrame:
     """documents(doc_key, kind, document) -> (doc_key, place, race_date, city, distance_meters, track, finish_position, weight, jockey, odds, hp); places from 0."""
-    each = parsed(documents, "form").where(~unreadable()).select("doc_key", F.posexplode("_d.rows").alias("place", "r"))
+    each = parsed(documents, "form").select("doc_key", F.posexplode(readable("_d.rows")).alias("place", "r"))
     return each.select(
         "doc_key", F.col("place").cast("long").alias("place"), day(F.col("r.raceDate")).alias("race_date"), text(F.col("r.city")).alias("city"), whole(F.col("r.distanceMeters")).alias("distance_meters"), text(F.col("r.track")).alias("track"),
         whole(F.col("r.finishPosition")).alias("finish_position"), number(F.col("r.weight")).alias("weight"), text(F.col("r.jockey")).alias("jockey"), number(F.col("r.odds")).alias("odds"), whole(F.col("r.hp")).alias("hp"),
@@ -70,7 +78,7 @@ def form_rows(documents: DataFrame) -> DataFrame:
 
 def field_rows(documents: DataFrame) -> DataFrame:
     """documents(doc_key, kind, document) -> (doc_key, place, horse_name, horse_number, race_date, city, distance_meters, track, finish_position)."""
-    each = parsed(documents, "field").where(~unreadable()).select("doc_key", F.posexplode("_d.rows").alias("place", "r"))
+    each = parsed(documents, "field").select("doc_key", F.posexplode(readable("_d.rows")).alias("place", "r"))
     return each.select(
         "doc_key", F.col("place").cast("long").alias("place"), text(F.col("r.horseName")).alias("horse_name"), whole(F.col("r.horseNumber")).alias("horse_number"), day(F.col("r.raceDate")).alias("race_date"), text(F.col("r.city")).alias("city"),
         whole(F.col("r.distanceMeters")).alias("distance_meters"), text(F.col("r.track")).alias("track"), whole(F.col("r.finishPosition")).alias("finish_position"),
