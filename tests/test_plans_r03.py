@@ -28,3 +28,9 @@ def test_documents_that_break_off_have_no_rows(spark):
 def test_meetings_are_grouped_as_numbers(spark):
     grouped = [x for x in plan(registry.programmes(spark, D)).split("\n") if "partial_collect_list" in x]
     assert grouped and not any("HORSE " in x or "https" in x for x in grouped)
+
+
+def test_versions_are_written_small(spark, tmp_path):
+    stored = Versions(spark, f"file://{tmp_path}")
+    stored.commit(0, {"t": spark.range(9)})
+    assert [p for p in tmp_path.rglob("*.parquet")] and all(".zstd." in p.name for p in tmp_path.rglob("*.parquet"))
