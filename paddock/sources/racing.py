@@ -60,16 +60,16 @@ def runner_rows(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def picks(spark: SparkSession, d: str) -> DataFrame:
-    """(race_id, horse_number, source_key, source_rank, confidence, is_*)."""
+def picks(spark: SparkSession, d: str, *more: str) -> DataFrame:
+    """(race_id, horse_number, source_key, source_rank, confidence, is_*), and further columns of the runner."""
     k = F.explode(F.array(*[F.lit(i).cast("long") for i in range(3)])).alias("k")
-    each = runners(spark, d).select("race_id", "horse_number", "horse_id", "l_suppkey", "line", k)
+    each = runners(spark, d).select("race_id", "horse_number", "horse_id", "l_suppkey", "line", *more, k)
     each = each.withColumn("m", (F.col("horse_id") * 13 + F.col("l_suppkey") * 7 + F.col("k") * 5) % 16).where("m <= 8")
     flags = {"banko": (0,), "favorite": (0, 1, 2), "strong": (2, 3), "star": (4,), "rival": (5, 6), "surprise": (7,), "avoid": (8,)}
     return each.select(
         "race_id", "horse_number", F.concat(F.lit("src"), ((F.col("l_suppkey") + F.col("k") * 7) % 9).cast("string")).alias("source_key"),
         (1 + (F.col("line") + F.col("k")) % 5).alias("source_rank"), (((F.col("horse_id") + F.col("k")) % 5) / 4.0).alias("confidence"), "k",
-        *[F.col("m").isin(*ms).alias(f"is_{c}") for c, ms in flags.items()],
+        *[F.col("m").isin(*ms).alias(f"is_{c}") for c, ms in flags.items()], *more,
     )
 
 

@@ -14,6 +14,11 @@ def plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_first_picks_take_the_finish_from_their_own_runner(spark, monkeypatch):
+    monkeypatch.setattr(registry, "once", lambda *a, **how: a[4]())
+    assert "Join" not in plan(registry.first_picks(spark, D))
+
+
 def test_documents_are_written_and_read_once(spark):
     for rows in (documents.form_rows, documents.field_rows):
         assert not re.search(r"Filter .*StructsToJson", plan(rows(archive.extracted(spark, D))))
