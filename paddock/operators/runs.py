@@ -108,7 +108,7 @@ def result_checks(results: DataFrame) -> DataFrame:
     """
     dates = results.groupBy("document").agg(F.bool_and(F.coalesce(F.try_to_date("race_date", "yyyy-MM-dd").isNotNull() & F.col("race_date").rlike(r"^\d{4}-\d{2}-\d{2}$"), F.lit(False))).alias("dated"))
     by = results.groupBy("document", "race_number").agg(
-        F.count("*").alias("n"), F.count_distinct("horse_number").alias("different"), F.count_if(F.coalesce(F.col("finish_position") < 0, F.lit(True))).alias("bad"), F.count_if(F.col("finish_position") == 1).alias("winners")
+        F.count("*").alias("n"), F.size(F.collect_set("horse_number")).cast("long").alias("different"), F.count_if(F.coalesce(F.col("finish_position") < 0, F.lit(True))).alias("bad"), F.count_if(F.col("finish_position") == 1).alias("winners")
     )
     codes = F.array_compact(F.array(F.when(F.col("n") < 2, "TOO_FEW_RUNNERS"), F.when(F.col("n") != F.col("different"), "DUPLICATE_RACE_OR_RUNNER"), F.when(F.col("bad") > 0, "BAD_PLACE"), F.when(F.col("winners") == 0, "NO_WINNER")))
     return by.select("document", "race_number", F.explode(codes).alias("code")).unionByName(dates.where("not dated").select("document", F.lit(None).cast("long").alias("race_number"), F.lit("DATE_INVALID").alias("code")))

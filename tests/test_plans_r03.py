@@ -2,7 +2,7 @@
 
 import re
 
-from paddock.operators import reports
+from paddock.operators import reports, runs
 from paddock.plans import archive, registry
 from paddock.sources import documents, racing
 from paddock.sources.versioned import Versions
@@ -50,3 +50,10 @@ def test_versions_are_written_small(spark, tmp_path):
     stored = Versions(spark, f"file://{tmp_path}")
     stored.commit(0, {"t": spark.range(9)})
     assert [p for p in tmp_path.rglob("*.parquet")] and all(".zstd." in p.name for p in tmp_path.rglob("*.parquet"))
+
+
+def test_result_checks_hold_no_group_a_runner(spark):
+    rows = spark.createDataFrame([("d", "1995-01-01", 1, 1, 1), ("d", "1995-01-01", 1, 1, 2), ("d", "1995-01-01", 2, None, 1), ("d", "1995-01-01", 2, 5, 2)], "document string, race_date string, race_number long, horse_number long, finish_position long")
+    found = runs.result_checks(rows)
+    assert not re.search(r"keys=\[[^\]]*horse_number", plan(found))
+    assert sorted((r.race_number, r.code) for r in found.collect()) == [(1, "DUPLICATE_RACE_OR_RUNNER"), (2, "DUPLICATE_RACE_OR_RUNNER")]
