@@ -2,23 +2,32 @@
 
 from __future__ import annotations
 
+import re
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.names import ascii_fold, decimal_comma
-from .tables import grid, page_tables
+from .tables import ARROW, grid, named_batches, page_tables
 
 ANCHOR = r"""(?is)<a\s[^>]*?href\s*=\s*["']([^"']*)["'][^>]*>(.*?)</a>"""
+ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&amp;", "&"))
 
 
 def plain(html: Column) -> Column:
     """Text without tags, five entities decoded, spaces collapsed."""
     text = F.regexp_replace(html, r"(?s)<[^>]*>", " ")
-    for code, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&amp;", "&")):
+    for code, char in ENTITIES:
         text = F.replace(text, F.lit(code), F.lit(char))
     return F.trim(F.regexp_replace(text, r"\s+", " "))
 
 
+def plain_cell(html: Column) -> Column:
+    """`plain`, for short texts that seldom have anything to replace."""
+    return F.when(html.rlike(r"[<&]|[^\S ]|  "), plain(html)).otherwise(F.trim(html))
+
+
 def host(url: Column) -> Column:
     return F.regexp_replace(F.lower(F.regexp_extract(url, r"^[a-zA-Z]+://([^/?#:]+)", 1)), r"^www\.", "")
 
@@ -114,6 +123,27 @@ def named_columns(found: DataFrame, aliases: dict[str, list[str]], header_rows:
     return bodies.select("page_id", "table_no", "row_no", *[plain(F.col(n)).alias(n) for n in names])
 
 
+def named_rows(pages: DataFrame, aliases: dict[str, list[str]], header_rows: int = 4, largest: bool = False) -> DataFrame:
+    """`named_columns` of all tables of the pages, or of the largest one of each, by one pass over the pages: what isn't a named column never leaves it."""
+    names, known = sorted(aliases), {}
+    for k, name in enumerate(names):
+        for folded in {ascii_fold_text(a) for a in aliases[name]}:
+            known.setdefault(folded, []).append(k)
+    kind = pages.schema["page_id"].dataType.simpleString()
+    rows = named_batches(known, names, folded_cell, header_rows, largest, ARROW[kind])
+    found = pages.select("page_id", "html").mapInArrow(rows, f"page_id {kind}, table_no int, row_no int, {', '.join(f'`{n}` string' for n in names)}")
+    return found.select("page_id", "table_no", "row_no", *[plain_cell(F.col(n)).alias(n) for n in names])
+
+
+@lru_cache(4096)
+def folded_cell(html: str) -> str:
+    """A header cell as `ascii_fold` of `plain` gives it."""
+    text = re.sub(r"(?s)<[^>]*>", " ", html)
+    for code, char in ENTITIES:
+        text = text.replace(code, char)
+    return ascii_fold_text(text)
+
+
 def ascii_fold_text(text: str) -> str:
     low = text.translate(str.maketrans("Iİ", "ıi")).lower().translate(str.maketrans("ığüşöç", "igusoc"))
     return " ".join("".join(c if c.isascii() and c.isalnum() else " " for c in low).split())
@@ -127,9 +157,7 @@ HISTORY_HEADERS = {
 
 def history_rows(pages: DataFrame) -> DataFrame:
     """Past races of a horse from the largest table of its page; who needs them newest first orders by `race_date`."""
-    size = F.transform("tables", lambda t: F.struct(F.size(t["lines"]).alias("n"), (-t["table_no"]).alias("k")))
-    largest = page_tables(pages).withColumn("_best", -F.array_max(size)["k"]).select("page_id", F.explode(F.filter("tables", lambda t: t["table_no"] == F.col("_best"))).alias("t"))
-    rows = named_columns(largest.select("page_id", "t.table_no", "t.lines"), HISTORY_HEADERS)
+    rows = named_rows(pages, HISTORY_HEADERS, largest=True)
     number = lambda c: F.regexp_extract(c, r"\d+", 0).try_cast("int")
     return rows.select(
         "page_id", F.try_to_date("date", "dd.MM.yyyy").alias("race_date"), "city", number("distance").alias("distance_meters"), "track", number("place").alias("finish_position"),
