@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.names import city_fold, decimal_comma, lower_tr
-from .pages import links, named_columns, plain, tables
+from .pages import links, named_rows, plain
 
 # Spellings of the programme pages.
 CARD_HEADERS = {"number": ["N", "No"], "name": ["At İsmi"], "weight": ["Sıklet", "Kilo"], "jockey": ["Jokey"], "share": ["AGF"], "hp": ["HP"]}
@@ -18,6 +18,9 @@ FOREIGN = "(YD"
 
 BLOCK = r"(?is)<h3[^>]*>.*?</h3>|<table[^>]*>.*?</table>|>[^<]*[^<\s][^<]*(?=<)"
 
+# The headings and, as empty strings, the tables of BLOCK; its other texts have no tag, so they take nothing from these.
+HEADING = r"(?is)(<h3[^>]*>.*?</h3>)|<table[^>]*>.*?</table>"
+
 INNER = r">[^<]*[^<\s][^<]*(?=<)"
 
 
@@ -68,7 +71,10 @@ def tables_of_races(pages: DataFrame) -> DataFrame:
     The surface is that of the first heading after the race heading that names one, as far down the page as need be: it is
     found from the page's end, so that both walks look one row back. The texts stay out of the walks.
     """
-    each = pieces(pages).where("kind <> 'text'").select("page_id", "position", "kind", "mark", F.when(F.col("mark").isNull(), surface_named(F.col("words"))).alias("surface"))
+    each = pages.select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit(HEADING), F.lit(1))).alias("position", "block"))
+    each = each.select("page_id", "position", F.when(F.col("block") == "", "table").otherwise("h3").alias("kind"), F.when(F.col("block") != "", tokens(plain(F.col("block")))).alias("words"))
+    each = each.withColumn("mark", race_mark(F.col("words")))
+    each = each.select("page_id", "position", "kind", "mark", F.when(F.col("mark").isNull(), surface_named(F.col("words"))).alias("surface"))
     page = Window.partitionBy("page_id")
     up, down = page.orderBy(F.col("position").desc()), page.orderBy("position")
     later = F.last("surface", ignorenulls=True).over(up.rowsBetween(Window.unboundedPreceding, Window.currentRow))
@@ -80,13 +86,13 @@ def tables_of_races(pages: DataFrame) -> DataFrame:
 
 def card_rows(pages: DataFrame) -> DataFrame:
     """A row a runner: tables with a name and a jockey column, paired with the nearest race heading before them; a table without one has no rows."""
-    rows = named_columns(tables(pages), CARD_HEADERS).where("name is not null and jockey is not null")
+    rows = named_rows(pages, CARD_HEADERS).where(F.col("name").isNotNull() & F.col("jockey").isNotNull() & (F.col("name") != "") & F.col("number").rlike(r"\d"))
     number = lambda c: decimal_comma(F.col(c)).cast("long")
     share = F.coalesce(*[F.nullif(F.regexp_extract("share", p, 1), F.lit("")) for p in (r"%\s*(\d+(?:[,.]\d+)?)", r"(\d+(?:[,.]\d+)?)\s*%")])
     return rows.join(tables_of_races(pages), ["page_id", "table_no"]).select(
-        "page_id", "race_no", "time", "distance_meters", "track", number("number").alias("horse_number"), F.nullif("name", F.lit("")).alias("name"), decimal_comma(F.col("weight")).alias("weight"),
+        "page_id", "race_no", "time", "distance_meters", "track", number("number").alias("horse_number"), "name", decimal_comma(F.col("weight")).alias("weight"),
         F.nullif("jockey", F.lit("")).alias("jockey"), number("hp").alias("hp"), decimal_comma(share).alias("agf_percent"),
-    ).where("horse_number is not null and name is not null")
+    )
 
 
 def sixfold_starts(pages: DataFrame) -> DataFrame:
